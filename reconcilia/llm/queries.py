@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reconcilia.llm import exact_trie, hd_langid, mixing, telephony
+from reconcilia.llm import exact_trie, hd_langid, hyperminhash, line_dedup, mixing, telephony
 from reconcilia.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, share=85)
+
+
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.features(telephony.stored(table(spark, sf_dir, "documents")))
 
@@ -31,13 +35,20 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hd_langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.without_duplicate_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "text", "n_lines", "n_same", "n_near")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_mix_sources,
+        op3_near_dedup,
         op6_telephony,
         op7_exact_dedup,
         op9_language_id,
+        op10_line_dedup,
     )
 }
 
@@ -48,4 +59,4 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY text)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_mix_sources": mixing.MIX_SQL, "op7_exact_dedup": EXACT_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_line_dedup": line_dedup.LINE_SQL, "op2_mix_sources": mixing.MIX_SQL, "op7_exact_dedup": EXACT_SQL}
