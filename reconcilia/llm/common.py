@@ -60,3 +60,37 @@ def attach(rows: DataFrame, groups: DataFrame, key: Sequence[str], size: str) ->
     hot = F.broadcast(groups.where(F.col(size) > limit))
     cold = groups.where(F.col(size) <= limit)
     return rows.join(hot, key).unionByName(rows.join(hot.select(*key), key, "left_anti").join(cold, key))
+
+
+#: Bits of the bitmap below; it is 8 MB, whatever the data.
+BITMAP_BITS = 26
+
+
+def _marked(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``_maybe``: false only where ``column`` is not among the values of ``keys`` (one column).
+
+    The values' hashes go into a bitmap of fixed size, so it can be broadcast; with far more values than
+    bits everything is marked.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS))
+    part, bit = (lambda c: F.shiftright(place(c), 15)), (lambda c: F.pmod(place(c), F.lit(1 << 15)))
+    key = F.col(keys.columns[0])
+    maps = keys.select(part(key).alias("_part"), bit(key).alias("_bit")).groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    mine = F.col(f"`{column}`")
+    met = rows.withColumns({"_part": part(mine), "_bit": bit(mine)}).join(F.broadcast(maps), "_part", "left")
+    byte = F.conv(F.hex(F.substring(F.col("_map"), F.shiftright("_bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.call_function("getbit", byte, F.pmod("_bit", F.lit(8)).cast("int")) == 1, F.lit(False))
+    return met.withColumn("_maybe", found).drop("_part", "_bit", "_map")
+
+
+def maybe_among(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not among ``keys``: a filter before a join, which drops no partner."""
+    return _marked(rows, column, keys).where("_maybe").drop("_maybe")
+
+
+def without(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """``rows`` whose ``column`` is not among ``keys``; only rows that may be among them are dealt out. Nulls stay."""
+    marked = _marked(rows, column, keys)
+    doubtful = marked.where("_maybe").drop("_maybe")
+    left = doubtful.join(keys.select(F.col(keys.columns[0]).alias("_key")), F.col(f"`{column}`") == F.col("_key"), "left_anti")
+    return marked.where("NOT _maybe").drop("_maybe").unionByName(left)

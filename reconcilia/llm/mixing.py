@@ -74,7 +74,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     done = F.col("range_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     out = out.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - done)))
     taken = F.col("whole") * F.col("size") + F.col("part")
-    return out.select("doc_id", "source", "size", "source_size", "target", "whole", "part", taken.alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "whole", "part", taken.alias("taken"), "place")
+
+
+def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 7) -> DataFrame:
+    """The mix itself: ``docs`` with each document repeated as ``mix`` says, n_chars brought up to date.
+
+    All of a source's extra repetitions lie before one edge in the order of the seeded hash, so one row
+    for each source says what to take, and texts are never dealt out. The document at the edge gives
+    its first words, joined by single spaces.
+    """
+    mixed = mix(docs, weights, max_epochs, seed)
+    edges = mixed.groupBy("source").agg(F.first("whole").alias("_whole"), F.max(F.when(F.col("part") > 0, F.struct("place", "part"))).alias("_edge"))
+    edges = saved(edges.withColumnRenamed("source", "_source"))
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    size = size_of(F.col("text"))
+    extra = F.when(place < F.col("_edge.place"), F.col("_size")).when(place == F.col("_edge.place"), F.least("_size", "_edge.part")).otherwise(0)
+    out = docs.join(edges, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_size", size).withColumn("_extra", extra)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    head = F.array_join(F.slice(words, 1, F.greatest(F.lit(1), F.col("_extra")).cast("int")), " ")
+    whole = F.array_repeat(F.col("text"), (F.col("_whole") + F.when((F.col("_extra") > 0) & (F.col("_extra") == F.col("_size")), 1).otherwise(0)).cast("int"))
+    copies = F.when((F.col("_extra") > 0) & (F.col("_extra") < F.col("_size")), F.concat(whole, F.array(head))).otherwise(whole)
+    out = out.withColumn("_copy", F.explode(copies))
+    return out.withColumns({"text": F.col("_copy"), "n_chars": F.length("_copy").cast("long")}).select(*docs.columns)
 
 
 #: The same in DuckDB: water-filling by repeated clamping in place of the ordered form.

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reconcilia.llm import exact_trie, hd_langid, hyperminhash, line_dedup, mixing, telephony
+from reconcilia.llm import chain_toxicity, exact_trie, hd_langid, html_diff, hyperminhash, importance, line_dedup, mixing, telephony, unigram_pieces
 from reconcilia.llm.common import table
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_diff.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -20,6 +24,15 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, share=85)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return unigram_pieces.encoded(docs).drop("text")
+
+
+def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.features(telephony.stored(table(spark, sf_dir, "documents")))
 
@@ -28,6 +41,18 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_trie.exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    categories = {
+        "low_quality": F.col("quality") == 0,
+        "toxic": F.col("toxic") == 1,
+        "toxic_low_quality": (F.col("quality") == 0) & (F.col("toxic") == 1),
+    }
+    model = chain_toxicity.learn(docs, labels, categories)
+    found = chain_toxicity.scored(docs, model, list(categories))
+    return found.withColumn("flagged", F.col("toxic") >= 0.35)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = hd_langid.fold(F.col("doc_id")) == 1
@@ -43,10 +68,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_main_text,
         op2_mix_sources,
         op3_near_dedup,
+        op4_sentencepiece,
+        op5_importance,
         op6_telephony,
         op7_exact_dedup,
+        op8_toxicity,
         op9_language_id,
         op10_line_dedup,
     )
