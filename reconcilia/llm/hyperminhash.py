@@ -3,8 +3,9 @@
 A document is its set of distinct word shingles (64-bit hashes; the whole sequence if it has fewer
 words than a shingle). The top bits of a hash choose one of 128 buckets. A bucket's register keeps
 the smallest hash there in 16 bits: the number of leading zeros (6 bits) and the 10 bits behind the
-first one. Five registers are a band; documents that share a band are candidates. Candidates pass a
-Jaccard estimate from the registers, corrected for chance collisions, with six standard deviations
+first one. For banding, an empty register borrows a filled one along a fixed random order of buckets, so that
+a short document's band rests on as many shingles as a long one's. Five registers are a band;
+documents that share a band are candidates. Candidates pass a Jaccard estimate from the registers, corrected for chance collisions, with six standard deviations
 to spare, and are then confirmed on their full shingle sets.
 
 Only what decides components is verified:
@@ -13,27 +14,29 @@ Only what decides components is verified:
 2. Within a band's group every member is compared with the group's hub, the member that shares the
    most bands overall. That is one pair for each member, not all pairs, and joins a base text with
    its variants.
-3. Members of one group that are still in different components are compared exactly, pair by pair,
-   until no candidate pair is left that is neither verified nor already connected.
+3. Members of one group that are still in different components are joined exactly, by the prefix and
+   position filters of set-similarity joins, so that no candidate pair is left that is neither
+   verified, nor refuted by a bound, nor already connected.
 
 A pair at Jaccard 0.85 shares none of the 25 bands with probability (1 - 0.85^5)^25 < 5e-7.
 
 Nulls and empty texts have no shingles and link with nothing. Rows with one doc_id count as one
-document. Rows with a null doc_id take the component of their text's class, or null. Further
+document: they share a component, and the links of the first text in byte order count. Rows with a null doc_id take the component of their text's class, or null. Further
 columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reconcilia.llm.common import LOWER, attach, saved
+from reconcilia.llm.common import LOWER, attach, maybe_among, saved
 from reconcilia.llm.components import components
 
 BUCKET_BITS = 7
@@ -92,6 +95,22 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def donors() -> np.ndarray:
+    """For each bucket the order in which it looks for a filled one: itself, then all in a fixed random order."""
+    n, rng = 1 << BUCKET_BITS, np.random.default_rng(3)
+    return np.array([[i, *(j for j in rng.permutation(n) if j != i)] for i in range(n)])
+
+
+def band_keys(sketch: np.ndarray) -> list[int]:
+    """A 64-bit key for each band of a sketch with at least one filled register."""
+    order = donors()
+    empty = np.flatnonzero(sketch == EMPTY)
+    full = sketch.copy()
+    full[empty] = sketch[order[empty, (sketch != EMPTY)[order[empty]].argmax(axis=1)]]
+    return [xxhash.xxh3_64_intdigest(full[i * BAND : (i + 1) * BAND].tobytes(), i) - (1 << 63) for i in range(BANDS)]
+
+
 def chance_collisions(n: float, m: float) -> float:
     """Expected share of equal registers of disjoint sets of n and m elements.
 
@@ -113,25 +132,25 @@ def estimated(x: np.ndarray, y: np.ndarray, n: int, m: int) -> tuple[float, int]
 
 
 def _sketch(words: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("registers", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, sketches = [], [], []
+            n, keys, bands = [], [], []
             for body in batch.column(1):
                 found = shingle_set(body.as_py(), words)
                 n.append(len(found))
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                sketches.append(registers(found).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], schema=schema)
+                bands.append(band_keys(registers(found)) if len(found) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
 def sketches(docs: DataFrame, words: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, set_key, registers."""
+    """doc_id, n_shingles, set_key (a hash of the whole set), bands (keys of the sketch's bands)."""
     bodies = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("body"))
-    return bodies.mapInArrow(_sketch(words), "doc_id long, n_shingles long, set_key binary, registers binary")
+    return bodies.mapInArrow(_sketch(words), "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def _sets(words: int):
@@ -181,6 +200,42 @@ def verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return joined.mapInArrow(_verify(share), "a long, b long")
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, len(batch), 200):
+            part = batch.slice(start, 200)
+            found = [np.frombuffer(h.as_buffer(), np.uint64) for h in part.column(2)]
+            n = [len(f) for f in found]
+            owner = np.repeat(np.arange(len(n)), n)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), part.column(1).take(pa.array(owner)), pa.array(np.array(n)[owner]), pa.array(np.concatenate(found).view(np.int64))], names=["id", "component", "n", "token"])
+
+
+def possible_pairs(docs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """(a, b) of every two ``docs`` (id, component) in different components whose sets may be similar enough.
+
+    Exact prefix and position filters: with tokens in order of frequency, similar sets share a token
+    among the first of each, and if that is the first shared one, neither can have passed over more
+    tokens than the similarity allows. As the rare tokens come first, variants of a text that differ
+    too much never meet. A token's rows are joined from all but its commonest component, by size.
+    """
+    bin_of = lambda n: F.floor(F.log(n.cast("double")) / F.lit(np.log(1.05))).cast("int")
+    rows = saved(sets.join(docs, "id").select("id", "component", "hashes").mapInArrow(_tokens, "id long, component long, n long, token long"))
+    common = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("least"), F.max("component").alias("most"))
+    ranked = rows.join(common, "token").withColumn("i", F.row_number().over(Window.partitionBy("id").orderBy("df", "token")) - 1)
+    # the most that a set can share with one of m tokens if its first shared token is at place i
+    most = F.floor((F.col("n") - F.col("i")) * F.lit((100 + share) / share) + F.lit(1e-9)) - F.col("n")
+    low, high = F.ceil(F.col("n") * share / 100), F.least(F.floor(F.col("n") * 100 / share), most)
+    prefix = saved(ranked.where(F.col("least") != F.col("most")).withColumns({"low": low, "high": high}).where("low <= high").select("token", "id", "component", "n", "i", "low", "high"))
+    usual = prefix.groupBy("token", "component").agg(F.count("*").alias("times")).groupBy("token").agg(F.max(F.struct("times", "component")).alias("usual"), F.count("*").alias("kinds")).where("kinds > 1")
+    some = prefix.join(usual.select("token", F.col("usual.component").alias("usual")), "token")
+    seek = some.where("component != usual").select("token", F.explode(F.sequence(bin_of(F.col("low")), bin_of(F.col("high")))).alias("bin"), "id", "component", "n", "i").alias("x")
+    sit = prefix.select("token", bin_of(F.col("n")).alias("bin"), "id", "component", "n", "i").alias("y")
+    room = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
+    fits = (100 + share) * room >= share * (F.col("x.n") + F.col("y.n"))
+    met = seek.join(sit, (F.col("x.token") == F.col("y.token")) & (F.col("x.bin") == F.col("y.bin")) & (F.col("x.component") != F.col("y.component")) & fits)
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept.
 
@@ -188,14 +243,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, text: str
     """
     sketch = saved(sketches(docs, words, text, doc_id))
     some = sketch.where("n_shingles > 0")
-    classes = saved(
-        some.groupBy("n_shingles", "set_key").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "registers"))).alias("first"), F.count("*").alias("class_size"))
-        .select("n_shingles", "set_key", F.col("first.doc_id").alias("id"), F.col("first.registers").alias("registers"), "class_size")
-    )
-    width = 2 * BAND
-    place = F.sequence(F.lit(0), F.lit(BANDS - 1))
-    piece = lambda i: F.substring(F.col("registers"), i * width + 1, F.lit(width))
-    keys = classes.where("id IS NOT NULL").select("id", F.explode(F.transform(F.filter(place, lambda i: piece(i) != F.lit(b"\xff" * width)), lambda i: F.xxhash64(i, piece(i)))).alias("key"))
+    classes = saved(some.groupBy("n_shingles", "set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("class_size")))
+    owners = some.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    keys = owners.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")).distinct()
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     members = saved(keys.join(shared, "key"))
     degree = members.groupBy("id").agg(F.sum("members").alias("degree"))
@@ -203,19 +253,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, text: str
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     pairs = saved(members.join(hubs, "key").where("id != hub").select(*ordered(F.col("id"), F.col("hub"))).distinct())
 
-    wanted = members.select("id").distinct()
+    wanted = saved(members.select("id").distinct())
     bodies = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("binary").alias("body"))
-    sets = saved(bodies.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(words), "id long, registers binary, hashes binary"))
+    sets = saved(maybe_among(bodies, "id", wanted).join(wanted, "id", "left_semi").groupBy("id").agg(F.min("body").alias("body")).mapInArrow(_sets(words), "id long, registers binary, hashes binary"))
     links = saved(verified(pairs, sets, share))
     labels = components(links)
 
     # what is left: members of one group in different components
     placed = members.select("id", "key").join(labels, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("key")
-    open_ = saved(placed.join(mixed, "key"))
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))).select(*ordered(F.col("x.id"), F.col("y.id"))).distinct()
-    more = saved(verified(rest.join(pairs, ["a", "b"], "left_anti"), sets, share))
+    open_ = placed.join(mixed, "key").select("id", "component").distinct()
+    more = saved(verified(possible_pairs(open_, sets, share).join(pairs, ["a", "b"], "left_anti"), sets, share))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
