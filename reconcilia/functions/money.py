@@ -17,7 +17,9 @@ SHORT_INTEGER = r"^\d{1,3}$"
 BBVA_GLOBAL = r"^[+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d{2,})?$"
 PERCENT = r"^(\d+(?:\.\d+)?)%$"
 
-ZERO = F.lit(0).cast(MONEY)
+
+def zero() -> Column:
+    return F.lit(0).cast(MONEY)
 
 
 def is_amount(text: Column, pattern: str) -> Column:
@@ -31,7 +33,7 @@ def number(text: Column) -> Column:
 
 def plain(text: Column) -> Column:
     """Commas removed; anything else is 0."""
-    return F.coalesce(number(F.trim(F.replace(text, F.lit(","), F.lit("")))), ZERO)
+    return F.coalesce(number(F.trim(F.replace(text, F.lit(","), F.lit("")))), zero())
 
 
 def spaced_or_null(text: Column) -> Column:
@@ -40,7 +42,7 @@ def spaced_or_null(text: Column) -> Column:
 
 
 def spaced(text: Column) -> Column:
-    return F.coalesce(spaced_or_null(text), ZERO)
+    return F.coalesce(spaced_or_null(text), zero())
 
 
 def whole(text: Column) -> Column:
@@ -55,7 +57,7 @@ def in_parentheses(text: Column, trailing_minus: bool = False) -> Column:
     bare = F.when(minus, F.trim(F.regexp_replace(bare, "-$", ""))).otherwise(bare)
     wrapped = bare.startswith("(") & bare.endswith(")")
     inner = F.when(wrapped, F.trim(F.regexp_replace(bare, r"^\(|\)$", ""))).otherwise(bare)
-    value = F.coalesce(number(inner), ZERO)
+    value = F.coalesce(number(inner), zero())
     return F.when(wrapped | minus, -value).otherwise(value).cast(MONEY)
 
 
@@ -74,5 +76,5 @@ def percent(text: Column) -> Column:
 
 def signed(sign: Column, amount: Column) -> tuple[Column, Column]:
     """(credit, debit) of an amount with sign 1, -1 or 0."""
-    known = F.coalesce(amount, ZERO)
-    return F.when(sign > 0, known).otherwise(ZERO), F.when(sign < 0, known).otherwise(ZERO)
+    known = F.coalesce(amount, zero())
+    return F.when(sign > 0, known).otherwise(zero()), F.when(sign < 0, known).otherwise(zero())

@@ -71,7 +71,7 @@ def banorte_summary(words: DataFrame) -> DataFrame:
     out = words.select("file_id").distinct().join(amounts, "file_id", "left").join(single, "file_id", "left").join(average_balance(lines), "file_id", "left")
     v = lambda f: F.col(f"{f}_v")
     parts = {f: m.signed(F.col(f"{f}_s"), v(f)) for f in ("comisiones_cobradas_pagadas", "intereses_cobrados_pagados")}
-    plus = lambda base, other, side: v(base) + F.coalesce(v(other), m.ZERO) + sum(p[side] for p in parts.values())
+    plus = lambda base, other, side: v(base) + F.coalesce(v(other), m.zero()) + sum(p[side] for p in parts.values())
     values: dict[str, Column] = {
         "saldo_promedio": F.col("saldo_promedio"), "dias_periodo": F.col("dias_periodo"), "tasa_bruta_anual": F.col("tasa"), "intereses_a_favor": v("intereses_a_favor"),
         "isr_retenido": v("isr_retenido"), "manejo_cuenta": v("manejo_cuenta"), "saldo_anterior": v("saldo_anterior"),

@@ -56,7 +56,7 @@ def last_amounts(pattern: str, columns: dict[str, str]) -> list[Column]:
 def block_amount(name: str) -> Column:
     """Block aggregate: the amount of the last line that has one, 0 if none."""
     last = F.max_by(F.col(f"{name}_w.text"), F.when(F.col(f"{name}_w").isNotNull(), F.col("line_no")))
-    return F.coalesce(m.in_parentheses(last), m.ZERO).alias(name)
+    return F.coalesce(m.in_parentheses(last), m.zero()).alias(name)
 
 
 def ordinal(movements: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def banamex_movements(words: DataFrame) -> DataFrame:
     )
     kept = grouped.where(~F.contains(F.upper("first_concept"), F.lit("SALDO ANTERIOR")) & ~((F.col("cargo") == 0) & (F.col("abono") == 0) & (F.col("saldo_operacion") == 0)))
     kind = concepts.banamex_type(F.col("cargo"), F.col("abono"), F.col("concepto"))
-    return finished(kept.withColumns({"tipo_operacion": kind, "saldo_liquidacion": m.ZERO} | concepts.banamex_fields(F.col("concepto"))))
+    return finished(kept.withColumns({"tipo_operacion": kind, "saldo_liquidacion": m.zero()} | concepts.banamex_fields(F.col("concepto"))))
 
 
 # --- third layout -----------------------------------------------------------------------------------
@@ -192,4 +192,4 @@ def banorte_movements(words: DataFrame) -> DataFrame:
     empty = (F.col("abono") == 0) & (F.col("cargo") == 0) & (F.col("saldo_operacion") == 0) & (F.col("concepto") == "")
     kind = F.when(F.col("cargo") > 0, "CARGO").when(F.col("abono") > 0, "ABONO")
     kept = grouped.where(~opening & ~empty)
-    return finished(kept.withColumns({"tipo_operacion": kind, "saldo_liquidacion": m.ZERO} | concepts.banorte_fields(F.col("concepto"))))
+    return finished(kept.withColumns({"tipo_operacion": kind, "saldo_liquidacion": m.zero()} | concepts.banorte_fields(F.col("concepto"))))

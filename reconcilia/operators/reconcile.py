@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reconcilia.functions.money import MONEY, ZERO
+from reconcilia.functions.money import MONEY, zero
 
 TOLERANCE = 0.01
 CHECKS = ["Total depósitos / abonos", "Total retiros / cargos", "Saldo final", "Ecuación financiera"]
@@ -15,9 +15,9 @@ MESSAGES = ["Suma de movimientos vs resumen financiero", "Suma de movimientos vs
 
 def totals(movements: DataFrame) -> DataFrame:
     """statement_id with total_abonos, total_cargos, last_balance, n_movements. A zero balance counts as missing."""
-    last = F.coalesce(F.nullif("saldo_liquidacion", ZERO), F.nullif("saldo_operacion", ZERO))
+    last = F.coalesce(F.nullif("saldo_liquidacion", zero()), F.nullif("saldo_operacion", zero()))
     return movements.groupBy("statement_id").agg(
-        F.sum(F.coalesce("abono", ZERO)).cast(MONEY).alias("total_abonos"), F.sum(F.coalesce("cargo", ZERO)).cast(MONEY).alias("total_cargos"),
+        F.sum(F.coalesce("abono", zero())).cast(MONEY).alias("total_abonos"), F.sum(F.coalesce("cargo", zero())).cast(MONEY).alias("total_cargos"),
         F.max_by(last, "numero_movimiento").alias("last_balance"), F.count("*").alias("n_movements"),
     )
 
@@ -50,5 +50,5 @@ def integrity(checks: DataFrame) -> DataFrame:
 
 
 def balance_change(summaries: DataFrame) -> DataFrame:
-    change = F.coalesce("saldo_final", ZERO) - F.coalesce("saldo_anterior", ZERO)
+    change = F.coalesce("saldo_final", zero()) - F.coalesce("saldo_anterior", zero())
     return summaries.select("statement_id", change.cast(MONEY).alias("variacion"))

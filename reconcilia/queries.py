@@ -359,19 +359,17 @@ def _concepts(spark, d, bank: str) -> DataFrame:
     return facts.withColumn("c", F.concat_ws("\n", *views.concept_lines(bank)))
 
 
-def _concept_query(bank: str, make, oracle: str) -> Query:
-    columns = [c for c in movements.MOVEMENT if c in make(F.lit(""))]
-
+def _concept_query(bank: str, make, oracle: str, columns: str) -> Query:
     def run(spark, d):
-        return _concepts(spark, d, bank).select(F.col("custkey").cast("string").alias("file_id"), "n", *(v.cast("string").alias(k) for k, v in make(F.col("c")).items() if k in columns))
+        return _concepts(spark, d, bank).select(F.col("custkey").cast("string").alias("file_id"), "n", *(v.cast("string").alias(k) for k, v in make(F.col("c")).items()))
 
     run.__name__ = f"concepts_{bank}"
-    return query(f"SELECT file_id, numero_movimiento AS n, {', '.join(columns)} FROM ({oracle})")(run)
+    return query(f"SELECT file_id, numero_movimiento AS n, {columns} FROM ({oracle})")(run)
 
 
-_concept_query("bbva", concepts.bbva_fields, sql.BBVA)
-_concept_query("banamex", concepts.banamex_fields, sql.BANAMEX)
-_concept_query("banorte", concepts.banorte_fields, sql.BANORTE)
+_concept_query("bbva", concepts.bbva_fields, sql.BBVA, "beneficiario, clabe_beneficiario, cuenta_beneficiario, concepto_original, rfc, autorizacion, hora_operacion")
+_concept_query("banamex", concepts.banamex_fields, sql.BANAMEX, "referencia, autorizacion, sucursal, caja, hora_operacion, rfc, beneficiario, cuenta_beneficiario, clabe_beneficiario, concepto_original")
+_concept_query("banorte", concepts.banorte_fields, sql.BANORTE, "hora_operacion, beneficiario, clabe_beneficiario, cuenta_beneficiario, rfc, concepto_original, referencia")
 
 
 # --- printed statements, end to end -----------------------------------------------------------------
