@@ -52,7 +52,7 @@ def facts(place: int) -> str:
 f AS (SELECT o_custkey AS custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n, strftime(o_orderdate, '%d') AS dd,
   ['ENE','FEB','MAR','ABR','MAY','JUN','JUL','AGO','SEP','OCT','NOV','DIC'][month(o_orderdate)] AS mon, strftime(o_orderdate, '%Y') AS yyyy, o_orderstatus IN ('F', 'O') AS credit, o_totalprice::DECIMAL(18,2) AS price,
   o_orderkey % 4 AS kind, lpad(o_orderkey::VARCHAR, 10, '0') AS k10, '0721800' || lpad(o_orderkey::VARCHAR, 11, '0') AS k18, o_orderkey::VARCHAR AS key, 'ABC' || lpad((o_orderkey % 1000000)::VARCHAR, 6, '0') || 'XY1' AS rfc,
-  lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') AS hhmm, replace(o_clerk, '#', ' ') AS who FROM orders WHERE o_custkey % 3 = {place})
+  lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') AS hhmm, 'CLIENTE ' || o_custkey::VARCHAR AS who FROM orders WHERE o_custkey % 3 = {place})
 """
 
 

@@ -81,9 +81,9 @@ def logical_pages(spark, d):
 
 
 @query(f"""WITH {sql.PAGES}, {sql.WORDS}, h AS (SELECT file_id, string_agg(text, chr(10) ORDER BY page) AS t FROM pages_v WHERE text <> '' GROUP BY 1)
-SELECT w.file_id, count(*) AS n_words, max(length(t))::INTEGER AS head_chars FROM words w LEFT JOIN h USING (file_id) GROUP BY 1""")
+SELECT w.file_id, count(*) AS n_words, coalesce(max(length(t)), 0)::INTEGER AS head_chars FROM words w LEFT JOIN h USING (file_id) GROUP BY 1""")
 def full_read(spark, d):
-    return readers.full_read(views.pages(spark, d), views.words(spark, d)).groupBy("file_id").agg(F.count("*").alias("n_words"), F.max(F.length("head_text")).alias("head_chars"))
+    return readers.full_read(views.pages(spark, d), views.words(spark, d)).groupBy("file_id").agg(F.count("*").alias("n_words"), F.coalesce(F.max(F.length("head_text")), F.lit(0)).alias("head_chars"))
 
 
 OCR = f"""{sql.WORDS}, ocr AS (SELECT file_id, page, ((ln // 6) % 7)::INTEGER AS block_num, ln AS line_num, seq AS token_idx, CASE WHEN seq % 17 = 5 THEN '  ' ELSE text END AS text,
@@ -151,7 +151,7 @@ def bank_rejects(spark, d):
     return banks.rejects(banks.with_bank(views.clabe_texts(spark, d)))
 
 
-@query("SELECT c_custkey::VARCHAR AS file_id, CASE WHEN c_custkey % 6 IN (1, 2, 5) THEN ['012','002','014','072','044','021','638','062','059','999'][c_custkey % 10 + 1] || lpad(c_custkey::VARCHAR, 15, '0') END AS tabular FROM customer")
+@query("SELECT c_custkey::VARCHAR AS file_id, CASE WHEN c_custkey % 6 IN (1, 2, 3, 5) THEN ['012','002','014','072','044','021','638','062','059','999'][c_custkey % 10 + 1] || lpad(c_custkey::VARCHAR, 15, '0') END AS tabular FROM customer")
 def tabular_clabe(spark, d):
     return views.clabe_texts(spark, d).select("file_id", cl.tabular_clabe(t.canonical(F.col("text"))).alias("tabular"))
 
@@ -307,9 +307,9 @@ def trim_marker_line(spark, d):
 
 
 @query(r"""SELECT o_orderkey, upper(strip_accents(regexp_replace(trim(o_comment), '\s+', ' ', 'g'))) AS canonical, regexp_replace(o_clerk, '\D', '', 'g') AS digits, trim(regexp_replace('  ' || o_comment || ' – ', '\s+', ' ', 'g')).replace('–', '-') AS word,
-  nullif(trim(regexp_replace(o_orderpriority, '\s+', ' ', 'g')), '') AS collapsed, 'ABC010101XY1' AS rfc, CASE WHEN o_orderkey % 2 = 0 THEN lpad(o_orderkey::VARCHAR, 18, '0') END AS clabe FROM (SELECT *, o_clerk || ' ' || o_orderpriority AS o_comment FROM orders)""")
+  nullif(trim(regexp_replace(o_orderpriority, '\s+', ' ', 'g')), '') AS collapsed, 'ABC010101XY1' AS rfc, CASE WHEN o_orderkey % 2 = 0 THEN lpad(o_orderkey::VARCHAR, 18, '0') END AS clabe FROM (SELECT *, o_clerk || ' ' || o_orderpriority AS o_comment FROM (SELECT *, 'Clérk#' || lpad(o_custkey::VARCHAR, 9, '0') AS o_clerk FROM orders))""")
 def text_functions(spark, d):
-    o = views.table(spark, d, "orders").withColumn("o_comment", F.concat_ws(" ", "o_clerk", "o_orderpriority"))
+    o = views.table(spark, d, "orders").withColumn("o_clerk", F.concat(F.lit("Clérk#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))).withColumn("o_comment", F.concat_ws(" ", "o_clerk", "o_orderpriority"))
     number = F.lpad(F.col("o_orderkey").cast("string"), 18, "0")
     return o.select(
         "o_orderkey", t.canonical(F.concat(F.lit(" "), F.lower("o_comment"), F.lit("\n"))).alias("canonical"), t.digits(F.col("o_clerk")).alias("digits"), t.word_text(F.concat(F.lit("  "), "o_comment", F.lit(" – "))).alias("word"),
@@ -415,7 +415,7 @@ def summary_bbva(spark, d):
     return fields.bbva_summary(views.statement_words(spark, d, "bbva"))
 
 
-@query(_summary_sql(1, "NULL", saldo_anterior="1234.50"))
+@query(_summary_sql(1, "NULL", saldo_anterior="1234.50", depositos_abonos="1234.50"))
 def summary_banamex(spark, d):
     return fields.banamex_summary(views.statement_words(spark, d, "banamex"))
 

@@ -94,7 +94,7 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("custkey"), F.row_number().over(order).alias("n"), F.date_format("o_orderdate", "dd").alias("dd"), month.alias("mon"), F.date_format("o_orderdate", "yyyy").alias("yyyy"), credit.alias("credit"), price.alias("price"),
         (F.col("o_orderkey") % 4).alias("kind"), F.lpad(key, 10, "0").alias("k10"), F.concat(F.lit("0721800"), F.lpad(key, 11, "0")).alias("k18"), key.alias("key"), F.concat(F.lit("ABC"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0"), F.lit("XY1")).alias("rfc"),
-        F.format_string("%02d:%02d", F.col("o_orderkey") % 24, F.col("o_orderkey") % 60).alias("hhmm"), F.regexp_replace("o_clerk", "#", " ").alias("who"),
+        F.format_string("%02d:%02d", F.col("o_orderkey") % 24, F.col("o_orderkey") % 60).alias("hhmm"), F.concat(F.lit("CLIENTE "), F.col("o_custkey").cast("string")).alias("who"),
     )
 
 
@@ -167,7 +167,7 @@ def statement_words(spark: SparkSession, sf_dir: str, bank: str) -> DataFrame:
     phrases = [F.coalesce(_phrase(t, left, top + 11.0 * i, 2 + 30 * i), F.array().cast("array<struct<o:int,text:string,x0:double,x1:double,top:double>>")) for i, t in enumerate(text)]
     moves = facts.select("custkey", page.alias("page"), F.explode(F.filter(F.concat(F.array(*cells), *phrases), lambda w: w.isNotNull())).alias("w"))
     per = facts.groupBy("custkey").agg(F.max(page).alias("last"), F.max("n").alias("n"))
-    rows = per.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), "c_name", "c_phone"), "custkey")
+    rows = per.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), "c_name"), "custkey")
     number = F.lpad(F.col("custkey").cast("string"), 10, "0")
     clabe = F.concat(F.lit({"bbva": "012", "banamex": "002", "banorte": "072"}[bank]), F.lpad(F.col("custkey").cast("string"), 15, "0"))
     page1 = {
