@@ -1,0 +1,62 @@
+"""Small word tables through lines, sources and checks."""
+
+from pyspark.sql import functions as F
+
+from reconcilia.operators import lines, reconcile, tables, trimming
+from reconcilia.sources import readers
+
+
+def words(spark, rows):
+    """(page, text, x0, top) rows of one file, words 8 high and 10 wide."""
+    made = [("f", i, p, t, float(x), float(x) + 10, float(y), float(y) + 8, (p - 1) * 792.0 + y) for i, (p, t, x, y) in enumerate(rows)]
+    return spark.createDataFrame(made, "file_id string, seq long, page int, text string, x0 double, x1 double, top double, bottom double, doctop double")
+
+
+def places(df):
+    return [r["line_no"] % lines.LINES for r in df.orderBy("seq").collect()]
+
+
+def test_line_rules(spark):
+    tops = [10.0, 12.5, 13.4, 20.0]
+    assert places(lines.anchored_lines(words(spark, [(1, "a", i, y) for i, y in enumerate(tops)]))) == [1, 1, 2, 3]
+    assert places(lines.fixed_mean_lines(words(spark, [(1, "a", i, y) for i, y in enumerate([6.0, 9.0, 11.1])]))) == [1, 1, 2]
+    assert places(lines.fixed_mean_lines(words(spark, [(1, "a", i, y) for i, y in enumerate([6.0, 9.0, 10.9])]))) == [1, 1, 1]
+
+
+def test_text_stage(spark):
+    pages = spark.createDataFrame([("f", i + 1, t) for i, t in enumerate(["", " ", "A", "", "B"])] + [("g", 1, "")], "file_id string, page int, text string")
+    got = {r["file_id"]: (r["initial_empty_pages"], r["has_text"]) for r in readers.text_stage(pages).collect()}
+    assert got == {"f": (2, True), "g": (1, False)}
+
+
+def test_ocr_scale(spark):
+    row = ("f", 1, 1, 1, 1, 0, "x", 300, 0, 60, 10, "-", 2550, 612.0, 792.0)
+    tokens = spark.createDataFrame([row], "file_id string, page int, block_num int, par_num int, line_num int, token_idx int, text string, left int, top int, width int, height int, conf string, image_width int, page_width double, page_height double")
+    got = readers.ocr_words(tokens).first()
+    assert (round(got["x0"], 6), round(got["x1"], 6), got["confidence"]) == (72.0, 86.4, -1.0)
+
+
+def test_end_marker(spark):
+    df = words(spark, [(3, "antes", 10, 390), (3, "TOTAL", 20, 400), (3, "DE", 50, 400), (3, "MOVIMIENTOS", 70, 400), (4, "x", 10, 10)])
+    assert [r["text"] for r in trimming.cut_at(df, trimming.end_marker(df)).collect()] == ["antes"]
+
+
+def test_checks(spark):
+    moves = spark.createDataFrame([(1, 1, None, 100.0, 0.0, 0.0), (1, 2, None, 50.0, 80.0, 0.0), (2, 1, None, 150.0, 80.0, 0.0)], "statement_id long, numero_movimiento int, cargo double, abono double, saldo_operacion double, saldo_liquidacion double")
+    money = [c for c in moves.columns if c not in ("statement_id", "numero_movimiento")]
+    moves = moves.select("statement_id", "numero_movimiento", *(F.col(c).cast("decimal(18,2)").alias(c) for c in money))
+    sums = spark.createDataFrame([(1, 100.0, 150.01, 30.0, 80.0), (2, 100.0, None, 30.0, 80.0)], "statement_id long, saldo_anterior double, depositos_abonos double, retiros_cargos double, saldo_final double")
+    sums = sums.select("statement_id", *(F.col(c).cast("decimal(18,2)").alias(c) for c in sums.columns[1:]))
+    got = {(r["statement_id"], r["orden"]): (r["diferencia"], r["correcto"]) for r in reconcile.validations(moves, sums).collect()}
+    assert float(got[1, 1][0]) == -0.01 and got[1, 1][1]
+    assert float(got[1, 3][0]) == 0 and got[1, 3][1]
+    assert got[2, 1] == (None, None) and got[2, 4] == (None, None)
+
+
+def test_header_union_and_sink(spark, tmp_path):
+    a = spark.createDataFrame([(1, 2)], "a int, b int")
+    b = spark.createDataFrame([(3, 4)], "b int, c int")
+    union = tables.header_union([a, b])
+    assert union.columns == ["a", "b", "c"]
+    paths = tables.write({"Datos de la Cuenta": union}, str(tmp_path))
+    assert spark.read.parquet(paths[0]).count() == 2
