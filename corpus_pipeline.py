@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, with proof of the round trip."""
-    return unigram_pieces.encoded(docs).select("doc_id", "lang", "source", "n_chars", "piece_ids", "n_pieces", "round_trip", "decoded_sha256")
+    return unigram_pieces.encoded(docs, columns=["doc_id", "lang", "source", "n_chars"])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

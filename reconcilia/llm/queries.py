@@ -25,8 +25,7 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return unigram_pieces.encoded(docs).drop("text")
+    return unigram_pieces.encoded(table(spark, sf_dir, "documents"), columns=["doc_id"])
 
 
 def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

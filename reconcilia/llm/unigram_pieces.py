@@ -26,16 +26,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 OFFSET = 2.7
 #: Segments that a worker remembers, and the length above which one is not.
-REMEMBERED, LONGEST = 250_000, 48
+REMEMBERED, LONGEST = 150_000, 48
 #: Cells (segments * length) that are solved in one go.
-CELLS = 1 << 20
+CELLS = 1 << 18
 
 
 class DoubleArray:
@@ -215,53 +217,50 @@ def vocabulary(path: str) -> Pieces:
     return Pieces(path)
 
 
-#: Characters that are worked on together.
-PORTION = 3_000_000
+#: Characters that are worked on together, and handed on together.
+PORTION = 600_000
 
 
-def _portions(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
-    start, held, texts = 0, 0, []
-    for i, value in enumerate(column):
-        texts.append(value.as_py())
-        held += len(texts[-1] or "")
-        if held > PORTION:
-            yield start, texts
-            start, held, texts = i + 1, 0, []
-    if texts:
-        yield start, texts
-
-
-def _encode(path: str):
-    def run(batches):
-        import pandas as pd
+def _encode(path: str, columns: int, schema: pa.Schema):
+    """Batches whose last column is the text: the other columns and the encoding, a portion at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
         for batch in batches:
-            ids = [None] * len(batch)
-            back, sha = [None] * len(batch), [None] * len(batch)
-            for start, texts in _portions(pa.array(batch, pa.string(), from_pandas=True)):
+            sizes = pc.fill_null(pc.binary_length(batch.column(columns)), 0).to_numpy()
+            start = 0
+            while start < len(batch):
+                end, held = start + 1, int(sizes[start])
+                while end < len(batch) and held + int(sizes[end]) <= PORTION:
+                    held += int(sizes[end])
+                    end += 1
+                part = batch.slice(start, end - start)
+                texts = part.column(columns).to_pylist()
                 at = [k for k, t in enumerate(texts) if t is not None]
+                ids, back, sha = ([None] * len(texts) for _ in range(3))
                 for k, found in zip(at, own.encode([texts[k] for k in at]), strict=True):
-                    ids[start + k] = found
                     decoded = own.decode(found)
-                    back[start + k], sha[start + k] = decoded == texts[k], hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
-            yield pd.DataFrame({"ids": ids, "round_trip": back, "decoded_sha256": sha})
+                    ids[k], back[k], sha[k] = found, decoded == texts[k], hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
+                counts = [None if v is None else len(v) for v in ids]
+                offsets = np.concatenate(([0], np.cumsum([n or 0 for n in counts]))).astype(np.int32)
+                values = np.concatenate([v for v in ids if v is not None] or [np.zeros(0, np.int32)])
+                missing = pa.array([v is None for v in ids])
+                pieces = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()), mask=missing)
+                made = [pieces.cast(schema.field("piece_ids").type), pa.array(counts, pa.int32()), pa.array(back, pa.bool_()), pa.array(sha, pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:columns], *made], names=schema.names)
+                start = end
 
     return run
 
 
-def encoded(docs: DataFrame, path: str = VOCABULARY, text: str = "text") -> DataFrame:
-    """``docs`` with piece_ids, n_pieces, n_bytes_pieces, round_trip and decoded_sha256 (of the decoded text)."""
-    from typing import Iterator as It
-
-    import pandas as pd
-
-    run = _encode(path)
-    run.__annotations__ = {"batches": It[pd.Series], "return": It[pd.DataFrame]}
-    made = F.pandas_udf(run, "ids array<int>, round_trip boolean, decoded_sha256 string")
-    spare = "_pieces"
-    out = docs.withColumn(spare, made(F.col(f"`{text}`")))
-    return out.withColumns({"piece_ids": F.col(f"{spare}.ids"), "n_pieces": F.size(F.col(f"{spare}.ids")), "round_trip": F.col(f"{spare}.round_trip"), "decoded_sha256": F.col(f"{spare}.decoded_sha256")}).drop(spare)
+def encoded(docs: DataFrame, path: str = VOCABULARY, text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """The named columns (all but the text) with piece_ids, n_pieces, round_trip and decoded_sha256 (of the decoded text)."""
+    columns = [c for c in docs.columns if c != text] if columns is None else columns
+    rows = docs.select(*(F.col(f"`{c}`") for c in columns), F.col(f"`{text}`").cast("string").alias("_text"))
+    made = T.StructType([T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.IntegerType()), T.StructField("round_trip", T.BooleanType()), T.StructField("decoded_sha256", T.StringType())])
+    schema = T.StructType(rows.schema.fields[:-1] + made.fields)
+    names = pa.schema([pa.field(f.name, pa.list_(pa.int32()) if f.name == "piece_ids" else pa.null()) for f in schema.fields])
+    return rows.mapInArrow(_encode(path, len(columns), names), schema)
 
 
 def decoded(rows: DataFrame, path: str = VOCABULARY, ids: str = "piece_ids") -> DataFrame:
