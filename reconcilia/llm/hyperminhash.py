@@ -250,6 +250,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, text: str
     members = saved(keys.join(shared, "key"))
     degree = members.groupBy("id").agg(F.sum("members").alias("degree"))
     hubs = members.select("key", "id").join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("id"))).alias("hub")).select("key", (-F.col("hub.id")).alias("hub"))
+    hubs = saved(hubs)  # both sides of the next join are then dealt out for it, so that a large group can be split
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     pairs = saved(members.join(hubs, "key").where("id != hub").select(*ordered(F.col("id"), F.col("hub"))).distinct())
 
@@ -262,6 +263,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, text: str
     # what is left: members of one group in different components
     placed = members.select("id", "key").join(labels, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("key")
+    mixed = saved(mixed)
     open_ = placed.join(mixed, "key").select("id", "component").distinct()
     more = saved(verified(possible_pairs(open_, sets, share).join(pairs, ["a", "b"], "left_anti"), sets, share))
     if not more.isEmpty():
