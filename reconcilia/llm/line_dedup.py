@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reconcilia.llm.common import attach, saved
+from reconcilia.llm.common import attach, maybe_among, saved
 
 MIN_WORDS = 8
 #: Bits of a word's hash in a variant's key: sums stay within a long for lines of up to 2^24 words.
@@ -40,48 +40,60 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return parts.withColumn("words", words_of(F.col("line")))
 
 
+#: Lengths at which a class of line lengths starts; each is about half as long again as the one before.
+CLASSES = [1, 2, 3, 4, 6, 8]
+while CLASSES[-1] < 1 << 24:
+    CLASSES.append(CLASSES[-1] * 3 // 2)
+
+
 def half_keys(line: Column, words: Column) -> Column:
-    """Hashes of a line's halves, for partners of the same length, one word more and one word less."""
+    """Hashes of a line's first and last words, as many as its length class asks for.
+
+    Lines that are one edit apart agree in all words but one: in the words before the edit or in those
+    behind it, one of which is at least ceil((c - 1) / 2) words if the longer line has c words or more.
+    A line at the start of a class also counts in the class before, where its shorter partners are.
+    """
+    classes = F.array(*map(F.lit, CLASSES))
+    start = F.array_max(F.filter(classes, lambda c: c <= words))
+    before = F.coalesce(F.array_max(F.filter(classes, lambda c: c < words)), F.lit(1))
     keys = []
-    for half in (F.floor((words - 1) / 2), F.floor(words / 2)):
-        size = half.cast("int")
-        keys += [F.xxhash64(F.lit(0), size, F.call_function("substring_index", line, F.lit(" "), size)), F.xxhash64(F.lit(1), size, F.call_function("substring_index", line, F.lit(" "), -size))]
+    for c in (start, F.when(words == start, before).otherwise(start)):
+        size = F.ceil((c - 1) / 2).cast("int")
+        for side, count in ((0, size), (1, -size)):
+            keys.append(F.xxhash64(F.lit(side), c, F.call_function("substring_index", line, F.lit(" "), count)))
     return F.array_distinct(F.array(*keys))
 
 
 def near_owners(lines: DataFrame) -> DataFrame:
-    """(h1, h2) of distinct lines that are one edit from an earlier line, with that line's place.
+    """(h1, h2, first, owner): distinct lines that are one edit from an earlier line, and that line's place.
 
     ``lines``: h1, h2, first (doc_id, place), line, words of lines whose halves others share.
     """
     word = Window.partitionBy("h1", "h2").orderBy("at")
     whole = Window.partitionBy("h1", "h2")
     bits = F.lit((1 << BITS) - 1)
-    each = lines.select("h1", "h2", "first", "words", F.posexplode(F.split("line", " ", -1)).alias("at", "word"))
+    each = lines.select("h1", "h2", "words", F.posexplode(F.split("line", " ", -1)).alias("at", "word"))
+    variant, own = [], []
     for k in (0, 1):
         stay, move = (F.xxhash64(F.lit(k), "word", F.col("at") - back).bitwiseAND(bits) for back in (0, 1))
         each = each.withColumns({f"stay{k}": stay, f"move{k}": move})
-    keys = {}
-    for k in (0, 1):
         before = F.coalesce(F.sum(f"stay{k}").over(word.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         after = F.coalesce(F.sum(f"move{k}").over(word.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
-        keys |= {f"v{k}": before + after, f"own{k}": F.sum(f"stay{k}").over(whole)}
-    each = each.withColumns(keys)
-    out = saved(each.select("h1", "h2", "first", "words", "at", "v0", "v1", "own0", "own1"))
-    # a line stands under its own key as the short partner of lines with one word more
-    variants = out.select("h1", "h2", "first", (F.col("words") - 1).alias("length"), "at", "v0", "v1")
-    own = out.where("at = 0").select("h1", "h2", "first", F.col("words").alias("length"), F.lit(-1).alias("at"), F.col("own0").alias("v0"), F.col("own1").alias("v1"))
-    every = variants.unionByName(own)
-    met = every.groupBy("length", "v0", "v1").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low != high").select("length", "v0", "v1")
-    rows = saved(every.join(met, ["length", "v0", "v1"]))
-    key = ["length", "v0", "v1"]
-    replaced = rows.where("at >= 0").groupBy(*key, "at").agg(F.min("first").alias("owner"))
-    shorter = rows.where("at < 0").groupBy(*key).agg(F.min("first").alias("owner"))
-    longer = rows.where("at >= 0").groupBy(*key).agg(F.min("first").alias("owner"))
+        variant.append(before + after)
+        own.append(F.sum(f"stay{k}").over(whole))
+    # a line stands under its own key (at = -1), as the short partner of lines with one word more
+    keys = F.array(F.struct("at", F.xxhash64(F.col("words") - 1, *variant).alias("key")), F.when(F.col("at") == 0, F.struct(F.lit(-1).alias("at"), F.xxhash64("words", *own).alias("key"))))
+    every = each.select("h1", "h2", keys.alias("keys")).select("h1", "h2", F.explode(F.filter("keys", F.isnotnull)).alias("k")).select("h1", "h2", "k.at", "k.key")
+    every = saved(every)
+    met = every.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low != high").select("key")
+    rows = saved(every.join(met, "key").join(lines.select("h1", "h2", "first"), ["h1", "h2"]))
+    replaced = rows.where("at >= 0").groupBy("key", "at").agg(F.min("first").alias("owner"))
+    shorter = rows.where("at < 0").groupBy("key").agg(F.min("first").alias("owner"))
+    longer = rows.where("at >= 0").groupBy("key").agg(F.min("first").alias("owner"))
     found = (
-        rows.where("at >= 0").join(replaced, [*key, "at"])
-        .unionByName(rows.where("at >= 0").join(shorter, key))
-        .unionByName(rows.where("at < 0").join(longer, key))
+        rows.where("at >= 0").join(replaced, ["key", "at"])
+        .unionByName(rows.where("at >= 0").join(shorter, "key"))
+        .unionByName(rows.where("at < 0").join(longer, "key"))
         .where("owner < first")
     )
     return found.select("h1", "h2", "first", "owner").distinct()
@@ -104,14 +116,16 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     line = F.col("line")
     occurrences = saved(long.select("doc_id", "place", "words", F.octet_length(line).alias("bytes"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), half_keys(line, F.col("words")).alias("halves")))
     ident = ["h1", "h2", "bytes"]
-    distinct = saved(occurrences.groupBy(*ident).agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("times"), F.first("halves").alias("halves")))
-    halves = distinct.select("h1", "h2", F.explode("halves").alias("half"))
-    met = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
+    distinct = saved(occurrences.groupBy(*ident).agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("times")))
+    halves = occurrences.select("h1", "h2", F.explode("halves").alias("half"))
+    # the same line may stand there many times: only another line makes a half shared
+    met = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low != high").select("half")
     some = halves.join(met, "half").select("h1", "h2").distinct()
     places = saved(distinct.join(some, ["h1", "h2"], "left_semi").select("h1", "h2", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place"), "first"))
-    # fetch the lines themselves: only documents that have such a line are dealt out
-    at = places.groupBy("doc_id").agg(F.collect_set("place").alias("wanted"))
-    texts = docs.select("doc_id", "text").join(at, docs["doc_id"].eqNullSafe(at["doc_id"])).drop(at["doc_id"])
+    # fetch the lines themselves from the documents that have one
+    at = saved(places.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("place").alias("wanted")))
+    near_docs = maybe_among(docs.select("doc_id", "text"), "doc_id", at.select("_doc"))
+    texts = near_docs.join(at, F.col("doc_id").eqNullSafe(F.col("_doc")))
     lines = texts.select("doc_id", F.explode(F.transform("wanted", lambda p: F.struct(p.alias("place"), F.get(F.split("text", "\n", -1), p).alias("line")))).alias("x")).select("doc_id", "x.place", "x.line")
     lines = lines.select("line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     kept = saved(places.select("h1", "h2", "first").join(lines.dropDuplicates(["h1", "h2"]), ["h1", "h2"]).withColumn("words", words_of(F.col("line"))))
@@ -129,7 +143,7 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def without_duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with duplicate lines taken out of text, and n_lines, n_same, n_near (lines dropped)."""
-    drops = duplicate_lines(docs, min_words).distinct().groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("place").alias("_drops"), F.count_if(~F.col("near")).alias("n_same"), F.count_if("near").alias("n_near"))
+    drops = saved(duplicate_lines(docs, min_words).distinct().groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("place").alias("_drops"), F.count_if(~F.col("near")).alias("n_same"), F.count_if("near").alias("n_near")))
     lines = F.split("text", "\n", -1)
     rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drops", i)), "\n")
     joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["_doc"]), "left")
