@@ -32,6 +32,11 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _printed(spark: SparkSession, d: str, bank: str) -> DataFrame:
+    """A bank's printed statements; cached, as the word table that each section and filter reads would be stored."""
+    return views.statement_words(spark, d, bank).cache()
+
+
 # --- reconciliation ---------------------------------------------------------------------------------
 
 
@@ -294,7 +299,7 @@ def trim_repeated_headers(spark, d):
 
 @query()
 def trim_last_section(spark, d):
-    return trimming.without_last_section(views.statement_words(spark, d, "banorte")).groupBy("file_id").agg(F.count("*").alias("n"), F.max("page").alias("last_page"))
+    return trimming.without_last_section(_printed(spark, d, "banorte")).groupBy("file_id").agg(F.count("*").alias("n"), F.max("page").alias("last_page"))
 
 
 @query()
@@ -377,32 +382,32 @@ _concept_query("banorte", concepts.banorte_fields, sql.BANORTE, "hora_operacion,
 
 @query(sql.BBVA)
 def movements_bbva(spark, d):
-    return movements.bbva_movements(views.statement_words(spark, d, "bbva"))
+    return movements.bbva_movements(_printed(spark, d, "bbva"))
 
 
 @query(sql.BANAMEX)
 def movements_banamex(spark, d):
-    return movements.banamex_movements(views.statement_words(spark, d, "banamex"))
+    return movements.banamex_movements(_printed(spark, d, "banamex"))
 
 
 @query(sql.BANORTE)
 def movements_banorte(spark, d):
-    return movements.banorte_movements(views.statement_words(spark, d, "banorte"))
+    return movements.banorte_movements(_printed(spark, d, "banorte"))
 
 
 @query(sql.account_sql(0, "012", "MAESTRA", "01/01/2026", "31/01/2026"))
 def account_bbva(spark, d):
-    return fields.account_data(views.statement_words(spark, d, "bbva"), "bbva")
+    return fields.account_data(_printed(spark, d, "bbva"), "bbva")
 
 
 @query(sql.account_sql(1, "002", "PERFILES", "01/ENE/2026", "31/ENE/2026"))
 def account_banamex(spark, d):
-    return fields.account_data(views.statement_words(spark, d, "banamex"), "banamex")
+    return fields.account_data(_printed(spark, d, "banamex"), "banamex")
 
 
 @query(sql.account_sql(2, "072", "ENLACE", "01/Enero/2026", "31/Enero/2026"))
 def account_banorte(spark, d):
-    return fields.account_data(views.statement_words(spark, d, "banorte"), "banorte")
+    return fields.account_data(_printed(spark, d, "banorte"), "banorte")
 
 
 def _summary_sql(place: int, missing: str, **values: str) -> str:
@@ -412,38 +417,38 @@ def _summary_sql(place: int, missing: str, **values: str) -> str:
 
 @query(_summary_sql(0, "0", saldo_promedio="NULL", dias_periodo="31", saldo_anterior="1234.50"))
 def summary_bbva(spark, d):
-    return fields.bbva_summary(views.statement_words(spark, d, "bbva"))
+    return fields.bbva_summary(_printed(spark, d, "bbva"))
 
 
 @query(_summary_sql(1, "NULL", saldo_anterior="1234.50", depositos_abonos="1234.50"))
 def summary_banamex(spark, d):
-    return fields.banamex_summary(views.statement_words(spark, d, "banamex"))
+    return fields.banamex_summary(_printed(spark, d, "banamex"))
 
 
 @query(_summary_sql(2, "NULL", saldo_anterior="1234.50", depositos_abonos="500", saldo_final="1734.50"))
 def summary_banorte(spark, d):
-    return banorte_summary.banorte_summary(views.statement_words(spark, d, "banorte"))
+    return banorte_summary.banorte_summary(_printed(spark, d, "banorte"))
 
 
 @query("SELECT DISTINCT o_custkey::VARCHAR AS file_id, NULL::VARCHAR AS contrato, NULL::VARCHAR AS producto, NULL::VARCHAR AS tasa_interes_anual, NULL::VARCHAR AS gat_nominal_anual, NULL::VARCHAR AS gat_real_anual, NULL::VARCHAR AS total_comisiones FROM orders WHERE o_custkey % 3 = 0")
 def products_bbva(spark, d):
-    return fields.bbva_products(views.statement_words(spark, d, "bbva"))
+    return fields.bbva_products(_printed(spark, d, "bbva"))
 
 
 @query("SELECT DISTINCT o_custkey::VARCHAR AS file_id, 'normal' AS variant FROM orders WHERE o_custkey % 3 = 0")
 def layout_variant(spark, d):
-    return trimming.layout_variant(views.statement_words(spark, d, "bbva"), False)
+    return trimming.layout_variant(_printed(spark, d, "bbva"), False)
 
 
 @query("""WITH p AS (SELECT o_custkey, (count(*) - 1) // 9 + 2 AS last FROM orders WHERE o_custkey % 3 = 1 GROUP BY 1)
 SELECT o_custkey::VARCHAR AS file_id, page::INTEGER AS page, CASE WHEN page BETWEEN 2 AND last THEN 338.75 ELSE 324 END::DOUBLE AS border_1, CASE WHEN page BETWEEN 2 AND last THEN 418.75 ELSE 408 END::DOUBLE AS border_2 FROM p, range(1, last + 1) r(page)""")
 def page_columns(spark, d):
-    words = lines.mean_lines(trimming.trimmed_banamex(views.statement_words(spark, d, "banamex")))
+    words = lines.mean_lines(trimming.trimmed_banamex(_printed(spark, d, "banamex")))
     return movements.all_page_columns(words).select("file_id", "page", F.col("retiros.xmax").alias("border_1"), F.col("depositos.xmax").alias("border_2"))
 
 
 def _everything(spark, d) -> tuple[DataFrame, DataFrame]:
-    words = [views.statement_words(spark, d, b) for b in statements.LAYOUTS]
+    words = [_printed(spark, d, b) for b in statements.LAYOUTS]
     every = words[0].unionByName(words[1]).unionByName(words[2])
     head = {"bbva": "012", "banamex": "002", "banorte": "072"}
     key = F.col("o_custkey")
