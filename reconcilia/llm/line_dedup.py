@@ -1,11 +1,12 @@
 """Near-duplicate lines by their deletion neighbourhood, in DataFrame functions throughout.
 
-A line (text between \\n) of at least ``min_words`` words, separated by single spaces, is a duplicate
-if an earlier line is the same but for at most one word inserted, deleted or replaced. Earlier means:
-the smallest (doc_id, line number) at which that line occurs comes first. Shorter lines are left alone.
+A line (text between \\n) that is not empty is a duplicate if an earlier line is the same, whatever its
+length. One of at least ``min_words`` words, separated by single spaces, is also a duplicate if an earlier
+line is the same but for one word inserted, deleted or replaced. Earlier means: the smallest
+(doc_id, line number) at which that line occurs comes first. Empty lines are left alone.
 
 1. Lines are grouped by a 128-bit hash and their length; each distinct line keeps its first place.
-2. Two lines one edit apart share their first or their last half. Distinct lines that share neither
+2. Lines of ``min_words`` and more go on. Two lines one edit apart share their first or their last half. Distinct lines that share neither
    half with another line need no variants; this drops no pair.
 3. The others emit every variant with one word deleted as a hashed key. A key is the sum of hashes
    of (word, place), so all variants of a line come from two running sums, whatever its length.
@@ -112,9 +113,10 @@ def within_one(a: Column, b: Column) -> Column:
 
 def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, place, near) of every line to drop; near: not the same as an earlier line, but one edit from one."""
-    long = line_rows(docs).where(F.col("words") >= min_words)
+    filled = line_rows(docs).where("line != ''")
     line = F.col("line")
-    occurrences = saved(long.select("doc_id", "place", "words", F.octet_length(line).alias("bytes"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), half_keys(line, F.col("words")).alias("halves")))
+    halves = F.when(F.col("words") >= min_words, half_keys(line, F.col("words")))
+    occurrences = saved(filled.select("doc_id", "place", "words", F.octet_length(line).alias("bytes"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), halves.alias("halves")))
     ident = ["h1", "h2", "bytes"]
     distinct = saved(occurrences.groupBy(*ident).agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("times")))
     halves = occurrences.select("h1", "h2", F.explode("halves").alias("half"))

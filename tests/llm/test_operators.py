@@ -4,11 +4,12 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reconcilia.llm import chain_toxicity, exact_trie, hd_langid, html_diff, hyperminhash, importance, line_dedup, mixing, telephony, unigram_pieces
+from reconcilia.llm import chain_toxicity, exact_trie, hd_langid, html_diff, hyperminhash, importance, line_dedup, mixing, queries, telephony, unigram_pieces
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, key string"
 LONG = " ".join(f"word{i}" for i in range(3000))
@@ -108,6 +109,33 @@ def test_lines(spark):
     assert line_dedup.without_duplicate_lines(docs(spark).limit(0)).count() == 0
 
 
+def test_short_lines(spark):
+    texts = ["Wh the.\nWh the.\n\nx", "\nx\nWh the!\n ", "Wh the.", " \n\n"]
+    got = {r["doc_id"]: r for r in line_dedup.without_duplicate_lines(docs(spark, texts)).collect()}
+    assert [got[i]["text"] for i in range(4)] == ["Wh the.\n\nx", "\nWh the!\n ", "", "\n"]
+    assert [(got[i]["n_same"], got[i]["n_near"]) for i in range(4)] == [(1, 0), (1, 0), (1, 0), (1, 0)]
+
+
+def test_lines_sql(spark, sf):
+    """The query is its SQL, which starts at 8 words, and then one of each shorter line."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    seen, want, more = set(), {}, 0
+    for doc_id, text, n_lines, n_same, n_near in con.execute(f"SELECT * FROM ({line_dedup.LINE_SQL}) ORDER BY doc_id").fetchall():
+        rest = []
+        for line in (text or "").split("\n"):
+            short = line and len(line.split(" ")) < line_dedup.MIN_WORDS
+            if short and line in seen:
+                n_same, more = n_same + 1, more + 1
+            else:
+                rest.append(line)
+            if short:
+                seen.add(line)
+        want[doc_id] = (text if text is None else "\n".join(rest), n_lines, n_same, n_near)
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.op10_line_dedup(spark, sf).collect()}
+    assert got == want and more
+
+
 def test_language(spark):
     rng = random.Random(3)
     words = {"en": "the of and to in that with this", "fr": "le la de que les une dans être"}
