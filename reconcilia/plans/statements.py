@@ -1,7 +1,8 @@
 """From words and pages of any number of statements to account, products, summary, movements, checks, rejects.
 
 One lazy plan for each output. Every stage is keyed by file_id or (file_id, page); files of the three
-layouts go through their own branch and meet in a union.
+layouts go through their own branch and meet in a union. Before that each file's quality says whether
+its words are used, without the leading empty pages, or those that OCR read.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconcilia.operators import banks, fields, movements, reconcile
+from reconcilia.operators import banks, fields, movements, quality, reconcile
 from reconcilia.operators.banorte_summary import banorte_summary
-from reconcilia.sources.readers import head_text
+from reconcilia.sources import readers
 
 LAYOUTS = {
     "bbva": (fields.bbva_summary, fields.bbva_products, movements.bbva_movements),
@@ -34,9 +35,22 @@ class Statements:
     rejects: DataFrame
 
 
-def process(words: DataFrame, pages: DataFrame, kept=lambda df: df) -> Statements:
-    """``kept`` is applied to each bank's words before its sections read them, to cache or write them once."""
-    identified = banks.with_bank(pages.select("file_id").distinct().join(head_text(pages), "file_id", "left"))
+def process(words: DataFrame, pages: DataFrame, kept=lambda df: df, ocr_tokens: DataFrame | None = None) -> Statements:
+    """``kept`` is applied to the routes, the banks and each bank's words before they are read several times, to cache or write them once.
+
+    ``ocr_tokens`` are those of files whose text and words can't be used; without tokens such files are rejected.
+    """
+    stage = readers.text_stage(pages)
+    route = kept(quality.routed(stage, words))
+    heads = readers.head_text(readers.logical_pages(pages.join(route.where("word_source = 'words'").select("file_id"), "file_id", "left_semi"), stage))
+    if ocr_tokens is None:
+        read = words.limit(0)
+    else:
+        tokens = ocr_tokens.join(route.where("word_source = 'ocr'").select("file_id"), "file_id", "left_semi")
+        read = readers.ocr_words(tokens)
+        heads = heads.unionByName(readers.head_text(readers.ocr_page_text(tokens)))
+    identified = kept(banks.with_bank(route.select("file_id", "document_type", "word_source").join(heads, "file_id", "left")))
+    words = quality.chosen_words(route, words, read)
     parts: dict[str, list[DataFrame]] = {n: [] for n in ("account", "products", "summary", "movements")}
     for bank, (summary, products, moves) in LAYOUTS.items():
         mine = kept(words.join(identified.where(F.col("bank_key") == bank).select("file_id"), "file_id", "left_semi"))

@@ -17,6 +17,11 @@ from reconcilia.operators import banks, banorte_summary, fields, lines, movement
 from reconcilia.plans import statements
 from reconcilia.sources import layouts, readers
 
+try:  # written once, which also keeps plans short; the training-data operators can be taken out
+    from reconcilia.llm.common import saved as _kept
+except ImportError:
+    _kept = DataFrame.cache
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -463,7 +468,7 @@ x AS (SELECT o_custkey, 1 AS orden, CASE b WHEN 0 THEN 0 WHEN 2 THEN 500 END::DE
   UNION ALL SELECT o_custkey, 3, CASE b WHEN 0 THEN 0 WHEN 2 THEN 1734.50 END, last FROM c WHERE b <> 1 UNION ALL SELECT o_custkey, 4, CASE b WHEN 0 THEN 0 WHEN 2 THEN 1734.50 END, CASE b WHEN 0 THEN 1234.50 END FROM c)
 SELECT o_custkey::VARCHAR AS statement_id, orden, e::DECIMAL(18,2) AS esperado, o::DECIMAL(18,2) AS obtenido, (o - e)::DECIMAL(18,2) AS diferencia FROM x""")
 def process_statements(spark, d):
-    out = statements.process(*_everything(spark, d))
+    out = statements.process(*_everything(spark, d), kept=_kept)
     return out.validations.select("statement_id", "orden", "esperado", "obtenido", "diferencia")
 
 
@@ -471,7 +476,7 @@ def process_statements(spark, d):
 def normalised_tables(spark, d):
     """The movements table of all statements, counted by account."""
     words, pages = _everything(spark, d)
-    out = statements.process(words, pages)
+    out = statements.process(words, pages, kept=_kept)
     files = out.identified.select("file_id", "bank_key", F.concat("file_id", F.lit(".pdf")).alias("file_name"), F.col("file_id").cast("long").alias("input_ord"), F.lit(True).alias("parsed"))
     made = tables.normalised(tables.statement_keys(files), out.account, out.products, out.summary, out.movements)
     moves = made["Movimientos"]

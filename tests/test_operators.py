@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from reconcilia import views
 from reconcilia.operators import lines, reconcile, tables, trimming
+from reconcilia.plans import statements
 from reconcilia.sources import readers
 
 
@@ -60,3 +62,29 @@ def test_header_union_and_sink(spark, tmp_path):
     assert union.columns == ["a", "b", "c"]
     paths = tables.write({"Datos de la Cuenta": union}, str(tmp_path))
     assert spark.read.parquet(paths[0]).count() == 2
+
+
+def test_process_reads_every_kind(spark, sf):
+    """One statement as it is, behind 2 and 6 blank pages, as an image with OCR tokens, and as an image without."""
+    printed = views.statement_words(spark, sf, "bbva")
+    one = printed.select("file_id").first()[0]
+    rows = printed.where(F.col("file_id") == one).collect()
+    columns = "seq long, page int, text string, x0 double, x1 double, top double, bottom double, doctop double"
+    digital = [(f"blank{k}", r["seq"], r["page"] + k, *r[3:8], r["doctop"] + 792 * k) for k in (0, 2, 6) for r in rows]
+    last = max(r["page"] for r in rows)
+    head = "CLABE 012" + one.zfill(15)
+    pages = [(f"blank{k}", p, head if p == k + 1 else "" if p <= k else "movimientos del mes") for k in (0, 2, 6) for p in range(1, last + k + 1)]
+    pages += [(f, p, "") for f in ("scan", "nothing") for p in range(1, last + 1)]
+    tokens = [("scan", r["page"], 1, 1, r["seq"], r["seq"], r["text"], *(round(100 * v) for v in (r["x0"], r["top"], r["x1"] - r["x0"], 8)), "90", 61200, 612.0, 792.0) for r in rows]
+    tokens += [("scan", 1, 0, 1, -1, i - 9, t, 100 * (10 + 30 * i), 200, 2000, 800, "90", 61200, 612.0, 792.0) for i, t in enumerate(["CLABE", head[6:]])]
+    out = statements.process(
+        spark.createDataFrame(digital, f"file_id string, {columns}"), spark.createDataFrame(pages, "file_id string, page int, text string"), type(printed).cache,
+        spark.createDataFrame(tokens, "file_id string, page int, block_num int, par_num int, line_num long, token_idx long, text string, left int, top int, width int, height int, conf string, image_width int, page_width double, page_height double"),
+    )
+    kinds = {r["file_id"]: (r["document_type"], r["bank_key"]) for r in out.identified.collect()}
+    assert kinds == {f"blank{k}": ("pdf_digital", "bbva") for k in (0, 2, 6)} | {"scan": ("pdf_imagen", "bbva"), "nothing": ("pdf_imagen", None)}
+    assert [tuple(r) for r in out.rejects.collect()] == [("nothing", "bank_not_identified")]
+    for table in (out.account, out.summary):
+        got = {r["file_id"]: {k: v for k, v in r.asDict().items() if k != "file_id"} for r in table.collect()}
+        assert set(got) == {"blank0", "blank2", "blank6", "scan"} and any(got["blank0"].values())
+        assert got["blank2"] == got["blank6"] == got["scan"] == got["blank0"]
