@@ -38,8 +38,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def columns_of(df: DataFrame, *names: str) -> list[Column]:
-    """Columns by name; a stray column whose name contains a dot can't be hit by accident."""
-    return [F.col(f"`{n}`") for n in names]
+    """Columns by name, whatever characters the names hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
 #: Keys that hold more rows than the limit below are joined by broadcast. As group sizes add up to
@@ -66,31 +66,44 @@ def attach(rows: DataFrame, groups: DataFrame, key: Sequence[str], size: str) ->
 BITMAP_BITS = 26
 
 
-def _marked(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """``rows`` with ``_maybe``: false only where ``column`` is not among the values of ``keys`` (one column).
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them where ``df`` has such columns already."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def marked(rows: DataFrame, column: str, keys: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``name``: false only where ``column`` is not among the values of ``keys`` (one column).
 
     The values' hashes go into a bitmap of fixed size, so it can be broadcast; with far more values than
     bits everything is marked.
     """
+    part, bit, bits = fresh(rows, "_part", "_bit", "_map")
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS))
-    part, bit = (lambda c: F.shiftright(place(c), 15)), (lambda c: F.pmod(place(c), F.lit(1 << 15)))
-    key = F.col(keys.columns[0])
-    maps = keys.select(part(key).alias("_part"), bit(key).alias("_bit")).groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_map"))
-    mine = F.col(f"`{column}`")
-    met = rows.withColumns({"_part": part(mine), "_bit": bit(mine)}).join(F.broadcast(maps), "_part", "left")
-    byte = F.conv(F.hex(F.substring(F.col("_map"), F.shiftright("_bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = F.coalesce(F.call_function("getbit", byte, F.pmod("_bit", F.lit(8)).cast("int")) == 1, F.lit(False))
-    return met.withColumn("_maybe", found).drop("_part", "_bit", "_map")
+    part_of, bit_of = (lambda c: F.shiftright(place(c), 15)), (lambda c: F.pmod(place(c), F.lit(1 << 15)))
+    key, mine = columns_of(keys, *keys.columns)[0], columns_of(rows, column)[0]
+    maps = keys.select(part_of(key).alias(part), bit_of(key).alias(bit)).groupBy(part).agg(F.bitmap_construct_agg(bit).alias(bits))
+    met = rows.withColumns({part: part_of(mine), bit: bit_of(mine)}).join(F.broadcast(maps), part, "left")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.call_function("getbit", byte, F.pmod(F.col(bit), F.lit(8)).cast("int")) == 1, F.lit(False))
+    return met.withColumn(name, found).drop(part, bit, bits)
 
 
 def maybe_among(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """``rows`` without most of those whose ``column`` is not among ``keys``: a filter before a join, which drops no partner."""
-    return _marked(rows, column, keys).where("_maybe").drop("_maybe")
+    (flag,) = fresh(rows, "_maybe")
+    return marked(rows, column, keys, flag).where(flag).drop(flag)
 
 
 def without(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """``rows`` whose ``column`` is not among ``keys``; only rows that may be among them are dealt out. Nulls stay."""
-    marked = _marked(rows, column, keys)
-    doubtful = marked.where("_maybe").drop("_maybe")
-    left = doubtful.join(keys.select(F.col(keys.columns[0]).alias("_key")), F.col(f"`{column}`") == F.col("_key"), "left_anti")
-    return marked.where("NOT _maybe").drop("_maybe").unionByName(left)
+    flag, other = fresh(rows, "_maybe", "_key")
+    some = marked(rows, column, keys, flag)
+    doubtful = some.where(flag).drop(flag)
+    left = doubtful.join(keys.select(columns_of(keys, *keys.columns)[0].alias(other)), columns_of(rows, column)[0] == F.col(other), "left_anti")
+    return some.where(~F.col(flag)).drop(flag).unionByName(left)

@@ -2,12 +2,14 @@
 
 A line (text between \\n) that is not empty is a duplicate if an earlier line is the same, whatever its
 length. One of at least ``min_words`` words, separated by single spaces, is also a duplicate if an earlier
-line is the same but for one word inserted, deleted or replaced. Earlier means: the smallest
-(doc_id, line number) at which that line occurs comes first. Empty lines are left alone.
+such line is the same but for one word inserted, deleted or replaced. Earlier means: the smallest
+(doc_id, line number) at which that line occurs comes first. Empty lines are left alone. Lines below
+``min_words`` are counted in the output (n_short), as no variants of them are looked at.
 
 1. Lines are grouped by a 128-bit hash and their length; each distinct line keeps its first place.
-2. Lines of ``min_words`` and more go on. Two lines one edit apart share their first or their last half. Distinct lines that share neither
-   half with another line need no variants; this drops no pair.
+2. Lines of ``min_words`` and more are cut into two parts, or four if they are short. Two lines one edit
+   apart agree in all parts but one, so a line that shares none of its rests (the line without one
+   part) with another line needs no variants; this drops no pair.
 3. The others emit every variant with one word deleted as a hashed key. A key is the sum of hashes
    of (word, place), so all variants of a line come from two running sums, whatever its length.
 4. Equal (length, place, variant) means one word replaced; a variant equal to another whole line
@@ -15,8 +17,14 @@ line is the same but for one word inserted, deleted or replaced. Earlier means:
    group of any size costs one row for each member.
 5. The edit is verified on the words of both lines.
 
+Groups of any size are counted with partial sums first; what is joined on a key are written tables, so
+that a key with a large share of all rows can be split. Filters by bitmap only spare shuffles: they let
+through all that may match.
+
 Null texts have no lines; an empty text has one empty line. Repeated rows with one doc_id count as
-one place. A null doc_id comes first. Empty tables give empty results.
+one place: a line that one of them loses at a place, all lose there. A null doc_id comes first. Texts and
+lines of any length are read whole. Empty tables give empty results. Input columns named as the four
+counts are replaced by them; ``lines_left`` hands on every column as it is.
 """
 
 from __future__ import annotations
@@ -24,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reconcilia.llm.common import attach, maybe_among, saved
+from reconcilia.llm.common import attach, columns_of, marked, maybe_among, saved
 
 MIN_WORDS = 8
 #: Bits of a word's hash in a variant's key: sums stay within a long for lines of up to 2^24 words.
@@ -41,34 +49,32 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return parts.withColumn("words", words_of(F.col("line")))
 
 
-#: Lengths at which a class of line lengths starts; each is about half as long again as the one before.
-CLASSES = [1, 2, 3, 4, 6, 8]
-while CLASSES[-1] < 1 << 24:
-    CLASSES.append(CLASSES[-1] * 3 // 2)
+#: Lines below this many words are cut into four parts, longer ones into two.
+FOUR_PARTS = 16
 
 
-def half_keys(line: Column, words: Column) -> Column:
-    """Hashes of a line's first and last words, as many as its length class asks for.
+def rest_keys(line: Column, words: Column, min_words: int) -> Column:
+    """Hashes of a line without one of its parts, by the word counts of a pair's shorter line.
 
-    Lines that are one edit apart agree in all words but one: in the words before the edit or in those
-    behind it, one of which is at least ceil((c - 1) / 2) words if the longer line has c words or more.
-    A line at the start of a class also counts in the class before, where its shorter partners are.
+    A line of n words is the shorter or equal one of a pair at base n and the longer one at base n - 1.
+    At base m part j lies between words m * j / parts and m * (j + 1) / parts, counted from the start on its left
+    and from the end on its right, so that one word more, less or other in that part leaves the rest.
     """
-    classes = F.array(*map(F.lit, CLASSES))
-    start = F.array_max(F.filter(classes, lambda c: c <= words))
-    before = F.coalesce(F.array_max(F.filter(classes, lambda c: c < words)), F.lit(1))
+    take = lambda count: F.call_function("substring_index", line, F.lit(" "), count)
     keys = []
-    for c in (start, F.when(words == start, before).otherwise(start)):
-        size = F.ceil((c - 1) / 2).cast("int")
-        for side, count in ((0, size), (1, -size)):
-            keys.append(F.xxhash64(F.lit(side), c, F.call_function("substring_index", line, F.lit(" "), count)))
-    return F.array_distinct(F.array(*keys))
+    for base in (words, words - 1):
+        parts = F.when(base < FOUR_PARTS, 4).otherwise(2)
+        for j in range(4):
+            before = F.floor(base * j / parts).cast("int")
+            behind = (base - F.floor(base * (j + 1) / parts)).cast("int")
+            keys.append(F.when((base >= min_words) & (parts > j), F.xxhash64(F.lit(j), base, take(before), take(-behind))))
+    return F.array(*keys)
 
 
 def near_owners(lines: DataFrame) -> DataFrame:
     """(h1, h2, first, owner): distinct lines that are one edit from an earlier line, and that line's place.
 
-    ``lines``: h1, h2, first (doc_id, place), line, words of lines whose halves others share.
+    ``lines``: h1, h2, first (doc_id, place), line, words of lines that share a rest with others.
     """
     word = Window.partitionBy("h1", "h2").orderBy("at")
     whole = Window.partitionBy("h1", "h2")
@@ -79,24 +85,24 @@ def near_owners(lines: DataFrame) -> DataFrame:
         stay, move = (F.xxhash64(F.lit(k), "word", F.col("at") - back).bitwiseAND(bits) for back in (0, 1))
         each = each.withColumns({f"stay{k}": stay, f"move{k}": move})
         before = F.coalesce(F.sum(f"stay{k}").over(word.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        after = F.coalesce(F.sum(f"move{k}").over(word.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+        after = F.sum(f"move{k}").over(whole) - F.sum(f"move{k}").over(word.rowsBetween(Window.unboundedPreceding, 0))
         variant.append(before + after)
         own.append(F.sum(f"stay{k}").over(whole))
     # a line stands under its own key (at = -1), as the short partner of lines with one word more
     keys = F.array(F.struct("at", F.xxhash64(F.col("words") - 1, *variant).alias("key")), F.when(F.col("at") == 0, F.struct(F.lit(-1).alias("at"), F.xxhash64("words", *own).alias("key"))))
     every = each.select("h1", "h2", keys.alias("keys")).select("h1", "h2", F.explode(F.filter("keys", F.isnotnull)).alias("k")).select("h1", "h2", "k.at", "k.key")
     every = saved(every)
-    met = every.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low != high").select("key")
-    rows = saved(every.join(met, "key").join(lines.select("h1", "h2", "first"), ["h1", "h2"]))
-    replaced = rows.where("at >= 0").groupBy("key", "at").agg(F.min("first").alias("owner"))
-    shorter = rows.where("at < 0").groupBy("key").agg(F.min("first").alias("owner"))
-    longer = rows.where("at >= 0").groupBy("key").agg(F.min("first").alias("owner"))
+    met = saved(every.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low != high").select("key"))
+    rows = saved(maybe_among(every, "key", met).join(met, "key").join(lines.select("h1", "h2", "first"), ["h1", "h2"]))
+    inner = rows.where("at >= 0")
+    replaced = saved(inner.groupBy("key", "at").agg(F.min("first").alias("owner")))
+    other = saved(rows.groupBy("key", (F.col("at") < 0).alias("whole")).agg(F.min("first").alias("owner")))
     found = (
-        rows.where("at >= 0").join(replaced, ["key", "at"])
-        .unionByName(rows.where("at >= 0").join(shorter, "key"))
-        .unionByName(rows.where("at < 0").join(longer, "key"))
+        inner.join(replaced, ["key", "at"])
+        .unionByName(inner.join(other.where("whole").drop("whole"), "key"))
+        .unionByName(rows.where("at < 0").join(other.where("NOT whole").drop("whole"), "key"))
         .where("owner < first")
-    )
+    )
     return found.select("h1", "h2", "first", "owner").distinct()
 
 
@@ -113,55 +119,76 @@ def within_one(a: Column, b: Column) -> Column:
 
 def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, place, near) of every line to drop; near: not the same as an earlier line, but one edit from one."""
-    filled = line_rows(docs).where("line != ''")
-    line = F.col("line")
-    halves = F.when(F.col("words") >= min_words, half_keys(line, F.col("words")))
-    occurrences = saved(filled.select("doc_id", "place", "words", F.octet_length(line).alias("bytes"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), halves.alias("halves")))
-    ident = ["h1", "h2", "bytes"]
-    distinct = saved(occurrences.groupBy(*ident).agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("times")))
-    halves = occurrences.select("h1", "h2", F.explode("halves").alias("half"))
-    # the same line may stand there many times: only another line makes a half shared
-    met = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low != high").select("half")
-    some = halves.join(met, "half").select("h1", "h2").distinct()
-    places = saved(distinct.join(some, ["h1", "h2"], "left_semi").select("h1", "h2", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place"), "first"))
-    # fetch the lines themselves from the documents that have one
-    at = saved(places.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("place").alias("wanted")))
-    near_docs = maybe_among(docs.select("doc_id", "text"), "doc_id", at.select("_doc"))
-    texts = near_docs.join(at, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    lines = texts.select("doc_id", F.explode(F.transform("wanted", lambda p: F.struct(p.alias("place"), F.get(F.split("text", "\n", -1), p).alias("line")))).alias("x")).select("doc_id", "x.place", "x.line")
-    lines = lines.select("line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    kept = saved(places.select("h1", "h2", "first").join(lines.dropDuplicates(["h1", "h2"]), ["h1", "h2"]).withColumn("words", words_of(F.col("line"))))
+    line, ident = F.col("line"), ["h1", "h2", "bytes"]
+    filled = line_rows(docs).where("line != ''").withColumns({"h1": F.xxhash64(line), "h2": F.xxhash64(F.lit(1), line)})
+    keys = F.when(F.col("words") >= min_words, F.array_compact(rest_keys(line, F.col("words"), min_words)))
+    occurrences = saved(filled.select("doc_id", "place", F.octet_length(line).alias("bytes"), "h1", "h2", keys.alias("keys")))
+    rests = occurrences.select("h1", "h2", F.explode("keys").alias("key"))
+    # the same line may stand there many times: only another line makes a rest shared
+    shared = saved(rests.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low != high").select("key"))
+    some = saved(maybe_among(rests, "key", shared).join(shared, "key").select("h1", "h2").distinct())
+    # lines that occur once and share no rest need nothing more
+    distinct = occurrences.groupBy(*ident).agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("times"))
+    distinct = saved(marked(distinct, "h1", some.select("h1"), "some").where("times > 1 OR some").drop("some"))
+    wanted = distinct.join(some, ["h1", "h2"], "left_semi").select("h1", "h2", "first")
+    texts = maybe_among(filled.where(F.col("words") >= min_words).select("h1", "h2", "line"), "h1", some.select("h1")).groupBy("h1", "h2").agg(F.min("line").alias("line"))
+    kept = saved(wanted.join(texts, ["h1", "h2"]).withColumn("words", words_of(line)))
     pairs = near_owners(kept)
     mine = kept.select("h1", "h2", F.col("line").alias("line_a"))
     theirs = kept.select(F.col("first").alias("owner"), F.col("line").alias("line_b"))
     checked = pairs.join(mine, ["h1", "h2"]).join(theirs, "owner").where(within_one(F.split("line_a", " ", -1), F.split("line_b", " ", -1)))
     near = checked.select("h1", "h2").distinct().withColumn("near", F.lit(True))
-    groups = distinct.join(near, ["h1", "h2"], "left").where("times > 1 OR near").select(*ident, "first", "times", F.coalesce("near", F.lit(False)).alias("near"))
-    rows = occurrences.select("doc_id", "place", *ident)
-    met_rows = attach(rows, saved(groups), ident, "times")
+    groups = saved(distinct.join(near, ["h1", "h2"], "left").where("times > 1 OR near").select(*ident, "first", "times", F.coalesce("near", F.lit(False)).alias("near")))
+    rows = maybe_among(occurrences.select("doc_id", "place", *ident), "h1", groups.select("h1"))
     again = ~F.struct("doc_id", "place").eqNullSafe(F.col("first"))
-    return met_rows.where(F.col("near") | again).select("doc_id", "place", "near")
+    return attach(rows, groups, ident, "times").where(F.col("near") | again).select("doc_id", "place", "near")
+
+
+def cut_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """A struct ``row`` of all columns of ``docs``, text without duplicate lines, n_lines, n_same, n_near, n_short."""
+    needed = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    near, same = (F.sort_array(F.collect_set(F.when(c, F.col("place")))) for c in (F.col("near"), ~F.col("near")))
+    drops = duplicate_lines(needed, min_words).groupBy(F.col("doc_id").alias("_doc")).agg(same.alias("same"), near.alias("near"))
+    drops = drops.withColumn("places", F.sort_array(F.array_union("same", "near")))
+    # a byte for each line up to the last one that goes: 1 for those that go
+    marks = F.array_join(F.transform("places", lambda p, k: F.concat(F.repeat(F.lit("0"), p - 1 - F.when(k == 0, -1).otherwise(F.get("places", k - 1))), F.lit("1"))), "")
+    drops = saved(drops.select("_doc", F.encode(marks, "utf-8").alias("mask"), F.size("same").cast("long").alias("n_same"), F.size("near").cast("long").alias("n_near")))
+    rows = marked(docs.select("doc_id", F.struct(*columns_of(docs, *docs.columns)).alias("row"), F.col("text").cast("string").alias("text")), "doc_id", drops.select("_doc"), "some")
+    some = F.col("some") | F.col("doc_id").isNull()
+    met = rows.where(some).join(drops, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    none = rows.where(~some).withColumns({"mask": F.lit(None).cast("binary"), "n_same": F.lit(None).cast("long"), "n_near": F.lit(None).cast("long")})
+    lines = F.split("text", "\n", -1)
+    rest = F.array_join(F.filter(lines, lambda x, i: F.substring("mask", i + 1, F.lit(1)) != F.lit(b"1")), "\n")
+    short = F.size(F.filter(lines, lambda x: (x != "") & (words_of(x) < min_words)))
+    count = lambda c: F.when(F.col("text").isNull(), 0).otherwise(c)
+    return met.unionByName(none).select(
+        "row", F.when(F.col("mask").isNull(), F.col("text")).otherwise(rest).alias("text"), count(F.size(lines)).alias("n_lines"),
+        F.coalesce("n_same", F.lit(0)).alias("n_same"), F.coalesce("n_near", F.lit(0)).alias("n_near"), count(short).cast("long").alias("n_short"),
+    )
+
+
+COUNTS = ["n_lines", "n_same", "n_near", "n_short"]
 
 
 def without_duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with duplicate lines taken out of text, and n_lines, n_same, n_near (lines dropped)."""
-    drops = saved(duplicate_lines(docs, min_words).distinct().groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("place").alias("_drops"), F.count_if(~F.col("near")).alias("n_same"), F.count_if("near").alias("n_near")))
-    lines = F.split("text", "\n", -1)
-    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drops", i)), "\n")
-    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["_doc"]), "left")
-    return joined.withColumns({
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)),
-        "text": F.when(F.col("_drops").isNull(), F.col("text")).otherwise(rest),
-        "n_same": F.coalesce("n_same", F.lit(0)), "n_near": F.coalesce("n_near", F.lit(0)),
-    }).drop("_doc", "_drops")
+    """``docs`` with duplicate lines taken out of text, and n_lines, n_same, n_near (lines dropped), n_short (lines too short for variants)."""
+    own = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in COUNTS]
+    return cut_lines(docs, min_words).select(*own, *COUNTS)
+
+
+def lines_left(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` without duplicate lines, and without documents that lose all of their lines; n_chars, where there is one, follows the text."""
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
+    kept = cut_lines(docs, min_words).where("n_same + n_near < n_lines OR n_lines = 0")
+    return kept.select(*(own.get(c, F.col("row").getField(c).alias(c)) for c in docs.columns))
 
 
 #: The same by another way, in DuckDB: pairs that share a half, and common prefix plus common suffix.
 LINE_SQL = """
 WITH parts AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM documents WHERE text IS NOT NULL),
-long AS (SELECT doc_id, place, line, string_split(line, ' ') AS w, len(string_split(line, ' ')) AS n FROM parts WHERE len(string_split(line, ' ')) >= 8),
-uniq AS (SELECT line, any_value(w) AS w, any_value(n) AS n, min({'d': doc_id, 'p': place}) AS first FROM long GROUP BY line),
-half AS (SELECT line, w, n, first, unnest([(n - 1) // 2, n // 2]) AS k FROM uniq),
+filled AS (SELECT doc_id, place, line, string_split(line, ' ') AS w, len(string_split(line, ' ')) AS n FROM parts WHERE line <> ''),
+uniq AS (SELECT line, any_value(w) AS w, any_value(n) AS n, min({'d': doc_id, 'p': place}) AS first FROM filled GROUP BY line),
+half AS (SELECT line, w, n, first, unnest([(n - 1) // 2, n // 2]) AS k FROM uniq WHERE n >= 8),
 heads AS (
   SELECT DISTINCT line, w, n, first, 0 AS side, k, list_aggregate(w[1:k], 'string_agg', ' ') AS h FROM half
   UNION SELECT DISTINCT line, w, n, first, 1, k, list_aggregate(w[n - k + 1:n], 'string_agg', ' ') FROM half),
@@ -175,13 +202,14 @@ near AS (
       list_filter(range(0, least(an, bn)), lambda i: aw[an - i] <> bw[bn - i])[1] AS y FROM pairs)
   WHERE coalesce(x - 1, m) + coalesce(y, m) >= greatest(an, bn) - 1),
 drops AS (
-  SELECT l.doc_id, l.place, q.line IS NOT NULL AS near FROM long l JOIN uniq u USING (line) LEFT JOIN near q ON q.line = l.line
+  SELECT l.doc_id, l.place, q.line IS NOT NULL AS near FROM filled l JOIN uniq u USING (line) LEFT JOIN near q ON q.line = l.line
   WHERE q.line IS NOT NULL OR u.first <> {'d': l.doc_id, 'p': l.place}),
 kept AS (
   SELECT p.doc_id, string_agg(p.line, chr(10) ORDER BY p.place) FILTER (WHERE d.doc_id IS NULL) AS text, count(*) AS n_lines,
-    count(*) FILTER (WHERE d.near = false) AS n_same, count(*) FILTER (WHERE d.near) AS n_near
+    count(*) FILTER (WHERE d.near = false) AS n_same, count(*) FILTER (WHERE d.near) AS n_near,
+    count(*) FILTER (WHERE p.line <> '' AND len(string_split(p.line, ' ')) < 8) AS n_short
   FROM parts p LEFT JOIN drops d ON d.doc_id = p.doc_id AND d.place = p.place GROUP BY p.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
-  coalesce(k.n_lines, 0)::INTEGER AS n_lines, coalesce(k.n_same, 0)::BIGINT AS n_same, coalesce(k.n_near, 0)::BIGINT AS n_near
+  coalesce(k.n_lines, 0)::INTEGER AS n_lines, coalesce(k.n_same, 0)::BIGINT AS n_same, coalesce(k.n_near, 0)::BIGINT AS n_near, coalesce(k.n_short, 0)::BIGINT AS n_short
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """

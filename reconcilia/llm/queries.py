@@ -61,7 +61,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.without_duplicate_lines(table(spark, sf_dir, "documents"))
-    return cleaned.select("doc_id", "text", "n_lines", "n_same", "n_near")
+    return cleaned.select("doc_id", "text", "n_lines", "n_same", "n_near", "n_short")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
