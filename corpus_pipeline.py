@@ -25,9 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without duplicate lines; a document that loses all of its lines goes."""
-    cleaned = line_dedup.without_duplicate_lines(docs)
-    kept = cleaned.where("n_same + n_near < n_lines OR n_lines = 0")
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return line_dedup.lines_left(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
