@@ -79,7 +79,8 @@ def near_owners(lines: DataFrame) -> DataFrame:
     word = Window.partitionBy("h1", "h2").orderBy("at")
     whole = Window.partitionBy("h1", "h2")
     bits = F.lit((1 << BITS) - 1)
-    each = lines.select("h1", "h2", "words", F.posexplode(F.split("line", " ", -1)).alias("at", "word"))
+    # dealt out as lines, so that their words need not be
+    each = lines.repartition("h1", "h2").select("h1", "h2", "words", F.posexplode(F.split("line", " ", -1)).alias("at", "word"))
     variant, own = [], []
     for k in (0, 1):
         stay, move = (F.xxhash64(F.lit(k), "word", F.col("at") - back).bitwiseAND(bits) for back in (0, 1))
