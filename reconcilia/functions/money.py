@@ -50,6 +50,11 @@ def whole(text: Column) -> Column:
     return F.coalesce(F.translate(text, ", ", "").try_cast("double").cast("int"), F.lit(0))
 
 
+def rate(text: Column) -> Column:
+    """Commas and spaces removed, all decimals kept; 0 if that is no number."""
+    return F.coalesce(F.translate(text, ", ", "").try_cast("double"), F.lit(0.0))
+
+
 def in_parentheses(text: Column, trailing_minus: bool = False) -> Column:
     """``$`` and commas removed; parentheses (or a minus behind, if so asked) make it negative; else 0."""
     bare = F.trim(F.translate(word_text(text), "$,", ""))

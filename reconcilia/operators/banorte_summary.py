@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reconcilia.functions import money as m
 from reconcilia.functions.text import word_text
-from reconcilia.operators.fields import SUMMARY
+from reconcilia.operators.fields import SUMMARY, files_of, summary_type
 from reconcilia.operators.lines import fixed_mean_lines, joined_texts
-from reconcilia.sources.layouts import LABELS, labels
+from reconcilia.sources.layouts import LABELS
 
 # Where the section and its amounts stand.
 HEADER_TOP, HEADER_BOTTOM, SECTION_TOP = (240.0, 252.0), 258.0, 258.0
@@ -41,9 +44,11 @@ def summary_lines(words: DataFrame) -> DataFrame:
 
 def labelled(lines: DataFrame) -> DataFrame:
     """file_id, field, line_no, amount, sign: the first line of each label."""
-    kinds = F.broadcast(labels(lines.sparkSession))
-    fits = F.expr("exists(alternatives, a -> forall(a, w -> contains(line, w)))")
-    hits = lines.join(kinds, fits)
+    def fits(alternatives: list[str]) -> Column:
+        every = (reduce(and_, (F.contains("line", F.lit(w)) for w in a.split())) for a in alternatives)
+        return reduce(or_, every)
+
+    hits = lines.withColumn("field", F.explode(F.array_compact(F.array(*(F.when(fits(a), f) for f, a in LABELS.items())))))
     return hits.groupBy("file_id", "field").agg(F.min("line_no").alias("line_no"), F.min_by("amount", "line_no").alias("amount"), F.min_by("sign", "line_no").alias("sign"))
 
 
@@ -58,7 +63,7 @@ def average_balance(lines: DataFrame) -> DataFrame:
     return found.where("_v IS NOT NULL").groupBy("file_id").agg(F.min_by("_v", "line_no").alias("saldo_promedio"))
 
 
-def banorte_summary(words: DataFrame) -> DataFrame:
+def banorte_summary(words: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """The sixteen fields; files without the section get nulls."""
     lines = summary_lines(words)
     found = labelled(lines)
@@ -68,7 +73,7 @@ def banorte_summary(words: DataFrame) -> DataFrame:
         F.min_by("days", F.when(has("DÍAS") & F.col("days").isNotNull(), F.col("line_no"))).alias("dias_periodo"),
         F.min_by("rate", F.when(has("TASA") & has("BRUTA") & has("ANUAL") & F.col("rate").isNotNull(), F.col("line_no"))).alias("tasa"),
     )
-    out = words.select("file_id").distinct().join(amounts, "file_id", "left").join(single, "file_id", "left").join(average_balance(lines), "file_id", "left")
+    out = files_of(words, files).join(amounts, "file_id", "left").join(single, "file_id", "left").join(average_balance(lines), "file_id", "left")
     v = lambda f: F.col(f"{f}_v")
     parts = {f: m.signed(F.col(f"{f}_s"), v(f)) for f in ("comisiones_cobradas_pagadas", "intereses_cobrados_pagados")}
     plus = lambda base, other, side: v(base) + F.coalesce(v(other), m.zero()) + sum(p[side] for p in parts.values())
@@ -78,4 +83,4 @@ def banorte_summary(words: DataFrame) -> DataFrame:
         "depositos_abonos": plus("total_depositos", "intereses_a_favor", 0), "retiros_cargos": plus("total_retiros", "iva_sobre_comisiones", 1),
         "saldo_final": v("saldo_final"), "saldo_promedio_minimo_mensual": v("saldo_promedio_minimo"),
     }
-    return out.select("file_id", *((values.get(f, F.lit(None)).cast("int" if f in ("dias_periodo", "cheques_pagados") else m.MONEY)).alias(f) for f in SUMMARY))
+    return out.select("file_id", *(values.get(f, F.lit(None)).cast(summary_type(f)).alias(f) for f in SUMMARY))

@@ -70,7 +70,16 @@ def wide(values: DataFrame, files: DataFrame, names: list[str], value: str = "va
     return files.select("file_id").join(values.groupBy("file_id").pivot("field", names).agg(F.first(value)), "file_id", "left")
 
 
-def account_data(words: DataFrame, bank: str) -> DataFrame:
+#: The last page on which any layout has a box.
+LAST_BOX_PAGE = 2
+
+
+def files_of(words: DataFrame, files: DataFrame | None) -> DataFrame:
+    """The files that get a row: those given, else all that have words."""
+    return words.select("file_id").distinct() if files is None else files
+
+
+def account_data(words: DataFrame, bank: str, files: DataFrame | None = None) -> DataFrame:
     """file_id and the nine account fields, as texts."""
     spark, names = words.sparkSession, layouts.fields(bank, "datos")
     hits = words_in_boxes(words, layouts.field_boxes(spark, bank, "datos"))
@@ -89,7 +98,7 @@ def account_data(words: DataFrame, bank: str) -> DataFrame:
             F.when(field.isin("numero_cuenta", "numero_cliente"), F.col("digit_words"))
             .when(field == "clabe", t.clabe_or_null(F.col("text"))).when(field == "rfc", t.rfc_compact(F.col("text"))).otherwise(F.col("text"))
         )
-    return wide(values.withColumn("value", value), words.select("file_id").distinct(), names)
+    return wide(values.withColumn("value", value), files_of(words, files), names)
 
 
 SUMMARY = [
@@ -98,35 +107,40 @@ SUMMARY = [
 ]
 
 
-def bbva_summary(words: DataFrame) -> DataFrame:
+def summary_type(field: str) -> str:
+    """Whole numbers for days and cheques, a rate with all its decimals, else money."""
+    return {"dias_periodo": "int", "cheques_pagados": "int", "tasa_bruta_anual": "double"}.get(field, m.MONEY)
+
+
+def bbva_summary(words: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """The sixteen fields; what is missing is 0, but the average balance null."""
     spark = words.sparkSession
     values = box_values(words_in_boxes(words, layouts.field_boxes(spark, "bbva", "resumen"), layout_shift(words, "resumen")))
     value = F.when(F.col("field") == "saldo_global", F.col("first_amount").cast("string")).otherwise(F.col("text"))
-    out = wide(values.withColumn("value", value), words.select("file_id").distinct(), SUMMARY)
-    kinds = {"saldo_promedio": m.spaced_or_null, "dias_periodo": m.whole, "cheques_pagados": m.whole}
+    out = wide(values.withColumn("value", value), files_of(words, files), SUMMARY)
+    kinds = {"saldo_promedio": m.spaced_or_null, "dias_periodo": m.whole, "cheques_pagados": m.whole, "tasa_bruta_anual": m.rate}
     return out.select("file_id", *(kinds.get(f, m.spaced)(F.col(f)).alias(f) for f in SUMMARY))
 
 
-def banamex_summary(words: DataFrame) -> DataFrame:
+def banamex_summary(words: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Six fields by the valid word nearest to the box's centre; the others are null."""
     spark = words.sparkSession
     values = box_values(words_in_boxes(words, layouts.field_boxes(spark, "banamex", "resumen")))
     value = F.when(F.col("field") == "dias_periodo", F.col("nearest_integer")).otherwise(F.col("nearest_amount"))
     names = layouts.fields("banamex", "resumen")
-    out = wide(values.withColumn("value", value), words.select("file_id").distinct(), names)
+    out = wide(values.withColumn("value", value), files_of(words, files), names)
     one = lambda f: m.optional_whole(F.col(f)) if f == "dias_periodo" else m.optional(F.col(f))
-    return out.select("file_id", *((one(f) if f in names else F.lit(None).cast("int" if f in ("dias_periodo", "cheques_pagados") else m.MONEY)).alias(f) for f in SUMMARY))
+    return out.select("file_id", *((one(f) if f in names else F.lit(None)).cast(summary_type(f)).alias(f) for f in SUMMARY))
 
 
 PRODUCTS = ["contrato", "producto", "tasa_interes_anual", "gat_nominal_anual", "gat_real_anual", "total_comisiones"]
 
 
-def bbva_products(words: DataFrame) -> DataFrame:
+def bbva_products(words: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Six fields as texts, null where the box is empty."""
     values = box_values(words_in_boxes(words, layouts.field_boxes(words.sparkSession, "bbva", "productos"), layout_shift(words, "productos")))
-    return wide(values.withColumn("value", F.col("text")), words.select("file_id").distinct(), PRODUCTS)
+    return wide(values.withColumn("value", F.col("text")), files_of(words, files), PRODUCTS)
 
 
-def no_products(files: DataFrame) -> DataFrame:
-    return files.select("file_id", *(F.lit("N/A").alias(f) for f in PRODUCTS))
+def no_products(words: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    return files_of(words, files).select("file_id", *(F.lit("N/A").alias(f) for f in PRODUCTS))

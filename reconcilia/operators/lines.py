@@ -1,13 +1,19 @@
 """Lines of a page from positioned words, and their texts and bounds.
 
-A page's words are folded in reading order inside one page's array; everything is keyed by
-(file_id, page), so a huge statement is spread over its pages. line_no orders a file's lines.
+A page's words are folded in reading order; everything is keyed by (file_id, page), so a huge statement
+is spread over its pages. line_no orders a file's lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reconcilia.functions.text import word_text
 
@@ -36,33 +42,82 @@ def number(column: str, default: float = 0.0) -> Column:
 
 
 def line_tolerance(words: DataFrame) -> DataFrame:
-    """file_id, tolerance: from the upper median of the heights above 0 in the whole document."""
-    heights = F.array_sort(F.collect_list(F.when(height() > 0, height())))
-    median = F.get(heights, F.floor(F.size(heights) / 2).cast("int"))
-    return words.groupBy("file_id").agg(F.greatest(F.lit(LEAST_TOLERANCE), HEIGHT_SHARE * F.coalesce(median, F.lit(0.0))).alias("tolerance"))
+    """file_id, tolerance: from the upper median of the heights above 0 in the whole document.
+
+    Words are counted by height first; a document has few heights, however many words it has.
+    """
+    counted = words.groupBy("file_id", height().alias("_h")).agg(F.count("*").alias("_n"))
+    file = Window.partitionBy("file_id")
+    above = F.when(F.col("_h") > 0, F.col("_n")).otherwise(0)
+    counted = counted.withColumns({"_upto": F.sum(above).over(file.orderBy("_h")), "_all": F.sum(above).over(file)})
+    median = F.min(F.when((F.col("_h") > 0) & (F.col("_upto") > F.floor(F.col("_all") / 2)), F.col("_h")))
+    return counted.groupBy("file_id").agg(F.greatest(F.lit(LEAST_TOLERANCE), HEIGHT_SHARE * F.coalesce(median, F.lit(0.0))).alias("tolerance"))
+
+
+def line_starts(page: np.ndarray, y: np.ndarray, tolerance: np.ndarray, running_mean: bool) -> np.ndarray:
+    """Which of the ordered words start a line; ``page`` marks each page's first word.
+
+    A gap above the tolerance always starts a line where ``y`` rises. What lies between two gaps is one
+    line if it is no wider than the tolerance; only wider stretches are gone through word by word.
+    """
+    before = np.append(y[:1], y[:-1])
+    falls = ~page & (y < before)
+    whole = np.maximum.reduceat(falls, np.flatnonzero(page)) if len(y) else falls
+    unordered = np.repeat(whole, np.diff(np.append(np.flatnonzero(page), len(y))))
+    starts = page | (~unordered & (y - before > tolerance))
+    first = np.flatnonzero(starts)
+    size = np.diff(np.append(first, len(y)))
+    wide = (y - np.repeat(y[first], size) > tolerance - 1e-9) | unordered
+    for k in np.flatnonzero(np.maximum.reduceat(wide, first)) if len(first) else ():
+        total, n, level = 0.0, 0, 0.0
+        for i in range(first[k], first[k] + size[k]):
+            if n and abs(y[i] - level) > tolerance[i]:
+                starts[i], total, n = True, 0.0, 0
+            total, n = total + y[i], n + 1
+            level = total / n if running_mean or n == 1 else level
+    return starts
 
 
 def numbered(words: DataFrame, by: Column, tolerance: Column, running_mean: bool, order: list[Column] | None = None) -> DataFrame:
     """``words`` with line_no. A word starts a line if its ``by`` is further than ``tolerance`` from the line's.
 
-    The line's value is that of its first word or, with ``running_mean``, the mean of its words so far.
+    The line's value is that of its first word or, with ``running_mean``, the mean of its words so far. That
+    fold has no built-in form; it runs over sorted Arrow batches and holds one page back at most.
     """
+    keys = order or [by, F.col("x0")]
+    rows = words.withColumns({f"_k{i}": c for i, c in enumerate(keys)} | {"_y": by.cast("double"), "_t": tolerance.cast("double")})
     columns = words.columns
-    keys = [c.alias(f"_k{i}") for i, c in enumerate(order or [by, F.col("x0")])]
-    page = words.select("file_id", "page", F.struct(*keys, F.col("seq").alias("_s"), by.alias("_y"), tolerance.alias("_t"), F.struct(*columns).alias("_w")).alias("_e"))
-    page = page.groupBy("file_id", "page").agg(F.array_sort(F.collect_list("_e")).alias("_e"))
-    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.lit(0).alias("line"), F.array().cast("array<int>").alias("lines"))
-
-    def step(acc: Column, e: Column) -> Column:
-        level = acc["total"] / F.greatest(acc["n"], F.lit(1)) if running_mean else acc["total"]
-        new = (acc["n"] == 0) | (F.abs(e["_y"] - level) > e["_t"])
-        line = acc["line"] + F.when(new, 1).otherwise(0)
-        total = F.when(new, e["_y"]).otherwise(acc["total"] + e["_y"]) if running_mean else F.when(new, e["_y"]).otherwise(acc["total"])
-        return F.struct(total.alias("total"), F.when(new, 1).otherwise(acc["n"] + 1).alias("n"), line.alias("line"), F.concat(acc["lines"], F.array(line)).alias("lines"))
-
-    folded = page.withColumn("_l", F.aggregate("_e", start, step)["lines"])
-    each = folded.select(F.explode(F.arrays_zip(F.col("_e"), F.col("_l"))).alias("_z"))
-    return each.select("_z._e._w.*", (F.col("_z._e._w.page").cast("long") * LINES + F.col("_z._l")).alias("line_no"))
+    rows = rows.repartition("file_id", "page").sortWithinPartitions("file_id", "page", *(f"_k{i}" for i in range(len(keys))), "seq")
+
+    def settle(table: pa.Table) -> pa.RecordBatch:
+        file, number = table["file_id"].combine_chunks(), table["page"].to_numpy()
+        page = np.ones(len(table), bool)
+        page[1:] = (number[1:] != number[:-1]) | pc.fill_null(pc.not_equal(file[1:], file[:-1]), True).to_numpy(zero_copy_only=False)
+        starts = line_starts(page, table["_y"].to_numpy(), table["_t"].to_numpy(), running_mean)
+        place = np.cumsum(starts)
+        place -= np.repeat(place[page] - 1, np.diff(np.append(np.flatnonzero(page), len(page))))
+        return table.select(columns).append_column("line_no", pa.array(number.astype(np.int64) * LINES + place)).combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = (batch["file_id"][-1].as_py(), batch["page"][-1].as_py())
+            same = pc.and_(pc.equal(batch["file_id"], pa.scalar(last[0], batch["file_id"].type)), pc.equal(batch["page"], pa.scalar(last[1], batch["page"].type)))
+            cut = len(batch) - int(pc.sum(pc.fill_null(same, False)).as_py() or 0)
+            held.append(batch.slice(0, cut) if cut else batch)
+            if cut:
+                yield settle(pa.Table.from_batches(held))
+                held = [batch.slice(cut)]
+            elif len(held) > 1 and (held[-2]["file_id"][-1].as_py(), held[-2]["page"][-1].as_py()) != last:
+                yield settle(pa.Table.from_batches(held[:-1]))
+                held = held[-1:]
+        if held:
+            yield settle(pa.Table.from_batches(held))
+
+    schema = T.StructType([*words.schema.fields, T.StructField("line_no", T.LongType())])
+    return rows.select(*columns, "_y", "_t").mapInArrow(run, schema)
 
 
 def anchored_lines(words: DataFrame, tolerance: float = ANCHOR_TOLERANCE) -> DataFrame:
@@ -70,9 +125,9 @@ def anchored_lines(words: DataFrame, tolerance: float = ANCHOR_TOLERANCE) -> Dat
     return numbered(words, F.col("top"), F.lit(tolerance), False)
 
 
-def mean_lines(words: DataFrame) -> DataFrame:
-    """Against the mean centre of the line, with a tolerance by the document's median word height."""
-    with_limit = words.join(line_tolerance(words), "file_id")
+def mean_lines(words: DataFrame, tolerance: DataFrame | None = None) -> DataFrame:
+    """Against the mean centre of the line, with a tolerance by the document's median word height (or as given by file_id)."""
+    with_limit = words.join(line_tolerance(words) if tolerance is None else tolerance, "file_id")
     return numbered(with_limit, center_y(), F.col("tolerance"), True).drop("tolerance")
 
 

@@ -12,6 +12,7 @@ from reconcilia.functions.text import word_text, word_upper
 from reconcilia.operators.lines import anchored_lines, center_x, joined_texts, mean_lines
 from reconcilia.operators.trimming import layout_variant, trimmed_banamex, trimmed_banorte, trimmed_bbva
 from reconcilia.sources import layouts
+from reconcilia.storage import saved
 
 # Tolerances of column membership.
 BANAMEX_SLACK, BANORTE_SLACK = 6.0, 2.0
@@ -78,8 +79,8 @@ def finished(movements: DataFrame) -> DataFrame:
 def bbva_lines(words: DataFrame) -> DataFrame:
     """Lines with the text of every column of the document's variant."""
     names = layouts.column_names("bbva")
-    variant = layout_variant(words, True)
-    lined = anchored_lines(trimmed_bbva(words)).join(variant, "file_id").join(F.broadcast(layouts.columns_wide(words.sparkSession, "bbva")), "variant")
+    variant = layout_variant(words.where("page = 1"), True)
+    lined = anchored_lines(trimmed_bbva(words)).join(variant, "file_id", "left").withColumns(layouts.bounds_columns("bbva", F.col("variant")))
     return lined.groupBy("file_id", "page", "line_no").agg(*(joined_texts(in_column(c), text=F.trim("text")).alias(c) for c in names))
 
 
@@ -124,15 +125,14 @@ def page_columns(lined: DataFrame) -> DataFrame:
 
 def all_page_columns(lined: DataFrame) -> DataFrame:
     """The same for every page; pages without a header get the default."""
-    names = layouts.column_names("banamex")
-    default = F.broadcast(layouts.columns_wide(lined.sparkSession, "banamex").select(*(F.col(n).alias(f"d_{n}") for n in names)))
-    pages = lined.select("file_id", "page").distinct().join(page_columns(lined), ["file_id", "page"], "left").join(default)
-    return pages.select("file_id", "page", *(F.coalesce(n, f"d_{n}").alias(n) for n in names))
+    pages = lined.select("file_id", "page").distinct().join(page_columns(lined), ["file_id", "page"], "left")
+    return pages.select("file_id", "page", *(F.coalesce(n, default).alias(n) for n, default in layouts.bounds_columns("banamex").items()))
 
 
 def banamex_lines(words: DataFrame) -> DataFrame:
-    lined = mean_lines(trimmed_banamex(words))
-    wide = lined.join(all_page_columns(lined), ["file_id", "page"])
+    lined = saved(mean_lines(trimmed_banamex(words)))
+    wide = lined.join(page_columns(lined), ["file_id", "page"], "left")
+    wide = wide.withColumns({n: F.coalesce(n, default) for n, default in layouts.bounds_columns("banamex").items()})
     title = word_upper(F.col("text"))
     lines = wide.groupBy("file_id", "page", "line_no").agg(
         joined_texts(in_column("fecha", BANAMEX_SLACK)).alias("fecha_operacion"), joined_texts(in_column("concepto", BANAMEX_SLACK)).alias("concepto"), joined_texts().alias("line"),
@@ -159,7 +159,7 @@ def banamex_movements(words: DataFrame) -> DataFrame:
 
 
 def banorte_lines(words: DataFrame) -> DataFrame:
-    lined = mean_lines(trimmed_banorte(words)).join(F.broadcast(layouts.columns_wide(words.sparkSession, "banorte")))
+    lined = mean_lines(trimmed_banorte(words)).withColumns(layouts.bounds_columns("banorte"))
     inside = overlaps("descripcion")
     first = F.min(F.when(inside & (word_text(F.col("text")) != ""), F.struct("x0", "seq"))).alias("first_at")
     dates = F.min_by(date_prefix(F.col("text")), F.when(date_prefix(F.col("text")).isNotNull(), F.struct("x0", "seq"))).alias("fecha_operacion")

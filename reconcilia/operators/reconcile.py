@@ -49,6 +49,11 @@ def integrity(checks: DataFrame) -> DataFrame:
     return out.withColumn("score", F.col("n_correct") / F.col("n_checks"))
 
 
+def statement_count(movements: DataFrame) -> DataFrame:
+    """n_statements, n_movements of a batch: statements that have movements, and all of these."""
+    return movements.groupBy("statement_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_statements"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_movements"))
+
+
 def balance_change(summaries: DataFrame) -> DataFrame:
     change = F.coalesce("saldo_final", zero()) - F.coalesce("saldo_anterior", zero())
     return summaries.select("statement_id", change.cast(MONEY).alias("variacion"))

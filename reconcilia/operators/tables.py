@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reconcilia.storage import saved
+
 NAME_LIMIT = 31
 # The column titles of the four tables.
 KEYS = {"id_estado": "id_estado", "file_name": "Nombre del Archivo", "bank_key": "Banco"}
@@ -33,9 +35,15 @@ NAMES = {"datos": "Datos de la Cuenta", "productos": "Otros Productos", "resumen
 def statement_keys(files: DataFrame) -> DataFrame:
     """``files`` (file_id, input_ord, parsed) with id_estado, the place in the input; places of files that were not parsed stay unused.
 
-    At scale file_id is the key; this dense number is for exports, where one list of files is ordered.
+    Files are dealt out by ranges of input_ord, numbered within each range, and moved on by the counts of the
+    ranges before: what meets in one task is a range, or one row for each of them.
     """
-    return files.withColumn("id_estado", F.row_number().over(Window.orderBy("input_ord"))).where("parsed")
+    part = Window.partitionBy("_part")
+    dealt = saved(files.repartitionByRange("input_ord").withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    placed = dealt.withColumn("_row", F.row_number().over(part.orderBy("input_ord"))).join(F.broadcast(before), "_part")
+    return placed.withColumn("id_estado", (F.col("_before") + F.col("_row")).cast("int")).drop("_part", "_row", "_before").where("parsed")
 
 
 def _pick(df: DataFrame, columns: dict[str, str]) -> DataFrame:

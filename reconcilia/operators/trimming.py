@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from reconcilia.functions import money as m
 from reconcilia.functions.dates import LOOSE_PREFIX, date_prefix
 from reconcilia.functions.text import header_text, word_text, word_upper
-from reconcilia.operators.lines import fixed_mean_lines, joined_texts, mean_lines, page_bounds
+from reconcilia.operators.lines import fixed_mean_lines, joined_texts, line_tolerance, mean_lines
+from reconcilia.storage import saved
 
 # Terms and places of the layouts.
 FOOTER_TERMS = ["BBVA", "MEXICO,", "MEXICO", "R.F.C.", "RFC", "BBA830831LJ2", "GAT"]
@@ -16,6 +17,7 @@ FOOTER_TOP, FOOTER_X = 750.0, 50.0
 PREMIUM_X, NORMAL_X = (215.0, 225.0), (318.0, 325.0)
 HEADER_TERMS = {"FECHA": (30, 70), "SALDO": (510, 550), "OPER": (15, 50), "LIQ": (55, 80), "DESCRIPCION": (80, 150), "REFERENCIA": (215, 275), "CARGOS": (365, 415), "ABONOS": (425, 470), "OPERACION": (470, 535), "LIQUIDACION": (535, 605)}
 HEADER_ABOVE, HEADER_SLACK = 15.0, 3.0
+END_TERMS = ["TOTAL", "DE", "MOVIMIENTOS"]
 MARKER_LINE, MARKER_STEP = 2.0, 60.0
 BANAMEX_HEADER = 65.0
 BANORTE_FOOTER = 743.0
@@ -50,25 +52,34 @@ def header_ordinals(words: DataFrame) -> DataFrame:
     return heads.withColumn("ordinal", F.row_number().over(Window.partitionBy("file_id").orderBy("header_page", "header_top")))
 
 
+def marker_words(words: DataFrame) -> DataFrame:
+    """The words that headers and the end marker consist of: a small part of a statement."""
+    return words.where(header_text(F.col("text")).isin(*HEADER_TERMS) | F.upper(F.trim("text")).isin("REFERENCIA", *END_TERMS))
+
+
+def repeated_header_words(marks: DataFrame) -> DataFrame:
+    """(file_id, seq) of the words of a premium document's table headers behind its first. ``marks``: its marker words."""
+    later = header_ordinals(marks).where("ordinal > 1")
+    premium = layout_variant(marks, False).where("variant = 'premium'").select("file_id")
+    later = later.join(premium, "file_id", "left_semi").select(F.col("file_id").alias("_f"), "header_page", "header_top")
+    known = F.lit(False)
+    for term, (a, b) in HEADER_TERMS.items():
+        known |= (header_text(F.col("text")) == term) & F.col("x0").between(float(a), float(b))
+    near = F.col("top").between(F.col("header_top") - HEADER_ABOVE - HEADER_SLACK, F.col("header_top") + HEADER_SLACK)
+    return marks.where(known).join(later, (F.col("file_id") == F.col("_f")) & (F.col("page") == F.col("header_page")) & near).select("file_id", "seq").distinct()
+
+
 def without_repeated_headers(words: DataFrame) -> DataFrame:
     """Premium documents keep their first table header only."""
-    spark = words.sparkSession
-    later = header_ordinals(words).where("ordinal > 1")
-    premium = layout_variant(words, False).where("variant = 'premium'").select("file_id")
-    later = later.join(premium, "file_id", "left_semi")
-    terms = F.broadcast(spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in HEADER_TERMS.items()], "term string, term_xmin double, term_xmax double"))
-    known = words.withColumn("_h", header_text(F.col("text"))).join(terms, (F.col("_h") == F.col("term")) & F.col("x0").between(F.col("term_xmin"), F.col("term_xmax")))
-    near = F.col("top").between(F.col("header_top") - HEADER_ABOVE - HEADER_SLACK, F.col("header_top") + HEADER_SLACK)
-    drop = known.join(later.withColumnRenamed("file_id", "_f"), (F.col("file_id") == F.col("_f")) & (F.col("page") == F.col("header_page")) & near).select("file_id", "seq").distinct()
-    return words.join(drop, ["file_id", "seq"], "left_anti")
+    return words.join(repeated_header_words(saved(marker_words(words))), ["file_id", "seq"], "left_anti")
 
 
 def end_marker(words: DataFrame) -> DataFrame:
     """file_id, cut_page, cut_top: the first TOTAL with DE close behind it and MOVIMIENTOS after that, on one line."""
-    mark = words.withColumn("_u", F.upper(F.trim("text"))).where(F.col("_u").isin("TOTAL", "DE", "MOVIMIENTOS"))
+    mark = words.withColumn("_u", F.upper(F.trim("text"))).where(F.col("_u").isin(*END_TERMS))
     place = F.struct("top", "x0", "seq")
     mark = mark.select("file_id", "page", "_u", F.col("top").alias("_top"), F.col("x0").alias("_x"), place.alias("_p"))
-    a, b, c = (mark.where(F.col("_u") == w).alias(n) for w, n in (("TOTAL", "a"), ("DE", "b"), ("MOVIMIENTOS", "c")))
+    a, b, c = (mark.where(F.col("_u") == w).alias(n) for w, n in zip(END_TERMS, "abc", strict=True))
     same = lambda x: (F.col("a.file_id") == F.col(f"{x}.file_id")) & (F.col("a.page") == F.col(f"{x}.page")) & (F.abs(F.col(f"{x}._top") - F.col("a._top")) <= MARKER_LINE)
     step = F.col("b._x") - F.col("a._x")
     pairs = a.join(b, same("b") & (F.col("b._p") > F.col("a._p")) & (step > 0) & (step < MARKER_STEP))
@@ -83,16 +94,21 @@ def cut_at(words: DataFrame, cut: DataFrame) -> DataFrame:
 
 
 def trimmed_bbva(words: DataFrame) -> DataFrame:
-    out = without_repeated_headers(without_bbva_footer(words))
-    return cut_at(out, end_marker(out))
+    """Without footers, repeated headers and what follows the end marker: cuts come from the marker words, then one pass filters all."""
+    plain = words.join(saved(footer_tops(words)), ["file_id", "page"], "left")
+    plain = plain.where(F.col("footer_top").isNull() | (F.col("top") < F.col("footer_top"))).drop("footer_top")
+    marks = saved(marker_words(plain))
+    again = saved(repeated_header_words(marks))
+    cut = saved(end_marker(marks.join(again, ["file_id", "seq"], "left_anti")))
+    return cut_at(plain.join(again, ["file_id", "seq"], "left_anti"), cut)
 
 
 def chart_start(words: DataFrame) -> DataFrame:
     """file_id, cut: seq of the first GRÁFICO directly followed by TRANSACCIONAL on its page."""
-    order = Window.partitionBy("file_id").orderBy("seq")
-    plain = F.translate(word_upper(F.col("text")), "Á", "A")
-    two = words.withColumn("_u", plain).withColumns({"_n": F.lead("_u").over(order), "_np": F.lead("page").over(order)})
-    return two.where("_u = 'GRAFICO' AND _n = 'TRANSACCIONAL' AND _np = page").groupBy("file_id").agg(F.min("seq").alias("cut"))
+    order = Window.partitionBy("file_id", "page").orderBy("seq")
+    two = words.select("file_id", "page", "seq", F.translate(word_upper(F.col("text")), "Á", "A").alias("_u"))
+    two = two.withColumn("_n", F.lead("_u").over(order))
+    return two.where("_u = 'GRAFICO' AND _n = 'TRANSACCIONAL'").groupBy("file_id").agg(F.min("seq").alias("cut"))
 
 
 def without_chart(words: DataFrame) -> DataFrame:
@@ -112,9 +128,8 @@ def without_banorte_footer(words: DataFrame) -> DataFrame:
     return words.where(F.col("top") < BANORTE_FOOTER)
 
 
-def section_lines(words: DataFrame) -> DataFrame:
-    """Lines with what decides where a statement's last section starts."""
-    lined = fixed_mean_lines(words, by_doctop=True)
+def section_lines(lined: DataFrame) -> DataFrame:
+    """Lines with what decides where a statement's last section starts. ``lined``: words with line_no."""
     text = word_text(F.col("text"))
     dated = date_prefix(F.col("text"), LOOSE_PREFIX).isNotNull()
     plain = ~(m.is_amount(F.col("text"), m.BANORTE) | dated)
@@ -122,7 +137,8 @@ def section_lines(words: DataFrame) -> DataFrame:
         joined_texts().alias("text"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("doctop").alias("doctop"), F.max("doctop").alias("doctop_max"),
         F.bool_or(F.col("x0").between(*DATE_X) & dated).alias("is_date"), (F.bool_and((text == "") | plain) & F.bool_or(text != "")).alias("text_only"),
     )
-    lines = lines.join(page_bounds(words), ["file_id", "page"])
+    page = Window.partitionBy("file_id", "page")
+    lines = lines.withColumns({"page_xmin": F.min("x0").over(page), "page_xmax": F.max("x1").over(page)})
     width, page = F.col("x1") - F.col("x0"), F.col("page_xmax") - F.col("page_xmin")
     off = F.abs((F.col("x0") + F.col("x1")) / 2 - (F.col("page_xmin") + F.col("page_xmax")) / 2)
     return lines.withColumns({
@@ -132,48 +148,50 @@ def section_lines(words: DataFrame) -> DataFrame:
     })
 
 
-def centered_cutoff(lines: DataFrame) -> DataFrame:
-    """file_id, centered: doctop of the first centred line behind any movement date.
+def passed_over(lines: DataFrame) -> DataFrame:
+    """``lines`` with skipped: a line that continues a section makes the next line of its page be passed over.
 
-    A line that continues a section makes the next line of its page be passed over.
+    A passed-over line has no such effect, so a line is passed over if the run of continuing lines right before it is odd.
     """
-    row = F.struct("line_no", "page", "is_date", "is_continuation", "is_centered", "doctop")
-    start = F.struct(F.lit(False).alias("seen"), F.lit(False).alias("skip"), F.lit(0).alias("skip_page"), F.lit(None).cast("double").alias("cut"))
-
-    def step(acc: Column, x: Column) -> Column:
-        skipped = acc["skip"] & (x["page"] == acc["skip_page"])
-        date = ~skipped & x["is_date"]
-        again = ~skipped & ~x["is_date"] & x["is_continuation"]
-        hit = ~skipped & ~x["is_date"] & ~x["is_continuation"] & x["is_centered"] & acc["seen"]
-        return F.struct((acc["seen"] | date).alias("seen"), again.alias("skip"), F.when(again, x["page"]).otherwise(0).alias("skip_page"), F.coalesce(acc["cut"], F.when(hit, x["doctop"])).alias("cut"))
+    page = Window.partitionBy("file_id", "page").orderBy("line_no")
+    out = lines.withColumns({"_again": ~F.col("is_date") & F.col("is_continuation"), "_row": F.row_number().over(page)})
+    other = F.max(F.when(~F.col("_again"), F.col("_row"))).over(page.rowsBetween(Window.unboundedPreceding, -1))
+    return out.withColumn("skipped", (F.col("_row") - 1 - F.coalesce(other, F.lit(0))) % 2 == 1).drop("_again", "_row")
 
-    return lines.groupBy("file_id").agg(F.aggregate(F.array_sort(F.collect_list(row)), start, step)["cut"].alias("centered"))
 
+def section_cutoff(lines: DataFrame) -> DataFrame:
+    """file_id, centered, plain: where the last section starts.
 
-def plain_cutoff(lines: DataFrame) -> DataFrame:
-    """file_id, plain: doctop of the first of two close plain-text lines of a page behind the last movement date."""
-    last = lines.groupBy("file_id").agg(F.max_by("doctop_max", F.when(F.col("is_date"), F.col("line_no"))).alias("last_date"))
-    order = Window.partitionBy("file_id").orderBy("line_no")
-    two = lines.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("is_plain", "page", "doctop")}).join(last, "file_id")
-    ok = F.col("is_plain") & F.col("next_is_plain") & (F.col("next_page") == F.col("page")) & (F.col("next_doctop") - F.col("doctop") <= 28.0)
-    return two.where((F.col("doctop") > F.col("last_date")) & ok).groupBy("file_id").agg(F.min_by("doctop", "line_no").alias("plain"))
+    centered: doctop of the first centred line behind any movement date. plain: doctop of the first of two close
+    plain-text lines of a page behind the last movement date. Null where there is none.
+    """
+    page = Window.partitionBy("file_id", "page").orderBy("line_no")
+    lines = saved(passed_over(lines).withColumns({f"next_{c}": F.lead(c).over(page) for c in ("is_plain", "doctop")}))
+    dates = lines.where("is_date").groupBy("file_id").agg(F.min(F.when(~F.col("skipped"), F.col("line_no"))).alias("first_date"), F.max_by("doctop_max", "line_no").alias("last_date"))
+    both = lines.join(dates, "file_id")
+    centred = ~F.col("skipped") & ~F.col("is_date") & ~F.col("is_continuation") & F.col("is_centered") & (F.col("line_no") > F.col("first_date"))
+    close = F.col("is_plain") & F.col("next_is_plain") & (F.col("next_doctop") - F.col("doctop") <= 28.0) & (F.col("doctop") > F.col("last_date"))
+    return both.groupBy("file_id").agg(F.min_by("doctop", F.when(centred, F.col("line_no"))).alias("centered"), F.min_by("doctop", F.when(close, F.col("line_no"))).alias("plain"))
 
 
 def without_last_section(words: DataFrame) -> DataFrame:
     """Words before the centred cutoff, else before the plain-text one, else all."""
-    lines = section_lines(words)
-    cut = centered_cutoff(lines).join(plain_cutoff(lines), "file_id", "left").select("file_id", F.coalesce("centered", "plain").alias("cut"))
-    out = words.join(cut, "file_id", "left")
+    lined = saved(fixed_mean_lines(words, by_doctop=True))
+    cut = saved(section_cutoff(section_lines(lined)).select("file_id", F.coalesce("centered", "plain").alias("cut")).where("cut IS NOT NULL"))
+    out = lined.drop("line_no").join(cut, "file_id", "left")
     return out.where(F.col("cut").isNull() | (F.col("doctop") < F.col("cut"))).drop("cut")
 
 
 def marker_line(words: DataFrame) -> DataFrame:
-    """file_id, cut_page, cut_top of the first line that says GRÁFICO TRANSACCIONAL."""
-    lines = mean_lines(words).groupBy("file_id", "page", "line_no").agg(joined_texts().alias("text"), F.min_by("top", F.struct("x0", "seq")).alias("top"))
+    """file_id, cut_page, cut_top of the first line that says GRÁFICO TRANSACCIONAL; only pages with the first word are cut into lines."""
+    some = saved(words.where(F.upper("text").rlike("GR[ÁA]FICO")).select("file_id", "page").distinct())
+    of_pages, files = words.join(some, ["file_id", "page"], "left_semi"), some.select("file_id").distinct()
+    lines = mean_lines(of_pages, line_tolerance(words.join(files, "file_id", "left_semi")))
+    lines = lines.groupBy("file_id", "page", "line_no").agg(joined_texts().alias("text"), F.min_by("top", F.struct("x0", "seq")).alias("top"))
     hit = lines.where(F.upper("text").rlike("GR[ÁA]FICO TRANSACCIONAL"))
     return hit.groupBy("file_id").agg(F.min_by(F.struct("page", "top"), "line_no").alias("_c")).select("file_id", F.col("_c.page").alias("cut_page"), F.col("_c.top").alias("cut_top"))
 
 
 def trimmed_banorte(words: DataFrame) -> DataFrame:
     out = without_last_section(without_banorte_footer(words))
-    return cut_at(out, marker_line(out))
+    return cut_at(out, saved(marker_line(out)))

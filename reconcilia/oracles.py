@@ -52,7 +52,7 @@ def facts(place: int) -> str:
 f AS (SELECT o_custkey AS custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n, strftime(o_orderdate, '%d') AS dd,
   ['ENE','FEB','MAR','ABR','MAY','JUN','JUL','AGO','SEP','OCT','NOV','DIC'][month(o_orderdate)] AS mon, strftime(o_orderdate, '%Y') AS yyyy, o_orderstatus IN ('F', 'O') AS credit, o_totalprice::DECIMAL(18,2) AS price,
   o_orderkey % 4 AS kind, lpad(o_orderkey::VARCHAR, 10, '0') AS k10, '0721800' || lpad(o_orderkey::VARCHAR, 11, '0') AS k18, o_orderkey::VARCHAR AS key, 'ABC' || lpad((o_orderkey % 1000000)::VARCHAR, 6, '0') || 'XY1' AS rfc,
-  lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') AS hhmm, 'CLIENTE ' || o_custkey::VARCHAR AS who FROM orders WHERE o_custkey % 3 = {place})
+  lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') AS hhmm, 'CLIENTE ' || o_custkey::VARCHAR AS who, o_custkey // 3 % 2 = 1 AS premium, NOT (o_custkey % 3 = 1 AND o_orderkey % 7 = 0) AS shown FROM orders WHERE o_custkey % 3 = {place})
 """
 
 
@@ -72,12 +72,15 @@ def _kinds(*v: str | None) -> str:
 
 
 BBVA = movement_sql(0, **SIDES, fecha_operacion="dd || '/' || mon", fecha_liquidacion="dd || '/' || mon", saldo_liquidacion="price",
-    concepto=_kinds("concat_ws(chr(10), 'SPEI RECIBIDO BANCO', 'PAGO ' || key, '00 ' || k18, 'CLAVE', who)", "'PAGO CUENTA DE TERCERO' || chr(10) || 'BNET ' || k10 || ' RENTA'", "'COMPRA RFC: ABC ' || rfc[4:] || chr(10) || 'AUT: ' || key || ' ' || hhmm", "'RETIRO CAJERO' || chr(10) || '**' || key"),
-    referencia=_kinds(None, None, None, "'**' || key"), autorizacion=_kinds(None, None, "key"), beneficiario=_kinds("who", "k10"), cuenta_beneficiario=_kinds(None, "k10"), clabe_beneficiario=_kinds("k18"),
+    concepto=_kinds("concat_ws(chr(10), 'SPEI RECIBIDO BANCO', 'PAGO ' || key, '00 ' || k18, 'CLAVE', who)", "'PAGO CUENTA DE TERCERO' || chr(10) || 'BNET ' || k10 || ' RENTA'", "'COMPRA RFC: ABC ' || rfc[4:] || chr(10) || 'AUT: ' || key || ' ' || hhmm || CASE WHEN premium THEN ' Referencia:' ELSE '' END", "'RETIRO CAJERO' || chr(10) || '**' || key"),
+    referencia=_kinds(None, None, "'R' || key", "'**' || key"), autorizacion=_kinds(None, None, "key"), beneficiario=_kinds("who", "k10"), cuenta_beneficiario=_kinds(None, "k10"), clabe_beneficiario=_kinds("k18"),
     rfc=_kinds(None, None, "rfc"), hora_operacion=_kinds(None, None, "hhmm"), concepto_original=_kinds("'PAGO ' || key", "'RENTA'"))
 
+SIDES_2 = SIDES | {"cargo": "CASE WHEN credit OR NOT shown THEN 0 ELSE price END", "abono": "CASE WHEN credit AND shown THEN price ELSE 0 END",
+    "tipo_operacion": "CASE WHEN NOT shown THEN CASE kind WHEN 0 THEN 'ABONO' WHEN 1 THEN 'CARGO' END WHEN credit THEN 'ABONO' ELSE 'CARGO' END"}
+
 _X = _kinds("'DEPOSITO SUC 12' || chr(10) || 'REF ' || key || ' AUT 99' || chr(10) || 'BENEFICIARIO ' || who", "'PAGO CAJA 7' || chr(10) || 'HORA ' || hhmm || chr(10) || 'A FAVOR DE ' || who", "'TRASPASO CUENTA ' || k10 || chr(10) || 'RFC ' || rfc || chr(10) || k18", "'COMISION' || chr(10) || '**' || key")
-BANAMEX = movement_sql(1, **SIDES, fecha_operacion="dd || ' ' || mon", saldo_liquidacion="0", concepto=_X, concepto_original=_X, referencia=_kinds("key", None, None, "'**' || key"), autorizacion=_kinds("'99'"), sucursal=_kinds("'12'"), caja=_kinds(None, "'7'"),
+BANAMEX = movement_sql(1, **SIDES_2, fecha_operacion="dd || ' ' || mon", saldo_liquidacion="0", concepto=_X, concepto_original=_X, referencia=_kinds("key", None, None, "'**' || key"), autorizacion=_kinds("'99'"), sucursal=_kinds("'12'"), caja=_kinds(None, "'7'"),
     beneficiario=_kinds("who", "who"), cuenta_beneficiario=_kinds(None, None, "k10"), clabe_beneficiario=_kinds(None, None, "k18"), rfc=_kinds(None, None, "rfc"), hora_operacion=_kinds(None, "hhmm"))
 
 BANORTE = movement_sql(2, **SIDES, fecha_operacion="dd || '-' || mon || '-' || yyyy", saldo_liquidacion="0",
@@ -86,9 +89,10 @@ BANORTE = movement_sql(2, **SIDES, fecha_operacion="dd || '-' || mon || '-' || y
     referencia=_kinds("key", "key"), beneficiario=_kinds("who", "who"), clabe_beneficiario=_kinds("k18", "k18"), rfc=_kinds("rfc", "rfc || 'HORA'", "rfc"), hora_operacion=_kinds("hhmm", "hhmm"), concepto_original=_kinds("'RENTA'", "'Pago 97'"))
 
 
-def account_sql(place: int, prefix: str, product: str, start: str, end: str, named: bool = True) -> str:
-    return f"""SELECT DISTINCT o_custkey::VARCHAR AS file_id, '{product}' AS producto_principal, '{start}' AS periodo_inicio, '{end}' AS periodo_fin, '{end}' AS fecha_corte,
-  lpad(o_custkey::VARCHAR, 10, '0') AS numero_cuenta, lpad(o_custkey::VARCHAR, 10, '0') AS numero_cliente, 'ABC010101XY1' AS rfc, '{prefix}' || lpad(o_custkey::VARCHAR, 15, '0') AS clabe, c_name AS nombre_cliente
+def account_sql(place: int, prefix: str, product: str, month: str) -> str:
+    start, end = (f"lpad(({day} + o_custkey % 9)::VARCHAR, 2, '0') || '{month}'" for day in (1, 20))
+    return f"""SELECT DISTINCT o_custkey::VARCHAR AS file_id, '{product}' || o_custkey % 4 AS producto_principal, {start} AS periodo_inicio, {end} AS periodo_fin, {end} AS fecha_corte,
+  lpad(o_custkey::VARCHAR, 10, '0') AS numero_cuenta, lpad(o_custkey::VARCHAR, 10, '0') AS numero_cliente, 'ABC010101XY' || o_custkey % 10 AS rfc, '{prefix}' || lpad(o_custkey::VARCHAR, 15, '0') AS clabe, c_name AS nombre_cliente
 FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_custkey % 3 = {place}"""
 
 
@@ -108,3 +112,83 @@ def box_values(bank: str, section: str, mode: str) -> str:
     rows = ", ".join("('{}', {}, {}, {}, {}, {})".format(*line.split()) for line in text.strip().split("\n"))
     return rf"""WITH box(field, box_page, xmin, xmax, ymin, ymax) AS (VALUES {rows}), {boxed(mode)}
 SELECT file_id, field, string_agg(text, ' ' ORDER BY page, top, x0, seq) AS text, nullif(coalesce(string_agg(regexp_replace(text, '\D', '', 'g'), '' ORDER BY page, top, x0, seq), ''), '') AS digits, count(*) AS n_words FROM hit GROUP BY file_id, field"""
+
+
+def stepped_lines(kinds: str) -> str:
+    """Line numbers of the stepped words under a rule that breaks lines of these kinds before their last third."""
+    return f"""WITH {WORDS}, s AS (SELECT file_id, page, seq, (seq % 12 = 0 OR (seq % 12 = 8 AND {kinds}))::INTEGER AS start FROM words)
+SELECT file_id, page, seq, (page * 100000 + sum(start) OVER (PARTITION BY file_id, page ORDER BY seq))::BIGINT AS line_no FROM s"""
+
+
+def quality(source: str, name: str = "u") -> str:
+    """(k, usable) of ``source`` (k, raw)."""
+    return rf"""{name}_t AS (SELECT k, trim(regexp_replace(coalesce(raw, ''), '\s+', ' ', 'g')) AS t FROM {source}),
+{name}_m AS (SELECT k, length(t) AS n, len(regexp_extract_all(t, '(?i)\(cid:\d+\)')) AS cid, length(regexp_replace(t, '[^ˆ˜¯ª˛˚˙¨´¸łøØıŒœŠšŽžƒ]', '', 'g')) AS odd, length(regexp_replace(t, '[^\p{{L}}\p{{N}}]', '', 'g')) AS alnum,
+  len(regexp_extract_all(t, '[A-Za-zÁÉÍÓÚÜÑáéíóúüñ]{{2,}}')) AS w FROM {name}_t),
+{name} AS (SELECT k, NOT (n = 0 OR (cid = 1 AND n < 100) OR (cid > 0 AND cid * 8 / n >= 0.05) OR (odd > 0 AND alnum = 0) OR (odd / n >= 0.08) OR (w < 2 AND alnum / n < 0.20)) AS usable FROM {name}_m)"""
+
+
+#: The odd texts; the seventh is what compatibility composition makes of it.
+ODD = """odd AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN NULL WHEN 1 THEN '  ' || chr(10) || ' ' WHEN 2 THEN '(cid:12) corto' WHEN 3 THEN repeat('(cid:3) ', 40) || text[1:100] WHEN 4 THEN '— · — •'
+  WHEN 5 THEN repeat('ƒ', 20) || text[1:100] WHEN 6 THEN '12 -- .. == ## ** 3 ** -- == ++' WHEN 7 THEN '(cid:5) corto' ELSE text END AS text FROM documents)"""
+
+ODD_WORDS = f"""{WORDS}, ow AS (SELECT * REPLACE (CASE WHEN file_id::BIGINT % 4 = 1 THEN '(cid:7)' ELSE text END AS text) FROM words)"""
+
+USABLE_WORDS = f"""{ODD_WORDS}, w500 AS (SELECT file_id AS k, string_agg(text, ' ' ORDER BY seq) AS raw FROM ow WHERE seq < 500 GROUP BY 1), {quality("w500", "uw")}"""
+
+ROUTES = f"""{ODD}, {USABLE_WORDS}, st AS (SELECT doc_id::VARCHAR AS k, coalesce(text, '') AS raw, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) <> '' AS filled, doc_id FROM odd), {quality("st", "us")},
+route AS (SELECT st.k AS file_id, CASE WHEN NOT filled THEN 2 WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END::INTEGER AS initial_empty_pages,
+  CASE WHEN us.usable OR (filled AND coalesce(uw.usable, false)) THEN 'pdf_digital' ELSE 'pdf_imagen' END AS document_type FROM st JOIN us ON us.k = st.k LEFT JOIN uw ON uw.k = st.k)"""
+
+
+def value(i: int) -> str:
+    return f"((k * 100 + {7 * i}) / 100.0)::DECIMAL(18,2)"
+
+
+def printed(i: int, then: str | None = None, otherwise: str = "NULL") -> str:
+    return f"CASE WHEN (k + {i}) % 11 <> 0 THEN {then or value(i)} ELSE {otherwise} END"
+
+
+DAYS, RATE = "(28 + k % 4)::INTEGER", "(k % 7 + 0.375)::DOUBLE"
+TYPES = {"dias_periodo": "INTEGER", "cheques_pagados": "INTEGER", "tasa_bruta_anual": "DOUBLE"}
+
+
+def summary_sql(bank: str) -> str:
+    """The sixteen fields of a bank's printed summaries, from the customers' numbers alone."""
+    from reconcilia.operators.fields import SUMMARY
+
+    own = {"dias_periodo": DAYS, "cheques_pagados": "(k % 50)::INTEGER", "tasa_bruta_anual": RATE}
+    if bank == "bbva":
+        values = {f: printed(i, own.get(f), "NULL" if f == "saldo_promedio" else "0") for i, f in enumerate(SUMMARY)}
+    elif bank == "banamex":  # where a field is missing, the nearest amount of its box is a neighbour's
+        p = [printed(i) for i in range(5)]
+        nearest = {"saldo_anterior": (0, 1), "depositos_abonos": (1, 0, 2), "retiros_cargos": (2, 1, 3), "saldo_final": (3, 2)}
+        values = {f: f"coalesce({', '.join(p[i] for i in order)})" for f, order in nearest.items()}
+        values |= {"saldo_promedio": f"coalesce({p[4]}, {printed(5, DAYS)})", "dias_periodo": printed(5, DAYS)}
+    else:
+        v = {f: printed(i) for i, f in enumerate("_ anterior depositos retiros intereses manejo comisiones iva cobrados isr final _ minimo promedio".split())}
+        zero = lambda f: f"coalesce({v[f]}, 0)"
+        values = {
+            "saldo_promedio": v["promedio"], "dias_periodo": printed(14, DAYS), "tasa_bruta_anual": printed(15, RATE), "intereses_a_favor": v["intereses"], "isr_retenido": v["isr"], "manejo_cuenta": f"coalesce({v['manejo']}, {v['comisiones']})",
+            "saldo_anterior": v["anterior"], "depositos_abonos": f"{v['depositos']} + {zero('intereses')} + {zero('cobrados')}", "retiros_cargos": f"{v['retiros']} + {zero('iva')} + {zero('comisiones')}", "saldo_final": v["final"], "saldo_promedio_minimo_mensual": v["minimo"],
+        }
+    picks = [f"({values.get(c, 'NULL')})::{TYPES.get(c, 'DECIMAL(18,2)')} AS {c}" for c in SUMMARY]
+    place = ["bbva", "banamex", "banorte"].index(bank)
+    return f"SELECT k::VARCHAR AS file_id, {', '.join(picks)} FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey % 3 = {place})"
+
+
+def products_sql() -> str:
+    from reconcilia.operators.fields import PRODUCTS
+
+    texts = [f"'{f[:3].upper()}{i} ' || k" for i, f in enumerate(PRODUCTS)]
+    picks = [f"{chr(39)}N/A{chr(39)} AS {f}" if f == "gat_nominal_anual" else f"{printed(i, t)} AS {f}" for i, (f, t) in enumerate(zip(PRODUCTS, texts, strict=True))]
+    return f"SELECT k::VARCHAR AS file_id, {', '.join(picks)} FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey % 3 = 0)"
+
+
+PROCESS = f"""
+WITH s AS ({" UNION ALL ".join(f"SELECT file_id, saldo_anterior, depositos_abonos, retiros_cargos, saldo_final FROM ({summary_sql(b)})" for b in ("bbva", "banamex", "banorte"))}),
+o AS (SELECT *, o_totalprice::DECIMAL(18,2) AS price, o_orderstatus IN ('F', 'O') AS credit, NOT (o_custkey % 3 = 1 AND o_orderkey % 7 = 0) AS shown FROM orders),
+c AS (SELECT o_custkey::VARCHAR AS file_id, sum(CASE WHEN credit AND shown THEN price ELSE 0 END)::DECIMAL(18,2) AS a, sum(CASE WHEN NOT credit AND shown THEN price ELSE 0 END)::DECIMAL(18,2) AS c, arg_max(price, (o_orderdate, o_orderkey)) AS last FROM o GROUP BY 1),
+x AS (SELECT file_id, 1 AS orden, depositos_abonos AS e, a AS o FROM s JOIN c USING (file_id) UNION ALL SELECT file_id, 2, retiros_cargos, c FROM s JOIN c USING (file_id)
+  UNION ALL SELECT file_id, 3, saldo_final, last FROM s JOIN c USING (file_id) WHERE saldo_final IS NOT NULL UNION ALL SELECT file_id, 4, saldo_final, (saldo_anterior + depositos_abonos - retiros_cargos)::DECIMAL(18,2) FROM s JOIN c USING (file_id))
+SELECT file_id AS statement_id, orden, e::DECIMAL(18,2) AS esperado, o::DECIMAL(18,2) AS obtenido, (o - e)::DECIMAL(18,2) AS diferencia FROM x"""

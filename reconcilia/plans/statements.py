@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from reconcilia.operators import banks, fields, movements, quality, reconcile
 from reconcilia.operators.banorte_summary import banorte_summary
 from reconcilia.sources import readers
+from reconcilia.storage import saved
 
 LAYOUTS = {
     "bbva": (fields.bbva_summary, fields.bbva_products, movements.bbva_movements),
@@ -35,13 +36,13 @@ class Statements:
     rejects: DataFrame
 
 
-def process(words: DataFrame, pages: DataFrame, kept=lambda df: df, ocr_tokens: DataFrame | None = None) -> Statements:
-    """``kept`` is applied to the routes, the banks and each bank's words before they are read several times, to cache or write them once.
+def process(words: DataFrame, pages: DataFrame, ocr_tokens: DataFrame | None = None) -> Statements:
+    """All outputs. Routes, banks, words by bank and movements are written once, as each is read several times.
 
     ``ocr_tokens`` are those of files whose text and words can't be used; without tokens such files are rejected.
     """
     stage = readers.text_stage(pages)
-    route = kept(quality.routed(stage, words))
+    route = saved(quality.routed(stage, words))
     heads = readers.head_text(readers.logical_pages(pages.join(route.where("word_source = 'words'").select("file_id"), "file_id", "left_semi"), stage))
     if ocr_tokens is None:
         read = words.limit(0)
@@ -49,16 +50,20 @@ def process(words: DataFrame, pages: DataFrame, kept=lambda df: df, ocr_tokens:
         tokens = ocr_tokens.join(route.where("word_source = 'ocr'").select("file_id"), "file_id", "left_semi")
         read = readers.ocr_words(tokens)
         heads = heads.unionByName(readers.head_text(readers.ocr_page_text(tokens)))
-    identified = kept(banks.with_bank(route.select("file_id", "document_type", "word_source").join(heads, "file_id", "left")))
-    words = quality.chosen_words(route, words, read)
+    identified = saved(banks.with_bank(route.select("file_id", "document_type", "word_source").join(heads, "file_id", "left")))
+    known = identified.where(F.col("bank_key").isin(*LAYOUTS)).select("file_id", "bank_key")
+    routed = saved(quality.chosen_words(route, words, read).join(known, "file_id"), "bank_key")
     parts: dict[str, list[DataFrame]] = {n: [] for n in ("account", "products", "summary", "movements")}
     for bank, (summary, products, moves) in LAYOUTS.items():
-        mine = kept(words.join(identified.where(F.col("bank_key") == bank).select("file_id"), "file_id", "left_semi"))
-        parts["account"].append(fields.account_data(mine, bank))
-        parts["products"].append(products(mine.select("file_id").distinct()) if products is fields.no_products else products(mine))
-        parts["summary"].append(summary(mine))
+        mine = routed.where(F.col("bank_key") == bank).drop("bank_key")
+        files = known.where(F.col("bank_key") == bank).select("file_id")
+        front = mine.where(F.col("page") <= fields.LAST_BOX_PAGE)
+        parts["account"].append(fields.account_data(front, bank, files))
+        parts["products"].append(products(front, files))
+        parts["summary"].append(summary(front, files))
         parts["movements"].append(moves(mine))
     union = {n: reduce(DataFrame.unionByName, p) for n, p in parts.items()}
+    union["movements"] = saved(union["movements"])
     named = lambda df: df.withColumnRenamed("file_id", "statement_id")
     checks = reconcile.validations(named(union["movements"]), named(union["summary"]))
     return Statements(identified, union["account"], union["products"], union["summary"], union["movements"], checks, banks.rejects(identified))

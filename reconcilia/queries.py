@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reconcilia import oracles as sql
-from reconcilia import views
+from reconcilia import storage, views
 from reconcilia.functions import clabe as cl
 from reconcilia.functions import concepts, dates
 from reconcilia.functions import money as m
@@ -16,11 +18,7 @@ from reconcilia.functions import text as t
 from reconcilia.operators import banks, banorte_summary, fields, lines, movements, quality, reconcile, tables, trimming
 from reconcilia.plans import statements
 from reconcilia.sources import layouts, readers
-
-try:  # written once, which also keeps plans short; the training-data operators can be taken out
-    from reconcilia.llm.common import saved as _kept
-except ImportError:
-    _kept = DataFrame.cache
+from reconcilia.storage import saved, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,8 +36,8 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _printed(spark: SparkSession, d: str, bank: str) -> DataFrame:
-    """A bank's printed statements; cached, as the word table that each section and filter reads would be stored."""
-    return views.statement_words(spark, d, bank).cache()
+    """A bank's printed statements, written once as the word table that each section and filter reads."""
+    return saved(views.statement_words(spark, d, bank))
 
 
 # --- reconciliation ---------------------------------------------------------------------------------
@@ -70,7 +68,9 @@ def balance_change(spark, d):
 
 @query(f"WITH {sql.WORDS} SELECT file_id, seq, page, text, x0, x1, top, bottom, doctop FROM words")
 def scan_words(spark, d):
-    return views.words(spark, d)
+    """The word table as a reader finds it: written as files, read with the given schema."""
+    rows = readers.read(spark, "words", written(views.words(spark, d)))
+    return rows.select("file_id", "seq", "page", "text", "x0", "x1", "top", "bottom", "doctop")
 
 
 @query(f"WITH {sql.PAGES} SELECT file_id, string_agg(text, chr(10) ORDER BY page) AS text FROM pages_v WHERE page <= 5 AND text <> '' GROUP BY 1")
@@ -114,41 +114,43 @@ def ocr_page_text(spark, d):
     return readers.ocr_page_text(views.ocr_tokens(spark, d))
 
 
-@query("SELECT * FROM (VALUES ('bbva','BBVA México','012',true),('banamex','Citibanamex','002',true),('santander','Santander','014',false),('banorte','Banorte','072',true),('scotiabank','Scotiabank','044',false),('hsbc','HSBC México','021',false),('nu','Nu México','638',false),('afirme','Banca Afirme','062',false),('invex','Banco Invex','059',false)) b(bank_key, display_name, prefix, supported), (SELECT count(*) AS n_customers FROM customer)")
+@query(f"WITH {sql.CLABE}, n AS (SELECT prefix, count(*) AS n FROM ident GROUP BY 1) SELECT bank_key, display AS display_name, b.prefix, supported, coalesce(n, 0) AS n_statements FROM bank b LEFT JOIN n USING (prefix)")
 def bank_catalogue(spark, d):
-    n = views.table(spark, d, "customer").agg(F.count("*").alias("n_customers"))
-    return layouts.banks(spark).join(F.broadcast(n))
+    """The catalogue, and how many of the customers' statements each bank issued."""
+    issued = saved(banks.with_bank(views.clabe_texts(spark, d)).select("prefix")).groupBy("prefix").agg(F.count("*").alias("n"))
+    return layouts.banks(spark).join(issued, "prefix", "left").select("bank_key", "display_name", "prefix", "supported", F.coalesce("n", F.lit(0)).alias("n_statements"))
 
 
 # --- documents --------------------------------------------------------------------------------------
 
-QUALITY = r"""q AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents),
-m AS (SELECT doc_id, length(t) AS n, len(regexp_extract_all(t, '(?i)\(cid:\d+\)')) AS cid, length(regexp_replace(t, '[^ˆ˜¯ª˛˚˙¨´¸łøØıŒœŠšŽžƒ]', '', 'g')) AS odd, length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')) AS alnum,
-  len(regexp_extract_all(t, '[A-Za-zÁÉÍÓÚÜÑáéíóúüñ]{2,}')) AS w FROM q),
-u AS (SELECT doc_id, NOT (n = 0 OR (cid = 1 AND n < 100) OR (cid > 0 AND cid * 8 / n >= 0.05) OR (odd > 0 AND alnum = 0) OR (odd / n >= 0.08) OR (w < 2 AND alnum / n < 0.20)) AS usable FROM m)"""
-
-
-@query(f"WITH {QUALITY} SELECT doc_id, usable, CASE WHEN usable THEN 'pdf_digital' ELSE 'pdf_imagen' END AS document_type FROM u")
+@query(f"WITH {sql.ODD}, src AS (SELECT doc_id AS k, text AS raw FROM odd), {sql.quality('src')} SELECT k AS doc_id, usable, CASE WHEN usable THEN 'pdf_digital' ELSE 'pdf_imagen' END AS document_type FROM u")
 def document_quality(spark, d):
-    docs = quality.usable_text(views.table(spark, d, "documents")).select("doc_id", "usable")
+    docs = quality.usable_text(views.odd_texts(spark, d)).select("doc_id", "usable")
     return docs.withColumn("document_type", quality.document_type(F.col("usable"), F.lit(False)))
 
 
-@query()
+@query(f"WITH {sql.ROUTES} SELECT file_id, initial_empty_pages, document_type, CASE document_type WHEN 'pdf_digital' THEN 'words' ELSE 'ocr' END AS word_source FROM route")
 def document_routing(spark, d):
-    return quality.routed(readers.text_stage(views.pages(spark, d)), views.words(spark, d))
+    return quality.routed(readers.text_stage(views.odd_pages(spark, d)), views.odd_words(spark, d))
 
 
-@query()
+@query(f"WITH {sql.USABLE_WORDS} SELECT k AS file_id, usable FROM uw")
 def usable_words(spark, d):
-    return quality.usable_words(views.words(spark, d))
+    return quality.usable_words(views.odd_words(spark, d))
+
+
+#: Words of digital files as they are, but for leading empty pages; those of images from the OCR tokens.
+CHOSEN = f"""WITH {sql.ROUTES}, ocr AS (SELECT file_id, page, seq AS i, CASE WHEN seq % 17 = 5 THEN '  ' ELSE text END AS text, floor(x0 * 2550 / 612)::INTEGER AS l, floor(top * 2550 / 612)::INTEGER AS t FROM words)
+SELECT w.file_id, seq, (page - initial_empty_pages)::INTEGER AS page, text, round(x0, 6) AS x0, round(top, 6) AS top FROM ow w JOIN route USING (file_id) WHERE document_type = 'pdf_digital' AND page > initial_empty_pages
+UNION ALL SELECT o.file_id, row_number() OVER (PARTITION BY o.file_id ORDER BY page, i) - 1, page, text, round(l * 0.24, 6), round(t * 0.24, 6) FROM ocr o JOIN route USING (file_id) WHERE document_type = 'pdf_imagen' AND trim(text) <> ''"""
 
 
-@query()
+@query(CHOSEN)
 def chosen_words(spark, d):
-    words = views.words(spark, d)
-    route = quality.routed(readers.text_stage(views.pages(spark, d)), words)
-    return quality.chosen_words(route, words, readers.ocr_words(views.ocr_tokens(spark, d)))
+    words = views.odd_words(spark, d)
+    route = quality.routed(readers.text_stage(views.odd_pages(spark, d)), words)
+    out = quality.chosen_words(route, words, readers.ocr_words(views.ocr_tokens(spark, d)))
+    return out.select("file_id", "seq", "page", "text", F.round("x0", 6).alias("x0"), F.round("top", 6).alias("top"))
 
 
 @query(f"WITH {sql.CLABE} SELECT file_id, clabe, i.prefix, bank_key, coalesce(display, 'Desconocido') AS display_name, coalesce(supported, false) AS supported FROM ident i LEFT JOIN bank b ON b.prefix = i.prefix")
@@ -182,31 +184,30 @@ def word_geometry(spark, d):
 
 def _numbered(make):
     def run(spark, d):
-        return make(views.words(spark, d)).select("file_id", "page", "seq", "line_no")
+        return make(views.stepped_words(spark, d)).select("file_id", "page", "seq", "line_no")
 
     return run
 
 
-#: In the word view every text line is one line under each of the rules, as its jitter is below each tolerance.
-LINE_SQL = f"WITH {sql.WORDS} SELECT file_id, page, seq, page * 100000 + (ln % 42) + 1 AS line_no FROM words"
+FIXED_RULE = "ln % 6 IN (2, 4, 5)"
 
 
-@query(LINE_SQL)
+@query(sql.stepped_lines("ln % 6 <> 0"))
 def lines_by_anchor(spark, d):
     return _numbered(lines.anchored_lines)(spark, d)
 
 
-@query(LINE_SQL)
+@query(sql.stepped_lines("ln % 6 >= [4, 5, 2][file_id::BIGINT % 3 + 1] AND ln % 6 <> 3"))
 def lines_by_mean(spark, d):
     return _numbered(lines.mean_lines)(spark, d)
 
 
-@query(LINE_SQL)
+@query(sql.stepped_lines(FIXED_RULE))
 def lines_by_fixed_mean(spark, d):
     return _numbered(lines.fixed_mean_lines)(spark, d)
 
 
-@query(LINE_SQL)
+@query(sql.stepped_lines(FIXED_RULE))
 def lines_by_doctop(spark, d):
     return _numbered(lambda w: lines.fixed_mean_lines(w, by_doctop=True))(spark, d)
 
@@ -223,9 +224,15 @@ def page_bounds(spark, d):
     return lines.page_bounds(views.words(spark, d))
 
 
-@query(f"WITH {sql.WORDS}, h AS (SELECT file_id, list(abs(bottom - top) ORDER BY abs(bottom - top)) AS h FROM words GROUP BY 1) SELECT file_id, round(greatest(3.5, 0.45 * h[len(h) // 2 + 1]), 6) AS tolerance FROM h")
+#: Heights of the words in points, for the median: some files have larger type, some words have no height.
+HEIGHT = "(seq % 7 - 2) * 5 * (1 + file_id::BIGINT % 4)"
+
+
+@query(f"WITH {sql.WORDS}, v AS (SELECT file_id, abs({HEIGHT}) AS h FROM words), h AS (SELECT file_id, list(h ORDER BY h) FILTER (WHERE h > 0) AS h FROM v GROUP BY 1) SELECT file_id, round(greatest(3.5, 0.45 * coalesce(h[len(h) // 2 + 1], 0)), 6)::DOUBLE AS tolerance FROM h")
 def line_tolerance(spark, d):
-    return lines.line_tolerance(views.words(spark, d)).withColumn("tolerance", F.round("tolerance", 6))
+    words = views.words(spark, d)
+    words = words.withColumn("bottom", F.col("top") + (F.col("seq") % 7 - 2) * 5 * (1 + F.col("file_id").cast("long") % 4))
+    return lines.line_tolerance(words.withColumns({"top": F.lit(0.0), "bottom": F.round(F.col("bottom") - F.col("top"))})).withColumn("tolerance", F.round("tolerance", 6))
 
 
 def _boxes(bank: str, section: str, mode: str) -> Query:
@@ -242,11 +249,10 @@ for _bank, _section, _mode in (("bbva", "datos", "center"), ("bbva", "resumen",
     _boxes(_bank, _section, _mode)
 
 
-@query(f"WITH {sql.WORDS} SELECT file_id, CASE WHEN bool_or(page = 1 AND lower(text) IN ('la', 'the') AND abs(top - 259.197338) <= 2) THEN 0.0 WHEN bool_or(page = 1 AND lower(text) IN ('la', 'the') AND abs(top - 246.123783) <= 2) THEN -13.073555 ELSE 0.0 END AS shift_y FROM words GROUP BY 1")
+@query("SELECT DISTINCT o_custkey::VARCHAR AS file_id, CASE WHEN o_custkey // 3 % 2 = 1 AND o_custkey % 5 <> 0 THEN -13.073555 ELSE 0 END::DOUBLE AS shift_y FROM orders WHERE o_custkey % 3 = 0")
 def layout_shift(spark, d):
-    """The anchor rule over the word view, with two of its words as anchors."""
-    words = views.words(spark, d).withColumn("text", F.when(F.lower("text").isin("la", "the"), "saldo").otherwise(F.col("text")))
-    return fields.layout_shift(words, "resumen").withColumn("shift_y", F.round("shift_y", 6))
+    """Premium statements print their anchor higher; where both anchors stand, the normal one counts."""
+    return fields.layout_shift(views.statement_words(spark, d, "bbva"), "resumen").withColumn("shift_y", F.round("shift_y", 6))
 
 
 @query(f"WITH {sql.WORDS}, h AS (SELECT file_id, min(top) AS t FROM words WHERE page = 1 AND x0 BETWEEN 50 AND 300 AND top BETWEEN 200 AND 230 GROUP BY 1) SELECT w.file_id, count(*) AS n FROM words w JOIN h USING (file_id) WHERE page = 1 AND x0 BETWEEN 50 AND 300 AND top BETWEEN 200 AND 230 AND top - t <= 1.5 GROUP BY 1")
@@ -282,7 +288,8 @@ def trim_chart(spark, d):
     return trimming.without_chart(views.words(spark, d).withColumn("text", F.expr(CHART))).groupBy("file_id").agg(F.count("*").alias("n"))
 
 
-MARK = "CASE WHEN seq % 701 = 300 THEN 'TOTAL' WHEN seq % 701 = 301 THEN 'DE' WHEN seq % 701 = 303 THEN 'MOVIMIENTOS' ELSE text END"
+#: In every 97th line: one with the words in order, one without its third, one in which the second is too far off.
+MARK = "CASE seq % 1164 WHEN 361 THEN 'TOTAL' WHEN 362 THEN 'DE' WHEN 366 THEN 'MOVIMIENTOS' WHEN 1 THEN 'TOTAL' WHEN 2 THEN 'DE' WHEN 121 THEN 'TOTAL' WHEN 123 THEN 'DE' WHEN 124 THEN 'MOVIMIENTOS' ELSE text END"
 
 
 @query(f"""WITH {sql.WORDS}, v AS (SELECT *, upper({MARK}) AS x FROM words), c AS (SELECT a.file_id, min({{'p': a.page, 't': a.top}}) AS cut FROM v a JOIN v b ON a.file_id = b.file_id AND a.page = b.page AND a.x = 'TOTAL' AND b.x = 'DE' AND abs(a.top - b.top) <= 2 AND b.x0 - a.x0 > 0 AND b.x0 - a.x0 < 60 AND (b.top, b.x0) > (a.top, a.x0)
@@ -296,18 +303,38 @@ def trim_after_total(spark, d):
 HEADS = "CASE WHEN seq % 331 = 40 THEN 'Referencia' WHEN seq % 331 IN (37, 28) THEN 'Descripción' WHEN seq % 331 = 41 THEN 'x' ELSE text END"
 
 
-@query()
+@query(f"""WITH {sql.WORDS}, v AS (SELECT *, {HEADS} AS t, CASE WHEN seq % 331 = 40 THEN 220.0 ELSE x0 END AS x FROM words),
+r AS (SELECT file_id, page AS p, top AS h, row_number() OVER (PARTITION BY file_id ORDER BY page, top) AS n FROM v WHERE upper(t) = 'REFERENCIA' AND x BETWEEN 215 AND 225),
+term(name, a, b) AS (VALUES ('FECHA', 30, 70), ('SALDO', 510, 550), ('OPER', 15, 50), ('LIQ', 55, 80), ('DESCRIPCION', 80, 150), ('REFERENCIA', 215, 275), ('CARGOS', 365, 415), ('ABONOS', 425, 470), ('OPERACION', 470, 535), ('LIQUIDACION', 535, 605)),
+gone AS (SELECT DISTINCT v.file_id, v.seq FROM v JOIN term ON upper(strip_accents(t)) = name AND x BETWEEN a AND b JOIN r ON r.file_id = v.file_id AND r.p = v.page AND n > 1 AND top BETWEEN h - 18 AND h + 3)
+SELECT file_id, count(*) AS n FROM v ANTI JOIN gone USING (file_id, seq) GROUP BY 1""")
 def trim_repeated_headers(spark, d):
     words = views.words(spark, d).withColumns({"text": F.expr(HEADS), "x0": F.when(F.col("seq") % 331 == 40, 220.0).otherwise(F.col("x0"))})
     return trimming.without_repeated_headers(words).groupBy("file_id").agg(F.count("*").alias("n"))
 
 
-@query()
+#: Every 20th line starts with a date; every 50th has two words in the middle; two of 70 lack their right end.
+SECTION = "CASE WHEN seq % 240 = 1 THEN '05-ENE-2026' ELSE text END"
+SECTION_ROWS = "CASE WHEN ln % 50 = 30 AND file_id::BIGINT % 3 = 0 THEN seq % 12 IN (5, 6) WHEN ln % 70 IN (64, 65) THEN seq % 12 < 9 ELSE true END"
+
+
+@query(rf"""WITH {sql.WORDS}, v AS (SELECT * REPLACE ({SECTION} AS text) FROM words WHERE {SECTION_ROWS}),
+p AS (SELECT file_id, page, min(x0) AS pmin, max(x1) AS pmax FROM v GROUP BY 1, 2),
+k AS (SELECT *, regexp_matches(text, '(?i)^\d{{1,2}}-(ENE|FEB|MAR|ABR|MAY|JUN|JUL|AGO|SEP|OCT|NOV|DIC)') AS dated, regexp_full_match(text, '[+-]?\(?\$?\d{{1,3}}(?:,\d{{3}})*(?:\.\d{{1,2}})?\)?') AS amount FROM v),
+l AS (SELECT file_id, page, ln, min(x0) AS a, max(x1) AS b, min(doctop) AS y, max(doctop) AS ymax, bool_or(dated AND x0 BETWEEN 45 AND 88) AS is_date, NOT bool_or(dated OR amount) AS plain FROM k GROUP BY 1, 2, 3),
+m AS (SELECT *, plain AND b - a <= (pmax - pmin) * 0.35 AND abs((a + b) / 2 - (pmin + pmax) / 2) <= (pmax - pmin) * 0.15 AND a >= pmin + (pmax - pmin) * 0.30 AS centred, plain AND a <= pmin + greatest(7, (pmax - pmin) * 0.025) AND b - a <= (pmax - pmin) * 0.90 AS lone FROM l JOIN p USING (file_id, page)),
+n AS (SELECT *, lead(lone) OVER w AS lone2, lead(y) OVER w AS y2, lead(page) OVER w AS p2, min(ln) FILTER (WHERE is_date) OVER (PARTITION BY file_id) AS first_date, max(ymax) FILTER (WHERE is_date) OVER (PARTITION BY file_id) AS last_date FROM m WINDOW w AS (PARTITION BY file_id ORDER BY ln)),
+c AS (SELECT file_id, coalesce(arg_min(y, ln) FILTER (WHERE centred AND NOT is_date AND ln > first_date), arg_min(y, ln) FILTER (WHERE lone AND lone2 AND p2 = page AND y2 - y <= 28 AND y > last_date)) AS cut FROM n GROUP BY 1)
+SELECT v.file_id, count(*) AS n, max(page) AS last_page FROM v JOIN c USING (file_id) WHERE cut IS NULL OR doctop < cut GROUP BY 1""")
 def trim_last_section(spark, d):
-    return trimming.without_last_section(_printed(spark, d, "banorte")).groupBy("file_id").agg(F.count("*").alias("n"), F.max("page").alias("last_page"))
+    words = views.words(spark, d).withColumn("ln", F.floor(F.col("seq") / 12)).withColumn("k3", F.col("file_id").cast("long") % 3)
+    rows = F.when((F.col("ln") % 50 == 30) & (F.col("k3") == 0), (F.col("seq") % 12).isin(5, 6)).when((F.col("ln") % 70).isin(64, 65), F.col("seq") % 12 < 9).otherwise(True)
+    words = words.where(rows).drop("ln", "k3").withColumn("text", F.expr(SECTION))
+    return trimming.without_last_section(words).groupBy("file_id").agg(F.count("*").alias("n"), F.max("page").alias("last_page"))
 
 
-@query()
+@query(f"""WITH {sql.WORDS}, v AS (SELECT *, {CHART} AS x FROM words), l AS (SELECT file_id, page, ln, string_agg(x, ' ' ORDER BY x0, seq) AS line, arg_min(top, x0) AS t FROM v GROUP BY 1, 2, 3),
+c AS (SELECT file_id, arg_min({{'p': page, 't': t}}, ln) AS cut FROM l WHERE regexp_matches(upper(line), 'GR[ÁA]FICO TRANSACCIONAL') GROUP BY 1) SELECT v.file_id, count(*) AS n FROM v LEFT JOIN c USING (file_id) WHERE cut IS NULL OR (page, top) < (cut.p, cut.t) GROUP BY 1""")
 def trim_marker_line(spark, d):
     words = views.words(spark, d).withColumn("text", F.expr(CHART))
     return trimming.cut_at(words, trimming.marker_line(words)).groupBy("file_id").agg(F.count("*").alias("n"))
@@ -317,18 +344,18 @@ def trim_marker_line(spark, d):
 
 
 @query(r"""SELECT o_orderkey, upper(strip_accents(regexp_replace(trim(o_comment), '\s+', ' ', 'g'))) AS canonical, regexp_replace(o_clerk, '\D', '', 'g') AS digits, trim(regexp_replace('  ' || o_comment || ' – ', '\s+', ' ', 'g')).replace('–', '-') AS word,
-  nullif(trim(regexp_replace(o_orderpriority, '\s+', ' ', 'g')), '') AS collapsed, 'ABC010101XY1' AS rfc, CASE WHEN o_orderkey % 2 = 0 THEN lpad(o_orderkey::VARCHAR, 18, '0') END AS clabe FROM (SELECT *, o_clerk || ' ' || o_orderpriority AS o_comment FROM (SELECT *, 'Clérk#' || lpad(o_custkey::VARCHAR, 9, '0') AS o_clerk FROM orders))""")
+  nullif(trim(regexp_replace(o_orderpriority, '\s+', ' ', 'g')), '') AS collapsed, 'ABC010101XY' || o_orderkey % 10 AS rfc, CASE WHEN o_orderkey % 2 = 0 THEN lpad(o_orderkey::VARCHAR, 18, '0') END AS clabe FROM (SELECT *, o_clerk || ' ' || o_orderpriority AS o_comment FROM (SELECT *, 'Clérk#' || lpad(o_custkey::VARCHAR, 9, '0') AS o_clerk FROM orders))""")
 def text_functions(spark, d):
     o = views.table(spark, d, "orders").withColumn("o_clerk", F.concat(F.lit("Clérk#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))).withColumn("o_comment", F.concat_ws(" ", "o_clerk", "o_orderpriority"))
     number = F.lpad(F.col("o_orderkey").cast("string"), 18, "0")
     return o.select(
         "o_orderkey", t.canonical(F.concat(F.lit(" "), F.lower("o_comment"), F.lit("\n"))).alias("canonical"), t.digits(F.col("o_clerk")).alias("digits"), t.word_text(F.concat(F.lit("  "), "o_comment", F.lit(" – "))).alias("word"),
-        t.collapsed_or_null(F.col("o_orderpriority")).alias("collapsed"), t.rfc_labelled(F.lit("RFC: RFC:abc 010101 xy1")).alias("rfc"), t.clabe_or_null(F.when(F.col("o_orderkey") % 2 == 0, number).otherwise("12 3")).alias("clabe"),
+        t.collapsed_or_null(F.col("o_orderpriority")).alias("collapsed"), t.rfc_labelled(F.concat(F.lit("RFC: RFC:abc 010101 xy"), (F.col("o_orderkey") % 10).cast("string"))).alias("rfc"), t.clabe_or_null(F.when(F.col("o_orderkey") % 2 == 0, number).otherwise("12 3")).alias("clabe"),
     )
 
 
 @query("""WITH p AS (SELECT o_orderkey, o_totalprice::DECIMAL(18,2) AS v, format('{:,}', floor(o_totalprice)::BIGINT) || '.' || lpad(((o_totalprice::DECIMAL(18,2) * 100)::BIGINT % 100)::VARCHAR, 2, '0') AS s FROM orders)
-SELECT o_orderkey, v AS plain, CASE WHEN o_orderkey % 2 = 0 THEN -v ELSE v END AS wrapped, CASE WHEN o_orderkey % 3 = 0 THEN -v ELSE v END AS trailing, CASE WHEN o_orderkey % 5 <> 0 THEN v END AS optional, true AS is_money, false AS is_money_bare,
+SELECT o_orderkey, v AS plain, CASE WHEN o_orderkey % 2 = 0 THEN -v ELSE v END AS wrapped, CASE WHEN o_orderkey % 3 = 0 THEN -v ELSE v END AS trailing, CASE WHEN o_orderkey % 5 <> 0 THEN v END AS optional, o_orderkey % 4 <> 1 AS is_money, o_orderkey % 3 = 0 AS is_money_bare,
   v::DOUBLE::BIGINT * 0 + floor(v)::INTEGER AS whole, (o_orderkey % 9)::DOUBLE + 0.5 AS pct FROM p""")
 def money_functions(spark, d):
     s = F.format_number(F.col("o_totalprice").cast(m.MONEY), 2)
@@ -336,17 +363,17 @@ def money_functions(spark, d):
     cat = lambda *v: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in v))
     return views.table(spark, d, "orders").select(
         "o_orderkey", m.plain(s).alias("plain"), m.in_parentheses(F.when(k % 2 == 0, cat("($", s, ")")).otherwise(cat("$", s))).alias("wrapped"), m.in_parentheses(F.when(k % 3 == 0, cat("$", s, "-")).otherwise(s), True).alias("trailing"),
-        m.optional(F.when(k % 5 == 0, "N/A").otherwise(cat("$", s))).alias("optional"), m.is_amount(cat("$", s), m.BANAMEX).alias("is_money"), m.is_amount(F.lit("1234.00"), m.BANORTE).alias("is_money_bare"),
+        m.optional(F.when(k % 5 == 0, "N/A").otherwise(cat("$", s))).alias("optional"), m.is_amount(F.when(k % 4 == 1, cat("$", s, ".5")).otherwise(cat("$", s)), m.BANAMEX).alias("is_money"), m.is_amount(F.when(k % 3 == 0, "123.5").otherwise("1234.00"), m.BANORTE).alias("is_money_bare"),
         m.whole(s).alias("whole"), m.percent(cat((k % 9).cast("string"), ".5%")).alias("pct"),
     )
 
 
-@query("""SELECT o_orderkey, o_orderkey % 3 <> 2 AS is_date, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%d') || '-ENE-' || strftime(o_orderdate, '%Y') ELSE strftime(o_orderdate, '%d') || '-ENE-' || strftime(o_orderdate, '%y') END AS prefix, 'PAGO' AS rest,
+@query("""SELECT o_orderkey, o_orderkey % 3 <> 2 AS is_date, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%d') || '-ENE-' || strftime(o_orderdate, '%Y') ELSE strftime(o_orderdate, '%d') || '-ENE-' || strftime(o_orderdate, '%y') END AS prefix, 'PAGO' || o_orderkey AS rest,
   strftime(o_orderdate, '%d') || '/Enero/' || strftime(o_orderdate, '%Y') AS slashed FROM orders""")
 def date_functions(spark, d):
     day, year, short = F.date_format("o_orderdate", "dd"), F.date_format("o_orderdate", "yyyy"), F.date_format("o_orderdate", "yy")
     k = F.col("o_orderkey")
-    printed = F.concat(day, F.lit("-ene-"), F.when(k % 2 == 0, year).otherwise(short), F.lit("PAGO"))
+    printed = F.concat(day, F.lit("-ene-"), F.when(k % 2 == 0, year).otherwise(short), F.lit("PAGO"), k.cast("string"))
     return views.table(spark, d, "orders").select(
         "o_orderkey", dates.is_day_month(F.when(k % 3 == 0, F.concat(day, F.lit(" ene"))).when(k % 3 == 1, F.concat(day, F.lit("/ENE/"), year)).otherwise(F.concat(day, F.lit(" X")))).alias("is_date"),
         dates.date_prefix(printed).alias("prefix"), dates.without_date_prefix(printed).alias("rest"), dates.slashed_date(F.concat(F.lit("al "), day, F.lit("/Enero/"), year, F.lit("."))).alias("slashed"),
@@ -400,87 +427,128 @@ def movements_banorte(spark, d):
     return movements.banorte_movements(_printed(spark, d, "banorte"))
 
 
-@query(sql.account_sql(0, "012", "MAESTRA", "01/01/2026", "31/01/2026"))
+@query(sql.account_sql(0, "012", "MAESTRA", "/01/2026"))
 def account_bbva(spark, d):
     return fields.account_data(_printed(spark, d, "bbva"), "bbva")
 
 
-@query(sql.account_sql(1, "002", "PERFILES", "01/ENE/2026", "31/ENE/2026"))
+@query(sql.account_sql(1, "002", "PERFILES", "/ENE/2026"))
 def account_banamex(spark, d):
     return fields.account_data(_printed(spark, d, "banamex"), "banamex")
 
 
-@query(sql.account_sql(2, "072", "ENLACE", "01/Enero/2026", "31/Enero/2026"))
+@query(sql.account_sql(2, "072", "ENLACE", "/Enero/2026"))
 def account_banorte(spark, d):
     return fields.account_data(_printed(spark, d, "banorte"), "banorte")
 
 
-def _summary_sql(place: int, missing: str, **values: str) -> str:
-    picks = [f"{values.get(c, missing)}::{'INTEGER' if c in ('dias_periodo', 'cheques_pagados') else 'DECIMAL(18,2)'} AS {c}" for c in fields.SUMMARY]
-    return f"SELECT DISTINCT o_custkey::VARCHAR AS file_id, {', '.join(picks)} FROM orders WHERE o_custkey % 3 = {place}"
-
-
-@query(_summary_sql(0, "0", saldo_promedio="NULL", dias_periodo="31", saldo_anterior="1234.50"))
+@query(sql.summary_sql("bbva"))
 def summary_bbva(spark, d):
     return fields.bbva_summary(_printed(spark, d, "bbva"))
 
 
-@query(_summary_sql(1, "NULL", saldo_anterior="1234.50", depositos_abonos="1234.50"))
+@query(sql.summary_sql("banamex"))
 def summary_banamex(spark, d):
     return fields.banamex_summary(_printed(spark, d, "banamex"))
 
 
-@query(_summary_sql(2, "NULL", saldo_anterior="1234.50", depositos_abonos="500", saldo_final="1734.50"))
+@query(sql.summary_sql("banorte"))
 def summary_banorte(spark, d):
     return banorte_summary.banorte_summary(_printed(spark, d, "banorte"))
 
 
-@query("SELECT DISTINCT o_custkey::VARCHAR AS file_id, NULL::VARCHAR AS contrato, NULL::VARCHAR AS producto, NULL::VARCHAR AS tasa_interes_anual, NULL::VARCHAR AS gat_nominal_anual, NULL::VARCHAR AS gat_real_anual, NULL::VARCHAR AS total_comisiones FROM orders WHERE o_custkey % 3 = 0")
+@query(sql.products_sql())
 def products_bbva(spark, d):
     return fields.bbva_products(_printed(spark, d, "bbva"))
 
 
-@query("SELECT DISTINCT o_custkey::VARCHAR AS file_id, 'normal' AS variant FROM orders WHERE o_custkey % 3 = 0")
+@query("SELECT DISTINCT o_custkey::VARCHAR AS file_id, CASE WHEN o_custkey // 3 % 2 = 1 THEN 'premium' ELSE 'normal' END AS variant FROM orders WHERE o_custkey % 3 = 0")
 def layout_variant(spark, d):
     return trimming.layout_variant(_printed(spark, d, "bbva"), False)
 
 
 @query("""WITH p AS (SELECT o_custkey, (count(*) - 1) // 9 + 2 AS last FROM orders WHERE o_custkey % 3 = 1 GROUP BY 1)
-SELECT o_custkey::VARCHAR AS file_id, page::INTEGER AS page, CASE WHEN page BETWEEN 2 AND last THEN 338.75 ELSE 324 END::DOUBLE AS border_1, CASE WHEN page BETWEEN 2 AND last THEN 418.75 ELSE 408 END::DOUBLE AS border_2 FROM p, range(1, last + 1) r(page)""")
+SELECT o_custkey::VARCHAR AS file_id, page::INTEGER AS page, CASE WHEN page NOT BETWEEN 2 AND last THEN 324 WHEN page % 2 = 0 THEN 341.75 ELSE 338.75 END::DOUBLE AS border_1, CASE WHEN page NOT BETWEEN 2 AND last THEN 408 WHEN page % 2 = 0 THEN 419.75 ELSE 418.75 END::DOUBLE AS border_2 FROM p, range(1, last + 1) r(page)""")
 def page_columns(spark, d):
-    words = lines.mean_lines(trimming.trimmed_banamex(_printed(spark, d, "banamex")))
+    words = saved(lines.mean_lines(trimming.trimmed_banamex(_printed(spark, d, "banamex"))))
     return movements.all_page_columns(words).select("file_id", "page", F.col("retiros.xmax").alias("border_1"), F.col("depositos.xmax").alias("border_2"))
 
 
-def _everything(spark, d) -> tuple[DataFrame, DataFrame]:
-    words = [_printed(spark, d, b) for b in statements.LAYOUTS]
-    every = words[0].unionByName(words[1]).unionByName(words[2])
-    head = {"bbva": "012", "banamex": "002", "banorte": "072"}
-    key = F.col("o_custkey")
-    prefix = F.when(key % 3 == 0, head["bbva"]).when(key % 3 == 1, head["banamex"]).otherwise(head["banorte"])
-    pages = views.table(spark, d, "orders").select(key).distinct().select(key.cast("string").alias("file_id"), F.lit(1).alias("page"), F.concat(F.lit("CLABE "), prefix, F.lpad(key.cast("string"), 15, "0")).alias("text"))
-    return every, pages
-
-
-@query("""WITH c AS (SELECT o_custkey, sum(CASE WHEN o_orderstatus IN ('F','O') THEN o_totalprice::DECIMAL(18,2) ELSE 0 END)::DECIMAL(18,2) AS a, sum(CASE WHEN o_orderstatus IN ('F','O') THEN 0 ELSE o_totalprice::DECIMAL(18,2) END)::DECIMAL(18,2) AS c,
-  arg_max(o_totalprice::DECIMAL(18,2), (o_orderdate, o_orderkey)) AS last, o_custkey % 3 AS b FROM orders GROUP BY 1),
-x AS (SELECT o_custkey, 1 AS orden, CASE b WHEN 0 THEN 0 WHEN 2 THEN 500 END::DECIMAL(18,2) AS e, a AS o FROM c UNION ALL SELECT o_custkey, 2, CASE b WHEN 0 THEN 0 END, c FROM c
-  UNION ALL SELECT o_custkey, 3, CASE b WHEN 0 THEN 0 WHEN 2 THEN 1734.50 END, last FROM c WHERE b <> 1 UNION ALL SELECT o_custkey, 4, CASE b WHEN 0 THEN 0 WHEN 2 THEN 1734.50 END, CASE b WHEN 0 THEN 1234.50 END FROM c)
-SELECT o_custkey::VARCHAR AS statement_id, orden, e::DECIMAL(18,2) AS esperado, o::DECIMAL(18,2) AS obtenido, (o - e)::DECIMAL(18,2) AS diferencia FROM x""")
+@query(sql.PROCESS)
 def process_statements(spark, d):
-    out = statements.process(*_everything(spark, d), kept=_kept)
+    words, pages, tokens = views.every_statement(spark, d)
+    out = statements.process(saved(words), pages, tokens)
     return out.validations.select("statement_id", "orden", "esperado", "obtenido", "diferencia")
 
 
-@query("SELECT o_custkey::VARCHAR AS \"Número de Cuenta 0\", lpad(o_custkey::VARCHAR, 10, '0') AS \"Número de Cuenta\", count(*) AS n, sum(o_totalprice::DECIMAL(18,2))::DECIMAL(28,2) AS \"Saldo\" FROM orders GROUP BY o_custkey")
+def _keys(files: DataFrame) -> DataFrame:
+    """Of ``files`` (file_id, bank_key), all parsed, in the order of their numbers."""
+    named = files.withColumns({"file_name": F.concat("file_id", F.lit(".pdf")), "input_ord": F.col("file_id").cast("long"), "parsed": F.lit(True)})
+    return tables.statement_keys(named)
+
+
+MONEY_2 = "WITH m AS (SELECT o_custkey AS k, o_totalprice::DECIMAL(18,2) AS price, o_orderstatus IN ('F', 'O') AS credit, NOT (o_custkey % 3 = 1 AND o_orderkey % 7 = 0) AS shown FROM orders), ids AS (SELECT k, row_number() OVER (ORDER BY k) AS id FROM (SELECT DISTINCT k FROM m))"
+
+
+@query(MONEY_2 + """ SELECT id::INTEGER AS "id_estado", k::VARCHAR || '.pdf' AS "Nombre del Archivo", ['bbva', 'banamex', 'banorte'][k % 3 + 1] AS "Banco", lpad(k::VARCHAR, 10, '0') AS "Número de Cuenta", count(*) AS n,
+  sum(CASE WHEN credit AND shown THEN price ELSE 0 END)::DECIMAL(28,2) AS "Abono", sum(CASE WHEN NOT credit AND shown THEN price ELSE 0 END)::DECIMAL(28,2) AS "Cargo", sum(price)::DECIMAL(28,2) AS "Saldo" FROM m JOIN ids USING (k) GROUP BY id, k""")
 def normalised_tables(spark, d):
-    """The movements table of all statements, counted by account."""
-    words, pages = _everything(spark, d)
-    out = statements.process(words, pages, kept=_kept)
-    files = out.identified.select("file_id", "bank_key", F.concat("file_id", F.lit(".pdf")).alias("file_name"), F.col("file_id").cast("long").alias("input_ord"), F.lit(True).alias("parsed"))
-    made = tables.normalised(tables.statement_keys(files), out.account, out.products, out.summary, out.movements)
-    moves = made["Movimientos"]
-    return moves.groupBy(F.regexp_replace("Nombre del Archivo", ".pdf", "").alias("Número de Cuenta 0"), F.col("Número de Cuenta")).agg(F.count("*").alias("n"), F.sum("Saldo de Operación").alias("Saldo"))
+    """The movements table of all statements, summed up by account."""
+    words, pages, tokens = views.every_statement(spark, d)
+    out = statements.process(saved(words), pages, tokens)
+    made = tables.normalised(_keys(out.identified.select("file_id", "bank_key")), out.account, out.products, out.summary, out.movements)
+    keys = ["id_estado", "Nombre del Archivo", "Banco", "Número de Cuenta"]
+    return made["Movimientos"].groupBy(*keys).agg(F.count("*").alias("n"), F.sum("Abono").alias("Abono"), F.sum("Cargo").alias("Cargo"), F.sum("Saldo de Operación").alias("Saldo"))
+
+
+def _tables(spark, d, bank: str) -> dict[str, DataFrame]:
+    """The normalised tables of one bank's printed statements, all but the movements'."""
+    words = _printed(spark, d, bank)
+    files = words.select("file_id").distinct().withColumn("bank_key", F.lit(bank))
+    summary, products, _ = statements.LAYOUTS[bank]
+    none = words.select("file_id", *(F.lit(None).alias(c) for c in ("numero_movimiento", *movements.MOVEMENT))).limit(0)
+    return tables.normalised(_keys(files), fields.account_data(words, bank), products(words), summary(words), none)
+
+
+def _titled(titles: dict[str, str], made: str, bank: str) -> str:
+    """The SQL of a normalised table from that of its fields."""
+    columns = ", ".join(f'x.{c} AS "{t}"' for c, t in titles.items())
+    return f"""SELECT (row_number() OVER (ORDER BY x.file_id::BIGINT))::INTEGER AS id_estado, x.file_id || '.pdf' AS "Nombre del Archivo", '{bank}' AS "Banco", {columns} FROM ({made}) x"""
+
+
+@query(_titled(tables.ACCOUNT, sql.account_sql(0, "012", "MAESTRA", "/01/2026"), "bbva"))
+def table_accounts(spark, d):
+    return _tables(spark, d, "bbva")["Datos de la Cuenta"]
+
+
+@query(_titled(tables.PRODUCT, sql.products_sql(), "bbva"))
+def table_products(spark, d):
+    return _tables(spark, d, "bbva")["Otros Productos"]
+
+
+@query(_titled(tables.PRODUCT, "SELECT DISTINCT o_custkey::VARCHAR AS file_id, 'N/A' AS contrato, 'N/A' AS producto, 'N/A' AS tasa_interes_anual, 'N/A' AS gat_nominal_anual, 'N/A' AS gat_real_anual, 'N/A' AS total_comisiones FROM orders WHERE o_custkey % 3 = 1", "banamex"))
+def table_no_products(spark, d):
+    """A layout without products has N/A in each field, by definition."""
+    return _tables(spark, d, "banamex")["Otros Productos"]
+
+
+@query(_titled(tables.SUMMARY, sql.summary_sql("banorte"), "banorte"))
+def table_summaries(spark, d):
+    return _tables(spark, d, "banorte")["Resumen Financiero"]
+
+
+@query(f"WITH {sql.MOVEMENTS} SELECT count(DISTINCT statement_id) AS n_statements, count(*) AS n_movements FROM mov")
+def statement_count(spark, d):
+    return reconcile.statement_count(views.movements(spark, d))
+
+
+@query("SELECT t AS name, CASE t WHEN 'Movimientos' THEN 0 ELSE (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey % 3 = 0) END AS n FROM (VALUES ('Datos de la Cuenta'), ('Otros Productos'), ('Resumen Financiero'), ('Movimientos')) v(t)")
+def sink_tables(spark, d):
+    """Rows of each table that the sink has written, read back from its folder."""
+    folder = f"{storage.shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+    paths = tables.write(_tables(spark, d, "bbva"), folder)
+    counted = [spark.read.parquet(p).agg(F.lit(p.rpartition("/")[2]).alias("name"), F.count("*").alias("n")) for p in paths]
+    return reduce(DataFrame.unionByName, counted)
 
 
 @query("SELECT row_number() OVER (ORDER BY o_custkey)::INTEGER AS id_estado, o_custkey::VARCHAR AS file_id FROM (SELECT DISTINCT o_custkey FROM orders) QUALIFY o_custkey % 5 <> 0")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Bank key, display name, account-number prefix, whether its layout is known.
@@ -143,11 +143,15 @@ def banks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, n, p, s == "true") for k, n, p, s in rows], "bank_key string, display_name string, prefix string, supported boolean")
 
 
-def columns_wide(spark: SparkSession, bank: str) -> DataFrame:
-    """One row for each variant of a bank, each column an (xmin, xmax) struct."""
+def bounds_columns(bank: str, variant: Column | None = None) -> dict[str, Column]:
+    """Each table column's (xmin, xmax) struct, by ``variant`` where a bank has several; without one, or with another, the first."""
     rows = [r.split("|") for r in COLUMNS.split("\n") if r.startswith(bank + "|")]
-    long = spark.createDataFrame([(v, c, float(a), float(b)) for _, v, c, a, b in rows], "variant string, name string, xmin double, xmax double")
-    return long.groupBy("variant").pivot("name", list(dict.fromkeys(r[2] for r in rows))).agg(F.first(F.struct("xmin", "xmax")))
+    box = lambda v, c: F.struct(*(F.lit(x).alias(n) for x, n in zip(bounds(bank, v, c), ("xmin", "xmax"), strict=True)))
+    first, *others = dict.fromkeys(r[1] for r in rows)
+    out = {c: box(first, c) for c in column_names(bank)}
+    for v in others if variant is not None else ():
+        out = {c: F.when(variant == v, box(v, c)).otherwise(old) for c, old in out.items()}
+    return out
 
 
 def column_names(bank: str) -> list[str]:
@@ -171,7 +175,3 @@ def field_boxes(spark: SparkSession, bank: str, section: str) -> DataFrame:
 def fields(bank: str, section: str) -> list[str]:
     return [line.split()[0] for key, text in BOXES.items() if key[:2] == (bank, section) for line in text.strip().split("\n")]
 
-
-def labels(spark: SparkSession) -> DataFrame:
-    rows = [(f, [a.split() for a in alternatives]) for f, alternatives in LABELS.items()]
-    return spark.createDataFrame(rows, "field string, alternatives array<array<string>>")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,13 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, or the checkpoint folder set on the context.
 
-    Where neither is set, a session on one machine gets a folder of its own below the warehouse; on a
-    cluster nothing can be guessed, so it is an error.
+    Where neither is set, a session whose executors are threads of this process gets a temporary folder,
+    removed at the end; on a cluster no folder can be guessed, so it is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-        named = f"{spark.conf.get('spark.sql.warehouse.dir')}/intermediate"
+    if not named and sc.master.split("[")[0] == "local":
+        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     if not named:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return named.rstrip("/")
@@ -28,16 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
 _OPEN: list[list[str]] = []
 
 
+def written(df: DataFrame, *partitions: str) -> str:
+    """The path of a new table in the shared folder that holds ``df``."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partitions).parquet(path)
+    for paths in _OPEN:
+        paths.append(path)
+    return path
+
+
 def saved(df: DataFrame, *partitions: str) -> DataFrame:
     """``df`` as a table written to the shared folder and read back: cuts lineage, survives lost executors.
 
     ``partitions``: columns by which the table is split into folders, so that a filter on them reads its folder only.
     """
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partitions).parquet(path)
-    for paths in _OPEN:
-        paths.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, *partitions))
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
@@ -48,12 +58,12 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables saved inside are removed at the end: for callers that have written their result by then."""
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables saved inside are removed at the end, but for paths that the caller takes out of the list: for callers that have written their result by then."""
     paths: list[str] = []
     _OPEN.append(paths)
     try:
-        yield
+        yield paths
     finally:
         _OPEN.remove(paths)
         remove(spark, paths)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reconcilia.functions.money import MONEY
+from reconcilia.sources.layouts import BOXES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +26,45 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("file_id", "seq", "page", "text", "x0", "x1", "top", "bottom", "doctop")
 
 
+def stepped_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same words with other places: the middle and the last third of every line stand lower, by a step that its number chooses, and heights differ between files."""
+    line = F.floor(F.col("seq") / 12)
+    slot, kind = F.col("seq") % 12, line % 6
+    height = F.get(F.array(F.lit(9.0), F.lit(12.0), F.lit(4.0)), (F.col("file_id").cast("long") % 3).cast("int"))
+    step = F.when(slot >= 8, F.get(F.array(*map(F.lit, STEPS)), kind.cast("int"))).when((slot >= 4) & (kind == 3), 2.0).otherwise(0.0)
+    top = 20 + 18 * (line % 42) + step
+    return words(spark, sf_dir).withColumns({"top": top, "bottom": top + height, "doctop": (F.col("page") - 1) * 792 + top})
+
+
+#: How far the last third of a line stands below its first, by kind; kind 3 gets there in two steps.
+STEPS = (0.0, 3.2, 3.8, 4.0, 5.0, 6.0)
+
+
+def odd_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` with texts that fail each of the quality tests: doc_id, text."""
+    start, kind = F.substring("text", 1, 100), F.col("doc_id") % 9
+    odd = {
+        0: F.lit(None).cast("string"), 1: F.lit("  \n "), 2: F.lit("(cid:12) corto"), 3: F.concat(F.repeat(F.lit("(cid:3) "), 40), start), 4: F.lit("— · — •"), 5: F.concat(F.repeat(F.lit("ƒ"), 20), start),
+        6: F.lit("12 -- .. == ## ** 3 ** -- == ++"), 7: F.lit("（ｃｉｄ：５） corto"),
+    }
+    text = F.col("text")
+    for k, v in odd.items():
+        text = F.when(kind == k, v).otherwise(text)
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+def odd_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those texts as the only filled one of two pages; every fifth file has a blank page before it."""
+    late = F.col("doc_id") % 5 == 0
+    both = F.array(F.struct(F.lit(1).alias("page"), F.when(late, "").otherwise(F.col("text")).alias("text")), F.struct(F.lit(2).alias("page"), F.when(late, F.col("text")).otherwise("").alias("text")))
+    return odd_texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file_id"), F.explode(both).alias("p")).select("file_id", "p.page", "p.text")
+
+
+def odd_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words, those of every fourth file unreadable."""
+    return words(spark, sf_dir).withColumn("text", F.when(F.col("file_id").cast("long") % 4 == 1, "(cid:7)").otherwise(F.col("text")))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page texts of ``documents``, five documents a file, some blank."""
     blank = (F.col("doc_id") % 11 == 0) | (F.col("doc_id") % 15 == 0)
@@ -91,8 +133,10 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     credit = F.col("o_orderstatus").isin("F", "O")
     price = F.col("o_totalprice").cast(MONEY)
     key = F.col("o_orderkey").cast("string")
+    # every 7th movement of the second layout prints its balance only
+    hidden = (F.col("o_custkey") % 3 == 1) & (F.col("o_orderkey") % 7 == 0)
     return table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("custkey"), F.row_number().over(order).alias("n"), F.date_format("o_orderdate", "dd").alias("dd"), month.alias("mon"), F.date_format("o_orderdate", "yyyy").alias("yyyy"), credit.alias("credit"), price.alias("price"),
+        F.col("o_custkey").alias("custkey"), F.row_number().over(order).alias("n"), (~hidden).alias("shown"), F.date_format("o_orderdate", "dd").alias("dd"), month.alias("mon"), F.date_format("o_orderdate", "yyyy").alias("yyyy"), credit.alias("credit"), price.alias("price"),
         (F.col("o_orderkey") % 4).alias("kind"), F.lpad(key, 10, "0").alias("k10"), F.concat(F.lit("0721800"), F.lpad(key, 11, "0")).alias("k18"), key.alias("key"), F.concat(F.lit("ABC"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0"), F.lit("XY1")).alias("rfc"),
         F.format_string("%02d:%02d", F.col("o_orderkey") % 24, F.col("o_orderkey") % 60).alias("hhmm"), F.concat(F.lit("CLIENTE "), F.col("o_custkey").cast("string")).alias("who"),
     )
@@ -139,6 +183,70 @@ def concept_lines(bank: str) -> list[Column]:
     ]
 
 
+def is_premium(key: Column) -> Column:
+    """Every other statement of the first layout has the premium variant."""
+    return F.floor(key / 3) % 2 == 1
+
+
+def tail_kind(key: Column) -> Column:
+    """What the last section of a statement in the third layout starts with."""
+    return F.floor(key / 3) % 4
+
+
+def summary_value(i: int) -> Column:
+    """The i-th printed amount of a statement's summary."""
+    return ((F.col("custkey") * 100 + i * 7) / 100).cast(MONEY)
+
+
+def summary_cells(bank: str) -> list[Column]:
+    """The summary on page 1, with a field in eleven missing; null where a statement prints nothing."""
+    key = F.col("custkey")
+    printed = lambda i: (key + i) % 11 != 0
+    cells: list[Column] = []
+    if bank == "bbva":
+        moved = is_premium(key) & (key % 5 != 0)  # with both anchors printed, boxes stay where they are
+        own = {"dias_periodo": (28 + key % 4).cast("string"), "cheques_pagados": (key % 50).cast("string"), "tasa_bruta_anual": F.concat((key % 7).cast("string"), F.lit(".375"))}
+        for section, shift in (("resumen", 246.123783 - 259.197338), ("productos", 367.877793 - 419.622538)):
+            dy = F.when(moved, shift).otherwise(0.0)
+            for i, line in enumerate(next(t for k, t in BOXES.items() if k[:2] == (bank, section)).strip().split("\n")):
+                field, _, xmin, xmax, ymin, _ = line.split()
+                text = own.get(field, F.format_number(summary_value(i), 2)) if section == "resumen" else F.concat(F.lit(f"{field[:3].upper()}{i} "), key.cast("string"))
+                text = F.lit("N/A") if field == "gat_nominal_anual" else text
+                right = float(xmax) - (40.0 if field == "saldo_global" else 1.0)
+                cells.append(F.when(printed(i) | (F.lit(field) == "gat_nominal_anual"), _word(text, float(xmin) + 1.0, right, float(ymin) + 2.0 + dy, 20 + i)))
+                if field == "saldo_global":
+                    cells.append(F.when(printed(i), _word(F.lit("9,999.00"), 545.0, 582.0, float(ymin) + 2.0 + dy, 60)))
+        for top, name, when in ((259.2, "Saldo", ~moved), (246.1, "Promedio", is_premium(key))):
+            cells.append(F.when(when, _word(F.lit(name), 40, 60, top, 61)))
+        cells.append(F.when(is_premium(key), _word(F.lit("REFERENCIA"), 220, 260, 700.0, 62)))
+    elif bank == "banamex":
+        places = [(280, 325, 480.5), (280, 325, 492.5), (280, 325, 504.5), (280, 325, 517.5), (190, 230, 543.5)]
+        cells = [F.when(printed(i), _word(F.concat(F.lit("$"), F.format_number(summary_value(i), 2)), a, b, y, 20 + i)) for i, (a, b, y) in enumerate(places)]
+        cells.append(F.when(printed(5), _word((28 + key % 4).cast("string"), 220, 234, 553.0, 25)))
+    else:
+        for i, (_, text, sign) in enumerate(BANORTE_LINES):
+            top = 270.0 + 15 * i
+            words = [(F.lit(w), 52.0 + 22 * k, 72.0 + 22 * k, top, 20 + k) for k, w in enumerate(text.split())]
+            amount = {"days": (28 + key % 4).cast("string"), "rate": F.concat((key % 7).cast("string"), F.lit(".375%"))}.get(sign, F.concat(F.lit("$"), F.format_number(summary_value(i), 2)))
+            if sign in "+-":
+                words.append((F.lit(sign), 45.0, 48.0, top, 19))
+            if sign:
+                words.append((amount, 200.0 if sign in ("days", "rate") else 232.0, 222.0 if sign in ("days", "rate") else 258.0, top, 40))
+            cells += [F.when(printed(i), _word(*w)) if sign else _word(*w) for w in words]
+        cells += [_word(F.lit(t), a, b, 560.0, 70) for t, a, b in (("15-ENE-2026", 52, 83), ("77.00", 380, 420))]  # no movement: it stands on page 1
+    return cells
+
+
+#: Lines of the third layout's summary: field, label, sign or kind of value ('' for none).
+BANORTE_LINES = [
+    ("", "RESUMEN DEL PERIODO", ""), ("saldo_anterior", "SALDO INICIAL DEL PERIODO", " "), ("total_depositos", "TOTAL DE DEPÓSITOS", "+"), ("total_retiros", "TOTAL DE RETIROS", "-"),
+    ("intereses_a_favor", "INTERESES NETOS GANADOS", "+"), ("manejo_cuenta", "TOTAL DE COMISIONES", " "), ("comisiones_cobradas_pagadas", "TOTAL DE COMISIONES COBRADAS / PAGADAS", "-"),
+    ("iva_sobre_comisiones", "IVA SOBRE COMISIONES", " "), ("intereses_cobrados_pagados", "INTERESES COBRADOS / PAGADOS", "+"), ("isr_retenido", "RETENCIÓN DE ISR", " "), ("saldo_final", "SALDO ACTUAL", " "),
+    ("", "SALDO PROMEDIO", ""), ("saldo_promedio_minimo", "SALDO PROMEDIO MÍNIMO", " "), ("saldo_promedio", "EN EL MES", " "), ("dias_periodo", "DÍAS TRANSCURRIDOS", "days"), ("tasa_bruta_anual", "TASA BRUTA ANUAL", "rate"),
+    ("", "TOTAL DE USOS", ""), ("", "SALDO ACTUAL", " "),
+]
+
+
 def _amount_text() -> Column:
     return F.format_number("price", 2)
 
@@ -156,10 +264,14 @@ def statement_words(spark: SparkSession, sf_dir: str, bank: str) -> DataFrame:
     amount = _amount_text()
     text = concept_lines(bank)
     if bank == "bbva":
-        cells = [_word(F.concat("dd", F.lit("/"), "mon"), 15, 45, top, 0), _word(F.concat("dd", F.lit("/"), "mon"), 60, 92, top, 1), F.when(~F.col("credit"), _word(amount, 385, 415, top, 20)), F.when(F.col("credit"), _word(amount, 425, 460, top, 21)), _word(amount, 480, 520, top, 22), _word(amount, 550, 600, top, 23)]
+        # labelled references of kind 2 stand in their own columns, which a premium statement has elsewhere
+        premium, kind2 = is_premium(F.col("custkey")), F.col("kind") == 2
+        label = [F.when(kind2 & p, _word(F.lit("Referencia:"), a, b, top + 11, 90)) for p, a, b in ((premium, 220, 260), (~premium, 320, 360))]
+        label += [F.when(kind2 & p, _word(F.concat(F.lit("R"), "key"), a, b, top + 11, 91)) for p, a, b in ((premium, 362, 368), (~premium, 370, 400))]
+        cells = [*label, _word(F.concat("dd", F.lit("/"), "mon"), 15, 45, top, 0), _word(F.concat("dd", F.lit("/"), "mon"), 60, 92, top, 1), F.when(~F.col("credit"), _word(amount, 385, 415, top, 20)), F.when(F.col("credit"), _word(amount, 425, 460, top, 21)), _word(amount, 480, 520, top, 22), _word(amount, 550, 600, top, 23)]
         left = 102.0
     elif bank == "banamex":
-        cells = [_word(F.col("dd"), 12, 20, top, 0), _word(F.col("mon"), 22, 40, top, 1), F.when(~F.col("credit"), _word(amount, 270, 318, top, 20)), F.when(F.col("credit"), _word(amount, 345, 400, top, 21)), _word(amount, 425, 480, top, 22)]
+        cells = [_word(F.col("dd"), 12, 20, top, 0), _word(F.col("mon"), 22, 40, top, 1), F.when(F.col("shown") & ~F.col("credit"), _word(amount, 270, 318, top, 20)), F.when(F.col("shown") & F.col("credit"), _word(amount, 345, 400, top, 21)), _word(amount, 425, 480, top, 22)]
         left = 62.0
     else:
         cells = [_word(F.concat_ws("-", "dd", "mon", "yyyy"), 52, 83, top, 0), F.when(F.col("credit"), _word(amount, 380, 420, top, 20)), F.when(~F.col("credit"), _word(amount, 470, 510, top, 21)), _word(amount, 530, 565, top, 22)]
@@ -170,15 +282,17 @@ def statement_words(spark: SparkSession, sf_dir: str, bank: str) -> DataFrame:
     rows = per.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), "c_name"), "custkey")
     number = F.lpad(F.col("custkey").cast("string"), 10, "0")
     clabe = F.concat(F.lit({"bbva": "012", "banamex": "002", "banorte": "072"}[bank]), F.lpad(F.col("custkey").cast("string"), 15, "0"))
+    key, number_of = F.col("custkey"), lambda text, n: F.concat(F.lit(text), (F.col("custkey") % n).cast("string"))
+    start, end = (lambda month, d=day: F.concat(F.lpad((d + key % 9).cast("string"), 2, "0"), F.lit(month)) for day in (1, 20))
     page1 = {
-        "bbva": [(F.lit("MAESTRA"), 470, 520, 18), (F.lit("01/01/2026"), 500, 538, 50), (F.lit("31/01/2026"), 556, 594, 50), (F.lit("31/01/2026"), 556, 594, 65), (number, 551, 594, 80), (number, 560, 595, 95), (F.lit("ABC"), 532, 545, 110), (F.lit("010101XY1"), 548, 594, 110), (clabe, 508, 594, 125), (F.col("c_name"), 45, 120, 102), (F.lit("1,234.50"), 548, 582, 260), (F.lit("Saldo"), 40, 60, 259.2), (F.lit("31"), 286, 295, 274)],
-        "banamex": [(F.lit("PERFILES"), 20, 80, 392), (number, 180, 240, 392), (F.lit("01/ENE/2026"), 100, 160, 456), (F.lit("31/ENE/2026"), 190, 250, 456), (F.lit("31/ENE/2026"), 410, 460, 380), (F.lit("ABC010101XY1"), 395, 480, 32), (clabe, 140, 245, 403), (F.lit("$1,234.50"), 280, 325, 481)],
-        "banorte": [(F.lit("ENLACE"), 50, 90, 220), (number, 212, 255, 220), (number, 96, 122, 138), (F.lit("RFC:"), 64, 75, 150), (F.lit("ABC010101XY1"), 77, 112, 150), (F.col("c_name"), 50, 120, 62), (F.lit("01/Enero/2026"), 425, 470, 108), (F.lit("31/Enero/2026"), 475, 524, 108), (F.lit("31/Enero/2026"), 395, 455, 120), (clabe, 283, 353, 220), (F.lit("CUENTAS"), 52, 90, 244), (F.lit("RESUMEN"), 52, 90, 270), (F.lit("PERIODO"), 95, 130, 270), (F.lit("SALDO"), 52, 80, 285), (F.lit("INICIAL"), 82, 110, 285), (F.lit("DEL"), 112, 120, 285), (F.lit("PERIODO"), 122, 150, 285), (F.lit("$1,234.50"), 225, 258, 285), (F.lit("TOTAL"), 52, 80, 300), (F.lit("DE"), 82, 90, 300), (F.lit("DEPÓSITOS"), 92, 130, 300), (F.lit("+"), 45, 48, 300), (F.lit("$500.00"), 225, 258, 300), (F.lit("SALDO"), 52, 80, 315), (F.lit("ACTUAL"), 82, 110, 315), (F.lit("$1,734.50"), 225, 258, 315)],
+        "bbva": [(number_of("MAESTRA", 4), 470, 520, 18), (start("/01/2026"), 500, 538, 50), (end("/01/2026"), 556, 594, 50), (end("/01/2026"), 556, 594, 65), (number, 551, 594, 80), (number, 560, 595, 95), (F.lit("ABC"), 532, 545, 110), (number_of("010101XY", 10), 548, 594, 110), (clabe, 508, 594, 125), (F.col("c_name"), 45, 120, 102),],
+        "banamex": [(number_of("PERFILES", 4), 20, 80, 392), (number, 180, 240, 392), (start("/ENE/2026"), 100, 160, 456), (end("/ENE/2026"), 190, 250, 456), (end("/ENE/2026"), 410, 460, 380), (number_of("ABC010101XY", 10), 395, 480, 32), (clabe, 140, 245, 403)],
+        "banorte": [(number_of("ENLACE", 4), 50, 90, 220), (number, 212, 255, 220), (number, 96, 122, 138), (F.lit("RFC:"), 64, 75, 150), (number_of("ABC010101XY", 10), 77, 112, 150), (F.col("c_name"), 50, 120, 62), (start("/Enero/2026"), 425, 470, 108), (end("/Enero/2026"), 475, 524, 108), (end("/Enero/2026"), 395, 455, 120), (clabe, 283, 353, 220), (F.lit("CUENTAS"), 52, 90, 244)],
     }[bank]
-    first = [_word(t, a, b, y, i) for i, (t, a, b, y) in enumerate(page1)]
-    heads = rows.select("custkey", F.lit(1).alias("page"), F.explode(F.array(*first)).alias("w"))
+    first = [_word(t, a, b, y, i) for i, (t, a, b, y) in enumerate(page1)] + summary_cells(bank)
+    heads = rows.select("custkey", F.lit(1).alias("page"), F.explode(F.filter(F.array(*first), lambda w: w.isNotNull())).alias("w"))
     titles = {
-        "bbva": [("OPER", 20, 45, 85.0), ("REFERENCIA", 320, 360, 100.0), ("BBVA", 20, 45, 755.0), ("31/DIC", 15, 45, 760.0)],
+        "bbva": [("OPER", 20, 45, 85.0), ("BBVA", 20, 45, 755.0), ("31/DIC", 15, 45, 760.0)],
         "banamex": [("BANCO", 20, 60, 30.0), ("FECHA", 15, 40, 90.0), ("CONCEPTO", 60, 110, 90.0), ("RETIROS", 280, 320, 90.0), ("DEPOSITOS", 355, 400, 90.0), ("SALDO", 440, 480, 90.0)],
         "banorte": [("FECHA", 52, 83, 90.0), ("DESCRIPCIÓN", 90, 140, 90.0), ("MONTO", 385, 420, 90.0), ("SALDO", 535, 565, 90.0), ("31-DIC-2025", 52, 83, 750.0)],
     }[bank]
@@ -186,13 +300,55 @@ def statement_words(spark: SparkSession, sf_dir: str, bank: str) -> DataFrame:
     extra = [_word(F.lit(t), a, b, y, i) for i, (t, a, b, y) in enumerate(titles)]
     if bank == "banamex":
         extra += [F.when(F.col("page") == 2, _word(F.col("c_name"), 25, 100, 45, 20)), F.when(F.col("page") == 2, _word(F.lpad(F.col("custkey").cast("string"), 10, "0"), 422, 480, 22, 21))]
+    opening, closing = F.col("page") == 2, F.col("page") == F.col("last")
+    if bank == "bbva":
+        premium = is_premium(F.col("custkey"))
+        extra += [F.when(premium, _word(F.lit("REFERENCIA"), 220, 260, 100.0, 30)), F.when(~premium, _word(F.lit("REFERENCIA"), 320, 360, 100.0, 30))]
+    elif bank == "banamex":  # an opening balance, a dated line without amounts, and a second header on even pages
+        extra += [F.when(opening, _word(F.lit(t), a, b, 100.0, 40 + i)) for i, (t, a, b) in enumerate([("01", 12, 20), ("ENE", 22, 40), ("SALDO", 62, 82), ("ANTERIOR", 84, 120), ("500.00", 425, 480)])]
+        extra += [F.when(closing, _word(F.lit(t), a, b, 690.0, 50 + i)) for i, (t, a, b) in enumerate([("30", 12, 20), ("DIC", 22, 40), ("SIN", 62, 82), ("IMPORTE", 84, 120)])]
+        extra += [F.when(F.col("page") % 2 == 0, _word(F.lit(t), a, b, 720.0, 60 + i)) for i, (t, a, b) in enumerate([("FECHA", 15, 40), ("CONCEPTO", 60, 110), ("RETIROS", 284, 324), ("DEPOSITOS", 357, 402), ("SALDO", 440, 480)])]
+    else:  # the same two kinds of lines, and before the movements of every third statement a section that goes on
+        extra += [F.when(opening, _word(F.lit(t), a, b, 100.0, 40 + i)) for i, (t, a, b) in enumerate([("01-ENE-2026", 52, 83), ("SALDO", 90, 110), ("ANTERIOR", 112, 150), ("500.00", 530, 565)])]
+        extra += [F.when(closing, _word(F.lit("30-DIC-2026"), 52, 83, 690.0, 50))]
+        extra += [F.when(opening & (tail_kind(F.col("custkey")) == 2), _word(F.lit(t), a, b, y, 60)) for t, a, b, y in (("CONTINUACIÓN", 360, 420, 78.0), ("CUENTA", 354, 400, 84.0))]
     each = numbers.select("custkey", "page", F.explode(F.filter(F.array(*extra), lambda w: w.isNotNull())).alias("w"))
     ends = {
         "bbva": [("TOTAL", 20, 45, 40.0), ("DE", 50, 60, 40.0), ("MOVIMIENTOS", 65, 120, 40.0), ("31/DIC", 15, 45, 60.0), ("9.99", 385, 415, 60.0)],
         "banamex": [("GRÁFICO", 20, 60, 70.0), ("TRANSACCIONAL", 62, 140, 70.0), ("31", 12, 20, 100.0), ("DIC", 22, 40, 100.0), ("9.99", 270, 318, 100.0)],
-        "banorte": [("OTROS", 290, 320, 40.0), ("31-DIC-2025", 52, 83, 60.0), ("9.99", 380, 420, 60.0), ("x", 560, 568, 80.0)],
+        "banorte": [("x", 560, 568, 80.0)],
     }[bank]
-    tail = rows.select("custkey", (F.col("last") + 1).alias("page"), F.explode(F.array(*(_word(F.lit(t), a, b, y, i) for i, (t, a, b, y) in enumerate(ends)))).alias("w"))
+    cells = [_word(F.lit(t), a, b, y, i) for i, (t, a, b, y) in enumerate(ends)]
+    if bank == "banorte":  # what starts the last section: a centred line, two plain lines (no date may follow), or the chart's title
+        cells += [F.when(tail_kind(F.col("custkey")) != 1, _word(F.lit(t), a, b, 60.0, 10)) for t, a, b in (("31-DIC-2025", 52, 83), ("9.99", 380, 420))]
+        starts = {1: [("AVISOS", 52, 90, 30.0), ("DE", 52, 60, 42.0), ("INTERES", 62, 90, 42.0)], 3: [("GRÁFICO", 52, 90, 40.0), ("TRANSACCIONAL", 92, 150, 40.0)]}
+        cells += [F.when(tail_kind(F.col("custkey")) == k, _word(F.lit(t), a, b, y, 9)) for k, some in starts.items() for t, a, b, y in some]
+        cells += [F.when(tail_kind(F.col("custkey")) % 2 == 0, _word(F.lit("OTROS"), 290, 320, 40.0, 9))]
+    tail = rows.select("custkey", (F.col("last") + 1).alias("page"), F.explode(F.filter(F.array(*cells), lambda w: w.isNotNull())).alias("w"))
     out = heads.unionByName(moves).unionByName(each).unionByName(tail).select(F.col("custkey").cast("string").alias("file_id"), "page", "w.*")
     seq = F.row_number().over(Window.partitionBy("file_id").orderBy("page", "top", "x0", "o")).cast("long") - 1
     return out.select("file_id", seq.alias("seq"), "page", "text", "x0", "x1", "top", (F.col("top") + 8.0).alias("bottom"), ((F.col("page") - 1) * 792 + F.col("top")).alias("doctop"))
+
+
+def every_statement(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Words, pages and OCR tokens of all printed statements. Some have a blank front page; some are images, known by their tokens only."""
+    all_words = reduce(DataFrame.unionByName, (statement_words(spark, sf_dir, b) for b in ("bbva", "banamex", "banorte")))
+    number = F.col("file_id").cast("long")
+    behind, image = (number % 7 == 3).cast("int"), number % 7 == 5
+    digital = all_words.where(~image).withColumns({"page": F.col("page") + behind, "doctop": F.col("doctop") + 792 * behind})
+    key = F.col("o_custkey")
+    prefix = F.when(key % 3 == 0, "012").when(key % 3 == 1, "002").otherwise("072")
+    keys = table(spark, sf_dir, "orders").select(key).distinct().select(key.cast("string").alias("file_id"), F.concat(prefix, F.lpad(key.cast("string"), 15, "0")).alias("clabe"))
+    text = F.when(image, "").otherwise(F.concat(F.lit("CLABE "), F.col("clabe")))
+    filled = keys.select("file_id", (1 + behind).alias("page"), text.alias("text"))
+    pages_of = filled.unionByName(keys.where(behind == 1).select("file_id", F.lit(1).alias("page"), F.lit("").alias("text")))
+    px = lambda c: F.round(100 * c).cast("int")
+    token = lambda page, line, at, text, x0, top, width: [
+        "file_id", page.cast("int").alias("page"), F.lit(1).alias("block_num"), F.lit(1).alias("par_num"), line.cast("int").alias("line_num"), at.cast("int").alias("token_idx"), text.alias("text"), px(x0).alias("left"), px(top).alias("top"), px(width).alias("width"),
+        F.lit(800).alias("height"), F.lit("90").alias("conf"), F.lit(61200).alias("image_width"), F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"),
+    ]
+    c = F.col
+    tokens = all_words.where(image).select(*token(c("page"), c("seq"), c("seq"), c("text"), c("x0"), c("top"), c("x1") - c("x0")))
+    heads = keys.where(image).select("file_id", F.posexplode(F.array(F.lit("CLABE"), c("clabe"))).alias("i", "t"))
+    tokens = tokens.unionByName(heads.select(*token(F.lit(1), F.lit(-1), c("i") - 9, c("t"), 10.0 + 30 * c("i"), F.lit(2.0), F.lit(20.0))))
+    return digital, pages_of, tokens

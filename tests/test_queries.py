@@ -7,7 +7,11 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["reconcile_statements", "integrity_score", "bank_identification", "text_stage", "lines_by_anchor", "boxes_bbva_datos", "concepts_banorte", "money_functions", "movements_bbva", "account_banorte", "trim_after_total"]
+NAMES = [
+    "reconcile_statements", "integrity_score", "bank_identification", "bank_catalogue", "scan_words", "text_stage", "document_quality", "document_routing", "chosen_words", "lines_by_anchor", "lines_by_mean", "lines_by_doctop", "line_tolerance",
+    "boxes_bbva_datos", "layout_shift", "concepts_banorte", "money_functions", "movements_bbva", "movements_banamex", "movements_banorte", "account_banorte", "summary_bbva", "summary_banamex", "summary_banorte", "page_columns",
+    "trim_after_total", "trim_repeated_headers", "trim_last_section", "trim_marker_line", "products_bbva", "statement_keys", "process_statements",
+]
 
 
 def rows(df):
