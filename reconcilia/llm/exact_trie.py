@@ -5,11 +5,13 @@ are inserted into a compressed trie; equal texts end in the same terminal node,
 owner's id and the number of rows. Equality is therefore decided byte by byte; the hash only deals.
 
 Before the shuffle each task runs a trie over its own rows, so a text with billions of copies sends
-one record a task. A trie over its memory limit spills its heaviest subtree to an unnamed temporary
-file of the task and merges it at the end, subtree by subtree.
+one record a task. A trie counts its edges and nodes. Over its limit it spills its heaviest subtrees below the
+prefix that all of its texts share, until it holds half, to unnamed temporary files of the task; a spilled subtree
+is later built anew by a trie with the same limit, at any depth.
 
 Nulls count as empty text. Rows with a null id belong to a group but never own it while another row
-has an id. Repeated ids are separate rows. Further columns are ignored.
+has an id. Repeated ids are separate rows. Of ties, as equal ids are, either owns the group. Texts of any length are
+compared whole. An empty table gives an empty result. Further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from reconcilia.llm.common import attach, saved
 
-#: Bytes of text that a task's trie holds before it spills a subtree (or, before the shuffle, empties).
-TRIE_BYTES = 48 << 20
+#: Bytes that a task's trie holds before it spills (or, before the shuffle, empties): edges, and so much for each node.
+TRIE_BYTES, NODE_BYTES = 96 << 20, 240
 
 
 def shared_prefix(a: bytes, b: bytes) -> int:
@@ -46,81 +48,105 @@ class Node:
     __slots__ = ("children", "edge", "owner", "rows")
 
     def __init__(self, edge: bytes) -> None:
-        self.edge, self.children, self.owner, self.rows = edge, {}, None, 0
+        self.edge, self.children, self.owner, self.rows = edge, None, None, 0
+
+    def below(self) -> dict[int, Node]:
+        if self.children is None:
+            self.children = {}
+        return self.children
 
 
 class Patricia:
     """Byte strings with an owner and a row count each; ``better(a, b)`` chooses between two ids."""
 
-    def __init__(self, better, limit: int | None = TRIE_BYTES, depth: int = 0) -> None:
-        self.better, self.limit, self.depth = better, limit if depth < 64 else None, depth
-        self.root, self.held, self.spilled = Node(b""), {}, {}
-
-    @property
-    def size(self) -> int:
-        return sum(self.held.values())
+    def __init__(self, better, limit: int | None = TRIE_BYTES) -> None:
+        self.better, self.limit, self.size = better, limit, 0
+        self.root, self.spilled = Node(b""), {}
 
     def add(self, text: bytes, owner: int | None, rows: int = 1) -> None:
         node, rest, fresh = self.root, text, 0
         while rest:
-            child = node.children.get(rest[0])
+            child = node.below().get(rest[0])
             if child is None:
                 child = node.children[rest[0]] = Node(rest)
-                fresh, rest = len(rest), b""
+                fresh, rest = fresh + len(rest) + NODE_BYTES, b""
             elif rest.startswith(child.edge):
                 rest = rest[len(child.edge):]
             else:
                 k = shared_prefix(rest, child.edge)
                 fork = node.children[rest[0]] = Node(child.edge[:k])
                 child.edge = child.edge[k:]
-                fork.children[child.edge[0]] = child
-                child, rest = fork, rest[k:]
+                fork.below()[child.edge[0]] = child
+                child, rest, fresh = fork, rest[k:], fresh + NODE_BYTES
             node = child
         node.owner = owner if not node.rows or node.owner is None else node.owner if owner is None else self.better(node.owner, owner)
         node.rows += rows
-        if text:
-            self.held[text[0]] = self.held.get(text[0], 0) + fresh
-            if fresh and self.limit and self.size > self.limit:
-                self._spill(max(self.held, key=self.held.get))
-
-    def _spill(self, first: int) -> None:
-        out = self.spilled.setdefault(first, tempfile.TemporaryFile())
-        for item in self._walk(self.root.children.pop(first), b""):
-            pickle.dump(item, out)
-        self.held[first] = 0
+        self.size += fresh
+        if fresh and self.limit and self.size > self.limit:
+            self._spill()
+
+    def _spill(self) -> None:
+        """The heaviest subtrees go, until half of the limit is held; what is one text alone stays."""
+        node, prefix = self.root, b""
+        while not node.rows and node.children and len(node.children) == 1:
+            (node,) = node.children.values()
+            prefix += node.edge
+        held = {first: sum(len(n.edge) + NODE_BYTES for n, _ in self._nodes(child, b"")) for first, child in (node.children or {}).items()}
+        for first in sorted(held, key=held.get, reverse=True):
+            if self.size <= self.limit // 2:
+                break
+            out = self._file(prefix + bytes([first]))
+            for item in self._walk(node.children.pop(first), prefix):
+                pickle.dump(item, out)
+            self.size -= held[first]
+
+    def _file(self, prefix: bytes):
+        """The file of a spilled prefix: that of a shorter one if there is one."""
+        for k in sorted({len(p) for p in self.spilled}):
+            if k < len(prefix) and prefix[:k] in self.spilled:
+                return self.spilled[prefix[:k]]
+        if prefix not in self.spilled:
+            self.spilled[prefix] = tempfile.TemporaryFile()
+        return self.spilled[prefix]
 
     @staticmethod
-    def _walk(top: Node, before: bytes) -> Iterator[tuple[bytes, int | None, int]]:
+    def _nodes(top: Node, before: bytes) -> Iterator[tuple[Node, bytes]]:
         stack = [(top, before)]
         while stack:
             node, prefix = stack.pop()
             text = prefix + node.edge
-            if node.rows:
-                yield text, node.owner, node.rows
-            stack += [(c, text) for c in node.children.values()]
+            yield node, text
+            stack += [(c, text) for c in (node.children or {}).values()]
+
+    @classmethod
+    def _walk(cls, top: Node, before: bytes) -> Iterator[tuple[bytes, int | None, int]]:
+        return ((text, node.owner, node.rows) for node, text in cls._nodes(top, before) if node.rows)
 
     def items(self) -> Iterator[tuple[bytes, int | None, int]]:
-        """Every distinct text with its owner and rows; spilled subtrees one after the other."""
-        if self.root.rows:
-            yield b"", self.root.owner, self.root.rows
-        for first, child in self.root.children.items():
-            if first not in self.spilled:
-                yield from self._walk(child, b"")
-        for first, file in self.spilled.items():
-            part = Patricia(self.better, self.limit, self.depth + 1)
-            if first in self.root.children:
-                for text, owner, rows in self._walk(self.root.children.pop(first), b""):
-                    part.add(text[1:], owner, rows)
-            file.seek(0)
-            while True:
-                try:
-                    text, owner, rows = pickle.load(file)
-                except EOFError:
-                    break
-                part.add(text[1:], owner, rows)
-            file.close()
+        """Every distinct text with its owner and rows; spilled subtrees one after the other. The trie is empty afterwards."""
+        lengths = sorted({len(p) for p in self.spilled})
+        for item in self._walk(self.root, b""):
+            top = next((item[0][:k] for k in lengths if item[0][:k] in self.spilled), None)
+            if top is None:
+                yield item
+            else:
+                pickle.dump(item, self.spilled[top])
+        self.root, self.size = Node(b""), 0
+        for top in sorted(self.spilled):  # a prefix comes before those that it starts
+            if top not in self.spilled:
+                continue
+            part = Patricia(self.better, self.limit)
+            for prefix in [p for p in self.spilled if p.startswith(top)]:
+                with self.spilled.pop(prefix) as file:
+                    file.seek(0)
+                    while True:
+                        try:
+                            text, owner, rows = pickle.load(file)
+                        except EOFError:
+                            break
+                        part.add(text[len(top):], owner, rows)
             for text, owner, rows in part.items():
-                yield bytes([first]) + text, owner, rows
+                yield top + text, owner, rows
 
 
 SENT = pa.schema([("n_bytes", pa.int64()), ("sha", pa.string()), ("body", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])

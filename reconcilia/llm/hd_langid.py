@@ -13,8 +13,8 @@ language and dimension, so what reaches the driver is (languages * dimensions) w
 whole numbers don't depend on the order, so reruns agree.
 
 Null texts and texts without a letter are ``und`` with score 0; so is every text if there is nothing
-to learn from. Score: the cosine, at least 0. Repeated rows get equal results; further columns are
-ignored.
+to learn from. Score: the cosine, at least 0. Repeated rows get equal results, and empty tables give empty ones.
+Texts of any length are read whole. Further columns are handed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reconcilia.llm.common import columns_of, fresh
+
 DIMENSIONS = 512
 SYMBOL_BITS = 6
 SEED = 20
@@ -118,8 +120,8 @@ def learn(training: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str],
     return langs, vectors / np.where(norms > 0, norms, 1)
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score."""
+def guess(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> Column:
+    """A struct of lang and score for each text."""
     langs, prototypes = model
     dimensions = prototypes.shape[1]
 
@@ -147,9 +149,22 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     import pandas as pd
 
     each.__annotations__ = {"batches": It[pd.Series], "return": It[pd.DataFrame]}
-    guess = F.pandas_udf(each, "lang string, score double")
-    taken = "_hd_guess"
-    return docs.withColumn(taken, guess(F.col(f"`{text}`"))).withColumns({"lang_pred": F.col(f"{taken}.lang"), "score": F.col(f"{taken}.score")}).drop(taken)
+    return F.pandas_udf(each, "lang string, score double")(columns_of(docs, text)[0])
+
+
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
+    """``docs`` with lang_pred and score; input columns of these names are replaced."""
+    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    (taken,) = fresh(docs, "_guess")
+    guessed = docs.withColumn(taken, guess(docs, model, text))
+    return guessed.select(*columns_of(docs, *own), F.col(f"{taken}.lang").alias("lang_pred"), F.col(f"{taken}.score").alias("score"))
+
+
+def recognised(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a letter whose best cosine is above 0, all columns as they are."""
+    (taken,) = fresh(docs, "_guess")
+    guessed = docs.withColumn(taken, guess(docs, model, text))
+    return guessed.where((F.col(f"{taken}.lang") != UNKNOWN) & (F.col(f"{taken}.score") > 0)).select(*columns_of(docs, *docs.columns))
 
 
 def fold(doc_id: Column) -> Column:

@@ -6,17 +6,22 @@
    element or by the words of its class, id and role), or in which content element.
 2. Pages of a host are sorted by URL path. A page is paired with the nearest one on either side. The
    lines of a pair are aligned by a longest common subsequence; lines in it are the site's template
-   and are deleted from both. A neighbour that shares most of the content as well is a copy of the
-   page, not a template of it, and is no evidence.
-3. An exact check on structure follows: of what is left only the lines of the innermost kind of content
-   element stay (article, else main, else an element named so, else the whole body). Lines inside such
-   an element are never deleted, because passages that articles share are still articles.
+   and are deleted from both. A neighbour that shares most characters of both pages' content is a copy of the
+   page, not a template of it, and is no evidence: the page is then paired with the nearest earlier page that
+   is no copy of that neighbour.
+3. Lines inside an element that says it is content (article, else main, else one named so) are never
+   deleted by differencing, because passages that articles share are still articles. What else stands outside such an
+   element goes by its structure. Pages without one have differencing and the elements without content only.
+
+n_shared counts the lines that differencing deletes, n_other those that only structure shows to be no text.
 
 Sorting is a range partition of hashes only; pairs across two partitions are made from the first and
-last row of each, so no host is ever gathered in one task and results don't depend on partitions.
+last row of each, so no host is ever gathered in one task. Only which earlier page replaces a copy depends on
+where partitions end.
 
 Null html: empty text. A null or odd url: no host, paired with other such pages. Equal rows get equal
-results. Further columns are ignored.
+results. Pages of any length are read whole; an empty table gives an empty result. Further columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -172,16 +177,16 @@ def common_subsequence(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-#: A neighbour that shares at least this part of both pages' content lines is a copy.
+#: A neighbour that shares at least this part of the characters of both pages' content lines is a copy.
 COPY = 0.8
 
 
-def template_lines(a: list[int], a_body: list[bool], b: list[int], b_body: list[bool]) -> tuple[list[int], list[int]]:
-    """Places of the lines that two pages share as their template."""
+def template_lines(a: list[int], a_body: list[int], b: list[int], b_body: list[int]) -> tuple[list[int], list[int]] | None:
+    """Places of the lines that two pages share as their template; None for copies. ``_body``: characters of content lines, 0 for others."""
     shared = common_subsequence(a, b)
-    body = sum(a_body[i] and b_body[j] for i, j in shared)
+    body = sum(min(a_body[i], b_body[j]) for i, j in shared)
     if body and body >= COPY * max(sum(a_body), sum(b_body)):
-        return [], []
+        return None
     return [i for i, _ in shared], [j for _, j in shared]
 
 
@@ -194,33 +199,40 @@ def _where(url: str | None) -> tuple[str, str]:
 
 
 def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("row", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("hashes", pa.list_(pa.int64())), ("body", pa.list_(pa.bool_()))])
+    schema = pa.schema([("row", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("hashes", pa.list_(pa.int64())), ("body", pa.list_(pa.int32()))])
     for batch in batches:
         rows = []
         for row, url, page in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
             lines, ranks = page_lines(page.as_py())
             top = max(ranks, default=0)
-            rows.append((row.as_py(), *_where(url.as_py()), [np.int64(np.uint64(xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))).view(np.int64)) for x in lines], [r == top for r in ranks]))
+            rows.append((row.as_py(), *_where(url.as_py()), [np.int64(np.uint64(xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))).view(np.int64)) for x in lines], [len(x) if r == top else 0 for x, r in zip(lines, ranks, strict=True)]))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(list(v), f.type) for v, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-PAIRED = pa.schema([("row", pa.int64()), ("shared", pa.list_(pa.int32())), ("edge", pa.bool_()), ("host", pa.string()), ("path", pa.string()), ("hashes", pa.list_(pa.int64())), ("body", pa.list_(pa.bool_()))])
-PAIRED_DDL = "row long, shared array<int>, edge boolean, host string, path string, hashes array<long>, body array<boolean>"
+PAIRED = pa.schema([("row", pa.int64()), ("shared", pa.list_(pa.int32())), ("edge", pa.bool_()), ("host", pa.string()), ("path", pa.string()), ("hashes", pa.list_(pa.int64())), ("body", pa.list_(pa.int32()))])
+PAIRED_DDL = "row long, shared array<int>, edge boolean, host string, path string, hashes array<long>, body array<int>"
 
 
 def _align(edges: bool):
     """Aligns neighbours of a sorted partition; with ``edges``, also hands on its first and last row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, out = None, []
+        before, other, out = None, None, []  # the row before, and the last one of its host that is no copy of it
         for batch in batches:
             for now in batch.select(["row", "host", "path", "hashes", "body"]).to_pylist():
                 if before is None:
                     if edges:
                         out.append(now | {"edge": True, "shared": None})
-                elif now["host"] == before["host"] and now["row"] != before["row"]:
-                    for page, places in zip((before, now), template_lines(before["hashes"], before["body"], now["hashes"], now["body"]), strict=True):
+                elif now["host"] != before["host"]:
+                    other = None
+                elif now["row"] != before["row"]:
+                    found, partner = template_lines(before["hashes"], before["body"], now["hashes"], now["body"]), before
+                    if found is not None:
+                        other = before
+                    elif other is not None:
+                        found, partner = template_lines(other["hashes"], other["body"], now["hashes"], now["body"]), other
+                    for page, places in zip((partner, now), found or ([], []), strict=True):
                         if places:
                             out.append({"row": page["row"], "shared": places, "edge": False})
                 before = now
@@ -236,33 +248,37 @@ def _align(edges: bool):
 
 
 def _content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("row", pa.int64()), ("lines", pa.list_(pa.string())), ("places", pa.list_(pa.int32())), ("guarded", pa.bool_())])
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("row", pa.int64()), ("lines", pa.list_(pa.string())), ("ranks", pa.list_(pa.int32()))])
     for batch in batches:
         for start in range(0, len(batch), 1000):
             part = batch.slice(start, 1000)
-            lines, places, guarded = [], [], []
+            lines, ranks = [], []
             for page in part.column(3):
-                found, ranks = page_lines(page.as_py())
-                top = max(ranks, default=0)
-                keep = [i for i, r in enumerate(ranks) if r == top >= 0]
-                lines.append([found[i] for i in keep])
-                places.append(keep)
-                guarded.append(top > 0)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(lines, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32())), pa.array(guarded)], schema=schema)
+                found, own = page_lines(page.as_py())
+                lines.append([x if r >= 0 else "" for x, r in zip(found, own, strict=True)])  # what is no content needs no text
+                ranks.append(own)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(lines, pa.list_(pa.string())), pa.array(ranks, pa.list_(pa.int32()))], schema=schema)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, n_shared (lines shared with a neighbour) of every page."""
+    """page_id, url, text, n_chars, n_shared (lines deleted by differencing), n_other (further lines deleted by structure) of every page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.xxhash64("page_id", "url", "html").alias("row"), F.col("html").cast("string").alias("html"))
-    outline = rows.select("row", "url", "html").mapInArrow(_outline, "row long, host string, path string, hashes array<long>, body array<boolean>")
+    outline = rows.select("row", "url", "html").mapInArrow(_outline, "row long, host string, path string, hashes array<long>, body array<int>")
     order = ["host", "path", "row"]
     paired = saved(outline.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_align(True), PAIRED_DDL))
     # two rows for each partition, whatever the data
     across = paired.where("edge").repartition(1).sortWithinPartitions(*order).mapInArrow(_align(False), PAIRED_DDL)
     shared = paired.where("NOT edge").select("row", "shared").unionByName(across.select("row", "shared"))
     shared = shared.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared"))
-    content = rows.mapInArrow(_content, "page_id long, url string, row long, lines array<string>, places array<int>, guarded boolean")
-    joined = content.join(shared, "row", "left")
-    left = F.filter("lines", lambda x, i: F.col("guarded") | F.col("shared").isNull() | ~F.array_contains("shared", F.get("places", i)))
-    text = F.array_join(left, "\n")
-    return joined.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.coalesce(F.size("shared"), F.lit(0)).alias("n_shared"))
+    content = rows.mapInArrow(_content, "page_id long, url string, row long, lines array<string>, ranks array<int>")
+    joined = content.join(shared, "row", "left").withColumn("top", F.greatest(F.lit(0), F.coalesce(F.array_max("ranks"), F.lit(0))))
+    places = F.sequence(F.lit(0), F.size("ranks") - 1)
+    guarded = lambda r: (r == F.col("top")) & (F.col("top") > 0)
+    deleted = F.filter(F.coalesce("shared", F.array().cast("array<int>")), lambda i: ~guarded(F.get("ranks", i)))
+    left = F.filter(F.array_except(F.when(F.size("ranks") > 0, places).otherwise(F.array().cast("array<int>")), "deleted"), lambda i: F.get("ranks", i) == F.col("top"))
+    joined = joined.withColumn("deleted", deleted).withColumn("kept", left)
+    text = F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n")
+    return joined.select(
+        "page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"),
+        F.size("deleted").alias("n_shared"), (F.size("ranks") - F.size("deleted") - F.size("kept")).alias("n_other"),
+    )

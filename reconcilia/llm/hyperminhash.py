@@ -5,8 +5,8 @@ words than a shingle). The top bits of a hash choose one of 128 buckets. A bucke
 the smallest hash there in 16 bits: the number of leading zeros (6 bits) and the 10 bits behind the
 first one. For banding, an empty register borrows a filled one along a fixed random order of buckets, so that
 a short document's band rests on as many shingles as a long one's. Five registers are a band;
-documents that share a band are candidates. Candidates pass a Jaccard estimate from the registers, corrected for chance collisions, with six standard deviations
-to spare, and are then confirmed on their full shingle sets.
+documents that share a band are candidates. Candidates whose Jaccard estimate from the registers, corrected for chance
+collisions, is within six standard deviations of the limit or above are confirmed on their full shingle sets; the others are left to step 3.
 
 Only what decides components is verified:
 
@@ -16,13 +16,14 @@ Only what decides components is verified:
    its variants.
 3. Members of one group that are still in different components are joined exactly, by the prefix and
    position filters of set-similarity joins, so that no candidate pair is left that is neither
-   verified, nor refuted by a bound, nor already connected.
+   verified, nor refuted by an exact bound, nor already connected. No estimate decides there.
 
 A pair at Jaccard 0.85 shares none of the 25 bands with probability (1 - 0.85^5)^25 < 5e-7.
 
 Nulls and empty texts have no shingles and link with nothing. Rows with one doc_id count as one
-document: they share a component, and the links of the first text in byte order count. Rows with a null doc_id take the component of their text's class, or null. Further
-columns are ignored.
+document: they share a component, and the links of the first text in byte order count. Rows with a null doc_id take the component of their text's class, or null. Ties between
+hubs go to the smaller id. Texts of any length are read whole; an empty table gives an empty result. Further
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -174,7 +175,7 @@ def similar(x: np.ndarray, y: np.ndarray, share: int) -> bool:
     return 100 * both >= share * (len(x) + len(y) - both)
 
 
-def _verify(share: int):
+def _verify(share: int, estimate: bool):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,22 +183,24 @@ def _verify(share: int):
             found = []
             for a, b, *rest in zip(*(batch.column(i) for i in range(6)), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in rest[2:])
-                p, q = (np.frombuffer(v.as_buffer(), np.uint16) for v in rest[:2])
-                guess, buckets = estimated(p, q, len(x), len(y))
-                spare = 6 * (share / 100 * (1 - share / 100) / max(1, buckets)) ** 0.5
-                if guess >= share / 100 - spare and similar(x, y, share):
+                if estimate:
+                    p, q = (np.frombuffer(v.as_buffer(), np.uint16) for v in rest[:2])
+                    guess, buckets = estimated(p, q, len(x), len(y))
+                    if guess < share / 100 - 6 * (share / 100 * (1 - share / 100) / max(1, buckets)) ** 0.5:
+                        continue
+                if similar(x, y, share):
                     found.append((a.as_py(), b.as_py()))
             yield pa.RecordBatch.from_pydict({"a": [f[0] for f in found], "b": [f[1] for f in found]}, schema)
 
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Those (a, b) pairs whose full sets are similar enough."""
+def verified(pairs: DataFrame, sets: DataFrame, share: int, estimate: bool) -> DataFrame:
+    """Those (a, b) pairs whose full sets are similar enough; with ``estimate``, pairs far below it by their registers are left for later."""
     first = sets.select(F.col("id").alias("a"), F.col("registers").alias("ra"), F.col("hashes").alias("ha"))
     second = sets.select(F.col("id").alias("b"), F.col("registers").alias("rb"), F.col("hashes").alias("hb"))
     joined = pairs.join(first, "a").join(second, "b").select("a", "b", "ra", "rb", "ha", "hb")
-    return joined.mapInArrow(_verify(share), "a long, b long")
+    return joined.mapInArrow(_verify(share, estimate), "a long, b long")
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,13 +223,14 @@ def possible_pairs(docs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """
     bin_of = lambda n: F.floor(F.log(n.cast("double")) / F.lit(np.log(1.05))).cast("int")
     rows = saved(sets.join(docs, "id").select("id", "component", "hashes").mapInArrow(_tokens, "id long, component long, n long, token long"))
-    common = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("least"), F.max("component").alias("most"))
+    common = saved(rows.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("least"), F.max("component").alias("most")))
     ranked = rows.join(common, "token").withColumn("i", F.row_number().over(Window.partitionBy("id").orderBy("df", "token")) - 1)
     # the most that a set can share with one of m tokens if its first shared token is at place i
     most = F.floor((F.col("n") - F.col("i")) * F.lit((100 + share) / share) + F.lit(1e-9)) - F.col("n")
     low, high = F.ceil(F.col("n") * share / 100), F.least(F.floor(F.col("n") * 100 / share), most)
     prefix = saved(ranked.where(F.col("least") != F.col("most")).withColumns({"low": low, "high": high}).where("low <= high").select("token", "id", "component", "n", "i", "low", "high"))
     usual = prefix.groupBy("token", "component").agg(F.count("*").alias("times")).groupBy("token").agg(F.max(F.struct("times", "component")).alias("usual"), F.count("*").alias("kinds")).where("kinds > 1")
+    usual = saved(usual)  # both sides of the join are then dealt out for it, so that a frequent token can be split
     some = prefix.join(usual.select("token", F.col("usual.component").alias("usual")), "token")
     seek = some.where("component != usual").select("token", F.explode(F.sequence(bin_of(F.col("low")), bin_of(F.col("high")))).alias("bin"), "id", "component", "n", "i").alias("x")
     sit = prefix.select("token", bin_of(F.col("n")).alias("bin"), "id", "component", "n", "i").alias("y")
@@ -257,7 +261,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, text: str
     wanted = saved(members.select("id").distinct())
     bodies = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("binary").alias("body"))
     sets = saved(maybe_among(bodies, "id", wanted).join(wanted, "id", "left_semi").groupBy("id").agg(F.min("body").alias("body")).mapInArrow(_sets(words), "id long, registers binary, hashes binary"))
-    links = saved(verified(pairs, sets, share))
+    links = saved(verified(pairs, sets, share, estimate=True))
     labels = components(links)
 
     # what is left: members of one group in different components
@@ -265,7 +269,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, text: str
     mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("key")
     mixed = saved(mixed)
     open_ = placed.join(mixed, "key").select("id", "component").distinct()
-    more = saved(verified(possible_pairs(open_, sets, share).join(pairs, ["a", "b"], "left_anti"), sets, share))
+    more = saved(verified(possible_pairs(open_, sets, share), sets, share, estimate=False))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 

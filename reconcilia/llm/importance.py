@@ -13,7 +13,8 @@ is broadcast. The k-th largest key is found by counting in ever finer bins.
 
 Nulls and empty texts have no n-grams and log weight 0. Documents whose keys tie with the k-th are all
 kept. Null ids share one Gumbel variable. Repeated rows get equal results. Without labels everything
-is kept. Further columns are ignored.
+is kept; an empty table gives an empty result. Texts of any length are read whole. Further columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -58,7 +59,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def log_ratios(docs: DataFrame, targets: DataFrame) -> np.ndarray:
     """log(p_target / p_raw) of every bucket. ``targets``: a bounded table of doc_id."""
     chosen = F.broadcast(targets.select("doc_id").distinct().withColumn("target", F.lit(True)))
-    marked = docs.join(chosen, "doc_id", "left").select(F.col("text").cast("binary").alias("body"), F.coalesce("target", F.lit(False)).alias("target"))
+    bodies = docs.select("doc_id", F.col("text").cast("binary").alias("body"))
+    marked = bodies.join(chosen, "doc_id", "left").select("body", F.coalesce("target", F.lit(False)).alias("target"))
     sums = marked.mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     counts = np.zeros((2, 1 << BUCKET_BITS))
     counts[:, sums["bucket"].to_numpy(np.int64)] = sums[["raw", "target"]].to_numpy().T

@@ -6,14 +6,16 @@ until none is above. That is the level L with sum(min(cap, weight * L)) = total,
 ordering the sources by cap / weight: those before the level are clamped.
 
 Sampling: a source with target = size * (k + f) takes each document k times whole, and once more the
-documents that come first by a seeded hash until the rest f * size is used up; the document at that
-edge is taken in part. So a source takes its target to the word, and reruns agree.
+documents that come first by a seeded hash of their id until the rest f * size is used up; the document at
+that edge is taken in part. So a source takes its target to the word, and reruns agree. Rows of one id
+(null is an id) stand at one place; if they are the edge, each gives the same share of its words, cut to whole words.
 
-Nothing but one row for each source meets in one task. A prefix sum over a hot source runs over the
-4096 hash ranges of its ids first and then within each range.
+The edge of a source is found by counting words in ever finer ranges of the hash. What meets in one task
+is one row for each source, or the few thousand ranges of one source; documents are never ordered.
 
-Null source: a source of its own, last in order. Null text: size 0, taken 0. Repeated ids are ranked
-by size, equal rows get interchangeable results. An empty table gives an empty result.
+Null source: a source of its own, last in order. Null text: size 0, taken 0. Texts of any length are counted
+whole. Ties: rows with equal id and text get equal results. An empty table gives an empty result. Further columns,
+whatever their names, don't matter to ``mix`` and are handed on by ``repeated``.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reconcilia.llm.common import WORD, saved
+from reconcilia.llm.common import WORD, columns_of, saved
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -55,48 +57,68 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     return per.withColumn("first", first).select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, whole (repetitions), part (words of one more), taken."""
-    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sizes = saved(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), place.alias("place")))
+def place_of(doc_id: Column, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+
+
+#: Characters of the hash by which the edge is looked for: ranges, ranges in a range, places.
+LEVELS = (3, 6, 32)
+
+
+def source_edges(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """One row for each source: what it takes whole, and the place up to which it takes once more.
+
+    ``sizes``: source, size, place, as a written table. Result: source, source_size, target, whole, edge (null: all are
+    taken once more), edge_left (words still to take there), edge_size (words that stand there).
+    """
     targets = source_targets(sizes, weights, max_epochs)
     targets = targets.withColumn("whole", F.least(F.lit(max_epochs), F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))).cast("long"))
-    targets = targets.withColumn("rest", F.round(F.col("target")).cast("long") - F.col("whole") * F.col("source_size"))
-    targets = saved(targets)
-    ranges = sizes.groupBy("source", F.substring("place", 1, 3).alias("range")).agg(F.sum("size").alias("range_size"))
-    before = F.coalesce(F.sum("range_size").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    same_source = lambda a, b: a["source"].eqNullSafe(b["source"])
-    ranges = ranges.withColumn("range_before", before)
-    ranges = ranges.join(targets, same_source(ranges, targets)).drop(targets["source"])
-    left = sizes.withColumn("range", F.substring("place", 1, 3))
-    out = left.join(ranges, same_source(left, ranges) & (left["range"] == ranges["range"])).drop(ranges["source"]).drop(ranges["range"])
-    inside = Window.partitionBy("source", "range").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
-    done = F.col("range_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    out = out.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - done)))
-    taken = F.col("whole") * F.col("size") + F.col("part")
-    return out.select("doc_id", "source", "size", "source_size", "target", "whole", "part", taken.alias("taken"), "place")
+    targets = saved(targets.withColumn("rest", F.round(F.col("target")).cast("long") - F.col("whole") * F.col("source_size")))
+    near, known = targets.select(F.col("source").alias("_source"), F.lit("").alias("_range"), F.col("rest").alias("left")), 0
+    for level in LEVELS:
+        inside = sizes.join(near, F.col("source").eqNullSafe(F.col("_source")) & (F.substring("place", 1, known) == F.col("_range")))
+        ranges = inside.groupBy("source", F.substring("place", 1, level).alias("range")).agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+        before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        edge = ranges.withColumn("before", before).where("before <= left AND left < before + words")
+        near, known = saved(edge.select(F.col("source").alias("_source"), F.col("range").alias("_range"), (F.col("left") - F.col("before")).alias("left"), "words")), level
+    edges = targets.join(near, F.col("source").eqNullSafe(F.col("_source")), "left")
+    return saved(edges.select("source", "source_size", "target", "whole", F.col("_range").alias("edge"), F.col("left").alias("edge_left"), F.col("words").alias("edge_size")))
+
+
+def part_of(size: Column, place: Column) -> Column:
+    """Words that a document gives once more."""
+    shared = F.when(F.col("edge_size") == size, F.col("edge_left")).otherwise(F.floor(F.col("edge_left") * size / F.greatest("edge_size", F.lit(1))))
+    return F.when(F.col("edge").isNull() | (place < F.col("edge")), size).when(place == F.col("edge"), shared).otherwise(0).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 7) -> DataFrame:
+    """doc_id, source, size, source_size, target, whole (repetitions), part (words of one more), taken."""
+    sizes = saved(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), place_of(F.col("doc_id"), seed).alias("place")))
+    edges = source_edges(sizes, weights, max_epochs)
+    out = sizes.join(edges, sizes["source"].eqNullSafe(edges["source"])).drop(edges["source"])
+    out = out.withColumn("part", part_of(F.col("size"), F.col("place")))
+    return out.select("doc_id", "source", "size", "source_size", "target", "whole", "part", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
 
 
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 7) -> DataFrame:
-    """The mix itself: ``docs`` with each document repeated as ``mix`` says, n_chars brought up to date.
+    """The mix itself: ``docs`` with each document repeated as ``mix`` says; n_chars, where there is one, follows the text.
 
-    All of a source's extra repetitions lie before one edge in the order of the seeded hash, so one row
-    for each source says what to take, and texts are never dealt out. The document at the edge gives
+    One row for each source says what to take, so texts are never dealt out for it. A document taken in part gives
     its first words, joined by single spaces.
     """
-    mixed = mix(docs, weights, max_epochs, seed)
-    edges = mixed.groupBy("source").agg(F.first("whole").alias("_whole"), F.max(F.when(F.col("part") > 0, F.struct("place", "part"))).alias("_edge"))
-    edges = saved(edges.withColumnRenamed("source", "_source"))
-    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    size = size_of(F.col("text"))
-    extra = F.when(place < F.col("_edge.place"), F.col("_size")).when(place == F.col("_edge.place"), F.least("_size", "_edge.part")).otherwise(0)
-    out = docs.join(edges, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_size", size).withColumn("_extra", extra)
+    text = F.col("text").cast("string")
+    sizes = saved(docs.select("source", size_of(text).alias("size"), place_of(F.col("doc_id"), seed).alias("place")))
+    edges = source_edges(sizes, weights, max_epochs).withColumnRenamed("source", "of_source")
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    rows = docs.select(F.struct(*columns_of(docs, *others)).alias("row"), text.alias("text"), "source", size_of(text).alias("size"), place_of(F.col("doc_id"), seed).alias("place"))
+    out = rows.join(edges, F.col("source").eqNullSafe(F.col("of_source"))).withColumn("part", part_of(F.col("size"), F.col("place")))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    head = F.array_join(F.slice(words, 1, F.greatest(F.lit(1), F.col("_extra")).cast("int")), " ")
-    whole = F.array_repeat(F.col("text"), (F.col("_whole") + F.when((F.col("_extra") > 0) & (F.col("_extra") == F.col("_size")), 1).otherwise(0)).cast("int"))
-    copies = F.when((F.col("_extra") > 0) & (F.col("_extra") < F.col("_size")), F.concat(whole, F.array(head))).otherwise(whole)
-    out = out.withColumn("_copy", F.explode(copies))
-    return out.withColumns({"text": F.col("_copy"), "n_chars": F.length("_copy").cast("long")}).select(*docs.columns)
+    head = F.array_join(F.slice(words, 1, F.greatest(F.lit(1), F.col("part")).cast("int")), " ")
+    some = (F.col("part") > 0) & (F.col("part") < F.col("size"))
+    whole = F.array_repeat(F.col("text"), (F.col("whole") + F.when((F.col("part") > 0) & ~some, 1).otherwise(0)).cast("int"))
+    out = out.select("row", F.explode(F.when(some, F.concat(whole, F.array(head))).otherwise(whole)).alias("text"))
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
+    return out.select(*(own[c] if c in own else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 #: The same in DuckDB: water-filling by repeated clamping in place of the ordered form.

@@ -12,35 +12,43 @@ from reconcilia.llm.common import table
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page. Null or empty html gives empty text."""
     return html_diff.main_text(table(spark, sf_dir, "pages"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, target and words taken of every document. Null text: size 0; null source: the last source."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document by 3-word shingles at 85 %. Null and empty texts are alone."""
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, share=85)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, and proof that they decode to it. Null texts have none."""
     return unigram_pieces.encoded(table(spark, sf_dir, "documents"), columns=["doc_id"])
 
 
 def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight of every document, and whether it is among those resampled. Null texts weigh 0."""
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text as telephony audio, from the stored bytes. Null counts as empty."""
     return telephony.features(telephony.stored(table(spark, sf_dir, "documents")))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of every document; the largest id stays. Null counts as empty."""
     return exact_trie.exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of each toxicity category for every document. Null and empty texts are never flagged."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     categories = {
         "low_quality": F.col("quality") == 0,
@@ -53,6 +61,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of the ids. Null texts and texts without a letter: und."""
     docs = table(spark, sf_dir, "documents")
     held_out = hd_langid.fold(F.col("doc_id")) == 1
     model = hd_langid.learn(docs.where(~held_out))
@@ -60,6 +69,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without duplicate lines, and how many of each kind went. Null texts have no lines."""
     cleaned = line_dedup.without_duplicate_lines(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "text", "n_lines", "n_same", "n_near", "n_short")
 

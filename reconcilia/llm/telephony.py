@@ -1,16 +1,20 @@
-"""Telephony audio as a media column.
+"""Telephony audio as media columns.
 
 A payload of bytes is one second for every 8000 bytes of G.711 audio. It is stored as a RIFF/WAVE
-file of 8-bit mu-law samples, without loss, in a binary column, and read back from that column:
-chunk by chunk, never by a fixed offset. From the bytes read back come
+file of 8-bit mu-law samples, without loss, in a binary column, and beside it the same audio resampled: a
+RIFF/WAVE file of 16 kHz, 16-bit PCM. Both are read back from their columns, chunk by chunk, never by a fixed offset.
+From the bytes read back come
 
 * mu-law and A-law PCM by 256-entry lookup tables built from the G.711 rule,
 * IMA ADPCM PCM: the same bytes seen as 64-byte blocks (4 bytes of state, 120 four-bit steps),
   decoded with numpy across all blocks at once, step by step,
-* PCM resampled from 8 to 16 kHz by linear interpolation, stored as little-endian 16-bit samples.
+* a checksum of the resampled PCM: each sample, then the mean of it and the next.
+
+The columns are made and read in one job; where they are to outlive it, the caller writes ``stored``.
 
 Null texts count as empty. Every payload has at least one block of 64 bytes; zeros fill the last.
-Equal texts give equal values in every column. Further input columns are ignored.
+Equal texts give equal values in every column. Texts of any length are stored whole. Repeated rows stay apart; an empty
+table gives an empty result. Further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from reconcilia.llm.common import columns_of
 
 BLOCK = 64
 RATE = 8000
@@ -70,25 +75,31 @@ def payload_of(text: str | None) -> bytes:
     return body + bytes(BLOCK - len(body) if not body else -len(body) % BLOCK)
 
 
-def wave_file(samples: bytes) -> bytes:
-    """A RIFF/WAVE file of 8-bit mu-law mono samples, with the fact chunk that such files carry."""
-    chunks = [(b"fmt ", struct.pack("<HHIIHHH", MULAW_FORMAT, 1, RATE, RATE, 1, 8, 0)), (b"fact", struct.pack("<I", len(samples))), (b"data", samples)]
-    body = b"WAVE" + b"".join(name + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2) for name, data in chunks)
+PCM_FORMAT = 1
+
+
+def wave_file(samples: bytes, form: int = MULAW_FORMAT, rate: int = RATE) -> bytes:
+    """A mono RIFF/WAVE file: 8-bit mu-law samples, with the fact chunk that such files carry, or 16-bit PCM."""
+    width = 1 if form == MULAW_FORMAT else 2
+    head = struct.pack("<HHIIHH", form, 1, rate, rate * width, width, 8 * width)
+    chunks = [(b"fmt ", head + b"\0\0" if form == MULAW_FORMAT else head)]
+    chunks += [(b"fact", struct.pack("<I", len(samples)))] if form == MULAW_FORMAT else []
+    body = b"WAVE" + b"".join(name + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2) for name, data in [*chunks, (b"data", samples)])
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def wave_samples(media: bytes) -> bytes:
+def wave_samples(media: bytes, form: int = MULAW_FORMAT) -> bytes:
     """The sample bytes of such a file; raises on any other."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a RIFF/WAVE file")
-    at, form = 12, None
+    at, found = 12, None
     while at + 8 <= len(media):
         name, n = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
         if name == b"fmt ":
-            form = struct.unpack_from("<HHIIHH", media, at + 8)
+            found = struct.unpack_from("<HHIIHH", media, at + 8)
         elif name == b"data":
-            if form is None or (form[0], form[1], form[5]) != (MULAW_FORMAT, 1, 8):
-                raise ValueError("not 8-bit mu-law mono")
+            if found is None or (found[0], found[1], found[5]) != (form, 1, 8 if form == MULAW_FORMAT else 16):
+                raise ValueError("not mono of that format")
             return media[at + 8 : at + 8 + n]
         at += 8 + n + n % 2
     raise ValueError("no data chunk")
@@ -137,51 +148,53 @@ def resampled(pcm: np.ndarray) -> np.ndarray:
     return out
 
 
-MEDIA_DDL = "doc_id long, n_bytes long, media binary"
-MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+MEDIA_DDL = "doc_id long, n_bytes long, media binary, resampled binary"
+MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("resampled", pa.binary())])
 #: Payload bytes worked on together.
-PORTION = 4 << 20
+PORTION = 2 << 20
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = mulaw_table()
+    rows: list[tuple] = []
+    held = 0
     for batch in batches:
-        ids, sizes, files, held = [], [], [], 0
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             text = text.as_py()
             payload = payload_of(text)
-            ids.append(doc)
-            sizes.append(len((text or "").encode("utf-8", "surrogatepass")))
-            files.append(wave_file(payload))
+            pcm = resampled(table[np.frombuffer(payload, np.uint8)]).tobytes()
+            rows.append((doc, len((text or "").encode("utf-8", "surrogatepass")), wave_file(payload), wave_file(pcm, PCM_FORMAT, 2 * RATE)))
             held += len(payload)
             if held > PORTION:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], schema=MEDIA)
-                ids, sizes, files, held = [], [], [], 0
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], schema=MEDIA)
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), MEDIA, strict=True)], schema=MEDIA)
+                rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), MEDIA, strict=True)], schema=MEDIA)
 
 
 def stored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes, media: every text as a mu-law WAVE file."""
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(_store, MEDIA_DDL)
+    """doc_id, n_bytes, media (every text as a mu-law WAVE file), resampled (its audio as a 16 kHz PCM WAVE file)."""
+    return docs.select(columns_of(docs, doc_id)[0].cast("long").alias("doc_id"), columns_of(docs, text)[0].cast("string").alias("text")).mapInArrow(_store, MEDIA_DDL)
 
 
 FEATURES = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
 FEATURES_DDL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def feature_rows(medias: list[bytes]) -> list[tuple]:
+def level_words(name: str, pcm: np.ndarray) -> str:
+    """Mean power and peak size of samples."""
+    wide = pcm.astype(np.int64)
+    return f"{name}={int((wide * wide).sum()) // len(pcm)}:{int(np.abs(wide).max())}"
+
+
+def feature_rows(medias: list[bytes], others: list[bytes]) -> list[tuple]:
     """Payload and audio features of stored files, all from the bytes read back."""
     payloads = [wave_samples(m) for m in medias]
-    counts = [np.bincount(np.frombuffer(p, np.uint8), minlength=256) for p in payloads]
-    levels = {name: table().astype(np.int64) for name, table in (("mu", mulaw_table), ("a", alaw_table))}
     rows = []
-    for media, payload, count, adpcm in zip(medias, payloads, counts, adpcm_sums(payloads), strict=True):
-        words = []
-        for name, level in levels.items():
-            power = int(count @ level**2)
-            words.append(f"{name}={power // len(payload)}:{int(np.abs(level[count > 0]).max())}")
-        words.append("adpcm=" + ":".join(str(int(x)) for x in adpcm))
-        words.append(f"pcm16k={zlib.crc32(resampled(mulaw_table()[np.frombuffer(payload, np.uint8)]).tobytes()):08x}")
+    for media, payload, other, adpcm in zip(medias, payloads, others, adpcm_sums(payloads), strict=True):
+        codes = np.frombuffer(payload, np.uint8)
+        words = [level_words("mu", mulaw_table()[codes]), level_words("a", alaw_table()[codes]), "adpcm=" + ":".join(str(int(x)) for x in adpcm)]
+        words.append(f"pcm16k={zlib.crc32(wave_samples(other, PCM_FORMAT)):08x}")
         rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), " ".join(words)))
     return rows
 
@@ -194,24 +207,12 @@ def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, media in enumerate(batch.column(2)):
             held += len(media.as_buffer())
             if held > PORTION or i + 1 == len(ids):
-                rows = feature_rows(batch.column(2).slice(start, i + 1 - start).to_pylist())
+                rows = feature_rows(*(batch.column(c).slice(start, i + 1 - start).to_pylist() for c in (2, 3)))
                 names = [ids[start : i + 1], sizes[start : i + 1], *zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(list(v), f.type) for v, f in zip(names, schema, strict=True)], schema=schema)
                 start, held = i + 1, 0
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Digest columns of (doc_id, n_bytes, media) rows."""
-    return media.mapInArrow(_analyse, FEATURES_DDL)
-
-
-def decoded(media: DataFrame) -> DataFrame:
-    """doc_id and pcm: the stored audio as 16 kHz PCM, little-endian 16-bit samples."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, m in zip(batch.column(0), batch.column(2), strict=True):
-                pcm = resampled(mulaw_table()[np.frombuffer(wave_samples(m.as_py()), np.uint8)]).tobytes()
-                yield pa.RecordBatch.from_pydict({"doc_id": [doc.as_py()], "pcm": [pcm]}, pa.schema([("doc_id", pa.int64()), ("pcm", pa.binary())]))
-
-    return media.mapInArrow(run, "doc_id long, pcm binary")
+    """Digest columns of ``stored`` rows."""
+    return media.select("doc_id", "n_bytes", "media", "resampled").mapInArrow(_analyse, FEATURES_DDL)

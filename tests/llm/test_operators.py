@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import duckdb
@@ -36,16 +37,33 @@ def test_exact(spark):
     assert exact_trie.exact_dedup(df.limit(0)).count() == 0
 
 
-def test_trie_spills():
+@pytest.mark.parametrize(("prefix", "size", "limit"), [(b"", 12, 4000), (b"p" * 80, 12, 4000), (b"", 300, 20000), (b"ab" * 100, 0, 1000)])
+def test_trie_spills(prefix, size, limit):
     rng = random.Random(1)
-    texts = [bytes(rng.choices(b"ab", k=rng.randrange(0, 12))) for _ in range(3000)]
+    texts = [prefix[: rng.choice([len(prefix), len(prefix), rng.randrange(len(prefix) + 1)])] + bytes(rng.choices(b"ab", k=rng.randrange(0, size + 1))) for _ in range(3000)]
     want = {}
     for i, t in enumerate(texts):
         want[t] = (min(i, want.get(t, (i, 0))[0]), want.get(t, (0, 0))[1] + 1)
-    trie = exact_trie.Patricia(min, 200)
+    trie, most = exact_trie.Patricia(min, limit), 0
     for i, t in enumerate(texts):
         trie.add(t, i)
-    assert trie.spilled and {t: (o, n) for t, o, n in trie.items()} == want
+        most = max(most, trie.size)
+    assert trie.spilled and most <= limit + max(map(len, texts)) + 2 * exact_trie.NODE_BYTES
+    found = list(trie.items())
+    assert len(found) == len(want) and {t: (o, n) for t, o, n in found} == want
+
+
+def test_trie_memory():
+    """Short texts, of which nodes are most of the cost, and long ones with a common start: a task stays near its limit."""
+    for texts in ([b"%012d" % (7919 * i) for i in range(60_000)], [b"x" * 80 + b"%0300d" % (7919 * i) for i in range(20_000)]):
+        tracemalloc.start()
+        trie = exact_trie.Patricia(min, 4 << 20)
+        for i, t in enumerate(texts):
+            trie.add(t, i)
+        n = sum(1 for _ in trie.items())
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n == len(texts) and peak < 3 * (4 << 20)
 
 
 def test_mixing(spark):
