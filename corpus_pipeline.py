@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet to the
 shared folder and reads it back as the next stage's documents. All stages but the last keep the
-columns of documents. Texts are null-safe; n_chars follows the text.
+columns of documents, whatever their names; n_chars follows the text.
+
+Null texts and texts without a letter go in the first stage. Repeated rows with one doc_id count as one document for
+lines and near-duplicates (all of them stay or go), and stand at one place of the mix. Of ties, the smallest doc_id
+stays. Texts of any length are worked on whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,13 +18,13 @@ from pyspark.sql import functions as F
 
 from reconcilia.llm import hd_langid, hyperminhash, line_dedup, mixing, unigram_pieces
 from reconcilia.llm.common import saved, table, without
+from reconcilia.storage import scratch, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those without a letter, or like no language at all, go."""
     model = hd_langid.learn(docs.where(hd_langid.fold(F.col("doc_id")) != 1))
-    found = hd_langid.identify(docs, model)
-    return found.where((F.col("lang_pred") != hd_langid.UNKNOWN) & (F.col("score") > 0)).select(*docs.columns)
+    return hd_langid.recognised(docs, model)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,12 +56,15 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("encode_pieces", encode_pieces),
 ]
 
-#: Language ID and piece encoding can't be said in SQL; the pipeline is tested against a plain version.
+#: Language ID and piece encoding can't be said in SQL; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir))
+        with scratch(spark) as made:  # what a stage wrote on its way goes when its result is written
+            out = written(stage(spark, docs, sf_dir))
+            made.remove(out)
+        docs = spark.read.parquet(out)
     return docs
