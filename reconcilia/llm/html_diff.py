@@ -56,6 +56,7 @@ CHROME_WORDS = frozenset(
     "newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus reply replies respond "
     "related recommended recommendations pagination pager toolbar skip search hidden copyright".split()
 )
+READER_WORDS = frozenset("comment comments reply replies related recommended".split())
 #: Words that take the meaning of the one that follows: has-sidebar, no-comments.
 MODIFIERS = frozenset("has with no without".split())
 CONTENT_WORDS = frozenset("article content post entry story main".split())
@@ -81,7 +82,8 @@ def _nature(tag: str, attributes: str, inside: int) -> tuple[bool, int]:
         return False, 0
     if tag == "header" and inside == 3:  # an article's own head holds its title
         return False, 0
-    if tag in CHROME or words & CHROME_WORDS or "header" in words and not inside:
+    named = tag in ("article", "main") and words & CONTENT_WORDS and not words & READER_WORDS  # a sponsored post is a post
+    if tag in CHROME or words & CHROME_WORDS and not named or "header" in words and not inside:
         return True, 0
     return False, 3 if tag == "article" else 2 if tag == "main" or role == "main" else 1 if words & CONTENT_WORDS else 0
 
@@ -128,17 +130,17 @@ def page_lines(page: str | None) -> tuple[list[str], list[int]]:
                 flush()
                 stack.pop()
             continue
+        if tag in RAW and not (found[1] or found[4]):  # these stand inside a block and don't end it
+            if not attributes.rstrip().endswith("/"):
+                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                at = end.end() if end else len(page)
+            continue
         flush()
         if found[1] or found[4]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if depth is not None and not (tag in ("p", "li") and any(s[0] in LISTS for s in stack[depth + 1 :])):
                 del stack[depth:]
             continue
-        if tag in RAW:
-            if not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            continue
         while stack and stack[-1][0] == "p" and not stack[-1][1]:
             stack.pop()  # a block ends an open paragraph
         for i in range(len(stack) - 1, -1, -1):

@@ -161,3 +161,15 @@ def test_site(spark):
     for k, (key, lines) in enumerate(pages.items()):
         assert got[k]["text"] == "\n".join(x for i, x in enumerate(lines) if i not in gone[key]), key
         assert got[k]["n_shared"] == len(gone[key]) > 0 and got[k]["n_other"] == 0
+
+
+def test_elements():
+    """Which lines of a page are its article, by elements and names."""
+    cases = {
+        "<article class='post sponsored'><p>a</article>": ["a"], "<article class=post><p>a<article class='comment post'>b</article></article>": ["a"], "<main><p>lead</p><article>a</article></main>": ["a"],
+        "<div class='has-sidebar'><p>a</div><div class=sidebar>b</div>": ["a"], "<p>a<br>b  c\n d<p>e<script>x</script>f": ["a b c d", "ef"], "<div hidden>x</div>&lt;b&gt; &#233;": ["<b> é"], "<!-- a --><p>b<!-- c": ["b"],
+    }
+    for page, want in cases.items():
+        lines, ranks = html_diff.page_lines(page)
+        top = max(0, *ranks)
+        assert [x for x, r in zip(lines, ranks, strict=True) if r == top] == want, page
