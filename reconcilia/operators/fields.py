@@ -142,5 +142,11 @@ def bbva_products(words: DataFrame, files: DataFrame | None = None) -> DataFrame
     return wide(values.withColumn("value", F.col("text")), files_of(words, files), PRODUCTS)
 
 
+def with_numbers(products: DataFrame) -> DataFrame:
+    """``products`` with the numbers in its rates and fee beside their texts; null where there is none."""
+    number = lambda c: F.translate(F.trim(c), "$,% ", "").try_cast("decimal(18,6)")
+    return products.withColumns({f"{f}_num": number(F.col(f)) for f in PRODUCTS[2:]})
+
+
 def no_products(words: DataFrame, files: DataFrame | None = None) -> DataFrame:
     return files_of(words, files).select("file_id", *(F.lit("N/A").alias(f) for f in PRODUCTS))

@@ -177,11 +177,13 @@ def summary_sql(bank: str) -> str:
     return f"SELECT k::VARCHAR AS file_id, {', '.join(picks)} FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey % 3 = {place})"
 
 
-def products_sql() -> str:
+def products_sql(numbers: bool = False) -> str:
+    """The six printed product fields, or the numbers in the last four."""
     from reconcilia.operators.fields import PRODUCTS
 
-    texts = [f"'{f[:3].upper()}{i} ' || k" for i, f in enumerate(PRODUCTS)]
-    picks = [f"{chr(39)}N/A{chr(39)} AS {f}" if f == "gat_nominal_anual" else f"{printed(i, t)} AS {f}" for i, (f, t) in enumerate(zip(PRODUCTS, texts, strict=True))]
+    texts = ["'CON0 ' || k", "'PRO1 ' || k", "(k % 7)::VARCHAR || '.375%'", "'N/A'", "(k % 9)::VARCHAR || '.375%'", "'$1,' || lpad((k % 900)::VARCHAR, 3, '0') || '.50'"]
+    values = ["", "", "(k % 7 + 0.375)::DECIMAL(18,6)", "NULL::DECIMAL(18,6)", "(k % 9 + 0.375)::DECIMAL(18,6)", "(1000.5 + k % 900)::DECIMAL(18,6)"]
+    picks = [f"{x if f == 'gat_nominal_anual' else printed(i, x)} AS {f}{'_num' if numbers else ''}" for i, (f, x) in enumerate(zip(PRODUCTS, values if numbers else texts, strict=True)) if x]
     return f"SELECT k::VARCHAR AS file_id, {', '.join(picks)} FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey % 3 = 0)"
 
 

@@ -249,6 +249,12 @@ for _bank, _section, _mode in (("bbva", "datos", "center"), ("bbva", "resumen",
     _boxes(_bank, _section, _mode)
 
 
+@query(sql.products_sql(numbers=True))
+def product_numbers(spark, d):
+    found = fields.with_numbers(fields.bbva_products(_printed(spark, d, "bbva")))
+    return found.select("file_id", *(f"{f}_num" for f in fields.PRODUCTS[2:]))
+
+
 @query("SELECT DISTINCT o_custkey::VARCHAR AS file_id, CASE WHEN o_custkey // 3 % 2 = 1 AND o_custkey % 5 <> 0 THEN -13.073555 ELSE 0 END::DOUBLE AS shift_y FROM orders WHERE o_custkey % 3 = 0")
 def layout_shift(spark, d):
     """Premium statements print their anchor higher; where both anchors stand, the normal one counts."""
@@ -462,6 +468,12 @@ def products_bbva(spark, d):
     return fields.bbva_products(_printed(spark, d, "bbva"))
 
 
+@query(sql.products_sql(numbers=True))
+def product_numbers(spark, d):
+    found = fields.with_numbers(fields.bbva_products(_printed(spark, d, "bbva")))
+    return found.select("file_id", *(f"{f}_num" for f in fields.PRODUCTS[2:]))
+
+
 @query("SELECT DISTINCT o_custkey::VARCHAR AS file_id, CASE WHEN o_custkey // 3 % 2 = 1 THEN 'premium' ELSE 'normal' END AS variant FROM orders WHERE o_custkey % 3 = 0")
 def layout_variant(spark, d):
     return trimming.layout_variant(_printed(spark, d, "bbva"), False)

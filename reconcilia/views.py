@@ -198,6 +198,16 @@ def summary_value(i: int) -> Column:
     return ((F.col("custkey") * 100 + i * 7) / 100).cast(MONEY)
 
 
+def product_text(i: int, field: str) -> Column:
+    """The i-th printed field of a statement's product: names, then rates, then a fee."""
+    key = F.col("custkey")
+    if i < 2:
+        return F.concat(F.lit(f"{field[:3].upper()}{i} "), key.cast("string"))
+    if field == "gat_nominal_anual":
+        return F.lit("N/A")
+    return F.concat(F.lit("$1,"), F.lpad((key % 900).cast("string"), 3, "0"), F.lit(".50")) if i == 5 else F.concat((key % (i + 5)).cast("string"), F.lit(".375%"))
+
+
 def summary_cells(bank: str) -> list[Column]:
     """The summary on page 1, with a field in eleven missing; null where a statement prints nothing."""
     key = F.col("custkey")
@@ -210,8 +220,7 @@ def summary_cells(bank: str) -> list[Column]:
             dy = F.when(moved, shift).otherwise(0.0)
             for i, line in enumerate(next(t for k, t in BOXES.items() if k[:2] == (bank, section)).strip().split("\n")):
                 field, _, xmin, xmax, ymin, _ = line.split()
-                text = own.get(field, F.format_number(summary_value(i), 2)) if section == "resumen" else F.concat(F.lit(f"{field[:3].upper()}{i} "), key.cast("string"))
-                text = F.lit("N/A") if field == "gat_nominal_anual" else text
+                text = own.get(field, F.format_number(summary_value(i), 2)) if section == "resumen" else product_text(i, field)
                 right = float(xmax) - (40.0 if field == "saldo_global" else 1.0)
                 cells.append(F.when(printed(i) | (F.lit(field) == "gat_nominal_anual"), _word(text, float(xmin) + 1.0, right, float(ymin) + 2.0 + dy, 20 + i)))
                 if field == "saldo_global":
