@@ -37,8 +37,8 @@ def attach(rows: DataFrame, groups: DataFrame, key: Sequence[str], size: str) ->
     """Inner join of ``rows`` with one ``groups`` row for each key, where a few keys may hold most rows.
 
     ``size`` is the groups' column of row counts. Keys over ``max(256, rows / HOT_KEYS)`` rows number
-    at most HOT_KEYS, whatever the data, so they are broadcast; the rest is a shuffled join in which
-    no key is large. Both inputs should be saved tables, as each is read twice.
+    at most HOT_KEYS, whatever the data, so they are broadcast: a few MB, as a row of ``groups`` holds hashes,
+    ids and counts, never a text. The rest is a shuffled join in which no key is large. Both inputs should be saved tables, as each is read twice.
     """
     key = list(key)
     total = groups.agg(F.sum(size)).first()[0] or 0

@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from plain import best_score, brute_lines, components_of, shingles
 from pyspark.sql import functions as F
 
 from reconcilia.llm import chain_toxicity, exact_trie, hd_langid, html_diff, hyperminhash, importance, line_dedup, mixing, queries, telephony, unigram_pieces
@@ -86,22 +87,6 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
-def shingles(text, k):
-    w = (text or "").lower().split()
-    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
-
-
-def components_of(texts, k, share):
-    sets, root = [shingles(t, k) for t in texts], list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both and 100 * both >= share * len(sets[i] | sets[j]):
-                a, b = root[i], root[j]
-                root = [min(a, b) if r in (a, b) else r for r in root]
-    return root
-
-
 @pytest.mark.parametrize(("k", "share"), [(3, 85), (5, 80)])
 def test_near_duplicates(spark, k, share):
     rng = random.Random(k)
@@ -142,25 +127,6 @@ def test_lines_sql(spark, sf):
     assert got == want and any(r[2] and r[4] for r in got.values())
 
 
-def one_edit(a, b):
-    a, b = (a, b) if len(a) <= len(b) else (b, a)
-    if len(a) == len(b):
-        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
-    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
-
-
-def brute_lines(rows, least):
-    """(doc_id, place) of every line to drop, by comparing all pairs of distinct lines."""
-    first = {}
-    for doc, text in rows:
-        for place, line in enumerate((text or "").split("\n") if text is not None else []):
-            if line:
-                at = (-1 if doc is None else doc, place)
-                first[line] = min(first.get(line, at), at)
-    near = {x for x in first for y in first if first[y] < first[x] and min(len(x.split(" ")), len(y.split(" "))) >= least and one_edit(x.split(" "), y.split(" "))}
-    return {(doc, place) for doc, text in rows if text is not None for place, line in enumerate(text.split("\n")) if line and (line in near or first[line] != (-1 if doc is None else doc, place))}
-
-
 @pytest.mark.parametrize("least", [3, 8])
 def test_lines_brute(spark, least):
     rng, words = random.Random(least), "ab cd ef gh ij kl".split()
@@ -177,7 +143,7 @@ def test_lines_brute(spark, least):
         rows += [(i % 50, "\n".join(made))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(-1 if r["doc_id"] is None else r["doc_id"], r["place"]) for r in line_dedup.duplicate_lines(df, least).collect()}
-    assert got == {(-1 if d is None else d, p) for d, p in brute_lines(rows, least)}
+    assert got == brute_lines(rows, least)
 
 
 def test_language(spark):
@@ -213,16 +179,6 @@ def test_telephony(spark):
     assert (telephony.mulaw_table()[0xFF], telephony.mulaw_table()[0x00], telephony.alaw_table()[0xD5]) == (0, -32124, 8)
 
 
-def brute_score(own, segment):
-    index = {own.texts[i]: own.scores[i] for i in own.ids}
-    best = [0.0] + [-1e18] * len(segment)
-    for end in range(1, len(segment) + 1):
-        best[end] = best[end - 1] + own.unknown
-        for start in range(max(0, end - own.longest), end):
-            best[end] = max(best[end], best[start] + index.get(segment[start:end], -1e18))
-    return best[-1]
-
-
 def test_pieces(spark):
     own = unigram_pieces.vocabulary(unigram_pieces.VOCABULARY)
     texts = [t for t in TEXTS if t is not None] + ["Hello  world, naïve façade 12345"]
@@ -230,7 +186,7 @@ def test_pieces(spark):
         assert own.decode(ids) == t
     for segment in unigram_pieces.cut("Hello  world, naive facade 12345"):
         ids = own.solve([segment])[0]
-        assert abs(sum(own.scores[i] for i in ids) - brute_score(own, segment)) < 1e-9
+        assert abs(sum(own.scores[i] for i in ids) - best_score(own, segment)) < 1e-9
     got = {r["doc_id"]: r for r in unigram_pieces.encoded(docs(spark)).collect()}
     assert got[0]["piece_ids"] is None and got[1]["piece_ids"] == [] and all(got[i]["round_trip"] for i in range(1, len(TEXTS)))
 

@@ -2,12 +2,12 @@
 
 import math
 import random
-import re
 import struct
 from collections import Counter
 
 import numpy as np
 import pytest
+from plain import bundle, language
 from pyspark.sql import functions as F
 
 from reconcilia.llm import chain_toxicity, hd_langid, html_diff, importance, telephony
@@ -35,27 +35,11 @@ def test_importance_weights(spark):
 
 def test_language_cosines(spark):
     rows = [(0, "The cat, the DOG 12 and", "en"), (1, "le chat et la ñ été", "fr"), (2, "the and of", "en"), (3, "la la le", "fr"), (4, "Ωmega the", "en"), (5, "?", "fr")]
-    base = hd_langid.letter_vectors(hd_langid.DIMENSIONS).astype(int)
-
-    def bundle(text):
-        out = np.zeros(hd_langid.DIMENSIONS, int)
-        letters = re.sub(r"0+", "0", "".join(chr(48 + int(hd_langid.symbols()[ord(c)])) for c in f" {text.lower()} "))
-        for a, b, c in zip(letters, letters[1:], letters[2:], strict=False):
-            x, y, z = (base[ord(v) - 48] for v in (a, b, c))
-            for k in range(len(out)):
-                out[k] += x[k - 2] * y[k - 1] * z[k]
-        return out if re.search(r"[^\W\d_]", text) else out * 0
-
     languages = {g: sum(bundle(t) for _, t, own in rows if own == g) for g in ("en", "fr")}
-    cosine = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     for r in hd_langid.identify(df, hd_langid.learn(df)).collect():
-        v = bundle(rows[r["doc_id"]][1])
-        if r["doc_id"] == 5:
-            assert (r["lang_pred"], r["score"]) == ("und", 0)
-            continue
-        both = {g: cosine(v, p) for g, p in languages.items()}
-        assert r["lang_pred"] == max(both, key=both.get) and abs(r["score"] - max(0, both[r["lang_pred"]])) < 1e-5
+        name, score = language(rows[r["doc_id"]][1], languages)
+        assert r["lang_pred"] == name and abs(r["score"] - score) < 1e-5
 
 
 def test_toxicity_chain(spark):
