@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ DIMENSIONS = 512
 SYMBOL_BITS = 6
 SEED = 20
 UNKNOWN = "und"
-#: Texts that are worked on together, and the characters after which a group is cut.
-TEXTS, CHARACTERS = 256, 2_000_000
+#: Texts that are worked on together, and the bytes after which a group is cut.
+TEXTS, CHARACTERS = 256, 1_000_000
 
 
 @lru_cache(maxsize=1)
@@ -80,13 +81,15 @@ def bundles(texts: list[str | None], dimensions: int = DIMENSIONS) -> np.ndarray
     return table @ bound(known, dimensions)
 
 
-def portions(texts: list[str | None]) -> Iterator[slice]:
+def portions(texts: pa.Array) -> Iterator[slice]:
+    """Places of texts that are worked on together; only these become Python objects at a time."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start = held = 0
-    for i, t in enumerate(texts):
+    for i, size in enumerate(sizes):
         if i > start and (i - start >= TEXTS or held > CHARACTERS):
             yield slice(start, i)
             start, held = i, 0
-        held += len(t or "")
+        held += int(size)
     if len(texts) > start:
         yield slice(start, len(texts))
 
@@ -95,9 +98,9 @@ def _learn(dimensions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs, texts = (batch.column(i).to_pylist() for i in range(2))
-            for part in portions(texts):
-                vectors = bundles(texts[part], dimensions)
+            langs = batch.column(0).to_pylist()
+            for part in portions(batch.column(1)):
+                vectors = bundles(batch.column(1)[part].to_pylist(), dimensions)
                 names = np.array(langs[part], object)
                 for lang in set(langs[part]):
                     sums[lang] = sums.get(lang, 0) + vectors[names == lang].sum(axis=0, dtype=np.float64)
@@ -109,7 +112,7 @@ def _learn(dimensions: int):
 
 def learn(training: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
     """Prototypes from (lang, text) rows: languages by name, and a unit vector for each."""
-    rows = training.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
+    rows = training.select("lang", F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     sums = rows.mapInArrow(_learn(dimensions), "lang string, place int, value long").groupBy("lang", "place").agg(F.sum("value").alias("value")).toPandas()
     langs = sorted(sums["lang"].unique())
     vectors = np.zeros((len(langs), dimensions))
@@ -125,31 +128,23 @@ def guess(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
     langs, prototypes = model
     dimensions = prototypes.shape[1]
 
-    def predict(texts):
-        import pandas as pd
-
-        texts, found = [None if t is None or t is pd.NA else t for t in texts], []
-        for part in portions(texts):
-            vectors = bundles(texts[part], dimensions)
-            norms = np.linalg.norm(vectors, axis=1)
-            if not langs:
-                found += [(UNKNOWN, 0.0)] * len(vectors)
-                continue
-            cosines = vectors @ prototypes.T / np.where(norms > 0, norms, 1)[:, None]
-            best = cosines.argmax(axis=1)
-            found += [(langs[b], float(min(1, max(0, c[b])))) if n else (UNKNOWN, 0.0) for b, c, n in zip(best, cosines, norms, strict=True)]
-        return pd.DataFrame(found, columns=["lang", "score"])
-
-    def each(batches):
-        for batch in batches:
-            yield predict(batch)
+    schema = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
-    from typing import Iterator as It
+    def predict(texts: list[str | None]) -> list[tuple[str, float]]:
+        vectors = bundles(texts, dimensions)
+        norms = np.linalg.norm(vectors, axis=1)
+        if not langs:
+            return [(UNKNOWN, 0.0)] * len(vectors)
+        cosines = vectors @ prototypes.T / np.where(norms > 0, norms, 1)[:, None]
+        best = cosines.argmax(axis=1)
+        return [(langs[b], float(min(1, max(0, c[b])))) if n else (UNKNOWN, 0.0) for b, c, n in zip(best, cosines, norms, strict=True)]
 
-    import pandas as pd
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found = [x for part in portions(batch) for x in predict(batch[part].to_pylist())]
+            yield pa.array([{"lang": lang, "score": score} for lang, score in found], schema)
 
-    each.__annotations__ = {"batches": It[pd.Series], "return": It[pd.DataFrame]}
-    return F.pandas_udf(each, "lang string, score double")(columns_of(docs, text)[0])
+    return F.arrow_udf(each, "lang string, score double")(columns_of(docs, text)[0].cast("string"))
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:

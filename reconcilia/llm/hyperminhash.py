@@ -46,7 +46,7 @@ BAND = 5
 BANDS = (1 << BUCKET_BITS) // BAND
 EMPTY = 0xFFFF
 #: Word hashes that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 class WordHashes(dict):
