@@ -48,8 +48,8 @@ def attach(rows: DataFrame, groups: DataFrame, key: Sequence[str], size: str) ->
     return rows.join(hot, key).unionByName(rows.join(hot.select(*key), key, "left_anti").join(cold, key))
 
 
-#: Bits of the bitmap below; it is 8 MB, whatever the data.
-BITMAP_BITS = 26
+#: Bits of the bitmap below; it is 2 MB, whatever the data.
+BITMAP_BITS = 24
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
