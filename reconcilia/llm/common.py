@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-__all__ = ["HOT_KEYS", "LOWER", "WORD", "attach", "columns_of", "fresh", "marked", "maybe_among", "saved", "table", "without"]
+__all__ = ["HOT_KEYS", "LOWER", "WORD", "arrow_rows", "attach", "columns_of", "fresh", "marked", "maybe_among", "saved", "table", "without"]
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Inside, at most so many rows go to a Python worker at a time: for rows that are large, and jobs that run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reconcilia.llm.common import LOWER, attach, maybe_among, saved
+from reconcilia.llm.common import LOWER, arrow_rows, attach, maybe_among, saved
 from reconcilia.llm.components import components
 
 BUCKET_BITS = 7
@@ -45,6 +45,8 @@ MANTISSA_BITS = 10
 BAND = 5
 BANDS = (1 << BUCKET_BITS) // BAND
 EMPTY = 0xFFFF
+#: Texts or pairs of sets that go to a worker at a time.
+BATCH = 1000
 #: Word hashes that a worker remembers.
 REMEMBERED = 150_000
 
@@ -245,6 +247,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, text: str
 
     Documents with ``100 * intersection >= share * union`` of their shingle sets are linked.
     """
+    with arrow_rows(docs.sparkSession, BATCH):
+        return _near_duplicates(docs, words, share, text, doc_id)
+
+
+def _near_duplicates(docs: DataFrame, words: int, share: int, text: str, doc_id: str) -> DataFrame:
     sketch = saved(sketches(docs, words, text, doc_id))
     some = sketch.where("n_shingles > 0")
     classes = saved(some.groupBy("n_shingles", "set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("class_size")))
