@@ -1,6 +1,7 @@
 """A sample of the registered queries against their DuckDB oracles at the smallest scale."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -16,7 +17,7 @@ NAMES = [
 
 def rows(df):
     def plain(v):
-        return None if pd.isna(v) else f"{float(v):.6f}" if not isinstance(v, str | bool) and hasattr(v, "__float__") else str(v)
+        return None if pd.isna(v) else f"{float(v):.6f}" if not isinstance(v, str | bool | np.bool_) and hasattr(v, "__float__") else str(v)
 
     return sorted(tuple(str(plain(v)) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
 
