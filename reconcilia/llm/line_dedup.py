@@ -156,7 +156,8 @@ def cut_lines(docs: DataFrame, min_words: int) -> DataFrame:
     drops = saved(drops.select("_doc", F.encode(marks, "utf-8").alias("mask"), F.size("same").cast("long").alias("n_same"), F.size("near").cast("long").alias("n_near")))
     rows = marked(docs.select("doc_id", F.struct(*columns_of(docs, *docs.columns)).alias("row"), F.col("text").cast("string").alias("text")), "doc_id", drops.select("_doc"), "some")
     some = F.col("some") | F.col("doc_id").isNull()
-    met = rows.where(some).join(drops, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    # drops grow with the documents, so they are never broadcast: the same plan at every size
+    met = rows.where(some).join(drops.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
     none = rows.where(~some).withColumns({"mask": F.lit(None).cast("binary"), "n_same": F.lit(None).cast("long"), "n_near": F.lit(None).cast("long")})
     lines = F.split("text", "\n", -1)
     rest = F.array_join(F.filter(lines, lambda x, i: F.substring("mask", i + 1, F.lit(1)) != F.lit(b"1")), "\n")
