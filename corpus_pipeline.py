@@ -21,8 +21,18 @@ from reconcilia.llm.common import saved, table, without
 from reconcilia.storage import scratch, written
 
 
+#: Texts that go to a Python worker at a time, in any stage.
+BATCH = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Workers stay while the session lives, so what they and the executors hold for a batch of texts adds up over the stages."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those without a letter, or like no language at all, go."""
+    small_batches(spark)
     model = hd_langid.learn(docs.where(hd_langid.fold(F.col("doc_id")) != 1))
     return hd_langid.recognised(docs, model)
 
@@ -45,6 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, with proof of the round trip."""
+    small_batches(spark)
     return unigram_pieces.encoded(docs, columns=["doc_id", "lang", "source", "n_chars"])
 
 
