@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-__all__ = ["HOT_KEYS", "LOWER", "WORD", "arrow_rows", "attach", "columns_of", "fresh", "marked", "maybe_among", "saved", "table", "without"]
+__all__ = ["CRC_SQL", "HOT_KEYS", "LOWER", "WORD", "arrow_rows", "attach", "columns_of", "crc_sql", "fresh", "marked", "maybe_among", "saved", "table", "without"]
 
 
 @contextmanager
@@ -106,3 +106,13 @@ def without(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     doubtful = some.where(flag).drop(flag)
     left = doubtful.join(keys.select(columns_of(keys, *keys.columns)[0].alias(other)), columns_of(rows, column)[0] == F.col(other), "left_anti")
     return some.where(~F.col(flag)).drop(flag).unionByName(left)
+
+
+#: CRC-32 in SQL: a table of 256 values by its rule, and a fold over a text's bytes.
+CRC_SQL = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def crc_sql(text: str) -> str:
+    """SQL of the unsigned CRC-32 of a text's UTF-8 bytes, where crc_table is joined."""
+    octets = f"list_transform(range(length(hex(encode({text}))) // 2), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"

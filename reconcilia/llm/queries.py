@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reconcilia.llm import chain_toxicity, exact_trie, hd_langid, html_diff, hyperminhash, importance, line_dedup, mixing, telephony, unigram_pieces
+from reconcilia.llm import chain_toxicity, edit_fst, exact_trie, hd_langid, head_tail, html_diff, hyperminhash, importance, line_dedup, mixing, telephony, unigram_pieces, url_cascade
 from reconcilia.llm.common import table
 
 
@@ -74,6 +74,26 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "text", "n_lines", "n_same", "n_near", "n_short")
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document for a tenth drawn towards the benchmark's words. Null texts weigh 0."""
+    return head_tail.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the vocabulary with its form and root. Null texts have no words."""
+    found = edit_fst.variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+#: Host, beginning of the path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url; URLs that no rule fits are allowed. Null urls have an empty host and path."""
+    return url_cascade.decided(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -87,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_language_id,
         op10_line_dedup,
+        op11_target_resampling,
+        op12_spelling_variants,
+        op13_url_filter,
     )
 }
 
@@ -97,4 +120,14 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY text)
 """
 
+URL_SQL = """
+WITH rules(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS u FROM pages),
+p AS (SELECT page_id, coalesce(translate(regexp_extract(u, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(u, '^[^/?#]*([^?#]*)', 1), '') AS path FROM a),
+n AS (SELECT *, row_number() OVER () AS i FROM p),
+m AS (SELECT i, arg_max({'r': r.host || r.path, 'v': verdict}, length(r.host || r.path)) AS best FROM n JOIN rules r ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path) GROUP BY 1)
+SELECT page_id, host, path, best.r AS rule, coalesce(best.v, 'allow') AS verdict FROM n LEFT JOIN m USING (i)
+"""
+
 ORACLE_SQL: dict[str, str] = {"op10_line_dedup": line_dedup.LINE_SQL, "op2_mix_sources": mixing.MIX_SQL, "op7_exact_dedup": EXACT_SQL}
+ORACLE_SQL |= {"op11_target_resampling": head_tail.RESAMPLE_SQL, "op12_spelling_variants": edit_fst.VARIANT_SQL, "op13_url_filter": URL_SQL}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from reconcilia.llm import chain_toxicity, exact_trie, hd_langid, html_diff, hyperminhash, importance, line_dedup, mixing, telephony, unigram_pieces
+from reconcilia.llm import chain_toxicity, edit_fst, exact_trie, hd_langid, head_tail, html_diff, hyperminhash, importance, line_dedup, mixing, telephony, unigram_pieces, url_cascade
 from reconcilia.llm.common import saved
 
 CLASHING = (
@@ -39,6 +39,7 @@ def toxicity(spark, df):
 SAME_ROWS = {
     "mix": lambda s, d: mixing.mix(d), "near": lambda s, d: hyperminhash.near_duplicates(d, 5, 80), "pieces": lambda s, d: unigram_pieces.encoded(d, columns=["doc_id"]), "importance": lambda s, d: importance.resample(d, labels(s)),
     "telephony": lambda s, d: telephony.features(telephony.stored(d)), "exact": lambda s, d: exact_trie.exact_dedup(d), "toxicity": toxicity, "language": lambda s, d: hd_langid.identify(d, hd_langid.learn(d)), "lines": lambda s, d: line_dedup.without_duplicate_lines(d),
+    "target": lambda s, d: head_tail.resample(d, d.limit(2)), "urls": lambda s, d: url_cascade.decided(d, s.createDataFrame([("h", "/", "block")], "host string, path string, verdict string"), url="text", keep=("doc_id",)),
 }
 
 
@@ -60,6 +61,13 @@ def test_pages(spark, empty):
     assert sorted(r["n_chars"] for r in got) == ([] if empty else [0, 0, 1, 1, 100_001])
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_words(spark, empty):
+    """One row for each word, whatever the table's other columns."""
+    got = edit_fst.variants(documents(spark, empty)).collect()
+    assert bool(got) != empty and len({r["word"] for r in got}) == len(got) and all(r["root"] for r in got)
+
+
 @pytest.mark.parametrize("empty", [False, True])
 @pytest.mark.parametrize(("name", "stage"), pipeline.STAGES)
 def test_stage(spark, name, stage, empty):
