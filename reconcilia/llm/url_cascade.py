@@ -70,7 +70,7 @@ class Cascade:
 
 def places(h1: np.ndarray, h2: np.ndarray, level: int, bits: int, hashes: int) -> Iterator[np.ndarray]:
     """The bits of keys in a level, one array for each hash."""
-    start = scrambled(h1.view(np.uint64) + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
+    start = scrambled(h1.view(np.uint64) + np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64)))
     step = scrambled(h2.view(np.uint64) ^ start) | np.uint64(1)
     for k in range(hashes):
         yield (start + np.uint64(k) * step) % np.uint64(bits)
