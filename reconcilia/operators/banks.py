@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from reconcilia.functions.clabe import clabe
 from reconcilia.functions.text import canonical
-from reconcilia.sources.layouts import banks
+from reconcilia.sources.layouts import BUILT_IN, Layouts, banks
 
 UNKNOWN = "Desconocido"
 
 
-def with_bank(docs: DataFrame, text: str = "text") -> DataFrame:
+def with_bank(docs: DataFrame, text: str = "text", known: Layouts = BUILT_IN) -> DataFrame:
     """``docs`` with clabe, prefix, bank_key, display_name, supported."""
     number = docs.withColumn("clabe", clabe(canonical(F.col(text)))).withColumn("prefix", F.substring("clabe", 1, 3))
-    out = number.join(F.broadcast(banks(docs.sparkSession)), "prefix", "left")
+    out = number.join(F.broadcast(banks(docs.sparkSession, known)), "prefix", "left")
     return out.withColumns({"display_name": F.coalesce("display_name", F.lit(UNKNOWN)), "supported": F.coalesce("supported", F.lit(False))})
 
 

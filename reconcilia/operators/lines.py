@@ -6,11 +6,10 @@ is spread over its pages. line_no orders a file's lines.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,21 +23,21 @@ HEIGHT_SHARE = 0.45
 ANCHOR_TOLERANCE = 3.0
 
 
+def number(column: str, default: float = 0.0) -> Column:
+    """A coordinate that may come as a text, be missing or be no number."""
+    return F.coalesce(F.nanvl(F.col(column).try_cast("double"), F.lit(None).cast("double")), F.lit(default))
+
+
 def center_x() -> Column:
-    return (F.col("x0") + F.col("x1")) / 2
+    return (number("x0") + number("x1")) / 2
 
 
 def center_y() -> Column:
-    return (F.col("top") + F.col("bottom")) / 2
+    return (number("top") + number("bottom")) / 2
 
 
 def height() -> Column:
-    return F.abs(F.col("bottom") - F.col("top"))
-
-
-def number(column: str, default: float = 0.0) -> Column:
-    """A coordinate that may come as a text or be missing."""
-    return F.coalesce(F.col(column).try_cast("double"), F.lit(default))
+    return F.abs(number("bottom") - number("top"))
 
 
 def line_tolerance(words: DataFrame) -> DataFrame:
@@ -78,51 +77,83 @@ def line_starts(page: np.ndarray, y: np.ndarray, tolerance: np.ndarray, running_
     return starts
 
 
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def line_places(y: pa.Array, tolerance: pa.Array, running_mean: pa.Array) -> pa.Array:
+    """For each page the line (1, 2, ...) of each of its ordered words. Only numbers come to Python; texts stay where they are."""
+    size = y.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, limit, mean = y.flatten().to_numpy(zero_copy_only=False), np.repeat(tolerance.to_numpy(zero_copy_only=False), size), np.repeat(running_mean.to_numpy(zero_copy_only=False), size)
+    ends = np.cumsum(size)
+    first = np.zeros(len(flat), bool)
+    first[(ends - size)[size > 0]] = True
+    starts = np.zeros(len(flat), bool)
+    for rule in (False, True):
+        mine = mean == rule
+        if mine.any():
+            starts[mine] = line_starts(first[mine], flat[mine], limit[mine], rule)
+    place = np.cumsum(starts)
+    if len(flat):
+        place -= np.repeat(place[first] - 1, size[size > 0])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(place.astype(np.int32)))
+
+
+def page_rows(words: DataFrame, *constants: str) -> DataFrame:
+    """file_id, page, words, and columns that are constant on a page: the one exchange of all words that lines need.
+
+    The words of a page are an array of (x0, seq, text, x1, top, bottom, doctop) in order of x0, with 0 for coordinates
+    that are missing or no numbers; every line rule, column and cut works inside such a row from then on.
+    """
+    word = F.struct(number("x0").alias("x0"), "seq", "text", *(number(c).alias(c) for c in ("x1", "top", "bottom", "doctop")))
+    return words.groupBy("file_id", "page").agg(F.array_sort(F.collect_list(word)).alias("words"), *(F.first(c).alias(c) for c in constants))
+
+
+def middle(word: Column) -> Column:
+    return (word["top"] + word["bottom"]) / 2
+
+
+def line_rows(pages: DataFrame, order: Callable[[Column], Column], level: Callable[[Column], Column], tolerance: Column, running_mean: Column) -> DataFrame:
+    """A row for each line: file_id, page, line_no, words by x0, and the pages' other columns.
+
+    A page's words go by ``order``, then x0 and seq; ``level`` is what the rule compares.
+    """
+    others = [c for c in pages.columns if c != "words"]
+    ordered = F.transform(F.array_sort(F.transform("words", lambda w: F.struct(order(w).alias("k"), w.alias("w")))), lambda x: x["w"])
+    placed = pages.withColumn("words", ordered).withColumn("_p", line_places(F.transform("words", level), tolerance.cast("double"), running_mean))
+    firsts = F.filter(F.transform("_p", lambda p, i: F.when((i == 0) | (p != F.get("_p", i - 1)), i)), lambda i: i.isNotNull())
+    cut = placed.withColumn("_f", firsts)
+    pieces = F.transform("_f", lambda a, i: F.array_sort(F.slice("words", a + 1, F.coalesce(F.get("_f", i + 1), F.size("words")) - a)))
+    rows = cut.select(*others, F.posexplode(pieces).alias("_i", "words"))
+    return rows.withColumn("line_no", F.col("page").cast("long") * LINES + F.col("_i") + 1).drop("_i")
+
+
 def numbered(words: DataFrame, by: Column, tolerance: Column, running_mean: bool, order: list[Column] | None = None) -> DataFrame:
     """``words`` with line_no. A word starts a line if its ``by`` is further than ``tolerance`` from the line's.
 
-    The line's value is that of its first word or, with ``running_mean``, the mean of its words so far. That
-    fold has no built-in form; it runs over sorted Arrow batches and holds one page back at most.
+    The line's value is that of its first word or, with ``running_mean``, the mean of its words so far. That fold has no
+    built-in form; it runs over the numbers of whole pages, and each page is put together by one exchange.
     """
-    keys = order or [by, F.col("x0")]
-    rows = words.withColumns({f"_k{i}": c for i, c in enumerate(keys)} | {"_y": by.cast("double"), "_t": tolerance.cast("double")})
-    columns = words.columns
-    rows = rows.repartition("file_id", "page").sortWithinPartitions("file_id", "page", *(f"_k{i}" for i in range(len(keys))), "seq")
-
-    def settle(table: pa.Table) -> pa.RecordBatch:
-        file, number = table["file_id"].combine_chunks(), table["page"].to_numpy()
-        page = np.ones(len(table), bool)
-        page[1:] = (number[1:] != number[:-1]) | pc.fill_null(pc.not_equal(file[1:], file[:-1]), True).to_numpy(zero_copy_only=False)
-        starts = line_starts(page, table["_y"].to_numpy(), table["_t"].to_numpy(), running_mean)
-        place = np.cumsum(starts)
-        place -= np.repeat(place[page] - 1, np.diff(np.append(np.flatnonzero(page), len(page))))
-        return table.select(columns).append_column("line_no", pa.array(number.astype(np.int64) * LINES + place)).combine_chunks().to_batches()[0]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            last = (batch["file_id"][-1].as_py(), batch["page"][-1].as_py())
-            same = pc.and_(pc.equal(batch["file_id"], pa.scalar(last[0], batch["file_id"].type)), pc.equal(batch["page"], pa.scalar(last[1], batch["page"].type)))
-            cut = len(batch) - int(pc.sum(pc.fill_null(same, False)).as_py() or 0)
-            held.append(batch.slice(0, cut) if cut else batch)
-            if cut:
-                yield settle(pa.Table.from_batches(held))
-                held = [batch.slice(cut)]
-            elif len(held) > 1 and (held[-2]["file_id"][-1].as_py(), held[-2]["page"][-1].as_py()) != last:
-                yield settle(pa.Table.from_batches(held[:-1]))
-                held = held[-1:]
-        if held:
-            yield settle(pa.Table.from_batches(held))
-
-    schema = T.StructType([*words.schema.fields, T.StructField("line_no", T.LongType())])
-    return rows.select(*columns, "_y", "_t").mapInArrow(run, schema)
+    keys, columns = order or [by, number("x0")], words.columns
+    row = F.struct(*(k.alias(f"_k{i}") for i, k in enumerate(keys)), F.col("seq").alias("_s"), by.alias("_y"), F.struct(*columns).alias("_w"))
+    pages = words.groupBy("file_id", "page").agg(F.array_sort(F.collect_list(row)).alias("_r"), F.max(tolerance.cast("double")).alias("_t"))
+    placed = pages.withColumn("_p", line_places(F.transform("_r", lambda r: r["_y"]), F.col("_t"), F.lit(running_mean)))
+    each = placed.select(F.explode(F.arrays_zip(F.transform("_r", lambda r: r["_w"]).alias("w"), F.col("_p").alias("p"))).alias("x"))
+    return each.select("x.w.*", (F.col("x.w.page").cast("long") * LINES + F.col("x.p")).alias("line_no"))
+
+
+def texts(words: Column, where: Callable[[Column], Column] | None = None, separator: str = " ") -> Column:
+    """Texts of an array of words in its order, joined; none of them may be empty."""
+    some = F.filter(words, where) if where else words
+    return F.array_join(F.transform(some, lambda w: w["text"]), separator)
+
+
+def page_tolerance(pages: DataFrame) -> DataFrame:
+    """``line_tolerance`` from page rows."""
+    heights = pages.select("file_id", F.explode(F.transform("words", lambda w: F.abs(w["bottom"] - w["top"]))).alias("bottom"))
+    return line_tolerance(heights.withColumn("top", F.lit(0.0)))
 
 
 def anchored_lines(words: DataFrame, tolerance: float = ANCHOR_TOLERANCE) -> DataFrame:
     """Against the top of the line's first word."""
-    return numbered(words, F.col("top"), F.lit(tolerance), False)
+    return numbered(words, number("top"), F.lit(tolerance), False)
 
 
 def mean_lines(words: DataFrame, tolerance: DataFrame | None = None) -> DataFrame:
@@ -133,7 +164,7 @@ def mean_lines(words: DataFrame, tolerance: DataFrame | None = None) -> DataFram
 
 def fixed_mean_lines(words: DataFrame, by_doctop: bool = False, tolerance: float = LEAST_TOLERANCE) -> DataFrame:
     """The running mean with a fixed tolerance, in order of centre or, ``by_doctop``, of place in the document."""
-    order = [F.col("doctop"), F.col("x0")] if by_doctop else None
+    order = [number("doctop"), number("x0")] if by_doctop else None
     return numbered(words, center_y(), F.lit(tolerance), True, order)
 
 

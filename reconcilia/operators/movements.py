@@ -1,7 +1,14 @@
-"""Movements from lines: column texts, segmentation by start lines, amounts and enrichment."""
+"""Movements of all banks in one plan: trimmed page rows, lines, column texts, segmentation by start lines, amounts and enrichment.
+
+What differs between banks is in the rows of ``rules`` and ``columns`` (see ``sources.layouts``). Words meet once by page; lines are
+cut, and their columns read, inside the page's row. Blocks are numbered in two levels: within a page, and by what the pages before hold.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,19 +16,21 @@ from reconcilia.functions import concepts
 from reconcilia.functions import money as m
 from reconcilia.functions.dates import date_prefix, is_day_month, without_date_prefix
 from reconcilia.functions.text import word_text, word_upper
-from reconcilia.operators.lines import anchored_lines, center_x, joined_texts, mean_lines
-from reconcilia.operators.trimming import layout_variant, trimmed_banamex, trimmed_banorte, trimmed_bbva
-from reconcilia.sources import layouts
+from reconcilia.operators import trimming
+from reconcilia.operators.lines import ANCHOR_TOLERANCE, center_x, line_rows, middle, number, page_rows, page_tolerance, texts
+from reconcilia.sources.layouts import BUILT_IN, ROLES, Layouts
 from reconcilia.storage import saved
 
-# Tolerances of column membership.
-BANAMEX_SLACK, BANORTE_SLACK = 6.0, 2.0
+# Tolerance of the second layout's columns, and the titles of its table.
+BANAMEX_SLACK = 6.0
 HEADER_NAMES = ["FECHA", "CONCEPTO", "RETIROS", "DEPOSITOS", "SALDO"]
-FIRST_PAGE = 2
 MOVEMENT = [
     "fecha_operacion", "fecha_liquidacion", "concepto", "tipo_operacion", "cargo", "abono", "saldo_operacion", "saldo_liquidacion", "referencia",
     "autorizacion", "beneficiario", "cuenta_beneficiario", "clabe_beneficiario", "rfc", "sucursal", "caja", "hora_operacion", "concepto_original",
 ]
+MONEY_ROLES = ["cargo", "abono", "saldo_operacion", "saldo_liquidacion"]
+#: Pages whose counts are summed before the sums of the chunks are.
+CHUNK = 1024
 
 
 def in_column(name: str, slack: float = 0.0) -> Column:
@@ -37,159 +46,218 @@ def right_edge_in(name: str) -> Column:
     return F.col("x1").between(F.col(f"{name}.xmin"), F.col(f"{name}.xmax"))
 
 
-def blocks(lines: DataFrame, is_start: Column) -> DataFrame:
-    """``lines`` with block_id: a block starts at each start line; lines before the first go."""
-    order = Window.partitionBy("file_id").orderBy("line_no")
-    return lines.withColumn("block_id", F.sum(is_start.cast("int")).over(order)).where("block_id > 0")
+# --- numbering over pages ---------------------------------------------------------------------------
 
 
-def concept_of(column: str) -> Column:
-    """Aggregate: non-empty texts of a block's lines, by newline."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(column) != "", F.struct("line_no", F.col(column).alias("v"))))), lambda x: x["v"]), "\n")
+def page_offsets(counts: DataFrame) -> DataFrame:
+    """file_id, page, _before: the sum of n over the file's earlier pages, from file_id, page, n.
 
+    Pages are summed in chunks, and chunks over the file, so that not even a file of very many pages meets in one task.
+    """
+    chunked = counts.withColumn("_chunk", F.floor(F.col("page") / CHUNK))
+    earlier = lambda *by: Window.partitionBy("file_id", *by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = chunked.groupBy("file_id", "_chunk").agg(F.sum("n").alias("_n"))
+    sums = sums.select("file_id", "_chunk", F.coalesce(F.sum("_n").over(earlier().orderBy("_chunk")), F.lit(0)).alias("_upto"))
+    inside = chunked.withColumn("_inside", F.coalesce(F.sum("n").over(earlier("_chunk").orderBy("page")), F.lit(0)))
+    return inside.join(sums, ["file_id", "_chunk"]).select("file_id", "page", (F.col("_upto") + F.col("_inside")).alias("_before"))
 
-def last_amounts(pattern: str, columns: dict[str, str]) -> list[Column]:
-    """Line aggregates: the last amount of each column, with the place it stands at."""
-    place = F.struct("x0", "seq")
-    return [F.max(F.when(m.is_amount(F.col("text"), pattern) & right_edge_in(c), F.struct(place.alias("at"), F.col("text").alias("text")))).alias(f"{out}_w") for out, c in columns.items()]
 
+def counted_on(rows: DataFrame, flag: Column, order: str, name: str) -> DataFrame:
+    """``rows`` (a saved table) with the running count of flagged rows of their file: within the page, and on from the pages before."""
+    counts = rows.groupBy("file_id", "page").agg(F.count_if(flag).alias("n"))
+    inside = rows.withColumn(name, F.sum(flag.cast("long")).over(Window.partitionBy("file_id", "page").orderBy(order)))
+    return inside.join(page_offsets(counts), ["file_id", "page"]).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
 
-def block_amount(name: str) -> Column:
-    """Block aggregate: the amount of the last line that has one, 0 if none."""
-    last = F.max_by(F.col(f"{name}_w.text"), F.when(F.col(f"{name}_w").isNotNull(), F.col("line_no")))
-    return F.coalesce(m.in_parentheses(last), m.zero()).alias(name)
 
+def blocks(lines: DataFrame, is_start: Column) -> DataFrame:
+    """``lines`` (a saved table) with block_id: a block starts at each start line; lines before the first go."""
+    return counted_on(lines, F.coalesce(is_start, F.lit(False)), "line_no", "block_id").where("block_id > 0")
 
-def ordinal(movements: DataFrame) -> DataFrame:
-    order = Window.partitionBy("file_id").orderBy("block_id")
-    return movements.withColumn("numero_movimiento", F.row_number().over(order))
 
+# --- page rows --------------------------------------------------------------------------------------
 
-def finished(movements: DataFrame) -> DataFrame:
-    """The common model: every column, missing ones null."""
-    have = set(movements.columns)
-    money = {"cargo", "abono", "saldo_operacion", "saldo_liquidacion"}
-    pick = [(F.col(c) if c in have else F.lit(None)).cast(m.MONEY if c in money else "string").alias(c) for c in MOVEMENT]
-    return ordinal(movements).select("file_id", "numero_movimiento", *pick)
 
+def ruled(df: DataFrame, known: Layouts) -> DataFrame:
+    """``df`` (with bank_key) with its bank's rules as the struct r."""
+    rules = known.frame(df.sparkSession, "rules")
+    return df.join(F.broadcast(rules.select("bank_key", F.struct(*(c for c in rules.columns if c != "bank_key")).alias("r"))), "bank_key")
 
-# --- first layout -----------------------------------------------------------------------------------
 
+def trimmed_words(words: DataFrame, known: Layouts) -> DataFrame:
+    """Words of all banks without what their rules take out by marker words, then by place."""
+    special = {"end_marker": trimming.trimmed_bbva, "chart": trimming.without_chart}
+    named = {kind: known.banks_where(trim=kind) for kind in special}
+    parts = [words.where(~F.col("bank_key").isin(*sum(named.values(), [])))]
+    parts += [special[kind](words.where(F.col("bank_key").isin(*banks))) for kind, banks in named.items() if banks]
+    kept, top = ruled(reduce(DataFrame.unionByName, parts), known), number("top")
+    gone = top.between(F.col("r.drop_from"), F.col("r.drop_to")) | (top >= F.col("r.below"))
+    return kept.where(~F.coalesce(gone, F.lit(False))).drop("r")
 
-def bbva_lines(words: DataFrame) -> DataFrame:
-    """Lines with the text of every column of the document's variant."""
-    names = layouts.column_names("bbva")
-    variant = layout_variant(words.where("page = 1"), True)
-    lined = anchored_lines(trimmed_bbva(words)).join(variant, "file_id", "left").withColumns(layouts.bounds_columns("bbva", F.col("variant")))
-    return lined.groupBy("file_id", "page", "line_no").agg(*(joined_texts(in_column(c), text=F.trim("text")).alias(c) for c in names))
 
+def trimmed_pages(words: DataFrame, known: Layouts) -> DataFrame:
+    """Page rows of all banks, written once; a last section is cut off inside them."""
+    pages = saved(page_rows(trimmed_words(words, known), "bank_key"))
+    sectioned = known.banks_where(trim="last_section")
+    if not sectioned:
+        return pages
+    whole = pages.where(~F.col("bank_key").isin(*sectioned))
+    return whole.unionByName(trimming.cut_pages(pages.where(F.col("bank_key").isin(*sectioned))))
 
-def bbva_movements(words: DataFrame) -> DataFrame:
-    """Dates, amounts and balances of a movement stand on its first line."""
-    start = (F.length("fecha_operacion") == 6) & F.contains("fecha_operacion", F.lit("/"))
-    segmented = blocks(bbva_lines(words), start)
-    first = {c: F.min_by(c, "line_no").alias(c) for c in ("fecha_operacion", "fecha_liquidacion", "cargo", "abono", "saldo_operacion", "saldo_liquidacion")}
-    labelled = F.when(F.contains(F.lower("referencia_label"), F.lit("referencia")) & (F.col("referencia_value") != ""), F.col("line_no"))
-    starred = F.nullif(F.regexp_extract("concepto", r"\*+\S+", 0), F.lit(""))
-    grouped = segmented.groupBy("file_id", "block_id").agg(
-        *first.values(), concept_of("concepto").alias("concepto"),
-        F.coalesce(F.min_by("referencia_value", labelled), F.min_by(starred, F.when(starred.isNotNull(), F.col("line_no")))).alias("referencia"),
-    )
-    grouped = grouped.withColumns({c: m.plain(F.col(c)) for c in ("cargo", "abono", "saldo_operacion", "saldo_liquidacion")})
-    kind = F.when(F.col("cargo") > 0, "CARGO").when(F.col("abono") > 0, "ABONO")
-    return finished(grouped.withColumns({"tipo_operacion": kind} | concepts.bbva_fields(F.col("concepto"))))
 
+def variants(words: DataFrame, known: Layouts) -> DataFrame:
+    """file_id, variant by the first word in reading order on page 1 that a variant's row names; files without one have no row."""
+    v = F.broadcast(known.frame(words.sparkSession, "variants").select(F.col("bank_key").alias("_bank"), "variant", "word", "xmin", "xmax"))
+    met = words.where("page = 1").join(v, (F.col("bank_key") == F.col("_bank")) & (F.upper(F.trim("text")) == F.col("word")) & F.col("x0").between(F.col("xmin"), F.col("xmax")))
+    return met.groupBy("file_id").agg(F.min_by("variant", "seq").alias("variant"))
 
-# --- second layout ----------------------------------------------------------------------------------
 
+# --- columns ----------------------------------------------------------------------------------------
 
-def page_columns(lined: DataFrame) -> DataFrame:
-    """file_id, page and column bounds from the page's last table header; borders lie midway between titles."""
-    title = word_upper(F.col("text"))
-    aggs = [F.min_by(F.struct("x0", "x1"), F.when(title == n, F.struct("x0", "seq"))).alias(n) for n in HEADER_NAMES]
-    heads = lined.groupBy("file_id", "page", "line_no").agg(*aggs)
-    count = sum(F.col(n).isNotNull().cast("int") for n in HEADER_NAMES)
-    last = heads.where(count >= 4).groupBy("file_id", "page").agg(*(F.max_by(n, "line_no").alias(n) for n in HEADER_NAMES))
+
+def titled_columns(heads: DataFrame) -> DataFrame:
+    """Column bounds from titles (structs x0, x1 named as HEADER_NAMES, null if missing) and the layout's own; borders lie midway between titles."""
     pair = lambda a, b: F.struct(a.cast("double").alias("xmin"), b.cast("double").alias("xmax"))
-    base = {n: tuple(map(F.lit, layouts.bounds("banamex", "default", n))) for n in layouts.column_names("banamex")}
+    base = BUILT_IN.bounds_columns("banamex")
     mid = lambda n: (F.col(f"{n}.x0") + F.col(f"{n}.x1")) / 2
     full = F.col("RETIROS").isNotNull() & F.col("DEPOSITOS").isNotNull() & F.col("SALDO").isNotNull()
     b1, b2 = (mid("RETIROS") + mid("DEPOSITOS")) / 2, (mid("DEPOSITOS") + mid("SALDO")) / 2
-    pick = lambda ok, new, name: F.when(ok, new).otherwise(pair(*base[name])).alias(name)
-    return last.select(
-        "file_id", "page", pair(*base["fecha"]).alias("fecha"),
+    pick = lambda ok, new, name: F.when(ok, new).otherwise(base[name]).alias(name)
+    return heads.select(
+        "file_id", "page", base["fecha_operacion"].alias("fecha_operacion"),
         pick(F.col("FECHA").isNotNull() & F.col("RETIROS").isNotNull(), pair(F.col("FECHA.x1") + 5.0, F.col("RETIROS.x0") - 5.0), "concepto"),
-        pick(full, pair(base["retiros"][0], b1), "retiros"), pick(full, pair(b1, b2), "depositos"), pick(full, pair(b2, base["saldo"][1]), "saldo"),
+        pick(full, pair(base["cargo"]["xmin"], b1), "cargo"), pick(full, pair(b1, b2), "abono"), pick(full, pair(b2, base["saldo_operacion"]["xmax"]), "saldo_operacion"),
+    )
+
+
+def page_columns(lines: DataFrame) -> DataFrame:
+    """file_id, page and column bounds from the page's last table header. ``lines``: line rows (words by x0)."""
+    title = lambda n: F.get(F.filter("words", lambda w: word_upper(w["text"]) == n), 0)
+    heads = lines.select("file_id", "page", "line_no", *(title(n).alias(n) for n in HEADER_NAMES))
+    count = sum(F.col(n).isNotNull().cast("int") for n in HEADER_NAMES)
+    last = heads.where(count >= 4).groupBy("file_id", "page").agg(*(F.max_by(n, "line_no").alias(n) for n in HEADER_NAMES))
+    return titled_columns(last)
+
+
+def all_page_columns(lines: DataFrame) -> DataFrame:
+    """The same for every page; pages without a header get the layout's own."""
+    pages = lines.select("file_id", "page").distinct().join(page_columns(lines), ["file_id", "page"], "left")
+    return pages.select("file_id", "page", *(F.coalesce(n, default).alias(n) for n, default in BUILT_IN.bounds_columns("banamex").items()))
+
+
+def page_lines(pages: DataFrame, known: Layouts) -> DataFrame:
+    """Line rows of all banks by their own rule, with the rules as r; tolerances come from the page rows' heights."""
+    limits = page_tolerance(pages.where(F.col("bank_key").isin(*known.banks_where(line_rule="mean"))))
+    rows = ruled(pages, known).join(limits, "file_id", "left")
+    mean = F.col("r.line_rule") == "mean"
+    level = lambda w: F.when(mean, middle(w)).otherwise(w["top"])
+    return line_rows(rows, level, level, F.when(mean, F.col("tolerance")).otherwise(ANCHOR_TOLERANCE), mean).drop("tolerance")
+
+
+def with_bounds(lines: DataFrame, words: DataFrame, known: Layouts) -> DataFrame:
+    """``lines`` with b: the bounds of each role, by bank and variant, or by the page's own titles where the rules say so."""
+    spark = lines.sparkSession
+    default = F.coalesce(*(F.when(F.col("bank_key") == b, v) for b, v in known.default_variants().items()))
+    placed = lines.join(variants(words, known), "file_id", "left").withColumn("variant", F.coalesce("variant", default))
+    placed = placed.join(F.broadcast(known.bounds(spark)), ["bank_key", "variant"])
+    titled = known.banks_where(titles_columns=True)
+    if titled:
+        own = page_columns(lines.where(F.col("bank_key").isin(*titled)))
+        placed = placed.join(own.withColumnsRenamed({c: f"_{c}" for c in own.columns[2:]}), ["file_id", "page"], "left")
+        placed = placed.withColumns({c: F.coalesce(f"_{c}", c) for c in own.columns[2:]})
+    return placed.withColumn("b", F.struct(*ROLES)).drop("variant", *ROLES, *(f"_{c}" for c in ROLES))
+
+
+def lists(text: str) -> Column:
+    return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\|"), lambda x: x != "")
+
+
+def column_texts(lines: DataFrame) -> DataFrame:
+    """What segmentation needs of each line: date, whether it starts a movement, concept, amounts, references. ``lines`` with r and b."""
+    slack, b = F.col("r.slack"), F.col("b")
+    clean = F.when(F.col("r.text_rule") == "trim", F.transform("words", lambda w: w.withField("text", F.trim(w["text"])))).otherwise(F.transform("words", lambda w: w.withField("text", word_text(w["text"]))))
+    rows = lines.withColumn("words", F.filter(clean, lambda w: w["text"] != ""))
+    centre = lambda w, role, more: ((w["x0"] + w["x1"]) / 2).between(b[role]["xmin"] - more, b[role]["xmax"] + more)
+    over = lambda w, role: F.least(w["x1"], b[role]["xmax"]) > F.greatest(w["x0"], b[role]["xmin"])
+    edge = lambda w, role: w["x1"].between(b[role]["xmin"], b[role]["xmax"])
+    column = lambda role: texts(F.col("words"), lambda w: centre(w, role, slack))
+    dates = F.filter(F.transform("words", lambda w: date_prefix(w["text"])), lambda d: d.isNotNull())
+    prefixed, first_line = F.col("r.start") == "prefix", F.col("r.amounts") == "first_line"
+    last = lambda role: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter("words", lambda w: edge(w, role) & F.rlike(w["text"], F.col("r.money"))), lambda w: w["text"])), -1)
+    rows = rows.select(
+        "file_id", "bank_key", "page", "line_no", "r", texts(F.col("words")).alias("line"), F.transform(F.filter("words", lambda w: over(w, "concepto")), lambda w: w["text"]).alias("_over"),
+        F.when(prefixed, F.get(dates, 0)).otherwise(column("fecha_operacion")).alias("fecha_operacion"), column("fecha_liquidacion").alias("fecha_liquidacion"), column("concepto").alias("opening_text"),
+        column("referencia_label").alias("referencia_label"), column("referencia_value").alias("referencia_value"), F.size(F.array_intersect(F.transform("words", lambda w: F.upper(w["text"])), lists("r.titles"))).alias("_titles"),
+        *(F.when(first_line, column(role)).otherwise(last(role)).alias(role) for role in MONEY_ROLES),
     )
+    date = F.col("fecha_operacion")
+    starts = {"slash": (F.length(date) == 6) & F.contains(date, F.lit("/")), "day_month": is_day_month(date), "prefix": date.isNotNull()}
+    rows = rows.withColumn("is_start", F.coalesce(*(F.when(F.col("r.start") == k, v) for k, v in starts.items()), F.lit(False)))
+    rest = F.filter(F.slice("_over", 2, F.greatest(F.size("_over"), F.lit(1))), lambda x: x != "")
+    undated = F.concat_ws(" ", F.nullif(without_date_prefix(F.get("_over", 0)), F.lit("")), F.array_join(rest, " "))
+    over_text = F.trim(F.when(F.size("_over") == 0, "").when(prefixed & F.col("is_start"), undated).otherwise(F.array_join("_over", " ")))
+    rows = rows.withColumn("concepto", F.when(F.col("r.concept_by") == "overlap", over_text).otherwise(F.col("opening_text")))
+    skipped = F.coalesce(F.rlike(F.upper("line"), F.col("r.skip")), F.lit(False)) | ((F.col("r.titles_least") > 0) & (F.col("_titles") >= F.col("r.titles_least")))
+    return rows.where((F.col("line") != "") & ~skipped & (F.col("page") >= F.col("r.first_page"))).drop("_over", "_titles", "line", "r")
 
 
-def all_page_columns(lined: DataFrame) -> DataFrame:
-    """The same for every page; pages without a header get the default."""
-    pages = lined.select("file_id", "page").distinct().join(page_columns(lined), ["file_id", "page"], "left")
-    return pages.select("file_id", "page", *(F.coalesce(n, default).alias(n) for n, default in layouts.bounds_columns("banamex").items()))
+# --- blocks to movements ----------------------------------------------------------------------------
 
 
-def banamex_lines(words: DataFrame) -> DataFrame:
-    lined = saved(mean_lines(trimmed_banamex(words)))
-    wide = lined.join(page_columns(lined), ["file_id", "page"], "left")
-    wide = wide.withColumns({n: F.coalesce(n, default) for n, default in layouts.bounds_columns("banamex").items()})
-    title = word_upper(F.col("text"))
-    lines = wide.groupBy("file_id", "page", "line_no").agg(
-        joined_texts(in_column("fecha", BANAMEX_SLACK)).alias("fecha_operacion"), joined_texts(in_column("concepto", BANAMEX_SLACK)).alias("concepto"), joined_texts().alias("line"),
-        F.size(F.array_intersect(F.collect_set(title), F.array(*map(F.lit, HEADER_NAMES)))).alias("titles"),
-        *last_amounts(m.BANAMEX, {"cargo": "retiros", "abono": "depositos", "saldo_operacion": "saldo"}),
-    )
-    upper = F.upper("line")
-    return lines.where((F.col("line") != "") & ~F.contains(upper, F.lit("DETALLE DE OPERACIONES")) & (F.col("titles") < 4))
-
-
-def banamex_movements(words: DataFrame) -> DataFrame:
-    """Amounts are the last ones of the block in each column; the opening balance and empty rows go."""
-    segmented = blocks(banamex_lines(words), is_day_month(F.col("fecha_operacion")))
-    names = ("cargo", "abono", "saldo_operacion")
-    grouped = segmented.groupBy("file_id", "block_id").agg(
-        F.min_by("fecha_operacion", "line_no").alias("fecha_operacion"), F.min_by("concepto", "line_no").alias("first_concept"), concept_of("concepto").alias("concepto"), *(block_amount(n) for n in names)
-    )
-    kept = grouped.where(~F.contains(F.upper("first_concept"), F.lit("SALDO ANTERIOR")) & ~((F.col("cargo") == 0) & (F.col("abono") == 0) & (F.col("saldo_operacion") == 0)))
-    kind = concepts.banamex_type(F.col("cargo"), F.col("abono"), F.col("concepto"))
-    return finished(kept.withColumns({"tipo_operacion": kind, "saldo_liquidacion": m.zero()} | concepts.banamex_fields(F.col("concepto"))))
-
-
-# --- third layout -----------------------------------------------------------------------------------
-
-
-def banorte_lines(words: DataFrame) -> DataFrame:
-    lined = mean_lines(trimmed_banorte(words)).withColumns(layouts.bounds_columns("banorte"))
-    inside = overlaps("descripcion")
-    first = F.min(F.when(inside & (word_text(F.col("text")) != ""), F.struct("x0", "seq"))).alias("first_at")
-    dates = F.min_by(date_prefix(F.col("text")), F.when(date_prefix(F.col("text")).isNotNull(), F.struct("x0", "seq"))).alias("fecha_operacion")
-    words_in = F.array_sort(F.collect_list(F.when(inside & (word_text(F.col("text")) != ""), F.struct("x0", "seq", word_text(F.col("text")).alias("v"))))).alias("described")
-    lines = lined.groupBy("file_id", "page", "line_no").agg(
-        joined_texts().alias("line"), joined_texts(in_column("descripcion", BANORTE_SLACK)).alias("in_description"), first, dates, words_in,
-        *last_amounts(m.BANORTE, {"abono": "deposito", "cargo": "retiro", "saldo_operacion": "saldo"}),
+def concept_of(column: str) -> Column:
+    """Aggregate: non-empty texts of a block's lines, by newline."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(column) != "", F.struct("line_no", F.col(column).alias("v"))))), lambda x: x["v"]), "\n")
+
+
+def grouped_blocks(segmented: DataFrame) -> DataFrame:
+    """A row for each block: first dates, first and last amounts as texts, concept, reference."""
+    first = lambda c: F.min_by(c, "line_no").alias(c)
+    labelled = F.when(F.contains(F.lower("referencia_label"), F.lit("referencia")) & (F.col("referencia_value") != ""), F.col("line_no"))
+    starred = F.nullif(F.regexp_extract("concepto", r"\*+\S+", 0), F.lit(""))
+    return segmented.groupBy("file_id", "bank_key", "block_id").agg(
+        F.min("page").alias("page"), first("fecha_operacion"), first("fecha_liquidacion"), first("opening_text"), concept_of("concepto").alias("concepto"),
+        *(F.min_by(c, "line_no").alias(f"{c}_first") for c in MONEY_ROLES), *(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(f"{c}_last") for c in MONEY_ROLES),
+        F.coalesce(F.min_by("referencia_value", labelled), F.min_by(starred, F.when(starred.isNotNull(), F.col("line_no")))).alias("referencia"),
     )
-    upper = F.upper("line")
-    has = lambda *w: F.lit(True) if not w else F.contains(upper, F.lit(w[0])) & has(*w[1:])
-    header = has("FECHA", "MONTO", "SALDO") & upper.rlike("DESCRIPCI[ÓO]N")
-    return lines.where((F.col("line") != "") & ~header & ~has("DETALLE", "MOVIMIENTOS") & ~has("NOMINA", "BANORTE") & (F.col("page") >= FIRST_PAGE))
-
-
-def banorte_movements(words: DataFrame) -> DataFrame:
-    """A date at the start of any word starts a movement; the first line's concept loses it."""
-    segmented = blocks(banorte_lines(words), F.col("fecha_operacion").isNotNull())
-    values = F.transform("described", lambda x: x["v"])
-    first_word = F.nullif(without_date_prefix(F.get(values, 0)), F.lit(""))
-    rest = F.slice(values, 2, F.greatest(F.size(values), F.lit(1)))
-    starts = F.row_number().over(Window.partitionBy("file_id", "block_id").orderBy("line_no")) == 1
-    segmented = segmented.withColumn("starts", starts)
-    own = F.when(F.size(values) == 0, "").when(F.col("starts"), F.concat_ws(" ", first_word, F.array_join(F.filter(rest, lambda x: x != ""), " "))).otherwise(F.array_join(values, " "))
-    segmented = segmented.withColumn("concepto", F.trim(own))
-    names = ("abono", "cargo", "saldo_operacion")
-    grouped = segmented.groupBy("file_id", "block_id").agg(
-        F.min_by("fecha_operacion", "line_no").alias("fecha_operacion"), F.upper(F.min_by("in_description", "line_no")).alias("first_text"), concept_of("concepto").alias("concepto"), *(block_amount(n) for n in names)
-    )
-    opening = F.contains("first_text", F.lit("SALDO")) & F.contains("first_text", F.lit("ANTERIOR"))
-    empty = (F.col("abono") == 0) & (F.col("cargo") == 0) & (F.col("saldo_operacion") == 0) & (F.col("concepto") == "")
-    kind = F.when(F.col("cargo") > 0, "CARGO").when(F.col("abono") > 0, "ABONO")
-    kept = grouped.where(~opening & ~empty)
-    return finished(kept.withColumns({"tipo_operacion": kind, "saldo_liquidacion": m.zero()} | concepts.banorte_fields(F.col("concepto"))))
+
+
+#: Enrichment of concepts: what a row of ``rules`` may name.
+FIELDS: dict[str, Callable[[Column], dict[str, Column]]] = {"bbva": concepts.bbva_fields, "banamex": concepts.banamex_fields, "banorte": concepts.banorte_fields}
+
+
+def enriched(found: DataFrame, known: Layouts) -> DataFrame:
+    """Amounts, kind and what the concept says; openings and empty movements go."""
+    r = ruled(found, known)
+    first_line = F.col("r.amounts") == "first_line"
+    amount = lambda c: F.when(first_line, m.plain(F.col(f"{c}_first"))).otherwise(F.coalesce(m.in_parentheses(F.col(f"{c}_last")), m.zero()))
+    r = r.withColumns({c: amount(c) for c in MONEY_ROLES})
+    r = r.withColumn("saldo_liquidacion", F.when(F.col("r.value_balance") == "zero", m.zero()).otherwise(F.col("saldo_liquidacion")))
+    words = lists("r.opening")
+    opening = (F.size(words) > 0) & F.forall(words, lambda w: F.contains(F.upper("opening_text"), w))
+    none = (F.col("cargo") == 0) & (F.col("abono") == 0) & (F.col("saldo_operacion") == 0)
+    empty = F.when(F.col("r.drop_empty") == "amounts", none).when(F.col("r.drop_empty") == "amounts_and_concept", none & (F.col("concepto") == "")).otherwise(False)
+    kept = r.where(~F.coalesce(opening, F.lit(False)) & ~empty)
+    side = F.when(F.col("cargo") > 0, "CARGO").when(F.col("abono") > 0, "ABONO")
+    kind = F.when(F.col("r.kind") == "words", concepts.banamex_type(F.col("cargo"), F.col("abono"), F.col("concepto"))).otherwise(side)
+    says = {n: f(F.col("concepto")) for n, f in FIELDS.items()}
+    names = [c for c in MOVEMENT if any(c in v for v in says.values())]
+    picks = {c: F.coalesce(*(F.when(F.col("r.fields") == n, v[c].cast("string")) for n, v in says.items() if c in v)) for c in names}
+    picks["referencia"] = F.when(F.col("r.fields").isin(*(n for n, v in says.items() if "referencia" in v)), picks["referencia"]).otherwise(F.col("referencia"))
+    made = kept.withColumns({"tipo_operacion": kind} | picks)
+    have, blank = set(made.columns), F.nullif(F.col("fecha_liquidacion"), F.lit(""))
+    made = made.withColumn("fecha_liquidacion", F.when(first_line, F.col("fecha_liquidacion")).otherwise(blank))
+    pick = [(F.col(c) if c in have else F.lit(None)).cast(m.MONEY if c in MONEY_ROLES else "string").alias(c) for c in MOVEMENT]
+    return made.select("file_id", "bank_key", "page", "block_id", *pick)
+
+
+def movements(words: DataFrame, known: Layouts = BUILT_IN) -> DataFrame:
+    """file_id, numero_movimiento and the common model of all banks. ``words``: a table that can be read again, with bank_key."""
+    lines = with_bounds(page_lines(trimmed_pages(words, known), known), words, known)
+    segmented = blocks(saved(column_texts(lines)), F.col("is_start"))
+    found = saved(enriched(grouped_blocks(segmented), known))
+    numbered = counted_on(found, F.lit(True), "block_id", "numero_movimiento")
+    return numbered.select("file_id", F.col("numero_movimiento").cast("int").alias("numero_movimiento"), *MOVEMENT)
+
+
+def movements_of(words: DataFrame, bank: str, known: Layouts = BUILT_IN) -> DataFrame:
+    """The movements of one bank's statements."""
+    return movements(words.withColumn("bank_key", F.lit(bank)), known)

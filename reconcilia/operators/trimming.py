@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reconcilia.functions import money as m
 from reconcilia.functions.dates import LOOSE_PREFIX, date_prefix
 from reconcilia.functions.text import header_text, word_text, word_upper
-from reconcilia.operators.lines import fixed_mean_lines, joined_texts, line_tolerance, mean_lines
+from reconcilia.operators.lines import LEAST_TOLERANCE, line_rows, middle, number, page_rows, page_tolerance, texts
 from reconcilia.storage import saved
 
 # Terms and places of the layouts.
@@ -104,9 +104,11 @@ def trimmed_bbva(words: DataFrame) -> DataFrame:
 
 
 def chart_start(words: DataFrame) -> DataFrame:
-    """file_id, cut: seq of the first GRÁFICO directly followed by TRANSACCIONAL on its page."""
+    """file_id, cut: seq of the first GRÁFICO directly followed by TRANSACCIONAL on its page; only pages with the first word are put in order."""
+    name = F.translate(word_upper(F.col("text")), "Á", "A")
+    some = saved(words.where(name == "GRAFICO").select("file_id", "page").distinct())
     order = Window.partitionBy("file_id", "page").orderBy("seq")
-    two = words.select("file_id", "page", "seq", F.translate(word_upper(F.col("text")), "Á", "A").alias("_u"))
+    two = words.join(some, ["file_id", "page"], "left_semi").select("file_id", "page", "seq", name.alias("_u"))
     two = two.withColumn("_n", F.lead("_u").over(order))
     return two.where("_u = 'GRAFICO' AND _n = 'TRANSACCIONAL'").groupBy("file_id").agg(F.min("seq").alias("cut"))
 
@@ -125,20 +127,22 @@ def trimmed_banamex(words: DataFrame) -> DataFrame:
 
 
 def without_banorte_footer(words: DataFrame) -> DataFrame:
-    return words.where(F.col("top") < BANORTE_FOOTER)
-
-
-def section_lines(lined: DataFrame) -> DataFrame:
-    """Lines with what decides where a statement's last section starts. ``lined``: words with line_no."""
-    text = word_text(F.col("text"))
-    dated = date_prefix(F.col("text"), LOOSE_PREFIX).isNotNull()
-    plain = ~(m.is_amount(F.col("text"), m.BANORTE) | dated)
-    lines = lined.groupBy("file_id", "page", "line_no").agg(
-        joined_texts().alias("text"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("doctop").alias("doctop"), F.max("doctop").alias("doctop_max"),
-        F.bool_or(F.col("x0").between(*DATE_X) & dated).alias("is_date"), (F.bool_and((text == "") | plain) & F.bool_or(text != "")).alias("text_only"),
+    return words.where(number("top") < BANORTE_FOOTER)
+
+
+def section_lines(pages: DataFrame) -> DataFrame:
+    """Lines with what decides where a statement's last section starts. ``pages``: page rows; all but the exchange of the words happens in them."""
+    bounds = {"page_xmin": F.array_min(F.transform("words", lambda w: w["x0"])), "page_xmax": F.array_max(F.transform("words", lambda w: w["x1"]))}
+    lines = line_rows(pages.withColumns(bounds), lambda w: w["doctop"], middle, F.lit(LEAST_TOLERANCE), F.lit(True))
+    named = F.transform("words", lambda w: F.struct(word_text(w["text"]).alias("text"), w["x0"].alias("x0"), w["x1"].alias("x1"), w["doctop"].alias("doctop"), date_prefix(w["text"], LOOSE_PREFIX).isNotNull().alias("dated")))
+    lines = lines.withColumn("words", named)
+    each = lambda name, f: f(F.transform("words", lambda w: w[name]))
+    plain = lambda w: (w["text"] == "") | ~(w["text"].rlike(m.BANORTE) | w["dated"])
+    lines = lines.select(
+        "file_id", "page", "line_no", "page_xmin", "page_xmax", texts(F.filter("words", lambda w: w["text"] != "")).alias("text"), each("x0", F.array_min).alias("x0"), each("x1", F.array_max).alias("x1"),
+        each("doctop", F.array_min).alias("doctop"), each("doctop", F.array_max).alias("doctop_max"), F.exists("words", lambda w: w["dated"] & w["x0"].between(*DATE_X)).alias("is_date"),
+        (F.forall("words", plain) & F.exists("words", lambda w: w["text"] != "")).alias("text_only"),
     )
-    page = Window.partitionBy("file_id", "page")
-    lines = lines.withColumns({"page_xmin": F.min("x0").over(page), "page_xmax": F.max("x1").over(page)})
     width, page = F.col("x1") - F.col("x0"), F.col("page_xmax") - F.col("page_xmin")
     off = F.abs((F.col("x0") + F.col("x1")) / 2 - (F.col("page_xmin") + F.col("page_xmax")) / 2)
     return lines.withColumns({
@@ -174,24 +178,38 @@ def section_cutoff(lines: DataFrame) -> DataFrame:
     return both.groupBy("file_id").agg(F.min_by("doctop", F.when(centred, F.col("line_no"))).alias("centered"), F.min_by("doctop", F.when(close, F.col("line_no"))).alias("plain"))
 
 
+def section_cut(pages: DataFrame) -> DataFrame:
+    """file_id, cut (a doctop): the centred cutoff, else the plain-text one. ``pages``: saved page rows."""
+    return section_cutoff(section_lines(pages)).select("file_id", F.coalesce("centered", "plain").alias("cut")).where("cut IS NOT NULL")
+
+
 def without_last_section(words: DataFrame) -> DataFrame:
     """Words before the centred cutoff, else before the plain-text one, else all."""
-    lined = saved(fixed_mean_lines(words, by_doctop=True))
-    cut = saved(section_cutoff(section_lines(lined)).select("file_id", F.coalesce("centered", "plain").alias("cut")).where("cut IS NOT NULL"))
-    out = lined.drop("line_no").join(cut, "file_id", "left")
-    return out.where(F.col("cut").isNull() | (F.col("doctop") < F.col("cut"))).drop("cut")
+    out = words.join(saved(section_cut(page_rows(words))), "file_id", "left")
+    return out.where(F.col("cut").isNull() | (number("doctop") < F.col("cut"))).drop("cut")
 
 
 def marker_line(words: DataFrame) -> DataFrame:
-    """file_id, cut_page, cut_top of the first line that says GRÁFICO TRANSACCIONAL; only pages with the first word are cut into lines."""
-    some = saved(words.where(F.upper("text").rlike("GR[ÁA]FICO")).select("file_id", "page").distinct())
-    of_pages, files = words.join(some, ["file_id", "page"], "left_semi"), some.select("file_id").distinct()
-    lines = mean_lines(of_pages, line_tolerance(words.join(files, "file_id", "left_semi")))
-    lines = lines.groupBy("file_id", "page", "line_no").agg(joined_texts().alias("text"), F.min_by("top", F.struct("x0", "seq")).alias("top"))
-    hit = lines.where(F.upper("text").rlike("GR[ÁA]FICO TRANSACCIONAL"))
+    """file_id, cut_page, cut_top of the first line that says GRÁFICO TRANSACCIONAL."""
+    return marker_cut(saved(page_rows(words)))
+
+
+def marker_cut(pages: DataFrame) -> DataFrame:
+    """The same from page rows; only pages with the first word are cut into lines."""
+    some = saved(pages.where(F.exists("words", lambda w: F.upper(w["text"]).rlike("GR[ÁA]FICO"))))
+    files = some.select("file_id").distinct()
+    limits = page_tolerance(pages.join(files, "file_id", "left_semi"))
+    lines = line_rows(some.select("file_id", "page", "words").join(limits, "file_id"), middle, middle, F.col("tolerance"), F.lit(True))
+    said = F.array_join(F.filter(F.transform("words", lambda w: word_text(w["text"])), lambda x: x != ""), " ")
+    hit = lines.where(F.upper(said).rlike("GR[ÁA]FICO TRANSACCIONAL")).withColumn("top", F.get("words", 0)["top"])
     return hit.groupBy("file_id").agg(F.min_by(F.struct("page", "top"), "line_no").alias("_c")).select("file_id", F.col("_c.page").alias("cut_page"), F.col("_c.top").alias("cut_top"))
 
 
-def trimmed_banorte(words: DataFrame) -> DataFrame:
-    out = without_last_section(without_banorte_footer(words))
-    return cut_at(out, saved(marker_line(out)))
+def cut_pages(pages: DataFrame) -> DataFrame:
+    """Page rows (saved) without the last section and what follows the chart's title; pages that lose all of their words go."""
+    cut = saved(section_cut(pages))
+    kept = pages.join(cut, "file_id", "left")
+    kept = kept.withColumn("words", F.filter("words", lambda w: F.col("cut").isNull() | (w["doctop"] < F.col("cut")))).drop("cut").where(F.size("words") > 0)
+    kept = kept.join(saved(marker_cut(kept)), "file_id", "left")
+    before = lambda w: F.col("cut_page").isNull() | (F.col("page") < F.col("cut_page")) | ((F.col("page") == F.col("cut_page")) & (w["top"] < F.col("cut_top")))
+    return kept.withColumn("words", F.filter("words", before)).drop("cut_page", "cut_top").where(F.size("words") > 0)

@@ -108,8 +108,7 @@ def boxed(mode: str) -> str:
 def box_values(bank: str, section: str, mode: str) -> str:
     from reconcilia.sources.layouts import BOXES
 
-    text = next(t for k, t in BOXES.items() if k[:2] == (bank, section))
-    rows = ", ".join("('{}', {}, {}, {}, {}, {})".format(*line.split()) for line in text.strip().split("\n"))
+    rows = ", ".join(f"('{b['field']}', {b['page']}, {b['xmin']}, {b['xmax']}, {b['ymin']}, {b['ymax']})" for b in BOXES[bank, section])
     return rf"""WITH box(field, box_page, xmin, xmax, ymin, ymax) AS (VALUES {rows}), {boxed(mode)}
 SELECT file_id, field, string_agg(text, ' ' ORDER BY page, top, x0, seq) AS text, nullif(coalesce(string_agg(regexp_replace(text, '\D', '', 'g'), '' ORDER BY page, top, x0, seq), ''), '') AS digits, count(*) AS n_words FROM hit GROUP BY file_id, field"""
 

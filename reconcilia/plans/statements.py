@@ -1,14 +1,13 @@
 """From words and pages of any number of statements to account, products, summary, movements, checks, rejects.
 
-One lazy plan for each output. Every stage is keyed by file_id or (file_id, page); files of the three
-layouts go through their own branch and meet in a union. Before that each file's quality says whether
+Every stage is keyed by file_id or (file_id, page), and takes the files of all banks at once; what differs
+between banks is in the rows of ``known``. Before that each file's quality says whether
 its words are used, without the leading empty pages, or those that OCR read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,14 +15,9 @@ from pyspark.sql import functions as F
 from reconcilia.operators import banks, fields, movements, quality, reconcile
 from reconcilia.operators.banorte_summary import banorte_summary
 from reconcilia.sources import readers
+from reconcilia.sources.layouts import BUILT_IN, Layouts
 from reconcilia.storage import saved
 
-LAYOUTS = {
-    "bbva": (fields.bbva_summary, fields.bbva_products, movements.bbva_movements),
-    "banamex": (fields.banamex_summary, fields.no_products, movements.banamex_movements),
-    "banorte": (banorte_summary, fields.no_products, movements.banorte_movements),
-}
-
 
 @dataclass
 class Statements:
@@ -36,8 +30,16 @@ class Statements:
     rejects: DataFrame
 
 
-def process(words: DataFrame, pages: DataFrame, ocr_tokens: DataFrame | None = None) -> Statements:
-    """All outputs. Routes, banks, words by bank and movements are written once, as each is read several times.
+def summaries(read: DataFrame, words: DataFrame, known: Layouts = BUILT_IN) -> DataFrame:
+    """The sixteen fields of every file: from boxes (``read``: all sections), or from labelled lines where the layout says so."""
+    labelled = F.col("bank_key").isin(*known.banks_where(summary="labels"))
+    boxed = fields.section(read.where(~labelled), "resumen")
+    front = words.where(labelled & (F.col("page") <= fields.LAST_BOX_PAGE))
+    return boxed.unionByName(banorte_summary(front, read.where(labelled).select("file_id")))
+
+
+def process(words: DataFrame, pages: DataFrame, ocr_tokens: DataFrame | None = None, known: Layouts = BUILT_IN) -> Statements:
+    """All outputs. Routes, banks, words, fields and movements are written once, as each is read several times.
 
     ``ocr_tokens`` are those of files whose text and words can't be used; without tokens such files are rejected.
     """
@@ -50,20 +52,18 @@ def process(words: DataFrame, pages: DataFrame, ocr_tokens: DataFrame | None = N
         tokens = ocr_tokens.join(route.where("word_source = 'ocr'").select("file_id"), "file_id", "left_semi")
         read = readers.ocr_words(tokens)
         heads = heads.unionByName(readers.head_text(readers.ocr_page_text(tokens)))
-    identified = saved(banks.with_bank(route.select("file_id", "document_type", "word_source").join(heads, "file_id", "left")))
-    known = identified.where(F.col("bank_key").isin(*LAYOUTS)).select("file_id", "bank_key")
-    routed = saved(quality.chosen_words(route, words, read).join(known, "file_id"), "bank_key")
-    parts: dict[str, list[DataFrame]] = {n: [] for n in ("account", "products", "summary", "movements")}
-    for bank, (summary, products, moves) in LAYOUTS.items():
-        mine = routed.where(F.col("bank_key") == bank).drop("bank_key")
-        files = known.where(F.col("bank_key") == bank).select("file_id")
-        front = mine.where(F.col("page") <= fields.LAST_BOX_PAGE)
-        parts["account"].append(fields.account_data(front, bank, files))
-        parts["products"].append(products(front, files))
-        parts["summary"].append(summary(front, files))
-        parts["movements"].append(moves(mine))
-    union = {n: reduce(DataFrame.unionByName, p) for n, p in parts.items()}
-    union["movements"] = saved(union["movements"])
+    identified = saved(banks.with_bank(route.select("file_id", "document_type", "word_source").join(heads, "file_id", "left"), known=known))
+    files = identified.where(F.col("bank_key").isin(*known.known())).select("file_id", "bank_key")
+    routed = saved(quality.chosen_words(route, words, read).join(files, "file_id"), "bank_key")
+    found = saved(fields.sections(routed, files, known))
+    summary, moves = summaries(found, routed, known), saved(movements.movements(routed, known))
     named = lambda df: df.withColumnRenamed("file_id", "statement_id")
-    checks = reconcile.validations(named(union["movements"]), named(union["summary"]))
-    return Statements(identified, union["account"], union["products"], union["summary"], union["movements"], checks, banks.rejects(identified))
+    checks = reconcile.validations(named(moves), named(summary))
+    return Statements(identified, fields.section(found, "datos"), fields.section(found, "productos"), summary, moves, checks, banks.rejects(identified))
+
+
+def of_bank(words: DataFrame, bank: str, known: Layouts = BUILT_IN) -> dict[str, DataFrame]:
+    """Account, products and summary of one bank's words."""
+    mine = words.withColumn("bank_key", F.lit(bank))
+    found = saved(fields.sections(mine, mine.select("file_id", "bank_key").distinct(), known))
+    return {"account": fields.section(found, "datos"), "products": fields.section(found, "productos"), "summary": summaries(found, mine, known)}

@@ -237,7 +237,8 @@ def line_tolerance(spark, d):
 
 def _boxes(bank: str, section: str, mode: str) -> Query:
     def run(spark, d):
-        hits = fields.words_in_boxes(views.words(spark, d), layouts.field_boxes(spark, bank, section).withColumn("shift", F.lit(False)).withColumns({"dx": F.lit(1.5 if mode == "band" else 0.0), "dy": F.lit(1.5 if mode == "band" else 0.0)}))
+        boxes = layouts.field_boxes(spark, bank, section).withColumns({"shift": F.lit(False), "first_row": F.lit(False)})
+        hits = fields.words_in_boxes(views.words(spark, d), boxes.withColumns({"dx": F.lit(1.5 if mode == "band" else 0.0), "dy": F.lit(1.5 if mode == "band" else 0.0)}))
         values = fields.box_values(hits).select("file_id", "field", "text", "digits")
         return values.join(hits.groupBy("file_id", "field").agg(F.count("*").alias("n_words")), ["file_id", "field"])
 
@@ -249,12 +250,6 @@ for _bank, _section, _mode in (("bbva", "datos", "center"), ("bbva", "resumen",
     _boxes(_bank, _section, _mode)
 
 
-@query(sql.products_sql(numbers=True))
-def product_numbers(spark, d):
-    found = fields.with_numbers(fields.bbva_products(_printed(spark, d, "bbva")))
-    return found.select("file_id", *(f"{f}_num" for f in fields.PRODUCTS[2:]))
-
-
 @query("SELECT DISTINCT o_custkey::VARCHAR AS file_id, CASE WHEN o_custkey // 3 % 2 = 1 AND o_custkey % 5 <> 0 THEN -13.073555 ELSE 0 END::DOUBLE AS shift_y FROM orders WHERE o_custkey % 3 = 0")
 def layout_shift(spark, d):
     """Premium statements print their anchor higher; where both anchors stand, the normal one counts."""
@@ -420,17 +415,17 @@ _concept_query("banorte", concepts.banorte_fields, sql.BANORTE, "hora_operacion,
 
 @query(sql.BBVA)
 def movements_bbva(spark, d):
-    return movements.bbva_movements(_printed(spark, d, "bbva"))
+    return movements.movements_of(_printed(spark, d, "bbva"), "bbva")
 
 
 @query(sql.BANAMEX)
 def movements_banamex(spark, d):
-    return movements.banamex_movements(_printed(spark, d, "banamex"))
+    return movements.movements_of(_printed(spark, d, "banamex"), "banamex")
 
 
 @query(sql.BANORTE)
 def movements_banorte(spark, d):
-    return movements.banorte_movements(_printed(spark, d, "banorte"))
+    return movements.movements_of(_printed(spark, d, "banorte"), "banorte")
 
 
 @query(sql.account_sql(0, "012", "MAESTRA", "/01/2026"))
@@ -482,8 +477,9 @@ def layout_variant(spark, d):
 @query("""WITH p AS (SELECT o_custkey, (count(*) - 1) // 9 + 2 AS last FROM orders WHERE o_custkey % 3 = 1 GROUP BY 1)
 SELECT o_custkey::VARCHAR AS file_id, page::INTEGER AS page, CASE WHEN page NOT BETWEEN 2 AND last THEN 324 WHEN page % 2 = 0 THEN 341.75 ELSE 338.75 END::DOUBLE AS border_1, CASE WHEN page NOT BETWEEN 2 AND last THEN 408 WHEN page % 2 = 0 THEN 419.75 ELSE 418.75 END::DOUBLE AS border_2 FROM p, range(1, last + 1) r(page)""")
 def page_columns(spark, d):
-    words = saved(lines.mean_lines(trimming.trimmed_banamex(_printed(spark, d, "banamex"))))
-    return movements.all_page_columns(words).select("file_id", "page", F.col("retiros.xmax").alias("border_1"), F.col("depositos.xmax").alias("border_2"))
+    words = _printed(spark, d, "banamex").withColumn("bank_key", F.lit("banamex"))
+    rows = saved(movements.page_lines(movements.trimmed_pages(words, layouts.BUILT_IN), layouts.BUILT_IN))
+    return movements.all_page_columns(rows).select("file_id", "page", F.col("cargo.xmax").alias("border_1"), F.col("abono.xmax").alias("border_2"))
 
 
 @query(sql.PROCESS)
@@ -517,9 +513,9 @@ def _tables(spark, d, bank: str) -> dict[str, DataFrame]:
     """The normalised tables of one bank's printed statements, all but the movements'."""
     words = _printed(spark, d, bank)
     files = words.select("file_id").distinct().withColumn("bank_key", F.lit(bank))
-    summary, products, _ = statements.LAYOUTS[bank]
     none = words.select("file_id", *(F.lit(None).alias(c) for c in ("numero_movimiento", *movements.MOVEMENT))).limit(0)
-    return tables.normalised(_keys(files), fields.account_data(words, bank), products(words), summary(words), none)
+    read = statements.of_bank(words, bank)
+    return tables.normalised(_keys(files), read["account"], read["products"], read["summary"], none)
 
 
 def _titled(titles: dict[str, str], made: str, bank: str) -> str:

@@ -1,177 +1,125 @@
-"""Layouts as data: banks, field boxes, table columns and labels. Fixed and small, so joins broadcast them."""
+"""Layouts as data: banks, field boxes, table columns, labels, anchors, variants and reading rules, a row each.
+
+The rows of a layout stand in a folder of CSV files. Those of the known banks come with the package; a further bank is a
+further folder, anywhere that Spark reads, and no code: ``BUILT_IN.plus(read(spark, path))``. Layouts are fixed and small, whatever the statements, so joins broadcast them.
+
+| file | a row for each |
+|---|---|
+| banks | bank: name, account-number prefix, whether it is read |
+| boxes | field: section, page, box, how words belong to it (center: closed, overlap: strict, band: overlap across and top inside; none: never), slack, whether it moves with the anchor, how it is read (``fields.READINGS``), whether only the first row counts, what stands for a missing value |
+| columns | role of a table column in a variant, and its bounds |
+| labels | words of a labelled line |
+| anchors | words that tell where a section's boxes stand, and the tops of both variants |
+| variants | word and place that tell a document's variant; the first variant in ``columns`` is the default |
+| rules | bank: trimming, lines, segmentation, amounts, what isn't a movement, enrichment; lists are separated by | |
+"""
 
 from __future__ import annotations
 
+import csv
+from dataclasses import dataclass
+from functools import lru_cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Bank key, display name, account-number prefix, whether its layout is known.
-BANKS = """
-bbva|BBVA México|012|true
-banamex|Citibanamex|002|true
-santander|Santander|014|false
-banorte|Banorte|072|true
-scotiabank|Scotiabank|044|false
-hsbc|HSBC México|021|false
-nu|Nu México|638|false
-afirme|Banca Afirme|062|false
-invex|Banco Invex|059|false
-"""
+FILES = {
+    "banks": "bank_key string, display_name string, prefix string, supported boolean",
+    "boxes": "bank_key string, section string, field string, page int, xmin double, xmax double, ymin double, ymax double, mode string, shift boolean, dx double, dy double, reading string, first_row boolean, missing string",
+    "columns": "bank_key string, variant string, role string, xmin double, xmax double",
+    "labels": "bank_key string, field string, words string",
+    "anchors": "bank_key string, section string, words string, normal double, premium double",
+    "variants": "bank_key string, variant string, word string, xmin double, xmax double",
+    "rules": "bank_key string, trim string, drop_from double, drop_to double, below double, line_rule string, first_page int, text_rule string, start string, slack double, concept_by string, amounts string, money string, opening string, skip string, titles string, titles_least int, titles_columns boolean, drop_empty string, kind string, fields string, value_balance string, summary string",
+}
+CASTS = {"string": str, "double": float, "int": int, "boolean": lambda v: v == "true"}
+#: Roles of a table's columns.
+ROLES = ["fecha_operacion", "fecha_liquidacion", "concepto", "cargo", "abono", "saldo_operacion", "saldo_liquidacion", "referencia_label", "referencia_value"]
 
-# Bank, variant, column, xmin, xmax.
-COLUMNS = """
-bbva|normal|fecha_operacion|10|55
-bbva|normal|fecha_liquidacion|55|100
-bbva|normal|concepto|100|315
-bbva|normal|cargo|380|422
-bbva|normal|abono|422|463
-bbva|normal|saldo_operacion|463|535
-bbva|normal|saldo_liquidacion|535|610
-bbva|normal|referencia_label|315|365
-bbva|normal|referencia_value|365|445
-bbva|premium|fecha_operacion|10|55
-bbva|premium|fecha_liquidacion|55|85
-bbva|premium|concepto|85|360
-bbva|premium|cargo|370|422
-bbva|premium|abono|422|470
-bbva|premium|saldo_operacion|470|540
-bbva|premium|saldo_liquidacion|540|610
-bbva|premium|referencia_label|218|272
-bbva|premium|referencia_value|272|370
-banamex|default|fecha|8|52
-banamex|default|concepto|52|255
-banamex|default|retiros|255|324
-banamex|default|depositos|324|408
-banamex|default|saldo|408|490
-banorte|default|fecha|50|84
-banorte|default|descripcion|84|352
-banorte|default|deposito|352|428
-banorte|default|retiro|428|520
-banorte|default|saldo|520|568
-"""
 
-# Section, field, page, xmin, xmax, ymin, ymax of each bank. Modes: center (closed), overlap
-# (strict), band (horizontal overlap and top inside). shift: boxes move with the document's anchor.
-BOXES = {
-    ("bbva", "datos", "center", False, 0.0, 0.0): """
-producto_principal 1 459 599 16 28
-periodo_inicio 1 498 540 48 59
-periodo_fin 1 554 596 48 59
-fecha_corte 1 554 596 63 74
-numero_cuenta 1 549 596 78 89
-numero_cliente 1 558 596 93 104
-rfc 1 530 596 108 119
-clabe 1 506 596 123 134
-nombre_cliente 1 40 300 101 112
-""",
-    ("bbva", "resumen", "overlap", True, 0.0, 0.0): """
-saldo_promedio 1 260 296 259 270
-dias_periodo 1 285 296 273 284
-tasa_bruta_anual 1 273 296 287 298
-saldo_promedio_gravable 1 278 296 301 312
-intereses_a_favor 1 278 296 315 326
-isr_retenido 1 278 296 330 341
-cheques_pagados 1 184 190 358 369
-manejo_cuenta 1 277 296 372 383
-cargos_objetados 1 278 296 400 411
-abonos_objetados 1 278 296 415 426
-saldo_anterior 1 547 583 259 270
-depositos_abonos 1 542 583 273 284
-retiros_cargos 1 542 583 287 298
-saldo_final 1 547 583 298 309
-saldo_promedio_minimo_mensual 1 564 583 312 323
-saldo_global 1 510 583 456 467
-""",
-    ("bbva", "productos", "center", True, 0.0, 0.0): """
-contrato 1 307 356 416 433
-producto 1 356 402 416 433
-tasa_interes_anual 1 402 445 416 433
-gat_nominal_anual 1 445 495 416 433
-gat_real_anual 1 495 532 416 433
-total_comisiones 1 532 590 416 433
-""",
-    ("banamex", "datos", "center", False, 0.0, 0.0): """
-producto_principal 1 17 178 389 405
-numero_cuenta 1 178 249 389 405
-periodo_inicio 1 98 170 453 471
-periodo_fin 1 186 257 453 471
-fecha_corte 1 406 467 377 393
-numero_cliente 2 420 482 17 35
-nombre_cliente 2 18 280 40 58
-rfc 1 392 483 28 47
-clabe 1 133 250 400 417
-""",
-    ("banamex", "resumen", "center", False, 6.0, 4.0): """
-saldo_anterior 1 260 335 476 497
-depositos_abonos 1 250 335 487 506
-retiros_cargos 1 250 335 498 519
-saldo_final 1 255 340 509 534
-saldo_promedio 1 175 250 535 560
-dias_periodo 1 205 250 546 568
-""",
-    ("banorte", "datos", "band", False, 1.5, 1.5): """
-producto_principal 1 49 160 217.5 233
-numero_cuenta 1 211 256 217.5 233
-numero_cliente 1 95.1 122.9 137 140
-rfc 1 63.7 112.3 146 156
-nombre_cliente 1 47 230 59 69.5
-periodo_inicio 1 420 472 102.5 117.5
-periodo_fin 1 473 525 102.5 117.5
-fecha_corte 1 393 457 117 127
-clabe 1 281 354.5 217.5 233
-""",
-}
+def typed(name: str, row: dict[str, str | None]) -> dict:
+    """A row of a file with its types; empty is null."""
+    kinds = (c.split() for c in FILES[name].split(", "))
+    return {c: CASTS[kind](row[c]) if row.get(c) not in (None, "") else None for c, kind in kinds}
 
-# Labels of the third layout's summary; every word of an alternative must occur in the line.
-LABELS = {
-    "saldo_anterior": ["SALDO INICIAL DEL PERIODO"],
-    "total_depositos": ["TOTAL DE DEPÓSITOS", "TOTAL DE DEPOSITOS"],
-    "total_retiros": ["TOTAL DE RETIROS"],
-    "intereses_a_favor": ["INTERESES NETOS GANADOS"],
-    "comisiones_cobradas_pagadas": ["TOTAL DE COMISIONES COBRADAS / PAGADAS"],
-    "iva_sobre_comisiones": ["IVA SOBRE COMISIONES"],
-    "intereses_cobrados_pagados": ["INTERESES COBRADOS / PAGADOS"],
-    "manejo_cuenta": ["TOTAL DE COMISIONES"],
-    "isr_retenido": ["RETENCIÓN DE ISR", "RETENCION DE ISR"],
-    "saldo_final": ["SALDO ACTUAL"],
-    "saldo_promedio_minimo": ["SALDO PROMEDIO MÍNIMO", "SALDO PROMEDIO MINIMO"],
-}
 
+@dataclass(frozen=True)
+class Layouts:
+    rows: dict[str, list[dict]]
+
+    def plus(self, other: Layouts) -> Layouts:
+        """Both; a bank that ``other`` has rows for takes all of its rows from there."""
+        theirs = {r["bank_key"] for rows in other.rows.values() for r in rows}
+        return Layouts({n: [r for r in self.rows[n] if r["bank_key"] not in theirs] + other.rows[n] for n in FILES})
+
+    def frame(self, spark: SparkSession, name: str) -> DataFrame:
+        columns = [c.split()[0] for c in FILES[name].split(", ")]
+        return spark.createDataFrame([tuple(r[c] for c in columns) for r in self.rows[name]], FILES[name])
+
+    def known(self) -> list[str]:
+        """Banks that are read: supported, with rules."""
+        ruled = {r["bank_key"] for r in self.rows["rules"]}
+        return [b["bank_key"] for b in self.rows["banks"] if b["supported"] and b["bank_key"] in ruled]
+
+    def banks_where(self, **values: str) -> list[str]:
+        """Banks whose rules have these values."""
+        return [r["bank_key"] for r in self.rows["rules"] if all(r[k] == v for k, v in values.items())]
+
+    def fields(self, bank: str, section: str) -> list[str]:
+        return [r["field"] for r in self.rows["boxes"] if (r["bank_key"], r["section"]) == (bank, section)]
+
+    def bounds(self, spark: SparkSession) -> DataFrame:
+        """bank_key, variant and a struct (xmin, xmax) for each role, null where a table has no such column."""
+        made = self.frame(spark, "columns").groupBy("bank_key", "variant").pivot("role", ROLES).agg(F.first(F.struct("xmin", "xmax")))
+        return made.select("bank_key", "variant", *ROLES)
 
-def banks(spark: SparkSession) -> DataFrame:
-    rows = [r.split("|") for r in BANKS.split("\n") if r]
-    return spark.createDataFrame([(k, n, p, s == "true") for k, n, p, s in rows], "bank_key string, display_name string, prefix string, supported boolean")
+    def default_variants(self) -> dict[str, str]:
+        out: dict[str, str] = {}
+        for r in self.rows["columns"]:
+            out.setdefault(r["bank_key"], r["variant"])
+        return out
 
+    def bounds_columns(self, bank: str) -> dict[str, Column]:
+        """Each table column's (xmin, xmax) struct in a bank's default variant."""
+        mine = [r for r in self.rows["columns"] if (r["bank_key"], r["variant"]) == (bank, self.default_variants()[bank])]
+        return {r["role"]: F.struct(F.lit(r["xmin"]).alias("xmin"), F.lit(r["xmax"]).alias("xmax")) for r in mine}
 
-def bounds_columns(bank: str, variant: Column | None = None) -> dict[str, Column]:
-    """Each table column's (xmin, xmax) struct, by ``variant`` where a bank has several; without one, or with another, the first."""
-    rows = [r.split("|") for r in COLUMNS.split("\n") if r.startswith(bank + "|")]
-    box = lambda v, c: F.struct(*(F.lit(x).alias(n) for x, n in zip(bounds(bank, v, c), ("xmin", "xmax"), strict=True)))
-    first, *others = dict.fromkeys(r[1] for r in rows)
-    out = {c: box(first, c) for c in column_names(bank)}
-    for v in others if variant is not None else ():
-        out = {c: F.when(variant == v, box(v, c)).otherwise(old) for c, old in out.items()}
-    return out
 
+@lru_cache
+def packaged(name: str) -> Layouts:
+    """The rows of a folder that comes with the package."""
+    folder = Path(__file__).parent / "data" / name
+    files = {n: list(csv.DictReader((folder / f"{n}.csv").open(encoding="utf-8"))) if (folder / f"{n}.csv").exists() else [] for n in FILES}
+    return Layouts({n: [typed(n, r) for r in rows] for n, rows in files.items()})
 
-def column_names(bank: str) -> list[str]:
-    return list(dict.fromkeys(r.split("|")[2] for r in COLUMNS.split("\n") if r.startswith(bank + "|")))
 
+def read(spark: SparkSession, path: str) -> Layouts:
+    """The rows of a folder that Spark reads; files may be missing."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    rows: dict[str, list[dict]] = {n: [] for n in FILES}
+    for n in FILES:
+        at = there(f"{path}/{n}.csv")
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            rows[n] = [typed(n, r.asDict()) for r in spark.read.option("header", True).option("escape", '"').csv(f"{path}/{n}.csv").collect()]
+    return Layouts(rows)
 
-def bounds(bank: str, variant: str, name: str) -> tuple[float, float]:
-    return next((float(r.split("|")[3]), float(r.split("|")[4])) for r in COLUMNS.split("\n") if r.startswith(f"{bank}|{variant}|{name}|"))
 
+BUILT_IN = packaged("builtin")
+#: Boxes of each (bank, section) of the known banks.
+BOXES: dict[tuple[str, str], list[dict]] = {}
+for _row in BUILT_IN.rows["boxes"]:
+    if _row["mode"] != "none":
+        BOXES.setdefault((_row["bank_key"], _row["section"]), []).append(_row)
+#: Alternatives of each label; every word of one must occur in the line.
+LABELS: dict[str, list[str]] = {}
+for _row in BUILT_IN.rows["labels"]:
+    LABELS.setdefault(_row["field"], []).append(_row["words"])
 
-def field_boxes(spark: SparkSession, bank: str, section: str) -> DataFrame:
-    rows = []
-    for (b, s, mode, shift, dx, dy), text in BOXES.items():
-        if (b, s) == (bank, section):
-            for line in text.strip().split("\n"):
-                field, page, *box = line.split()
-                rows.append((field, int(page), *map(float, box), mode, shift, dx, dy))
-    return spark.createDataFrame(rows, "field string, page int, xmin double, xmax double, ymin double, ymax double, mode string, shift boolean, dx double, dy double")
 
+def banks(spark: SparkSession, layouts: Layouts = BUILT_IN) -> DataFrame:
+    return layouts.frame(spark, "banks")
 
-def fields(bank: str, section: str) -> list[str]:
-    return [line.split()[0] for key, text in BOXES.items() if key[:2] == (bank, section) for line in text.strip().split("\n")]
 
+def field_boxes(spark: SparkSession, bank: str, section: str, layouts: Layouts = BUILT_IN) -> DataFrame:
+    return layouts.frame(spark, "boxes").where((F.col("bank_key") == bank) & (F.col("section") == section))

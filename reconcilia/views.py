@@ -218,13 +218,13 @@ def summary_cells(bank: str) -> list[Column]:
         own = {"dias_periodo": (28 + key % 4).cast("string"), "cheques_pagados": (key % 50).cast("string"), "tasa_bruta_anual": F.concat((key % 7).cast("string"), F.lit(".375"))}
         for section, shift in (("resumen", 246.123783 - 259.197338), ("productos", 367.877793 - 419.622538)):
             dy = F.when(moved, shift).otherwise(0.0)
-            for i, line in enumerate(next(t for k, t in BOXES.items() if k[:2] == (bank, section)).strip().split("\n")):
-                field, _, xmin, xmax, ymin, _ = line.split()
+            for i, box in enumerate(BOXES[bank, section]):
+                field, xmin, xmax, ymin = (box[c] for c in ("field", "xmin", "xmax", "ymin"))
                 text = own.get(field, F.format_number(summary_value(i), 2)) if section == "resumen" else product_text(i, field)
-                right = float(xmax) - (40.0 if field == "saldo_global" else 1.0)
-                cells.append(F.when(printed(i) | (F.lit(field) == "gat_nominal_anual"), _word(text, float(xmin) + 1.0, right, float(ymin) + 2.0 + dy, 20 + i)))
+                right = xmax - (40.0 if field == "saldo_global" else 1.0)
+                cells.append(F.when(printed(i) | (F.lit(field) == "gat_nominal_anual"), _word(text, xmin + 1.0, right, ymin + 2.0 + dy, 20 + i)))
                 if field == "saldo_global":
-                    cells.append(F.when(printed(i), _word(F.lit("9,999.00"), 545.0, 582.0, float(ymin) + 2.0 + dy, 60)))
+                    cells.append(F.when(printed(i), _word(F.lit("9,999.00"), 545.0, 582.0, ymin + 2.0 + dy, 60)))
         for top, name, when in ((259.2, "Saldo", ~moved), (246.1, "Promedio", is_premium(key))):
             cells.append(F.when(when, _word(F.lit(name), 40, 60, top, 61)))
         cells.append(F.when(is_premium(key), _word(F.lit("REFERENCIA"), 220, 260, 700.0, 62)))
