@@ -28,16 +28,29 @@ def number(column: str, default: float = 0.0) -> Column:
     return F.coalesce(F.nanvl(F.col(column).try_cast("double"), F.lit(None).cast("double")), F.lit(default))
 
 
+def far_edge(column: str, near: str) -> Column:
+    """A right or lower edge; where it is missing, the other one."""
+    return F.when(F.col(column).isNull(), number(near)).otherwise(number(column))
+
+
+def right() -> Column:
+    return far_edge("x1", "x0")
+
+
+def bottom() -> Column:
+    return far_edge("bottom", "top")
+
+
 def center_x() -> Column:
-    return (number("x0") + number("x1")) / 2
+    return (number("x0") + right()) / 2
 
 
 def center_y() -> Column:
-    return (number("top") + number("bottom")) / 2
+    return (number("top") + bottom()) / 2
 
 
 def height() -> Column:
-    return F.abs(number("bottom") - number("top"))
+    return F.abs(bottom() - number("top"))
 
 
 def line_tolerance(words: DataFrame) -> DataFrame:
@@ -99,10 +112,10 @@ def line_places(y: pa.Array, tolerance: pa.Array, running_mean: pa.Array) -> pa.
 def page_rows(words: DataFrame, *constants: str) -> DataFrame:
     """file_id, page, words, and columns that are constant on a page: the one exchange of all words that lines need.
 
-    The words of a page are an array of (x0, seq, text, x1, top, bottom, doctop) in order of x0, with 0 for coordinates
+    The words of a page are an array of (x0, seq, text, x1, top, bottom, doctop) in order of x0, with defaults for coordinates
     that are missing or no numbers; every line rule, column and cut works inside such a row from then on.
     """
-    word = F.struct(number("x0").alias("x0"), "seq", "text", *(number(c).alias(c) for c in ("x1", "top", "bottom", "doctop")))
+    word = F.struct(number("x0").alias("x0"), "seq", "text", right().alias("x1"), number("top").alias("top"), bottom().alias("bottom"), number("doctop").alias("doctop"))
     return words.groupBy("file_id", "page").agg(F.array_sort(F.collect_list(word)).alias("words"), *(F.first(c).alias(c) for c in constants))
 
 

@@ -193,3 +193,23 @@ c AS (SELECT o_custkey::VARCHAR AS file_id, sum(CASE WHEN credit AND shown THEN
 x AS (SELECT file_id, 1 AS orden, depositos_abonos AS e, a AS o FROM s JOIN c USING (file_id) UNION ALL SELECT file_id, 2, retiros_cargos, c FROM s JOIN c USING (file_id)
   UNION ALL SELECT file_id, 3, saldo_final, last FROM s JOIN c USING (file_id) WHERE saldo_final IS NOT NULL UNION ALL SELECT file_id, 4, saldo_final, (saldo_anterior + depositos_abonos - retiros_cargos)::DECIMAL(18,2) FROM s JOIN c USING (file_id))
 SELECT file_id AS statement_id, orden, e::DECIMAL(18,2) AS esperado, o::DECIMAL(18,2) AS obtenido, (o - e)::DECIMAL(18,2) AS diferencia FROM x"""
+
+
+def fourth(columns: str) -> str:
+    """What the statements of the fourth layout say, straight from orders and customers."""
+    return f"""WITH m AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n, o_orderstatus IN ('F', 'O') AS credit, o_totalprice::DECIMAL(18,2) AS price, o_orderdate, o_orderkey FROM orders),
+s AS (SELECT k::VARCHAR AS file_id, {columns} FROM (SELECT DISTINCT o_custkey AS k, c_name FROM orders JOIN customer ON c_custkey = o_custkey))"""
+
+
+FOURTH_FIELDS = fourth(", ".join([
+    "'SUPER ' || k % 4 AS producto_principal", "lpad((1 + k % 9)::VARCHAR, 2, '0') || '/Enero/2026' AS periodo_inicio", "lpad((20 + k % 9)::VARCHAR, 2, '0') || '/Enero/2026' AS fecha_corte", "lpad(k::VARCHAR, 10, '0') AS numero_cuenta", "'014' || lpad(k::VARCHAR, 15, '0') AS clabe",
+    "c_name AS nombre_cliente", "'ABC010101XY' || k % 10 AS rfc", *(f"({printed(i)})::DECIMAL(18,2) AS {f}" for i, f in enumerate(("saldo_anterior", "depositos_abonos", "retiros_cargos", "saldo_final"))), f"{printed(4, DAYS)} AS dias_periodo", f"{printed(5, RATE, '0')} AS tasa_bruta_anual",
+    f"({printed(6, None, '0')})::DECIMAL(18,2) AS saldo_promedio", *(f"{printed(20 + i, f"'{t}' || k")} AS {f}" for i, (f, t) in enumerate((("contrato", "C"), ("producto", "P"), ("total_comisiones", "T")))), "'santander' AS bank_key",
+])) + " SELECT * FROM s"
+
+FOURTH_MOVEMENTS = fourth("1 AS one") + """
+SELECT k::VARCHAR AS file_id, n::INTEGER AS numero_movimiento, strftime(o_orderdate, '%d') || '-' || ['ENE','FEB','MAR','ABR','MAY','JUN','JUL','AGO','SEP','OCT','NOV','DIC'][month(o_orderdate)] || '-' || strftime(o_orderdate, '%Y') AS fecha_operacion,
+  'PEDIDO ' || lpad(o_orderkey::VARCHAR, 10, '0') || chr(10) || 'CLIENTE ' || k || ' 1,000.00' AS concepto, CASE WHEN credit THEN 'ABONO' ELSE 'CARGO' END AS tipo_operacion, (CASE WHEN credit THEN 0 ELSE price END)::DECIMAL(18,2) AS cargo, (CASE WHEN credit THEN price ELSE 0 END)::DECIMAL(18,2) AS abono, price AS saldo_operacion FROM m"""
+
+#: The JSON words as they ought to be read: what is refused, and which coordinates get a default.
+TYPED_WORDS = f"""WITH {WORDS}, k AS (SELECT *, seq % 11 AS kind FROM words)"""

@@ -121,6 +121,28 @@ def bank_catalogue(spark, d):
     return layouts.banks(spark).join(issued, "prefix", "left").select("bank_key", "display_name", "prefix", "supported", F.coalesce("n", F.lit(0)).alias("n_statements"))
 
 
+def _json_words(spark, d):
+    folder = f"{storage.shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    views.json_words(spark, d).write.text(folder)
+    return readers.quarantined(spark, folder)
+
+
+@query(f"""{sql.TYPED_WORDS} SELECT file_id, seq, page, text, x0, CASE kind WHEN 1 THEN x0 ELSE x1 END AS x1, CASE kind WHEN 2 THEN 0 ELSE top END AS top, CASE kind WHEN 3 THEN top ELSE bottom END AS bottom, CASE kind WHEN 9 THEN 0 ELSE doctop END AS doctop,
+  CASE kind WHEN 1 THEN 'x1' WHEN 2 THEN 'top' WHEN 3 THEN 'bottom' WHEN 9 THEN 'doctop' ELSE '' END AS defaulted FROM k WHERE kind NOT IN (4, 5, 6, 7, 8)""")
+def typed_words(spark, d):
+    """Words of JSON lines with defaults for coordinates that are missing or no numbers."""
+    words, _ = _json_words(spark, d)
+    return words.select("file_id", "seq", "page", "text", *readers.COORDINATES, F.array_join("defaulted", ",").alias("defaulted"))
+
+
+@query(f"""{sql.TYPED_WORDS} SELECT CASE kind WHEN 6 THEN NULL WHEN 7 THEN ' ' ELSE file_id END AS file_id, CASE kind WHEN 6 THEN 'malformed' WHEN 7 THEN 'no_file' WHEN 8 THEN 'no_place' ELSE 'no_page' END AS reason,
+  CASE kind WHEN 6 THEN '{{"file_id": "' || file_id || '", "seq": ' END AS malformed FROM k WHERE kind IN (4, 5, 6, 7, 8)""")
+def rejected_words(spark, d):
+    """Records of the same lines that are no words, and why; malformed ones as they stand."""
+    _, rejects = _json_words(spark, d)
+    return rejects.select("file_id", "reason", F.when(F.col("reason") == "malformed", F.col("record")).alias("malformed"))
+
+
 # --- documents --------------------------------------------------------------------------------------
 
 @query(f"WITH {sql.ODD}, src AS (SELECT doc_id AS k, text AS raw FROM odd), {sql.quality('src')} SELECT k AS doc_id, usable, CASE WHEN usable THEN 'pdf_digital' ELSE 'pdf_imagen' END AS document_type FROM u")
@@ -489,6 +511,26 @@ def process_statements(spark, d):
     return out.validations.select("statement_id", "orden", "esperado", "obtenido", "diferencia")
 
 
+def _fourth(spark, d):
+    """Statements of a bank that the package doesn't know, read by the rows of its layout and no code."""
+    words, pages = views.fourth_statements(spark, d)
+    return statements.process(saved(words), pages, known=layouts.BUILT_IN.plus(layouts.packaged("santander")))
+
+
+@query(sql.FOURTH_MOVEMENTS)
+def fourth_bank_movements(spark, d):
+    return _fourth(spark, d).movements.select("file_id", "numero_movimiento", "fecha_operacion", "concepto", "tipo_operacion", "cargo", "abono", "saldo_operacion")
+
+
+@query(sql.FOURTH_FIELDS)
+def fourth_bank_fields(spark, d):
+    out = _fourth(spark, d)
+    account = out.account.drop("periodo_fin", "numero_cliente")
+    summary = out.summary.select("file_id", "saldo_anterior", "depositos_abonos", "retiros_cargos", "saldo_final", "dias_periodo", "tasa_bruta_anual", "saldo_promedio")
+    found = account.join(summary, "file_id").join(out.products.select("file_id", "contrato", "producto", "total_comisiones"), "file_id")
+    return found.join(out.identified.select("file_id", "bank_key"), "file_id")
+
+
 def _keys(files: DataFrame) -> DataFrame:
     """Of ``files`` (file_id, bank_key), all parsed, in the order of their numbers."""
     named = files.withColumns({"file_name": F.concat("file_id", F.lit(".pdf")), "input_ord": F.col("file_id").cast("long"), "parsed": F.lit(True)})

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reconcilia.schemas import OCR_TOKENS, PAGES, WORDS
+from reconcilia.storage import saved
 
 HEAD_PAGES = 5
 FORMATS = ("parquet", "json", "orc", "csv")
@@ -19,6 +21,37 @@ def read(spark: SparkSession, kind: str, path: str, form: str = "parquet") -> Da
     return spark.read.format(form).schema(schema).load(path)
 
 
+#: Coordinates of words, in reading order of their defaults.
+COORDINATES = ("x0", "x1", "top", "bottom", "doctop")
+KEYS = ("file_id", "seq", "page")
+
+
+def quarantined(spark: SparkSession, path: str, form: str = "json", **options: str) -> tuple[DataFrame, DataFrame]:
+    """Words of files that may hold anything, and the records that were refused: (words, rejects).
+
+    Every value is read as a text and turned into its type afterwards, and a record that can't be read at all is kept whole, so
+    nothing gets lost: a record is a word or a reject with a reason. A word needs a file, a place in reading order and a page from 1
+    on. Coordinates have defaults: what is no number is 0, a missing right or lower edge is that of the other side, and any other missing one 0;
+    ``defaulted`` names those that got one. Rejects: file_id, reason (malformed, no_file, no_place, no_page), record (the source as JSON, or as it stands).
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in WORDS.fields}
+    texts = T.StructType([T.StructField(n, T.StringType()) for n in (*kinds, "_corrupt")])
+    lenient = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"} | options
+    raw = saved(spark.read.format(form).schema(texts).options(**lenient).load(path))
+    typed = {n: F.col(n).try_cast(kinds[n]) for n in KEYS}
+    reason = F.when(F.col("_corrupt").isNotNull(), "malformed").when(F.coalesce(F.trim("file_id"), F.lit("")) == "", "no_file")
+    reason = reason.when(typed["seq"].isNull(), "no_place").when(typed["page"].isNull() | (typed["page"] < 1), "no_page")
+    judged = raw.withColumn("reason", reason)
+    rejects = judged.where("reason IS NOT NULL").select("file_id", "reason", F.coalesce("_corrupt", F.to_json(F.struct(*kinds))).alias("record"))
+    value = {c: F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double")) for c in COORDINATES}
+    zero = {c: F.coalesce(value[c], F.lit(0.0)) for c in COORDINATES}
+    made = zero | {far: F.when(F.col(far).isNull(), zero[near]).otherwise(zero[far]) for far, near in (("x1", "x0"), ("bottom", "top"))}
+    others = {n: F.col(n).try_cast(k) for n, k in kinds.items() if n not in COORDINATES}
+    columns = [(made | others)[n].alias(n) for n in kinds]
+    defaulted = F.array_compact(F.array(*(F.when(value[c].isNull(), c) for c in COORDINATES)))
+    return judged.where("reason IS NULL").select(*columns, defaulted.alias("defaulted")), rejects
+
+
 def sorted_text(keys: list[str], text: str, separator: str):
     """Texts of a group in the order of ``keys``, joined."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*keys, F.col(text).alias("_text")))), lambda x: x["_text"]), separator)

@@ -361,3 +361,50 @@ def every_statement(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     heads = keys.where(image).select("file_id", F.posexplode(F.array(F.lit("CLABE"), c("clabe"))).alias("i", "t"))
     tokens = tokens.unionByName(heads.select(*token(F.lit(1), F.lit(-1), c("i") - 9, c("t"), 10.0 + 30 * c("i"), F.lit(2.0), F.lit(20.0))))
     return digital, pages_of, tokens
+
+
+def fourth_statements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Words and pages of statements in the layout whose rows alone are in ``sources/data/santander``, one for each customer with orders.
+
+    Page 1 has account data, a summary and products, each with a field in eleven missing; movements follow, nine a page, with titles on every page, a footer, an opening line and,
+    last, a dated line without amounts.
+    """
+    facts = order_facts(spark, sf_dir)
+    key = F.col("custkey")
+    slot, page = (F.col("n") - 1) % PER_PAGE, (F.floor((F.col("n") - 1) / PER_PAGE) + 2).cast("int")
+    top, amount = F.lit(110.0) + slot * STEP, F.format_number("price", 2)
+    cells = [
+        _word(F.concat_ws("-", "dd", "mon", "yyyy"), 32, 62, top, 0), F.when(F.col("credit"), _word(amount, 330, 375, top, 20)), F.when(~F.col("credit"), _word(F.concat(F.lit("$"), amount), 410, 455, top, 21)),
+        _word(amount, 500, 550, top, 22), _word(F.lit("PEDIDO"), 80, 120, top, 2), _word(F.col("k10"), 125, 180, top, 3), _word(F.col("who"), 80, 170, top + 12.0, 4), _word(F.lit("1,000.00"), 200, 240, top + 12.0, 5),
+    ]
+    words_of = lambda cells: F.explode(F.filter(F.array(*cells), lambda w: w.isNotNull())).alias("w")
+    moves = facts.select("custkey", page.alias("page"), words_of(cells))
+    per = facts.groupBy("custkey").agg(F.max(page).alias("last")).join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), "c_name"), "custkey")
+    number, printed = F.lpad(key.cast("string"), 10, "0"), lambda i: (key + i) % 11 != 0
+    date = lambda d: F.concat(F.lpad((d + key % 9).cast("string"), 2, "0"), F.lit("/Enero/2026"))
+    texts = [(F.concat(F.lit("SUPER "), (key % 4).cast("string")), 45, 120, 105), (number, 305, 375, 105), (F.concat(F.lit("014"), F.lpad(key.cast("string"), 15, "0")), 405, 515, 105), (F.col("c_name"), 45, 200, 65), (number, 305, 375, 65), (F.lit("RFC:"), 402, 420, 65), (F.concat(F.lit("ABC010101XY"), (key % 10).cast("string")), 422, 515, 65), (date(1), 45, 105, 145), (date(20), 125, 185, 145), (date(20), 205, 265, 145)]
+    money = lambda i: F.format_number(summary_value(i), 2)
+    values = [*(F.concat(F.lit("$"), money(i)) for i in range(4)), (28 + key % 4).cast("string"), F.concat((key % 7).cast("string"), F.lit(".375")), money(6)]
+    page1 = [_word(t, a, b, y, i) for i, (t, a, b, y) in enumerate(texts)]
+    page1 += [F.when(printed(i), _word(v, 500, 550, 201.0 + 20 * i, 20 + i)) for i, v in enumerate(values)]
+    page1 += [F.when(printed(20 + i), _word(F.concat(F.lit(t), key.cast("string")), 45 + 100 * i, 120 + 100 * i, 402.0, 40 + i)) for i, t in enumerate(("C", "P", "T"))]
+    heads = per.select("custkey", F.lit(1).alias("page"), words_of(page1))
+    each = [("FECHA", 32, 62, 90.0, 0), ("SALDO", 505, 550, 90.0, 1), ("31-DIC-2025", 32, 62, 30.0, 2), ("9.99", 410, 455, 30.0, 3), ("31-DIC-2025", 32, 62, 745.0, 4), ("9.99", 410, 455, 745.0, 5)]
+    extra = [_word(F.lit(t), a, b, y, o) for t, a, b, y, o in each]
+    extra += [F.when(F.col("page") == 2, _word(F.lit(t), a, b, 100.0, 10 + i)) for i, (t, a, b) in enumerate((("01-ENE-2026", 32, 62), ("SALDO", 80, 110), ("INICIAL", 115, 150), ("500.00", 500, 550)))]
+    extra += [F.when(F.col("page") == F.col("last"), _word(F.lit(t), a, b, 690.0, 20 + i)) for i, (t, a, b) in enumerate((("30-DIC-2026", 32, 62), ("AVISO", 80, 110)))]
+    numbers = per.select("custkey", "last", F.explode(F.sequence(F.lit(2), F.col("last"))).alias("page")).select("custkey", "page", words_of(extra))
+    out = heads.unionByName(moves).unionByName(numbers).select(key.cast("string").alias("file_id"), "page", "w.*")
+    seq = F.row_number().over(Window.partitionBy("file_id").orderBy("page", "top", "x0", "o")).cast("long") - 1
+    words_ = out.select("file_id", seq.alias("seq"), "page", "text", "x0", "x1", "top", (F.col("top") + 8.0).alias("bottom"), ((F.col("page") - 1) * 792 + F.col("top")).alias("doctop"))
+    pages_ = per.select(key.cast("string").alias("file_id"), F.lit(1).alias("page"), F.concat(F.lit("CLABE 014"), F.lpad(key.cast("string"), 15, "0")).alias("text"))
+    return words_, pages_
+
+
+def json_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words as JSON lines, one column value: in each eleven, numbers in quotes, words in place of numbers, missing and blank values, a page 0 and a line cut short."""
+    w, kind = words(spark, sf_dir), F.col("seq") % 11
+    unless = lambda n, c: F.when(kind != n, F.col(c)).alias(c)
+    plain = F.to_json(F.struct(F.when(kind == 7, " ").otherwise(F.col("file_id")).alias("file_id"), "seq", F.when(kind == 5, 0).when(kind != 4, F.col("page")).alias("page"), "text", "x0", unless(1, "x1"), "top", unless(3, "bottom"), unless(9, "doctop")))
+    quoted = F.to_json(F.struct("file_id", F.when(kind == 8, "x").otherwise(F.col("seq").cast("string")).alias("seq"), "page", "text", F.col("x0").cast("string").alias("x0"), "x1", F.when(kind == 2, "abc").otherwise(F.col("top").cast("string")).alias("top"), "bottom", "doctop"))
+    return w.select(F.when(kind.isin(0, 2, 8), quoted).when(kind == 6, F.concat(F.lit('{"file_id": "'), "file_id", F.lit('", "seq": '))).otherwise(plain).alias("value"))
