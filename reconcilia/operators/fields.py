@@ -157,7 +157,8 @@ def sections(words: DataFrame, files: DataFrame, known: Layouts = BUILT_IN, want
     anchors = known.frame(spark, "anchors").where(F.col("section").isin(*wanted))
     moving = any(r["section"] in wanted for r in known.rows["anchors"])
     hits = words_in_boxes(words.where(F.col("page") <= LAST_BOX_PAGE), boxes.where("mode <> 'none'"), anchor_shifts(words, anchors) if moving else None)
-    read = F.coalesce(*(F.when(F.col("reading") == name, f(F.col("_words"))) for name, f in READINGS.items()))
+    named = {r["reading"] for r in known.rows["boxes"] if r["section"] in wanted}
+    read = F.coalesce(*(F.when(F.col("reading") == name, f(F.col("_words"))) for name, f in READINGS.items() if name in named))
     values = box_words(hits, "section").select("file_id", F.concat_ws("_", "section", "field").alias("_name"), read.alias("value"))
     names = [f"{s}_{f}" for s in wanted for f in SECTIONS[s]]
     found = files.join(values.groupBy("file_id").pivot("_name", names).agg(F.first("value")), "file_id", "left")
@@ -175,7 +176,7 @@ def section(read: DataFrame, name: str) -> DataFrame:
 def of_bank(words: DataFrame, bank: str, name: str, files: DataFrame | None = None, known: Layouts = BUILT_IN) -> DataFrame:
     """One section of one bank's statements."""
     mark = lambda df: df.withColumn("bank_key", F.lit(bank))
-    return section(sections(mark(words), mark(files_of(words, files).select("file_id")), known, (name,)), name)
+    return section(sections(mark(words), mark(files_of(words, files).select("file_id")), known.only([bank]), (name,)), name)
 
 
 def account_data(words: DataFrame, bank: str, files: DataFrame | None = None) -> DataFrame:

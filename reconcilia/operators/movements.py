@@ -87,8 +87,9 @@ def trimmed_words(words: DataFrame, known: Layouts) -> DataFrame:
     """Words of all banks without what their rules take out by marker words, then by place."""
     special = {"end_marker": trimming.trimmed_bbva, "chart": trimming.without_chart}
     named = {kind: known.banks_where(trim=kind) for kind in special}
-    parts = [words.where(~F.col("bank_key").isin(*sum(named.values(), [])))]
-    parts += [special[kind](words.where(F.col("bank_key").isin(*banks))) for kind, banks in named.items() if banks]
+    of = lambda banks: words.where(F.col("bank_key").isin(*banks))
+    others = [b["bank_key"] for b in known.rows["rules"] if b["trim"] not in special]
+    parts = ([of(others)] if others else []) + [special[kind](of(banks)) for kind, banks in named.items() if banks]
     kept, top = ruled(reduce(DataFrame.unionByName, parts), known), number("top")
     gone = top.between(F.col("r.drop_from"), F.col("r.drop_to")) | (top >= F.col("r.below"))
     return kept.where(~F.coalesce(gone, F.lit(False))).drop("r")
@@ -100,8 +101,8 @@ def trimmed_pages(words: DataFrame, known: Layouts) -> DataFrame:
     sectioned = known.banks_where(trim="last_section")
     if not sectioned:
         return pages
-    whole = pages.where(~F.col("bank_key").isin(*sectioned))
-    return whole.unionByName(trimming.cut_pages(pages.where(F.col("bank_key").isin(*sectioned))))
+    cut = trimming.cut_pages(pages.where(F.col("bank_key").isin(*sectioned)))
+    return cut if len(sectioned) == len(known.rows["rules"]) else pages.where(~F.col("bank_key").isin(*sectioned)).unionByName(cut)
 
 
 def variants(words: DataFrame, known: Layouts) -> DataFrame:
@@ -146,8 +147,9 @@ def all_page_columns(lines: DataFrame) -> DataFrame:
 
 def page_lines(pages: DataFrame, known: Layouts) -> DataFrame:
     """Line rows of all banks by their own rule, with the rules as r; tolerances come from the page rows' heights."""
-    limits = page_tolerance(pages.where(F.col("bank_key").isin(*known.banks_where(line_rule="mean"))))
-    rows = ruled(pages, known).join(limits, "file_id", "left")
+    measured = known.banks_where(line_rule="mean")
+    rows = ruled(pages, known)
+    rows = rows.join(page_tolerance(pages.where(F.col("bank_key").isin(*measured))), "file_id", "left") if measured else rows.withColumn("tolerance", F.lit(None).cast("double"))
     mean = F.col("r.line_rule") == "mean"
     level = lambda w: F.when(mean, middle(w)).otherwise(w["top"])
     return line_rows(rows, level, level, F.when(mean, F.col("tolerance")).otherwise(ANCHOR_TOLERANCE), mean).drop("tolerance")
@@ -157,7 +159,8 @@ def with_bounds(lines: DataFrame, words: DataFrame, known: Layouts) -> DataFrame
     """``lines`` with b: the bounds of each role, by bank and variant, or by the page's own titles where the rules say so."""
     spark = lines.sparkSession
     default = F.coalesce(*(F.when(F.col("bank_key") == b, v) for b, v in known.default_variants().items()))
-    placed = lines.join(variants(words, known), "file_id", "left").withColumn("variant", F.coalesce("variant", default))
+    varied = lines.join(variants(words, known), "file_id", "left") if known.rows["variants"] else lines.withColumn("variant", F.lit(None).cast("string"))
+    placed = varied.withColumn("variant", F.coalesce("variant", default))
     placed = placed.join(F.broadcast(known.bounds(spark)), ["bank_key", "variant"])
     titled = known.banks_where(titles_columns=True)
     if titled:
@@ -238,10 +241,12 @@ def enriched(found: DataFrame, known: Layouts) -> DataFrame:
     kept = r.where(~F.coalesce(opening, F.lit(False)) & ~empty)
     side = F.when(F.col("cargo") > 0, "CARGO").when(F.col("abono") > 0, "ABONO")
     kind = F.when(F.col("r.kind") == "words", concepts.banamex_type(F.col("cargo"), F.col("abono"), F.col("concepto"))).otherwise(side)
-    says = {n: f(F.col("concepto")) for n, f in FIELDS.items()}
+    named = {r["fields"] for r in known.rows["rules"]}
+    says = {n: f(F.col("concepto")) for n, f in FIELDS.items() if n in named}
     names = [c for c in MOVEMENT if any(c in v for v in says.values())]
     picks = {c: F.coalesce(*(F.when(F.col("r.fields") == n, v[c].cast("string")) for n, v in says.items() if c in v)) for c in names}
-    picks["referencia"] = F.when(F.col("r.fields").isin(*(n for n, v in says.items() if "referencia" in v)), picks["referencia"]).otherwise(F.col("referencia"))
+    if "referencia" in picks:
+        picks["referencia"] = F.when(F.col("r.fields").isin(*(n for n, v in says.items() if "referencia" in v)), picks["referencia"]).otherwise(F.col("referencia"))
     made = kept.withColumns({"tipo_operacion": kind} | picks)
     have, blank = set(made.columns), F.nullif(F.col("fecha_liquidacion"), F.lit(""))
     made = made.withColumn("fecha_liquidacion", F.when(first_line, F.col("fecha_liquidacion")).otherwise(blank))
@@ -260,4 +265,4 @@ def movements(words: DataFrame, known: Layouts = BUILT_IN) -> DataFrame:
 
 def movements_of(words: DataFrame, bank: str, known: Layouts = BUILT_IN) -> DataFrame:
     """The movements of one bank's statements."""
-    return movements(words.withColumn("bank_key", F.lit(bank)), known)
+    return movements(words.withColumn("bank_key", F.lit(bank)), known.only([bank]))

@@ -53,6 +53,10 @@ class Layouts:
         theirs = {r["bank_key"] for rows in other.rows.values() for r in rows}
         return Layouts({n: [r for r in self.rows[n] if r["bank_key"] not in theirs] + other.rows[n] for n in FILES})
 
+    def only(self, banks: list[str]) -> Layouts:
+        """The rows of some banks, so that plans hold nothing that others need."""
+        return Layouts({n: [r for r in rows if r["bank_key"] in banks] for n, rows in self.rows.items()})
+
     def frame(self, spark: SparkSession, name: str) -> DataFrame:
         columns = [c.split()[0] for c in FILES[name].split(", ")]
         return spark.createDataFrame([tuple(r[c] for c in columns) for r in self.rows[name]], FILES[name])
