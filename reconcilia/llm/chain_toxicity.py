@@ -10,12 +10,12 @@ words and word beginnings; a beginning stands for all words that are made from i
 is a sum over its distinct words, whatever its length.
 
 The chain is fitted on at most ``label_rows`` labelled documents, the first by a hash of the id, in one
-task; what reaches it and the driver is bounded by that parameter and by ``features`` for each category.
-Every text of the table is scored whole.
+task; what reaches it is the distinct features of that many texts, as arrays of four bytes each, and the driver gets ``features`` for each category.
+A fold's model has seen none of its fold's rows, neither in choosing features nor in fitting weights. Every text of the table is scored whole.
 
 Nulls and empty texts score by the intercepts alone and are never flagged. With fewer than two labels
-of a category its probability is the labels' share (0 without labels). Repeated rows get equal
-results; further columns are ignored.
+of a category its probability is the labels' share (0 without labels). Features of equal strength go by their
+hash, and of rows with one id in ``labels`` one counts. Repeated rows get equal results; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ FOLDS = 4
 BITS = 22
 BEGINNINGS = (4, 5, 6, 7)
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]{2,}|\|")
-REMEMBERED = 400_000
+#: Words that a task remembers, and letters of the longest among them.
+REMEMBERED, LONGEST = 150_000, 64
 
 
 def word_features(word: str) -> list[int]:
@@ -70,43 +71,64 @@ def chances(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
-def fit_chain(rows: list[tuple[int, list[int], list[int]]], categories: int, features: int) -> list[tuple[int, int, float]]:
-    """(category, feature, weight) rows from (fold, feature ids with repeats, labels); feature -1: intercept, -2 - c: probability of category c."""
-    fold = np.array([r[0] for r in rows])
-    labels = np.array([r[2] for r in rows], float)
-    ids = np.concatenate([np.array(r[1], np.int64) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    out: list[tuple[int, int, float]] = []
-    earlier = np.zeros((len(rows), 0))
-    for c in range(categories):
-        y = labels[:, c]
-        if y.sum() in (0, len(y)):
-            share = float(np.clip(y.mean() if len(y) else 0, 1e-6, 1 - 1e-6))
-            out.append((c, -1, float(np.log(share / (1 - share)))))
-            earlier = np.column_stack([earlier, np.full(len(rows), share)])
-            continue
-        cells = np.unique(owner << BITS + 1 | ids)
-        seen, at = np.unique(cells & (1 << BITS + 1) - 1, return_inverse=True)
-        own = y[cells >> BITS + 1]
-        yes, no = np.bincount(at, own) + 0.5, np.bincount(at, 1 - own) + 0.5
+class Sample:
+    """Labelled texts as arrays: the distinct features of each, and how often they occur there."""
+
+    def __init__(self, ids: list[np.ndarray]) -> None:
+        owner = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+        cells = np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64) | owner << BITS + 1
+        cells, self.times = np.unique(cells, return_counts=True)
+        self.size, self.owner = len(ids), cells >> BITS + 1
+        self.seen, self.at = np.unique(cells & (1 << BITS + 1) - 1, return_inverse=True)
+
+    def chosen(self, y: np.ndarray, known: np.ndarray, features: int) -> np.ndarray:
+        """Places of the features that tell most about the labels of the ``known`` rows; the others' labels play no part."""
+        mine = known[self.owner]
+        at, own, y = self.at[mine], y[self.owner[mine]], y[known]
+        yes, no = np.bincount(at, own, len(self.seen)) + 0.5, np.bincount(at, 1 - own, len(self.seen)) + 0.5
         odds = np.log(yes / (y.sum() + 1 - yes)) - np.log(no / ((1 - y).sum() + 1 - no))
         strength = np.where(yes + no >= 5, np.abs(odds) / np.sqrt(1 / yes + 1 / no), 0)
-        chosen = np.sort(seen[np.argsort(-strength, kind="stable")[:features]])
-        place = np.searchsorted(chosen, ids)
-        hit = (place < len(chosen)) & (chosen[np.minimum(place, len(chosen) - 1)] == ids)
-        x = np.zeros((len(rows), len(chosen)), np.float64)
-        np.add.at(x, (owner[hit], place[hit]), 1)
-        x = np.column_stack([x, earlier])
-        w = logistic(x, y)
-        held_out = np.empty(len(rows))
-        for k in range(FOLDS):
-            mine = fold == k
-            held_out[mine] = chances(x[mine], logistic(x[~mine], y[~mine])) if (~mine).any() else y.mean()
-        out += [(c, int(f), float(v)) for f, v in zip(chosen, w[: len(chosen)], strict=True)]
+        return np.sort(np.argsort(-strength, kind="stable")[:features])
+
+    def matrix(self, chosen: np.ndarray) -> np.ndarray:
+        """Counts of the chosen features, a row for each text."""
+        place = np.full(len(self.seen), -1)
+        place[chosen] = np.arange(len(chosen))
+        hit = place[self.at] >= 0
+        out = np.zeros((self.size, len(chosen)))
+        out[self.owner[hit], place[self.at[hit]]] = self.times[hit]
+        return out
+
+
+def fitted(sample: Sample, y: np.ndarray, earlier: np.ndarray, known: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, weights, chances of all rows) of a category's model that has seen the ``known`` rows only, in choosing features as in fitting them."""
+    if len(set(y[known])) < 2:
+        share = float(np.clip(y[known].mean() if known.any() else 0, 1e-6, 1 - 1e-6))
+        return np.zeros(0, int), np.append(np.zeros(earlier.shape[1]), np.log(share / (1 - share))), np.full(sample.size, share)
+    chosen = sample.chosen(y, known, features)
+    x = np.column_stack([sample.matrix(chosen), earlier])
+    w = logistic(x[known], y[known])
+    return chosen, w, chances(x, w)
+
+
+def fit_chain(fold: np.ndarray, ids: list[np.ndarray], labels: np.ndarray, features: int) -> tuple[list[tuple[int, int, float]], np.ndarray]:
+    """(category, feature, weight) rows (feature -1: intercept, -2 - c: probability of category c), and the out-of-fold probabilities of every row and category.
+
+    ``ids``: each row's feature ids with repeats; ``labels``: a column for each category.
+    """
+    sample, out = Sample(ids), []
+    earlier = np.zeros((len(fold), 0))
+    for c in range(labels.shape[1]):
+        y = labels[:, c].astype(float)
+        chosen, w, _ = fitted(sample, y, earlier, np.ones(len(fold), bool), features)
+        held_out = np.empty(len(fold))
+        for k in set(fold):
+            held_out[fold == k] = fitted(sample, y, earlier, fold != k, features)[2][fold == k]
+        out += [(c, int(sample.seen[f]), float(v)) for f, v in zip(chosen, w, strict=False)]
         out += [(c, -2 - i, float(v)) for i, v in enumerate(w[len(chosen) : -1])]
         out.append((c, -1, float(w[-1])))
         earlier = np.column_stack([earlier, held_out])
-    return out
+    return out, earlier
 
 
 def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], label_rows: int = LABEL_ROWS, features: int = FEATURES):
@@ -124,8 +146,13 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], lab
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(folds, pa.int32()), pa.array(ids, pa.list_(pa.int32())), batch.column(2)], names=["doc_id", "fold", "ids", "y"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((d, f, i, y) for b in batches for d, f, i, y in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        found = fit_chain([r[1:] for r in rows], number, features) if rows else [(c, -1, -30.0) for c in range(number)]
+        parts = list(batches)
+        if parts:
+            rows = pa.Table.from_batches(parts).sort_by("doc_id")
+            y = np.array(rows["y"].to_pylist(), int).reshape(len(rows), number)
+            found, _ = fit_chain(rows["fold"].to_numpy(), [i.values.to_numpy() for i in rows["ids"]], y, features)
+        else:
+            found, _ = fit_chain(np.zeros(0, int), [], np.zeros((0, number), int), features)
         yield pa.RecordBatch.from_pydict({"category": [f[0] for f in found], "feature": [f[1] for f in found], "weight": [f[2] for f in found]}, pa.schema([("category", pa.int32()), ("feature", pa.int32()), ("weight", pa.float64())]))
 
     sample = marked.mapInArrow(featured, "doc_id long, fold int, ids array<int>, y array<int>")
@@ -133,16 +160,18 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], lab
 
 
 class WordScores(dict):
-    """Weights of a word for every category, None if it has none; remembered up to a bound."""
+    """Weights of a word for every category, None if it has none; short words are remembered, up to a bound."""
 
     def __init__(self, weights: dict[int, np.ndarray]) -> None:
         self.weights = weights
 
     def __missing__(self, word: str):
-        if len(self) >= REMEMBERED:
-            self.clear()
         own = [self.weights[f] for f in word_features(word) if f in self.weights]
-        value = self[word] = sum(own) if own else None
+        value = sum(own) if own else None
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = value
         return value
 
 

@@ -22,10 +22,10 @@ __all__ = ["CRC_SQL", "HOT_KEYS", "LOWER", "WORD", "arrow_rows", "attach", "colu
 
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Inside, at most so many rows go to a Python worker at a time: for rows that are large, and jobs that run inside."""
+    """Inside, at most so many rows (fewer where the session says so) go to a Python worker at a time: for rows that are large, and jobs that run inside."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
     try:
         yield
     finally:

@@ -28,7 +28,7 @@ columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -46,24 +46,44 @@ BAND = 5
 BANDS = (1 << BUCKET_BITS) // BAND
 EMPTY = 0xFFFF
 #: Texts or pairs of sets that go to a worker at a time.
-BATCH = 1000
-#: Word hashes that a worker remembers.
-REMEMBERED = 150_000
+BATCH = 500
+#: Word hashes that a task remembers, and bytes of the longest word among them: some 20 MB at most.
+REMEMBERED, LONGEST = 100_000, 64
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+    """64-bit hashes of words; long words, such as texts without spaces, are never remembered, the others up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = value
         return value
 
 
 HASHES = WordHashes()
 
 
+def forget() -> None:
+    """At the end of a task: workers live on, and what they keep adds up over the stages."""
+    HASHES.clear()
+    pa.default_memory_pool().release_unused()
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` that leaves nothing behind in its worker."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            forget()
+
+    return whole
+
+
 def scrambled(x: np.ndarray) -> np.ndarray:
     """A fixed bijection of 64-bit values whose output bits all depend on all input bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -153,7 +173,7 @@ def _sketch(words: int):
 def sketches(docs: DataFrame, words: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, set_key (a hash of the whole set), bands (keys of the sketch's bands)."""
     bodies = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("body"))
-    return bodies.mapInArrow(_sketch(words), "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return bodies.mapInArrow(tidied(_sketch(words)), "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def _sets(words: int):
@@ -202,7 +222,7 @@ def verified(pairs: DataFrame, sets: DataFrame, share: int, estimate: bool) -> D
     first = sets.select(F.col("id").alias("a"), F.col("registers").alias("ra"), F.col("hashes").alias("ha"))
     second = sets.select(F.col("id").alias("b"), F.col("registers").alias("rb"), F.col("hashes").alias("hb"))
     joined = pairs.join(first, "a").join(second, "b").select("a", "b", "ra", "rb", "ha", "hb")
-    return joined.mapInArrow(_verify(share, estimate), "a long, b long")
+    return joined.mapInArrow(tidied(_verify(share, estimate)), "a long, b long")
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +244,7 @@ def possible_pairs(docs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     too much never meet. A token's rows are joined from all but its commonest component, by size.
     """
     bin_of = lambda n: F.floor(F.log(n.cast("double")) / F.lit(np.log(1.05))).cast("int")
-    rows = saved(sets.join(docs, "id").select("id", "component", "hashes").mapInArrow(_tokens, "id long, component long, n long, token long"))
+    rows = saved(sets.join(docs, "id").select("id", "component", "hashes").mapInArrow(tidied(_tokens), "id long, component long, n long, token long"))
     common = saved(rows.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("least"), F.max("component").alias("most")))
     ranked = rows.join(common, "token").withColumn("i", F.row_number().over(Window.partitionBy("id").orderBy("df", "token")) - 1)
     # the most that a set can share with one of m tokens if its first shared token is at place i
@@ -267,7 +287,7 @@ def _near_duplicates(docs: DataFrame, words: int, share: int, text: str, doc_id:
 
     wanted = saved(members.select("id").distinct())
     bodies = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("binary").alias("body"))
-    sets = saved(maybe_among(bodies, "id", wanted).join(wanted, "id", "left_semi").groupBy("id").agg(F.min("body").alias("body")).mapInArrow(_sets(words), "id long, registers binary, hashes binary"))
+    sets = saved(maybe_among(bodies, "id", wanted).join(wanted, "id", "left_semi").groupBy("id").agg(F.min("body").alias("body")).mapInArrow(tidied(_sets(words)), "id long, registers binary, hashes binary"))
     links = saved(verified(pairs, sets, share, estimate=True))
     labels = components(links)
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reconcilia.llm.common import LOWER, saved
-from reconcilia.llm.hyperminhash import HASHES, scrambled
+from reconcilia.llm.hyperminhash import HASHES, scrambled, tidied
 
 BUCKET_BITS = 16
 #: Target n-grams that a bucket gets from the raw model: rare n-grams then say little either way.
@@ -61,7 +61,7 @@ def log_ratios(docs: DataFrame, targets: DataFrame) -> np.ndarray:
     chosen = F.broadcast(targets.select("doc_id").distinct().withColumn("target", F.lit(True)))
     bodies = docs.select("doc_id", F.col("text").cast("binary").alias("body"))
     marked = bodies.join(chosen, "doc_id", "left").select("body", F.coalesce("target", F.lit(False)).alias("target"))
-    sums = marked.mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    sums = marked.mapInArrow(tidied(_count), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     counts = np.zeros((2, 1 << BUCKET_BITS))
     counts[:, sums["bucket"].to_numpy(np.int64)] = sums[["raw", "target"]].to_numpy().T
     if not counts[1].any():
@@ -81,7 +81,7 @@ def weighed(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
             weights = [float(ratios[f].sum()) for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, found)), pa.int64()), pa.array(weights, pa.float64())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body")).mapInArrow(run, "doc_id long, n_grams long, log_weight double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body")).mapInArrow(tidied(run), "doc_id long, n_grams long, log_weight double")
 
 
 def kth_largest(rows: DataFrame, key: str, k: int, bins: int = 4096) -> float | None:

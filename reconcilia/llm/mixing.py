@@ -103,8 +103,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 7) -> DataFrame:
     """The mix itself: ``docs`` with each document repeated as ``mix`` says; n_chars, where there is one, follows the text.
 
-    One row for each source says what to take, so texts are never dealt out for it. A document taken in part gives
-    its first words, joined by single spaces.
+    One row for each source says what to take, so texts are never dealt out for it. No text is cut: a document of which ``mix`` takes a
+    part once more is taken whole if that part is half of it or more, and left out otherwise.
     """
     text = F.col("text").cast("string")
     sizes = saved(docs.select("source", size_of(text).alias("size"), place_of(F.col("doc_id"), seed).alias("place")))
@@ -112,11 +112,8 @@ def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     rows = docs.select(F.struct(*columns_of(docs, *others)).alias("row"), text.alias("text"), "source", size_of(text).alias("size"), place_of(F.col("doc_id"), seed).alias("place"))
     out = rows.join(edges, F.col("source").eqNullSafe(F.col("of_source"))).withColumn("part", part_of(F.col("size"), F.col("place")))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    head = F.array_join(F.slice(words, 1, F.greatest(F.lit(1), F.col("part")).cast("int")), " ")
-    some = (F.col("part") > 0) & (F.col("part") < F.col("size"))
-    whole = F.array_repeat(F.col("text"), (F.col("whole") + F.when((F.col("part") > 0) & ~some, 1).otherwise(0)).cast("int"))
-    out = out.select("row", F.explode(F.when(some, F.concat(whole, F.array(head))).otherwise(whole)).alias("text"))
+    copies = F.col("whole") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
+    out = out.select("row", F.explode(F.array_repeat("text", copies.cast("int"))).alias("text"))
     own = {"text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
     return out.select(*(own[c] if c in own else F.col("row").getField(c).alias(c) for c in docs.columns))
 

@@ -53,7 +53,6 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     categories = {
         "low_quality": F.col("quality") == 0,
         "toxic": F.col("toxic") == 1,
-        "toxic_low_quality": (F.col("quality") == 0) & (F.col("toxic") == 1),
     }
     model = chain_toxicity.learn(docs, labels, categories)
     found = chain_toxicity.scored(docs, model, list(categories))

@@ -95,7 +95,7 @@ def mixed(rows, weights=(5, 2, 1), epochs=3):
         for doc, _, text in sorted((r for r in rows if r[1] == s), key=lambda r: hashlib.md5(f"7:{'null' if r[0] is None else r[0]}".encode()).hexdigest()):
             part = max(0, min(size(text), left))
             left -= size(text)
-            more = [] if not part else [text] if part == size(text) else [" ".join(re.findall(r"[^\x20\x09-\x0D]+", text)[:part])]
+            more = [text] if part and 2 * part >= size(text) else []
             out[doc] = [text] * whole + more
     return out
 

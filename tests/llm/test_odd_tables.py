@@ -82,11 +82,13 @@ def test_stage(spark, name, stage, empty):
 
 
 def test_repetition_agrees(spark):
-    """As many words as ``mix`` says, for repeated and null ids too."""
+    """As many words as ``mix`` says but for the documents at an edge, which come whole or not at all, for repeated and null ids too."""
     rows = [(i % 7 if i % 5 else None, "w " * (1 + i % 9), s) for i, s in enumerate(["a"] * 40 + ["b"] * 9 + [None] * 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     words = lambda df, size: {(r["doc_id"], r["source"]): r["n"] for r in df.groupBy("doc_id", "source").agg(F.sum(size).alias("n")).where("n > 0").collect()}
-    mixed = mixing.mix(df)
-    assert words(mixed, F.col("taken")) == words(mixing.repeated(df), mixing.size_of(F.col("text")))
+    mixed, given = mixing.mix(df), mixing.repeated(df)
+    part = F.when(2 * F.col("part") >= F.col("size"), F.col("size")).otherwise(0)
+    assert words(mixed, F.col("whole") * F.col("size") + part) == words(given, mixing.size_of(F.col("text")))
+    assert {r["text"] for r in given.select("text").collect()} <= {t for _, t, _ in rows}
     per = mixed.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.count("*").alias("n"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).collect()
     assert all(abs(r["t"] - r["g"]) <= r["n"] and r["over"] <= 0 for r in per)

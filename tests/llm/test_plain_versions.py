@@ -3,6 +3,7 @@
 import math
 import random
 import struct
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from plain import bundle, language
 from pyspark.sql import functions as F
 
-from reconcilia.llm import chain_toxicity, hd_langid, html_diff, importance, telephony
+from reconcilia.llm import chain_toxicity, hd_langid, html_diff, hyperminhash, importance, telephony
 
 WORDS = "river stone cloud grass mountain bird win cash now click here tree".split()
 
@@ -69,9 +70,60 @@ def test_toxicity_chain(spark):
 def test_out_of_fold():
     """A later category learns from probabilities of models that have not seen the row, so an earlier label that is noise gets little weight."""
     rng = random.Random(10)
-    rows = [(rng.randrange(chain_toxicity.FOLDS), [i + 1], [noise := rng.randrange(2), noise]) for i in range(200)]
-    chain = {(c, f): w for c, f, w in chain_toxicity.fit_chain(rows, 2, 500)}
-    assert abs(chain.get((1, -2), 0)) < 1
+    noise = np.array([[rng.randrange(2)] * 2 for _ in range(200)])
+    found, _ = chain_toxicity.fit_chain(np.array([rng.randrange(chain_toxicity.FOLDS) for _ in noise]), [np.array([i + 1]) for i in range(200)], noise, 500)
+    assert abs({(c, f): w for c, f, w in found}.get((1, -2), 0)) < 1
+
+
+def test_noise_stays_noise():
+    """Labels that are pure noise, with far more features than are chosen: held-out probabilities tell nothing."""
+    rng = np.random.default_rng(4)
+    n = 1200
+    ids, y, fold = [rng.integers(0, 20_000, 150) for _ in range(n)], rng.integers(0, 2, (n, 1)), rng.integers(0, chain_toxicity.FOLDS, n)
+    _, held_out = chain_toxicity.fit_chain(fold, ids, y, 1500)
+    order, yes = np.argsort(np.argsort(held_out[:, 0])), y[:, 0] == 1
+    auc = (order[yes].sum() - yes.sum() * (yes.sum() - 1) / 2) / (yes.sum() * (~yes).sum())
+    assert 0.45 <= auc <= 0.55
+
+
+def test_fold_probabilities():
+    """Each fold's probabilities against a model that is fitted from the other folds' rows alone."""
+    rng = np.random.default_rng(5)
+    n, features = 240, 12
+    ids = [rng.choice(40, 9) for _ in range(n)]
+    y = np.array([[int(3 in i) ^ int(rng.random() < 0.1), int(3 in i or 7 in i)] for i in ids])
+    fold = rng.integers(0, 3, n)
+    _, held_out = chain_toxicity.fit_chain(fold, ids, y, features)
+    earlier = np.zeros((n, 0))
+    for c in range(2):
+        want = np.empty(n)
+        for k in range(3):
+            train = [i for i in range(n) if fold[i] != k]
+            count = {f: [sum(f in ids[i] for i in train if y[i, c] == v) + 0.5 for v in (1, 0)] for f in range(40)}
+            total = [sum(y[i, c] == v for i in train) for v in (1, 0)]
+            odds = {f: math.log(a / (total[0] + 1 - a)) - math.log(b / (total[1] + 1 - b)) for f, (a, b) in count.items()}
+            strength = {f: abs(odds[f]) / math.sqrt(1 / a + 1 / b) if a + b >= 5 else 0 for f, (a, b) in count.items()}
+            best = sorted(sorted(count, key=lambda f: (-strength[f], f))[:features])
+            x = np.column_stack([[[list(i).count(f) for f in best] for i in ids], earlier])
+            want[fold == k] = chain_toxicity.chances(x, chain_toxicity.logistic(x[train].astype(float), y[train, c]))[fold == k]
+        assert np.allclose(held_out[:, c], want)
+        earlier = np.column_stack([earlier, want])
+
+
+def test_long_words_are_not_remembered():
+    """Texts without spaces leave nothing in a worker: 3000 words of 100 kB in each cache stay under 2 MB."""
+    tracemalloc.start()
+    scores = chain_toxicity.WordScores({})
+    for i in range(3000):
+        word = f"{i}" + "x" * 100_000
+        hyperminhash.HASHES[word.encode()]
+        scores[word]
+    kept, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 2e6 and not scores and not any(len(w) > hyperminhash.LONGEST for w in hyperminhash.HASHES)
+    hyperminhash.HASHES.update((b"%d" % i, i) for i in range(10))
+    list(hyperminhash.tidied(lambda batches: batches)(iter([])))
+    assert not hyperminhash.HASHES
 
 
 def mulaw(code):
