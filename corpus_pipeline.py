@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reconcilia.llm import hd_langid, hyperminhash, line_dedup, mixing, unigram_pieces
-from reconcilia.llm.common import saved, table, without
+from reconcilia.llm.common import arrow_rows, saved, table, without
 from reconcilia.storage import scratch, written
 
 
@@ -73,9 +73,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        with scratch(spark) as made:  # what a stage wrote on its way goes when its result is written
-            out = written(stage(spark, docs, sf_dir))
-            made.remove(out)
-        docs = spark.read.parquet(out)
+    with arrow_rows(spark, BATCH):  # stages set it for what they leave to be run later; here it is put back
+        for _, stage in STAGES:
+            with scratch(spark) as made:  # what a stage wrote on its way goes when its result is written
+                out = written(stage(spark, docs, sf_dir))
+                made.remove(out)
+            docs = spark.read.parquet(out)
     return docs
