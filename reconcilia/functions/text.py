@@ -4,16 +4,37 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+def runs(codes: list[int]) -> list[tuple[str, str]]:
+    """First and last characters of the runs in sorted code points."""
+    out: list[list[int]] = []
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return [(chr(a), chr(b)) for a, b in out]
+
+
 #: White space as Unicode has it, no-break space included.
 SPACE = r"(?U)\s+"
-#: Capital letters of the Latin blocks that are one letter and marks, and that letter.
-MARKED = [chr(c) for c in range(0xC0, 0x250) if chr(c).isupper() and len(unicodedata.normalize("NFD", chr(c))) > 1]
-PLAIN = [unicodedata.normalize("NFD", c)[0] for c in MARKED]
+
+
+def stripped(char: str) -> str:
+    """A character's canonical decomposition without its marks."""
+    return "".join(x for x in unicodedata.normalize("NFD", char) if unicodedata.category(x) != "Mn")
+
+
+#: Characters of the basic plane (but small letters) that lose marks in that way, and what is left of them. Hangul syllables become several letters and stay.
+MARKED = [c for c in map(chr, range(0xC0, 0x10000)) if not c.islower() and unicodedata.decomposition(c) and len(stripped(c)) == 1 and stripped(c) != c]
+PLAIN = [stripped(c) for c in MARKED]
+#: Characters that compatibility composition changes or joins with others, and all beyond the basic plane: a text without any of them stays as it is.
+_CHANGES = [c for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and (unicodedata.category(chr(c)) in ("Mn", "Mc") or 0x1161 <= c <= 0x11C2 or not unicodedata.is_normalized("NFKC", chr(c)))]
+UNSTABLE = "".join(f"\\x{{{ord(a):x}}}-\\x{{{ord(b):x}}}" for a, b in runs(_CHANGES)) + "\\x{10000}-\\x{10ffff}"
 
 
 def collapsed(text: Column) -> Column:
@@ -73,7 +94,11 @@ def clabe_or_null(text: Column) -> Column:
     return F.when(F.length(digits(text)) == 18, digits(text))
 
 
-@F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Compatibility composition; no built-in function does it."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t), na_action="ignore")
+@F.arrow_udf(StringType())
+def _nfkc(text: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility composition. Only texts that hold a character which it can change go to Python; plain texts never do."""
+    return F.when(text.rlike(f"[{UNSTABLE}]"), _nfkc(F.when(text.rlike(f"[{UNSTABLE}]"), text))).otherwise(text)

@@ -366,14 +366,19 @@ def trim_marker_line(spark, d):
 # --- scalar functions -------------------------------------------------------------------------------
 
 
+#: Letters with one and two marks in several scripts, and letters with loose marks.
+MARKED_TEXTS = ["Việt Nam ế ộ ữ", "ά έ Ή ώ ϋ ΐ", "ё й Ї ў ѓ", "ǖ ǭ ḗ ẗ Å", "e\u0301 n\u0303"]
+
+
 @query(r"""SELECT o_orderkey, upper(strip_accents(regexp_replace(trim(o_comment), '\s+', ' ', 'g'))) AS canonical, regexp_replace(o_clerk, '\D', '', 'g') AS digits, trim(regexp_replace('  ' || o_comment || ' – ', '\s+', ' ', 'g')).replace('–', '-') AS word,
-  nullif(trim(regexp_replace(o_orderpriority, '\s+', ' ', 'g')), '') AS collapsed, 'ABC010101XY' || o_orderkey % 10 AS rfc, CASE WHEN o_orderkey % 2 = 0 THEN lpad(o_orderkey::VARCHAR, 18, '0') END AS clabe FROM (SELECT *, o_clerk || ' ' || o_orderpriority AS o_comment FROM (SELECT *, 'Clérk#' || lpad(o_custkey::VARCHAR, 9, '0') AS o_clerk FROM orders))""")
+  nullif(trim(regexp_replace(o_orderpriority, '\s+', ' ', 'g')), '') AS collapsed, 'ABC010101XY' || o_orderkey % 10 AS rfc, CASE WHEN o_orderkey % 2 = 0 THEN lpad(o_orderkey::VARCHAR, 18, '0') END AS clabe, upper(strip_accents(['Việt Nam ế ộ ữ', 'ά έ Ή ώ ϋ ΐ', 'ё й Ї ў ѓ', 'ǖ ǭ ḗ ẗ Å', 'e' || chr(769) || ' n' || chr(771)][o_orderkey % 5 + 1])) || ' ' || o_orderkey AS marked FROM (SELECT *, o_clerk || ' ' || o_orderpriority AS o_comment FROM (SELECT *, 'Clérk#' || lpad(o_custkey::VARCHAR, 9, '0') AS o_clerk FROM orders))""")
 def text_functions(spark, d):
     o = views.table(spark, d, "orders").withColumn("o_clerk", F.concat(F.lit("Clérk#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))).withColumn("o_comment", F.concat_ws(" ", "o_clerk", "o_orderpriority"))
     number = F.lpad(F.col("o_orderkey").cast("string"), 18, "0")
     return o.select(
         "o_orderkey", t.canonical(F.concat(F.lit(" "), F.lower("o_comment"), F.lit("\n"))).alias("canonical"), t.digits(F.col("o_clerk")).alias("digits"), t.word_text(F.concat(F.lit("  "), "o_comment", F.lit(" – "))).alias("word"),
         t.collapsed_or_null(F.col("o_orderpriority")).alias("collapsed"), t.rfc_labelled(F.concat(F.lit("RFC: RFC:abc 010101 xy"), (F.col("o_orderkey") % 10).cast("string"))).alias("rfc"), t.clabe_or_null(F.when(F.col("o_orderkey") % 2 == 0, number).otherwise("12 3")).alias("clabe"),
+        t.canonical(F.concat_ws(" ", F.get(F.array(*map(F.lit, MARKED_TEXTS)), (F.col("o_orderkey") % 5).cast("int")), F.col("o_orderkey").cast("string"))).alias("marked"),
     )
 
 
@@ -551,40 +556,70 @@ def normalised_tables(spark, d):
     return made["Movimientos"].groupBy(*keys).agg(F.count("*").alias("n"), F.sum("Abono").alias("Abono"), F.sum("Cargo").alias("Cargo"), F.sum("Saldo de Operación").alias("Saldo"))
 
 
-def _tables(spark, d, bank: str) -> dict[str, DataFrame]:
-    """The normalised tables of one bank's printed statements, all but the movements'."""
-    words = _printed(spark, d, bank)
-    files = words.select("file_id").distinct().withColumn("bank_key", F.lit(bank))
+def _tables(spark, d) -> dict[str, DataFrame]:
+    """The normalised tables of all banks' printed statements, but for the movements'."""
+    words = saved(reduce(DataFrame.unionByName, (views.statement_words(spark, d, b).withColumn("bank_key", F.lit(b)) for b in BANKS)))
+    files = saved(words.select("file_id", "bank_key").distinct())
+    found = saved(fields.sections(words, files))
     none = words.select("file_id", *(F.lit(None).alias(c) for c in ("numero_movimiento", *movements.MOVEMENT))).limit(0)
-    read = statements.of_bank(words, bank)
-    return tables.normalised(_keys(files), read["account"], read["products"], read["summary"], none)
+    return tables.normalised(_keys(files), fields.section(found, "datos"), fields.section(found, "productos"), statements.summaries(found, words), none)
+
+
+def _all_tables(spark, d) -> dict[str, DataFrame]:
+    """The four tables of all statements, with those behind blank pages and those that are images."""
+    words, pages, tokens = views.every_statement(spark, d)
+    out = statements.process(saved(words), pages, tokens)
+    return tables.normalised(_keys(out.identified.select("file_id", "bank_key")), out.account, out.products, out.summary, out.movements)
+
+
+def _sunk(spark, d) -> dict[str, DataFrame]:
+    """The same from the versioned sink: written, committed and read back."""
+    store = tables.Versions(spark, f"{storage.shared_dir(spark)}/sink-{uuid.uuid4().hex}")
+    store.commit(_all_tables(spark, d), "all")
+    return store.tables()
+
+
+BANKS = ["bbva", "banamex", "banorte"]
+OF_ALL = {
+    "account": " UNION ALL ".join(f"SELECT * FROM ({sql.account_sql(*a)})" for a in ((0, "012", "MAESTRA", "/01/2026"), (1, "002", "PERFILES", "/ENE/2026"), (2, "072", "ENLACE", "/Enero/2026"))),
+    "summary": " UNION ALL ".join(f"SELECT * FROM ({sql.summary_sql(b)})" for b in BANKS),
+    "products": f"SELECT * FROM ({sql.products_sql()}) UNION ALL SELECT DISTINCT o_custkey::VARCHAR AS file_id, {', '.join(['$na'] * 6)} FROM orders WHERE o_custkey % 3 <> 0".replace("$na", "'N/A'"),
+    "movements": " UNION ALL ".join(f"SELECT * FROM ({m})" for m in (sql.BBVA, sql.BANAMEX, sql.BANORTE)),
+}
 
 
-def _titled(titles: dict[str, str], made: str, bank: str) -> str:
-    """The SQL of a normalised table from that of its fields."""
+def _titled(titles: dict[str, str], made: str, more: str = "") -> str:
+    """The SQL of a normalised table of all banks from that of its fields."""
     columns = ", ".join(f'x.{c} AS "{t}"' for c, t in titles.items())
-    return f"""SELECT (row_number() OVER (ORDER BY x.file_id::BIGINT))::INTEGER AS id_estado, x.file_id || '.pdf' AS "Nombre del Archivo", '{bank}' AS "Banco", {columns} FROM ({made}) x"""
+    ids = "(SELECT k::VARCHAR AS file_id, (row_number() OVER (ORDER BY k))::INTEGER AS id_estado FROM (SELECT DISTINCT o_custkey AS k FROM orders))"
+    return f"""SELECT id_estado, x.file_id || '.pdf' AS "Nombre del Archivo", ['bbva', 'banamex', 'banorte'][x.file_id::BIGINT % 3 + 1] AS "Banco", {columns} FROM ({made}) x JOIN {ids} i USING (file_id)"""
 
 
-@query(_titled(tables.ACCOUNT, sql.account_sql(0, "012", "MAESTRA", "/01/2026"), "bbva"))
+@query(_titled(tables.ACCOUNT, OF_ALL["account"]))
 def table_accounts(spark, d):
-    return _tables(spark, d, "bbva")["Datos de la Cuenta"]
+    return _tables(spark, d)["Datos de la Cuenta"]
 
 
-@query(_titled(tables.PRODUCT, sql.products_sql(), "bbva"))
+@query(_titled(tables.PRODUCT, OF_ALL["products"]))
 def table_products(spark, d):
-    return _tables(spark, d, "bbva")["Otros Productos"]
+    """A layout without products has N/A in each field, by definition."""
+    return _tables(spark, d)["Otros Productos"]
 
 
-@query(_titled(tables.PRODUCT, "SELECT DISTINCT o_custkey::VARCHAR AS file_id, 'N/A' AS contrato, 'N/A' AS producto, 'N/A' AS tasa_interes_anual, 'N/A' AS gat_nominal_anual, 'N/A' AS gat_real_anual, 'N/A' AS total_comisiones FROM orders WHERE o_custkey % 3 = 1", "banamex"))
+@query(_titled(tables.PRODUCT, "SELECT DISTINCT o_custkey::VARCHAR AS file_id, 'N/A' AS contrato, 'N/A' AS producto, 'N/A' AS tasa_interes_anual, 'N/A' AS gat_nominal_anual, 'N/A' AS gat_real_anual, 'N/A' AS total_comisiones FROM orders WHERE o_custkey % 3 = 1"))
 def table_no_products(spark, d):
-    """A layout without products has N/A in each field, by definition."""
-    return _tables(spark, d, "banamex")["Otros Productos"]
+    return _tables(spark, d)["Otros Productos"].where("Banco = 'banamex'")
 
 
-@query(_titled(tables.SUMMARY, sql.summary_sql("banorte"), "banorte"))
+@query(_titled(tables.SUMMARY, OF_ALL["summary"]))
 def table_summaries(spark, d):
-    return _tables(spark, d, "banorte")["Resumen Financiero"]
+    return _tables(spark, d)["Resumen Financiero"]
+
+
+@query(_titled(tables.MOVEMENTS, f"SELECT m.*, a.fecha_corte, a.numero_cuenta FROM ({OF_ALL['movements']}) m JOIN ({OF_ALL['account']}) a USING (file_id)"))
+def table_movements(spark, d):
+    """All 24 columns of every movement of every bank, read back from the sink."""
+    return _sunk(spark, d)["Movimientos"]
 
 
 @query(f"WITH {sql.MOVEMENTS} SELECT count(DISTINCT statement_id) AS n_statements, count(*) AS n_movements FROM mov")
@@ -592,13 +627,26 @@ def statement_count(spark, d):
     return reconcile.statement_count(views.movements(spark, d))
 
 
-@query("SELECT t AS name, CASE t WHEN 'Movimientos' THEN 0 ELSE (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey % 3 = 0) END AS n FROM (VALUES ('Datos de la Cuenta'), ('Otros Productos'), ('Resumen Financiero'), ('Movimientos')) v(t)")
+@query("SELECT t AS name, CASE t WHEN 'Movimientos' THEN (SELECT count(*) FROM orders) ELSE (SELECT count(DISTINCT o_custkey) FROM orders) END AS n FROM (VALUES ('Datos de la Cuenta'), ('Otros Productos'), ('Resumen Financiero'), ('Movimientos')) v(t)")
 def sink_tables(spark, d):
-    """Rows of each table that the sink has written, read back from its folder."""
-    folder = f"{storage.shared_dir(spark)}/sink-{uuid.uuid4().hex}"
-    paths = tables.write(_tables(spark, d, "bbva"), folder)
-    counted = [spark.read.parquet(p).agg(F.lit(p.rpartition("/")[2]).alias("name"), F.count("*").alias("n")) for p in paths]
-    return reduce(DataFrame.unionByName, counted)
+    """Rows of each table in the sink's version."""
+    return reduce(DataFrame.unionByName, (df.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, df in _sunk(spark, d).items()))
+
+
+def _batch_files(spark, d, number: int) -> DataFrame:
+    """Files of three batches: every file in the batch of its remainder, and a fifth of them again in the next."""
+    files = views.table(spark, d, "orders").select(F.col("o_custkey").alias("input_ord")).distinct()
+    mine = (F.col("input_ord") % 3 == number) | ((F.col("input_ord") % 3 == number - 1) & (F.col("input_ord") % 5 == 0))
+    return files.where(mine).withColumns({"file_id": F.col("input_ord").cast("string"), "parsed": F.col("input_ord") % 7 != 0})
+
+
+@query("""WITH k AS (SELECT DISTINCT o_custkey AS k, o_custkey % 3 AS b FROM orders), id AS (SELECT k, b, row_number() OVER (ORDER BY b, k)::INTEGER AS id_estado FROM k)
+SELECT b::INTEGER AS batch, k::VARCHAR AS file_id, id_estado FROM id WHERE k % 7 <> 0 UNION ALL SELECT b::INTEGER + 1, k::VARCHAR, id_estado FROM id WHERE b < 2 AND k % 5 = 0 AND k % 7 <> 0""")
+def keys_over_batches(spark, d):
+    """Ids of three batches, the last of which comes twice: new files go on where the batch before ended, and known ones keep theirs."""
+    keys = tables.KeyDimension(spark, f"{storage.shared_dir(spark)}/keys-{uuid.uuid4().hex}")
+    made = [saved(keys.assign(_batch_files(spark, d, n), f"batch {n}").select(F.lit(n).alias("batch"), "file_id", "id_estado")) for n in (0, 1, 2, 2)]
+    return reduce(DataFrame.unionByName, made[:2] + made[3:])
 
 
 @query("SELECT row_number() OVER (ORDER BY o_custkey)::INTEGER AS id_estado, o_custkey::VARCHAR AS file_id FROM (SELECT DISTINCT o_custkey FROM orders) QUALIFY o_custkey % 5 <> 0")

@@ -30,7 +30,7 @@ def quarantined(spark: SparkSession, path: str, form: str = "json", **options: s
     """Words of files that may hold anything, and the records that were refused: (words, rejects).
 
     Every value is read as a text and turned into its type afterwards, and a record that can't be read at all is kept whole, so
-    nothing gets lost: a record is a word or a reject with a reason. A word needs a file, a place in reading order and a page from 1
+    nothing gets lost: a record is a word or a reject with a reason (a JSON array is as many records as it has elements). A word needs a file, a place in reading order and a page from 1
     on. Coordinates have defaults: what is no number is 0, a missing right or lower edge is that of the other side, and any other missing one 0;
     ``defaulted`` names those that got one. Rejects: file_id, reason (malformed, no_file, no_place, no_page), record (the source as JSON, or as it stands).
     """

@@ -11,6 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 NAMES = [
     "reconcile_statements", "integrity_score", "bank_identification", "bank_catalogue", "scan_words", "text_stage", "document_quality", "document_routing", "chosen_words", "lines_by_anchor", "lines_by_mean", "lines_by_doctop", "line_tolerance",
     "boxes_bbva_datos", "layout_shift", "concepts_banorte", "money_functions", "movements_bbva", "movements_banamex", "movements_banorte", "account_banorte", "summary_bbva", "summary_banamex", "summary_banorte", "page_columns",
+    "typed_words", "rejected_words", "text_functions", "fourth_bank_movements", "fourth_bank_fields", "keys_over_batches", "table_accounts", "table_summaries", "table_movements", "sink_tables",
     "trim_after_total", "trim_repeated_headers", "trim_last_section", "trim_marker_line", "products_bbva", "statement_keys", "process_statements",
 ]
 
