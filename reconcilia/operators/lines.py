@@ -112,10 +112,10 @@ def line_places(y: pa.Array, tolerance: pa.Array, running_mean: pa.Array) -> pa.
 def page_rows(words: DataFrame, *constants: str) -> DataFrame:
     """file_id, page, words, and columns that are constant on a page: the one exchange of all words that lines need.
 
-    The words of a page are an array of (x0, seq, text, x1, top, bottom, doctop) in order of x0, with defaults for coordinates
+    The words of a page are an array of (x0, seq, text, x1, top, bottom, doctop, clean text) in order of x0, with defaults for coordinates
     that are missing or no numbers; every line rule, column and cut works inside such a row from then on.
     """
-    word = F.struct(number("x0").alias("x0"), "seq", "text", right().alias("x1"), number("top").alias("top"), bottom().alias("bottom"), number("doctop").alias("doctop"))
+    word = F.struct(number("x0").alias("x0"), "seq", "text", right().alias("x1"), number("top").alias("top"), bottom().alias("bottom"), number("doctop").alias("doctop"), word_text(F.col("text")).alias("clean"))
     return words.groupBy("file_id", "page").agg(F.array_sort(F.collect_list(word)).alias("words"), *(F.first(c).alias(c) for c in constants))
 
 

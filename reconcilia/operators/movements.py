@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from reconcilia.functions import concepts
 from reconcilia.functions import money as m
-from reconcilia.functions.dates import date_prefix, is_day_month, without_date_prefix
-from reconcilia.functions.text import word_text, word_upper
+from reconcilia.functions.dates import PREFIX, date_prefix, is_day_month, without_date_prefix
 from reconcilia.operators import trimming
 from reconcilia.operators.lines import ANCHOR_TOLERANCE, center_x, line_rows, middle, number, page_rows, page_tolerance, texts
 from reconcilia.sources.layouts import BUILT_IN, ROLES, Layouts
@@ -132,7 +131,7 @@ def titled_columns(heads: DataFrame) -> DataFrame:
 
 def page_columns(lines: DataFrame) -> DataFrame:
     """file_id, page and column bounds from the page's last table header. ``lines``: line rows (words by x0)."""
-    title = lambda n: F.get(F.filter("words", lambda w: word_upper(w["text"]) == n), 0)
+    title = lambda n: F.get(F.filter("words", lambda w: F.upper(w["clean"]) == n), 0)
     heads = lines.select("file_id", "page", "line_no", *(title(n).alias(n) for n in HEADER_NAMES))
     count = sum(F.col(n).isNotNull().cast("int") for n in HEADER_NAMES)
     last = heads.where(count >= 4).groupBy("file_id", "page").agg(*(F.max_by(n, "line_no").alias(n) for n in HEADER_NAMES))
@@ -174,18 +173,26 @@ def lists(text: str) -> Column:
     return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\|"), lambda x: x != "")
 
 
-def column_texts(lines: DataFrame) -> DataFrame:
+def matches(rules: list[dict], name: str, text: Column) -> Column:
+    """Whether a text has the pattern that its bank's rules (r) name. Patterns stand in the plan as literals, so each is compiled once; false without one."""
+    patterns = sorted({r[name] for r in rules if r[name]})
+    return F.coalesce(*(F.when(F.col(f"r.{name}") == p, text.rlike(p)) for p in patterns), F.lit(False))
+
+
+def column_texts(lines: DataFrame, known: Layouts) -> DataFrame:
     """What segmentation needs of each line: date, whether it starts a movement, concept, amounts, references. ``lines`` with r and b."""
     slack, b = F.col("r.slack"), F.col("b")
-    clean = F.when(F.col("r.text_rule") == "trim", F.transform("words", lambda w: w.withField("text", F.trim(w["text"])))).otherwise(F.transform("words", lambda w: w.withField("text", word_text(w["text"]))))
+    trimmed = F.col("r.text_rule") == "trim"
+    clean = F.transform("words", lambda w: F.struct(w["x0"].alias("x0"), w["x1"].alias("x1"), F.when(trimmed, F.trim(w["text"])).otherwise(w["clean"]).alias("text")))
     rows = lines.withColumn("words", F.filter(clean, lambda w: w["text"] != ""))
+    rules = known.rows["rules"]
     centre = lambda w, role, more: ((w["x0"] + w["x1"]) / 2).between(b[role]["xmin"] - more, b[role]["xmax"] + more)
     over = lambda w, role: F.least(w["x1"], b[role]["xmax"]) > F.greatest(w["x0"], b[role]["xmin"])
     edge = lambda w, role: w["x1"].between(b[role]["xmin"], b[role]["xmax"])
     column = lambda role: texts(F.col("words"), lambda w: centre(w, role, slack))
-    dates = F.filter(F.transform("words", lambda w: date_prefix(w["text"])), lambda d: d.isNotNull())
+    dates = F.transform(F.filter("words", lambda w: w["text"].rlike(PREFIX)), lambda w: date_prefix(w["text"]))
     prefixed, first_line = F.col("r.start") == "prefix", F.col("r.amounts") == "first_line"
-    last = lambda role: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter("words", lambda w: edge(w, role) & F.rlike(w["text"], F.col("r.money"))), lambda w: w["text"])), -1)
+    last = lambda role: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter("words", lambda w: edge(w, role) & matches(rules, "money", w["text"])), lambda w: w["text"])), -1)
     rows = rows.select(
         "file_id", "bank_key", "page", "line_no", "r", texts(F.col("words")).alias("line"), F.transform(F.filter("words", lambda w: over(w, "concepto")), lambda w: w["text"]).alias("_over"),
         F.when(prefixed, F.get(dates, 0)).otherwise(column("fecha_operacion")).alias("fecha_operacion"), column("fecha_liquidacion").alias("fecha_liquidacion"), column("concepto").alias("opening_text"),
@@ -199,7 +206,7 @@ def column_texts(lines: DataFrame) -> DataFrame:
     undated = F.concat_ws(" ", F.nullif(without_date_prefix(F.get("_over", 0)), F.lit("")), F.array_join(rest, " "))
     over_text = F.trim(F.when(F.size("_over") == 0, "").when(prefixed & F.col("is_start"), undated).otherwise(F.array_join("_over", " ")))
     rows = rows.withColumn("concepto", F.when(F.col("r.concept_by") == "overlap", over_text).otherwise(F.col("opening_text")))
-    skipped = F.coalesce(F.rlike(F.upper("line"), F.col("r.skip")), F.lit(False)) | ((F.col("r.titles_least") > 0) & (F.col("_titles") >= F.col("r.titles_least")))
+    skipped = matches(rules, "skip", F.upper("line")) | ((F.col("r.titles_least") > 0) & (F.col("_titles") >= F.col("r.titles_least")))
     return rows.where((F.col("line") != "") & ~skipped & (F.col("page") >= F.col("r.first_page"))).drop("_over", "_titles", "line", "r")
 
 
@@ -257,7 +264,7 @@ def enriched(found: DataFrame, known: Layouts) -> DataFrame:
 def movements(words: DataFrame, known: Layouts = BUILT_IN) -> DataFrame:
     """file_id, numero_movimiento and the common model of all banks. ``words``: a table that can be read again, with bank_key."""
     lines = with_bounds(page_lines(trimmed_pages(words, known), known), words, known)
-    segmented = blocks(saved(column_texts(lines)), F.col("is_start"))
+    segmented = blocks(saved(column_texts(lines, known)), F.col("is_start"))
     found = saved(enriched(grouped_blocks(segmented), known))
     numbered = counted_on(found, F.lit(True), "block_id", "numero_movimiento")
     return numbered.select("file_id", F.col("numero_movimiento").cast("int").alias("numero_movimiento"), *MOVEMENT)

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reconcilia.functions import money as m
-from reconcilia.functions.dates import LOOSE_PREFIX, date_prefix
-from reconcilia.functions.text import header_text, word_text, word_upper
+from reconcilia.functions.dates import LOOSE_PREFIX
+from reconcilia.functions.text import header_text, word_upper
 from reconcilia.operators.lines import LEAST_TOLERANCE, line_rows, middle, number, page_rows, page_tolerance, texts
 from reconcilia.storage import saved
 
@@ -134,7 +134,7 @@ def section_lines(pages: DataFrame) -> DataFrame:
     """Lines with what decides where a statement's last section starts. ``pages``: page rows; all but the exchange of the words happens in them."""
     bounds = {"page_xmin": F.array_min(F.transform("words", lambda w: w["x0"])), "page_xmax": F.array_max(F.transform("words", lambda w: w["x1"]))}
     lines = line_rows(pages.withColumns(bounds), lambda w: w["doctop"], middle, F.lit(LEAST_TOLERANCE), F.lit(True))
-    named = F.transform("words", lambda w: F.struct(word_text(w["text"]).alias("text"), w["x0"].alias("x0"), w["x1"].alias("x1"), w["doctop"].alias("doctop"), date_prefix(w["text"], LOOSE_PREFIX).isNotNull().alias("dated")))
+    named = F.transform("words", lambda w: F.struct(w["clean"].alias("text"), w["x0"].alias("x0"), w["x1"].alias("x1"), w["doctop"].alias("doctop"), w["clean"].rlike(LOOSE_PREFIX).alias("dated")))
     lines = lines.withColumn("words", named)
     each = lambda name, f: f(F.transform("words", lambda w: w[name]))
     plain = lambda w: (w["text"] == "") | ~(w["text"].rlike(m.BANORTE) | w["dated"])
@@ -200,7 +200,7 @@ def marker_cut(pages: DataFrame) -> DataFrame:
     files = some.select("file_id").distinct()
     limits = page_tolerance(pages.join(files, "file_id", "left_semi"))
     lines = line_rows(some.select("file_id", "page", "words").join(limits, "file_id"), middle, middle, F.col("tolerance"), F.lit(True))
-    said = F.array_join(F.filter(F.transform("words", lambda w: word_text(w["text"])), lambda x: x != ""), " ")
+    said = F.array_join(F.filter(F.transform("words", lambda w: w["clean"]), lambda x: x != ""), " ")
     hit = lines.where(F.upper(said).rlike("GR[ÁA]FICO TRANSACCIONAL")).withColumn("top", F.get("words", 0)["top"])
     return hit.groupBy("file_id").agg(F.min_by(F.struct("page", "top"), "line_no").alias("_c")).select("file_id", F.col("_c.page").alias("cut_page"), F.col("_c.top").alias("cut_top"))
 
