@@ -10,12 +10,16 @@ Text is normalised as the model file says for this vocabulary: a leading white-s
 space a marker, nothing else changed. No piece has a marker behind another character, so the best
 segmentation falls apart at each start of a run of markers: segments are solved one by one and
 remembered, up to a bound. Unknown segments of a batch are solved together, one numpy step for each
-place and piece length.
+place and piece length. Segments of more than ``LONGEST`` characters (text without spaces) are walked one by one
+through the same arrays, with the same comparisons in the same order. Of equal sums the one with the longest last
+piece is taken, at every place.
 
 Decoding joins the pieces, turns markers into spaces, byte pieces into bytes, and takes off the leading
 space. A marker character in the text itself is written as bytes, so every text comes back exactly.
 
-Nulls encode to null, an empty text to no pieces. Further columns are ignored.
+Nulls encode to null, an empty text to no pieces. Texts of any length are worked on whole; some 30 bytes a
+character are held for a segment while it is solved. Repeated rows get equal results, a row each; an empty table
+gives an empty result. Further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -123,7 +127,10 @@ class Pieces:
         self.decoded = [t.replace(MARKER, " ").encode() for t in self.texts]
         for b, i in enumerate(self.byte_ids):
             self.decoded[i] = bytes([b])
+        self.byte_pieces = self.byte_ids.tolist()
         self.known: dict[str, np.ndarray] = {}
+        #: What a walk reads, value by value.
+        self.cells = [memoryview(v) for v in (self.trie.base, self.trie.check, self.trie.value, self.ids, self.scores[self.ids])]
 
     def solve(self, segments: list[str]) -> list[np.ndarray]:
         """Best piece ids of each segment. The lone marker stands for a space; a private-use stand-in never occurs."""
@@ -154,18 +161,44 @@ class Pieces:
                 better = score > best[at, end]
                 at, ids = at[better], ids[better]
                 best[at, end], taken[at, end], length[at, end] = score[better], ids, end - start
-        out = []
-        for k, s in enumerate(segments):
-            found, at = [], len(s)
-            while at:
-                step = length[k, at]
-                if taken[k, at] >= 0:
-                    found.append(taken[k, at])
-                else:
-                    found += self.byte_ids[list(s[at - step : at].replace(STAND_IN, MARKER).encode("utf-8", "surrogatepass"))][::-1].tolist()
-                at -= step
-            out.append(np.array(found[::-1], np.int32))
-        return out
+        return [self._read(s, taken[k], length[k]) for k, s in enumerate(segments)]
+
+    def walk(self, segment: str) -> np.ndarray:
+        """Best piece ids of one segment of any length."""
+        base, check, value, ids, worth = self.cells
+        n = len(segment)
+        codes = memoryview(self.code[np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), np.uint32)])
+        scores, taken, length = np.full(n + 1, -np.inf), np.full(n + 1, -1, np.int32), np.zeros(n + 1, np.int32)
+        scores[0] = 0
+        best, last, size, unknown = memoryview(scores), memoryview(taken), memoryview(length), float(self.unknown)
+        for start in range(n):
+            here, state = best[start], 0
+            if here + unknown > best[start + 1]:
+                best[start + 1], last[start + 1], size[start + 1] = here + unknown, -1, 1
+            for end in range(start, n):
+                code = codes[end]
+                to = base[state] + code
+                if not code or check[to] != state:
+                    break
+                state, piece = to, value[to]
+                if piece >= 0:
+                    score = here + worth[piece]
+                    if score > best[end + 1]:
+                        best[end + 1], last[end + 1], size[end + 1] = score, ids[piece], end + 1 - start
+        return self._read(segment, taken, length)
+
+    def _read(self, segment: str, taken: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Piece ids along the best way, which is followed from its end."""
+        found, at = [], len(segment)
+        last, size = memoryview(np.ascontiguousarray(taken)), memoryview(np.ascontiguousarray(length))
+        while at:
+            step = size[at]
+            if last[at] >= 0:
+                found.append(last[at])
+            else:
+                found += map(self.byte_pieces.__getitem__, reversed(segment[at - step : at].replace(STAND_IN, MARKER).encode("utf-8", "surrogatepass")))
+            at -= step
+        return np.array(found[::-1], np.int32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Piece ids of each text."""
@@ -174,7 +207,8 @@ class Pieces:
         if len(known) > REMEMBERED:
             known.clear()
         fresh = sorted({s for p in parts for s in p if s not in known}, key=len)
-        own: dict[str, np.ndarray] = {}
+        own = {s: self.walk(s) for s in fresh if len(s) > LONGEST}
+        del fresh[len(fresh) - len(own) :]  # the longest stand last
         start = 0
         while start < len(fresh):
             end = start + 1
