@@ -28,8 +28,9 @@ from __future__ import annotations
 
 import html as references
 import re
-from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
+from math import isqrt
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -88,12 +89,45 @@ def _nature(tag: str, attributes: str, inside: int) -> tuple[bool, int]:
     return False, 3 if tag == "article" else 2 if tag == "main" or role == "main" else 1 if words & CONTENT_WORDS else 0
 
 
+class OpenElements:
+    """The elements that are open at a place of a page (tag, no content, rank), and where each tag stands among them."""
+
+    def __init__(self) -> None:
+        self.all: list[tuple[str, bool, int]] = [("", False, 0)]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.lists: list[int] = []
+
+    @property
+    def last(self) -> tuple[str, bool, int]:
+        return self.all[-1]
+
+    def open(self, tag: str, chrome: bool, rank: int) -> None:
+        for places in (self.places[tag], *([self.lists] if tag in LISTS else ())):
+            places.append(len(self.all))
+        self.all.append((tag, chrome, rank))
+
+    def place(self, tag: str) -> int:
+        """Where the innermost element of a tag stands; -1 if none is open."""
+        return self.places[tag][-1] if self.places.get(tag) else -1
+
+    def place_of_list(self) -> int:
+        return self.lists[-1] if self.lists else -1
+
+    def cut(self, depth: int) -> None:
+        """Ends the element at a place and all inside it."""
+        while len(self.all) > depth:
+            tag, _, _ = self.all.pop()
+            self.places[tag].pop()
+            if tag in LISTS:
+                self.lists.pop()
+
+
 def page_lines(page: str | None) -> tuple[list[str], list[int]]:
     """Lines of a page and where each stood: -1 no content, else the rank of its content element."""
     lines: list[str] = []
     ranks: list[int] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, no content, rank
+    stack = OpenElements()
     page, at = page or "", 0
 
     def flush() -> None:
@@ -101,7 +135,8 @@ def page_lines(page: str | None) -> tuple[list[str], list[int]]:
             line = " ".join("".join(held).split())
             if line:
                 lines.append(line)
-                ranks.append(-1 if stack and stack[-1][1] else stack[-1][2] if stack else 0)
+                _, chrome, rank = stack.last
+                ranks.append(-1 if chrome else rank)
             held.clear()
 
     while at < len(page):
@@ -122,13 +157,13 @@ def page_lines(page: str | None) -> tuple[list[str], list[int]]:
             elif tag == "hr":
                 flush()
             if tag not in VOID and attributes and not (found[1] or found[4]):
-                chrome, _ = _nature(tag, attributes, stack[-1][2] if stack else 0)
+                chrome, _ = _nature(tag, attributes, stack.last[2])
                 if chrome:
                     flush()
-                    stack.append((tag, True, 0))
-            elif (found[1] or found[4]) and stack and stack[-1][0] == tag:
+                    stack.open(tag, True, 0)
+            elif (found[1] or found[4]) and stack.last[0] == tag:
                 flush()
-                stack.pop()
+                stack.cut(stack.place(tag))
             continue
         if tag in RAW and not (found[1] or found[4]):  # these stand inside a block and don't end it
             if not attributes.rstrip().endswith("/"):
@@ -137,45 +172,79 @@ def page_lines(page: str | None) -> tuple[list[str], list[int]]:
             continue
         flush()
         if found[1] or found[4]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None and not (tag in ("p", "li") and any(s[0] in LISTS for s in stack[depth + 1 :])):
-                del stack[depth:]
+            depth = stack.place(tag)
+            if depth >= 0 and not (tag in ("p", "li") and stack.place_of_list() > depth):
+                stack.cut(depth)
             continue
-        while stack and stack[-1][0] == "p" and not stack[-1][1]:
-            stack.pop()  # a block ends an open paragraph
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in SIBLINGS.get(tag, ()):
-                del stack[i:]
-                break
-            if stack[i][0] in LISTS:
-                break
-        above, rank = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        while stack.last[0] == "p" and not stack.last[1]:
+            stack.cut(stack.place("p"))  # a block ends an open paragraph
+        sibling = max(map(stack.place, SIBLINGS.get(tag, ())), default=-1)
+        if sibling > stack.place_of_list():
+            stack.cut(sibling)
+        _, above, rank = stack.last
         chrome, own = _nature(tag, attributes, rank)
-        stack.append((tag, above or chrome, max(rank, own)))
+        stack.open(tag, above or chrome, max(rank, own))
     flush()
     return lines, ranks
 
 
+#: Lines that stand at more places of a page than this keep their bits; for others they are made when needed.
+FEW = 8
+
+
 def common_subsequence(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence, by Hunt and Szymanski's method."""
+    """Places of a longest common subsequence, by bit-parallel rows.
+
+    What both begin and end with is paired first. A row is one integer: bit j is 0 where the length grows from b[:j] to
+    b[:j + 1]. Every so many rows are kept, and those between are made again on the way back, so time grows with
+    len(a) * len(b) / 64 however often lines repeat, and memory with the square root of len(a) times len(b) / 8.
+    """
+    head, size = 0, min(len(a), len(b))
+    while head < size and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < size - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    out = [(len(a) - 1 - k, len(b) - 1 - k) for k in range(tail)]
+    own, other = a[head : len(a) - tail], b[head : len(b) - tail]
     places: dict[int, list[int]] = {}
-    for j, v in enumerate(b):
+    for j, v in enumerate(other):
         places.setdefault(v, []).append(j)
-    ends: list[int] = []
-    links: list[tuple] = []
-    for i, v in enumerate(a):
-        for j in reversed(places.get(v, ())):
-            k = bisect_left(ends, j)
-            link = (i, j, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(link)
+    masks: dict[int, int] = {}
+    rows = [(i, v) for i, v in enumerate(own) if v in places]  # other lines pair with nothing
+    for v in {v for _, v in rows}:
+        if len(places[v]) > FEW:
+            bits = bytearray(len(other) // 8 + 1)
+            for j in places[v]:
+                bits[j >> 3] |= 1 << (j & 7)
+            masks[v] = int.from_bytes(bits, "little")
+    every = (1 << len(other)) - 1
+
+    def below(row: int, v: int) -> int:
+        at = row & (masks[v] if v in masks else sum(1 << j for j in places[v]))
+        return ((row + at) | (row - at)) & every
+
+    step = max(1, isqrt(len(rows)))
+    kept, row = [every], every
+    for k, (_, v) in enumerate(rows, 1):
+        row = below(row, v)
+        if k % step == 0:
+            kept.append(row)
+    k, j = len(rows), len(other)
+    while k and j:
+        first = (k - 1) // step * step
+        block = [kept[first // step]]
+        for _, v in rows[first:k]:
+            block.append(below(block[-1], v))
+        while k > first and j:
+            if block[k - first] >> (j - 1) & 1:
+                j -= 1
             else:
-                ends[k], links[k] = j, link
-    out, link = [], links[-1] if links else None
-    while link:
-        out.append(link[:2])
-        link = link[2]
+                k -= 1
+                if block[k - first] >> (j - 1) & 1:
+                    j -= 1
+                    out.append((head + rows[k][0], head + j))
+    out += [(k, k) for k in reversed(range(head))]
     return out[::-1]
 
 

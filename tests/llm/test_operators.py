@@ -1,7 +1,9 @@
 """The training-data operators against plain versions on small tables with nulls, empties, ties and clashing columns."""
 
+import base64
 import hashlib
 import random
+import time
 import tracemalloc
 import zlib
 
@@ -190,10 +192,29 @@ def test_pieces(spark):
     for segment in unigram_pieces.cut("Hello  world, naive facade 12345"):
         ids = own.solve([segment])[0]
         assert abs(sum(own.scores[i] for i in ids) - best_score(own, segment)) < 1e-9
+    rng = random.Random(8)
+    for _ in range(100):  # the walk through long segments takes the way of the steps over many
+        segment = unigram_pieces.MARKER + "".join(rng.choices("abcdetioning.中Ż🙂" + unigram_pieces.STAND_IN, k=rng.randrange(1, 90)))
+        assert own.walk(segment).tolist() == own.solve([segment])[0].tolist()
     got = {r["doc_id"]: r for r in unigram_pieces.encoded(docs(spark)).collect()}
     assert got[0]["piece_ids"] is None and got[1]["piece_ids"] == [] and all(got[i]["round_trip"] for i in range(1, len(TEXTS)))
 
 
+def test_pieces_without_spaces(spark):
+    """Texts without spaces come back whole, and take no more than a few times as long as others."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9))) for _ in range(20_000)]
+    texts = [" ".join(words), "".join(words), base64.b64encode(rng.randbytes(60_000)).decode(), "".join(chr(rng.randrange(0x4E00, 0x9FA6)) for _ in range(40_000)), unigram_pieces.MARKER * 3000, " " * 3000]
+    own, per_character = unigram_pieces.vocabulary(unigram_pieces.VOCABULARY), []
+    for t in texts[:4]:
+        own.known.clear()
+        start = time.process_time()
+        own.encode([t])
+        per_character.append((time.process_time() - start) / len(t))
+    assert max(per_character) < 10 * per_character[0]  # 50 times, if each character were a numpy step of its own
+    assert all(r["round_trip"] for r in unigram_pieces.encoded(docs(spark, texts)).collect())
+
+
 def test_importance(spark):
     rng = random.Random(5)
     good, bad = "river stone cloud grass mountain".split(), "win cash now click here".split()
@@ -234,3 +255,22 @@ def test_pages(spark):
         for j in range(7):
             table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
     assert len(pairs) == table[7, 7] and all(a[i] == b[j] for i, j in pairs)
+
+
+def test_lines_that_repeat():
+    """A longest common subsequence whatever repeats, also of many equal lines, and pages with very many open elements."""
+    rng = random.Random(10)
+    for _ in range(300):
+        a, b = ([rng.randrange(k) for _ in range(rng.randrange(40))] for k in rng.choices((2, 3, 9, 30), k=1) * 2)
+        pairs = html_diff.common_subsequence(a, b)
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, v in enumerate(a):
+            for j, w in enumerate(b):
+                table[i + 1, j + 1] = table[i, j] + 1 if v == w else max(table[i, j + 1], table[i + 1, j])
+        assert len(pairs) == table[-1, -1] and all(a[i] == b[j] for i, j in pairs)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
+    start = time.process_time()
+    assert len(html_diff.common_subsequence([2] + [1] * 40_000 + [3], [3] + [1] * 39_000 + [4])) == 39_000
+    assert html_diff.page_lines("<div>" * 20_000 + "a</p>" * 20_000)[0] == ["a"] * 20_000
+    assert html_diff.page_lines("<li>" + "<div>" * 20_000 + "a</li>" * 20_000)[0] == ["a"] * 20_000
+    assert time.process_time() - start < 15  # minutes, if equal lines were paired one by one and open elements scanned
