@@ -161,7 +161,27 @@ class Pieces:
                 better = score > best[at, end]
                 at, ids = at[better], ids[better]
                 best[at, end], taken[at, end], length[at, end] = score[better], ids, end - start
-        return [self._read(s, taken[k], length[k]) for k, s in enumerate(segments)]
+        return self._read_all(segments, sizes, taken, length)
+
+    def _read_all(self, segments: list[str], sizes: np.ndarray, taken: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
+        """Piece ids along the best ways of many segments, all followed together; those with byte pieces are read one by one."""
+        at, rows, ways = sizes.copy(), np.arange(len(segments)), []
+        counts, bytewise = np.zeros(len(segments), np.int64), np.zeros(len(segments), bool)
+        while len(rows):
+            ids = taken[rows, at[rows]]
+            ways.append((rows, ids))
+            counts[rows] += 1
+            bytewise[rows[ids < 0]] = True
+            at[rows] -= length[rows, at[rows]]
+            rows = rows[at[rows] > 0]
+        ends = np.cumsum(counts)
+        flat = np.empty(int(ends[-1]), np.int32)
+        for back, (rows, ids) in enumerate(ways, 1):
+            flat[ends[rows] - back] = ids
+        out = [flat[start:end] for start, end in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+        for k in np.flatnonzero(bytewise):
+            out[k] = self._read(segments[k], taken[k], length[k])
+        return out
 
     def walk(self, segment: str) -> np.ndarray:
         """Best piece ids of one segment of any length."""
@@ -208,7 +228,8 @@ class Pieces:
             known.clear()
         fresh = sorted({s for p in parts for s in p if s not in known}, key=len)
         own = {s: self.walk(s) for s in fresh if len(s) > LONGEST}
-        del fresh[len(fresh) - len(own) :]  # the longest stand last
+        long = list(own)
+        del fresh[len(fresh) - len(long) :]  # the longest stand last
         start = 0
         while start < len(fresh):
             end = start + 1
@@ -218,9 +239,8 @@ class Pieces:
             start = end
         known |= own
         out = [np.concatenate(list(map(known.__getitem__, p))) if p else np.zeros(0, np.int32) for p in parts]
-        for s in own:
-            if len(s) > LONGEST:
-                del known[s]
+        for s in long:
+            del known[s]
         return out
 
     def decode(self, ids: np.ndarray) -> str:
