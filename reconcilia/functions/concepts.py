@@ -12,6 +12,8 @@ I = "(?iU)"  # noqa: E741
 TIME = r"(?:[01]?\d|2[0-3]):[0-5]\d"
 TIME_S = rf"{TIME}(?::[0-5]\d)?"
 CODE = r"\s*[:#-]?\s*([A-Z0-9]+)\b"
+#: Labels of three or four letters: with a number of six or nine digits behind them they look like a tax id.
+NO_LABEL = r"(?!(?:REF|AUT|SUC|CAJA|CTA|HORA|RFC)\b)"
 
 
 def lines_of(concept: Column) -> Column:
@@ -79,7 +81,7 @@ def banamex_fields(c: Column) -> dict[str, Column]:
         "sucursal": found(c, I + r"\bSUC" + CODE),
         "caja": found(c, I + r"\bCAJA" + CODE),
         "hora_operacion": F.coalesce(explicit, found(c, rf"(?U)\b{TIME}\b", 0)),
-        "rfc": F.upper(F.regexp_replace(found(c, I + r"\b([A-Z&Ñ]{3,4}\s?\d{6}\s?[A-Z0-9]{3})\b"), r"(?U)\s+", "")),
+        "rfc": F.upper(F.regexp_replace(found(c, I + rf"\b{NO_LABEL}([A-Z&Ñ]{{3,4}}\s?\d{{6}}\s?[A-Z0-9]{{3}})\b"), r"(?U)\s+", "")),
         "beneficiario": F.coalesce(clean(found(c, I + r"\bBENEFICIARIO\s*[:#-]?\s*(.+)")), clean(found(c, I + r"\bA\s+FAVOR\s+DE\s+(.+)"))),
         "cuenta_beneficiario": F.coalesce(found(c, I + r"\bCUENTA\s*[:#-]?\s*(\d{4,20})\b"), found(c, I + r"\bCTA\s*[:#-]?\s*(\d{4,20})\b")),
         "clabe_beneficiario": found(c, r"(?<!\d)(\d{18})(?!\d)"),

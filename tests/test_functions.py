@@ -16,6 +16,13 @@ def test_text(spark):
     assert got == {"a": "MEXICO NANDU", "b": "012180015763955133", "c": "a b-c", "d": None, "e": "ABC1"}
 
 
+def test_labels_are_no_tax_ids(spark):
+    """A label of three or four letters with six or nine digits behind it is no tax id; one printed after it is found."""
+    texts = ["REF 123456 AUT 99", "REF 123456789 AUT 99", "CAJA 123456789", "REF 123456 AUT 99\nRFC ABC 010101 XY1", "COMPRA REFA010101XY1"]
+    got = one(spark, **{f"a{i}": concepts.banamex_fields(F.lit(t))["rfc"] for i, t in enumerate(texts)})
+    assert list(got.values()) == [None, None, None, "ABC010101XY1", "REFA010101XY1"]
+
+
 def test_money(spark):
     got = one(
         spark, a=money.plain(F.lit("1,234.50")), b=money.plain(F.lit("abc")), c=money.in_parentheses(F.lit("($1,200.00)")), d=money.in_parentheses(F.lit("$350.00-"), True), e=money.optional(F.lit("N/A")),
