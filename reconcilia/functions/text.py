@@ -34,7 +34,9 @@ MARKED = [c for c in map(chr, range(0xC0, 0x10000)) if not c.islower() and unico
 PLAIN = [stripped(c) for c in MARKED]
 #: Characters that compatibility composition changes or joins with others, and all beyond the basic plane: a text without any of them stays as it is.
 _CHANGES = [c for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and (unicodedata.category(chr(c)) in ("Mn", "Mc") or 0x1161 <= c <= 0x11C2 or not unicodedata.is_normalized("NFKC", chr(c)))]
-UNSTABLE = "".join(f"\\x{{{ord(a):x}}}-\\x{{{ord(b):x}}}" for a, b in runs(_CHANGES)) + "\\x{10000}-\\x{10ffff}"
+#: Characters that need no look at the list: it has hundreds of ranges, and a class tries one after the other.
+STABLE = r"\x{0}-\x{9f}\x{c0}-\x{ff}"
+UNSTABLE = f"[^{STABLE}]&&[" + "".join(f"\\x{{{ord(a):x}}}-\\x{{{ord(b):x}}}" for a, b in runs(_CHANGES)) + "\\x{10000}-\\x{10ffff}]"
 
 
 def collapsed(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reconcilia.functions.text import collapsed, nfkc
+from reconcilia.storage import saved
 
 # Glyphs that wrongly encoded fonts produce, and limits of the tests.
 SUSPICIOUS = "ˆ˜¯ª˛˚˙¨´¸łøØıŒœŠšŽžƒ"
@@ -60,7 +61,8 @@ def routed(stage: DataFrame, words: DataFrame) -> DataFrame:
     Text decides first. Where it fails but some page has text, the words decide; what is still an image
     is read by OCR, the rest from its words without the leading empty pages.
     """
-    first = usable_text(stage).select("file_id", "initial_empty_pages", "has_text", F.col("usable").alias("text_ok"))
+    # written, as conditions on text_ok would otherwise be moved below it, with the whole analysis again in each
+    first = saved(usable_text(stage).select("file_id", "initial_empty_pages", "has_text", F.col("usable").alias("text_ok")))
     doubtful = first.where("NOT text_ok AND has_text").select("file_id")
     second = usable_words(words.join(doubtful, "file_id", "left_semi")).withColumnRenamed("usable", "words_ok")
     out = first.join(second, "file_id", "left")
