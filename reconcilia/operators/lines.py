@@ -148,8 +148,9 @@ def numbered(words: DataFrame, by: Column, tolerance: Column, running_mean: bool
     row = F.struct(*(k.alias(f"_k{i}") for i, k in enumerate(keys)), F.col("seq").alias("_s"), by.alias("_y"), F.struct(*columns).alias("_w"))
     pages = words.groupBy("file_id", "page").agg(F.array_sort(F.collect_list(row)).alias("_r"), F.max(tolerance.cast("double")).alias("_t"))
     placed = pages.withColumn("_p", line_places(F.transform("_r", lambda r: r["_y"]), F.col("_t"), F.lit(running_mean)))
-    each = placed.select(F.explode(F.arrays_zip(F.transform("_r", lambda r: r["_w"]).alias("w"), F.col("_p").alias("p"))).alias("x"))
-    return each.select("x.w.*", (F.col("x.w.page").cast("long") * LINES + F.col("x.p")).alias("line_no"))
+    # file_id and page stay the columns that words were grouped by, so what groups lines next needs no other exchange
+    each = placed.select("file_id", "page", F.explode(F.arrays_zip(F.transform("_r", lambda r: r["_w"]).alias("w"), F.col("_p").alias("p"))).alias("x"))
+    return each.select(*(c if c in ("file_id", "page") else f"x.w.{c}" for c in columns), (F.col("page").cast("long") * LINES + F.col("x.p")).alias("line_no"))
 
 
 def texts(words: Column, where: Callable[[Column], Column] | None = None, separator: str = " ") -> Column:

@@ -145,11 +145,12 @@ def section_lines(pages: DataFrame) -> DataFrame:
     )
     width, page = F.col("x1") - F.col("x0"), F.col("page_xmax") - F.col("page_xmin")
     off = F.abs((F.col("x0") + F.col("x1")) / 2 - (F.col("page_xmin") + F.col("page_xmax")) / 2)
-    return lines.withColumns({
+    lines = lines.withColumns({
         "is_continuation": F.col("text").rlike(r"(?iU)\bCONTINUACI(?:Ó|O)N\b"),
         "is_centered": F.col("text_only") & (page > 0) & (width <= page * 0.35) & (off <= page * 0.15) & (F.col("x0") >= F.col("page_xmin") + page * 0.30),
         "is_plain": F.col("text_only") & (page > 0) & (F.col("x0") <= F.col("page_xmin") + F.greatest(F.lit(7.0), page * 0.025)) & (width <= page * 0.90),
     })
+    return lines.select("file_id", "page", "line_no", "doctop", "doctop_max", "is_date", "is_continuation", "is_centered", "is_plain")
 
 
 def passed_over(lines: DataFrame) -> DataFrame:
@@ -196,7 +197,7 @@ def marker_line(words: DataFrame) -> DataFrame:
 
 def marker_cut(pages: DataFrame) -> DataFrame:
     """The same from page rows; only pages with the first word are cut into lines."""
-    some = saved(pages.where(F.exists("words", lambda w: F.upper(w["text"]).rlike("GR[ÁA]FICO"))))
+    some = pages.where(F.exists("words", lambda w: F.upper(w["text"]).rlike("GR[ÁA]FICO")))
     files = some.select("file_id").distinct()
     limits = page_tolerance(pages.join(files, "file_id", "left_semi"))
     lines = line_rows(some.select("file_id", "page", "words").join(limits, "file_id"), middle, middle, F.col("tolerance"), F.lit(True))

@@ -93,7 +93,8 @@ def logical_pages(spark, d):
 @query(f"""WITH {sql.PAGES}, {sql.WORDS}, h AS (SELECT file_id, string_agg(text, chr(10) ORDER BY page) AS t FROM pages_v WHERE text <> '' GROUP BY 1)
 SELECT w.file_id, count(*) AS n_words, coalesce(max(length(t)), 0)::INTEGER AS head_chars FROM words w LEFT JOIN h USING (file_id) GROUP BY 1""")
 def full_read(spark, d):
-    return readers.full_read(views.pages(spark, d), views.words(spark, d)).groupBy("file_id").agg(F.count("*").alias("n_words"), F.coalesce(F.max(F.length("head_text")), F.lit(0)).alias("head_chars"))
+    read = readers.full_read(views.pages(spark, d), views.words(spark, d, by_file=True))
+    return read.groupBy("file_id").agg(F.count("*").alias("n_words"), F.coalesce(F.max("head_chars"), F.lit(0)).alias("head_chars"))
 
 
 OCR = f"""{sql.WORDS}, ocr AS (SELECT file_id, page, ((ln // 6) % 7)::INTEGER AS block_num, ln AS line_num, seq AS token_idx, CASE WHEN seq % 17 = 5 THEN '  ' ELSE text END AS text,
@@ -123,7 +124,7 @@ def bank_catalogue(spark, d):
 
 def _json_words(spark, d):
     folder = f"{storage.shared_dir(spark)}/json-{uuid.uuid4().hex}"
-    views.json_words(spark, d).write.text(folder)
+    views.json_words(spark, d).write.text(folder, compression="gzip")
     return readers.quarantined(spark, folder)
 
 
@@ -170,7 +171,7 @@ UNION ALL SELECT o.file_id, row_number() OVER (PARTITION BY o.file_id ORDER BY p
 @query(CHOSEN)
 def chosen_words(spark, d):
     words = views.odd_words(spark, d)
-    route = quality.routed(readers.text_stage(views.odd_pages(spark, d)), words)
+    route = saved(quality.routed(readers.text_stage(views.odd_pages(spark, d)), words))
     out = quality.chosen_words(route, words, readers.ocr_words(views.ocr_tokens(spark, d)))
     return out.select("file_id", "seq", "page", "text", F.round("x0", 6).alias("x0"), F.round("top", 6).alias("top"))
 
@@ -237,7 +238,7 @@ def lines_by_doctop(spark, d):
 @query(f"""WITH {sql.WORDS} SELECT file_id, page, page * 100000 + (ln % 42) + 1 AS line_no, string_agg(text, ' ' ORDER BY x0, seq) AS text, min(x0) AS x0, max(x1) AS x1, round(min(top), 6) AS top, max(x1) - min(x0) AS width,
   (min(x0) + max(x1)) / 2 AS center_x, count(*) AS n_words FROM words GROUP BY file_id, page, ln""")
 def line_texts(spark, d):
-    out = lines.line_texts(lines.anchored_lines(views.words(spark, d)))
+    out = lines.line_texts(lines.anchored_lines(views.words(spark, d, by_file=True)))
     return out.select("file_id", "page", "line_no", "text", "x0", "x1", F.round("top", 6).alias("top"), "width", "center_x", "n_words")
 
 
@@ -350,7 +351,7 @@ n AS (SELECT *, lead(lone) OVER w AS lone2, lead(y) OVER w AS y2, lead(page) OVE
 c AS (SELECT file_id, coalesce(arg_min(y, ln) FILTER (WHERE centred AND NOT is_date AND ln > first_date), arg_min(y, ln) FILTER (WHERE lone AND lone2 AND p2 = page AND y2 - y <= 28 AND y > last_date)) AS cut FROM n GROUP BY 1)
 SELECT v.file_id, count(*) AS n, max(page) AS last_page FROM v JOIN c USING (file_id) WHERE cut IS NULL OR doctop < cut GROUP BY 1""")
 def trim_last_section(spark, d):
-    words = views.words(spark, d).withColumn("ln", F.floor(F.col("seq") / 12)).withColumn("k3", F.col("file_id").cast("long") % 3)
+    words = views.words(spark, d, by_file=True).withColumn("ln", F.floor(F.col("seq") / 12)).withColumn("k3", F.col("file_id").cast("long") % 3)
     rows = F.when((F.col("ln") % 50 == 30) & (F.col("k3") == 0), (F.col("seq") % 12).isin(5, 6)).when((F.col("ln") % 70).isin(64, 65), F.col("seq") % 12 < 9).otherwise(True)
     words = words.where(rows).drop("ln", "k3").withColumn("text", F.expr(SECTION))
     return trimming.without_last_section(words).groupBy("file_id").agg(F.count("*").alias("n"), F.max("page").alias("last_page"))
@@ -359,7 +360,7 @@ def trim_last_section(spark, d):
 @query(f"""WITH {sql.WORDS}, v AS (SELECT *, {CHART} AS x FROM words), l AS (SELECT file_id, page, ln, string_agg(x, ' ' ORDER BY x0, seq) AS line, arg_min(top, x0) AS t FROM v GROUP BY 1, 2, 3),
 c AS (SELECT file_id, arg_min({{'p': page, 't': t}}, ln) AS cut FROM l WHERE regexp_matches(upper(line), 'GR[ÁA]FICO TRANSACCIONAL') GROUP BY 1) SELECT v.file_id, count(*) AS n FROM v LEFT JOIN c USING (file_id) WHERE cut IS NULL OR (page, top) < (cut.p, cut.t) GROUP BY 1""")
 def trim_marker_line(spark, d):
-    words = views.words(spark, d).withColumn("text", F.expr(CHART))
+    words = views.words(spark, d, by_file=True).withColumn("text", F.expr(CHART))
     return trimming.cut_at(words, trimming.marker_line(words)).groupBy("file_id").agg(F.count("*").alias("n"))
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reconcilia.schemas import OCR_TOKENS, PAGES, WORDS
-from reconcilia.storage import saved
 
 HEAD_PAGES = 5
 FORMATS = ("parquet", "json", "orc", "csv")
@@ -33,11 +32,12 @@ def quarantined(spark: SparkSession, path: str, form: str = "json", **options: s
     nothing gets lost: a record is a word or a reject with a reason (a JSON array is as many records as it has elements). A word needs a file, a place in reading order and a page from 1
     on. Coordinates have defaults: what is no number is 0, a missing right or lower edge is that of the other side, and any other missing one 0;
     ``defaulted`` names those that got one. Rejects: file_id, reason (malformed, no_file, no_place, no_page), record (the source as JSON, or as it stands).
+    Nothing is written: each of the two reads the files. CSV is read without pruning, as a record of the wrong length is only known from all of its columns.
     """
     kinds = {f.name: f.dataType.simpleString() for f in WORDS.fields}
     texts = T.StructType([T.StructField(n, T.StringType()) for n in (*kinds, "_corrupt")])
-    lenient = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"} | options
-    raw = saved(spark.read.format(form).schema(texts).options(**lenient).load(path))
+    lenient = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "columnPruning": "false"} | options
+    raw = spark.read.format(form).schema(texts).options(**lenient).load(path)
     typed = {n: F.col(n).try_cast(kinds[n]) for n in KEYS}
     reason = F.when(F.col("_corrupt").isNotNull(), "malformed").when(F.coalesce(F.trim("file_id"), F.lit("")) == "", "no_file")
     reason = reason.when(typed["seq"].isNull(), "no_place").when(typed["page"].isNull() | (typed["page"] < 1), "no_page")
@@ -81,24 +81,26 @@ def logical_pages(words: DataFrame, stage: DataFrame) -> DataFrame:
 
 
 def full_read(pages: DataFrame, words: DataFrame) -> DataFrame:
-    """Words with their file's head text."""
-    return words.join(head_text(pages).withColumnRenamed("text", "head_text"), "file_id", "left")
+    """Words with their file's head text and its length, which is counted once a file."""
+    return words.join(head_text(pages).select("file_id", F.col("text").alias("head_text"), F.length("text").alias("head_chars")), "file_id", "left")
 
 
 def ocr_words(tokens: DataFrame) -> DataFrame:
     """Words of OCR tokens: blank ones dropped, pixels scaled to page points, doctop by the pages before."""
-    heights = tokens.select("file_id", "page", "page_height").distinct()
-    above = Window.partitionBy("file_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = heights.withColumn("offset", F.coalesce(F.sum("page_height").over(above), F.lit(0.0))).drop("page_height")
+    order = Window.partitionBy("file_id").orderBy("page", "token_idx")
+    filled, before = F.trim("text") != "", F.lag("page").over(order)
+    # a page's first token adds the height of the page before; blank tokens count for heights, not for places
+    ended = F.when(before != F.col("page"), F.lag("page_height").over(order))
+    placed = tokens.withColumns({"_ended": ended, "_filled": F.coalesce(filled, F.lit(False)).cast("long")})
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumns({"offset": F.coalesce(F.sum("_ended").over(upto), F.lit(0.0)), "seq": F.sum("_filled").over(upto) - 1})
     scale = F.col("page_width") / F.col("image_width")
-    words = tokens.where(F.trim("text") != "").withColumns({
+    words = placed.where(filled).withColumns({
         "text": F.trim("text"), "x0": F.col("left") * scale, "width": F.col("width") * scale, "y": F.col("top") * scale, "height": F.col("height") * scale,
         "confidence": F.coalesce(F.col("conf").try_cast("double"), F.lit(-1.0)), "upright": F.lit(True), "direction": F.lit("ltr"),
     })
     words = words.withColumns({"x1": F.col("x0") + F.col("width"), "top": F.col("y"), "bottom": F.col("y") + F.col("height")})
-    words = words.join(offsets, ["file_id", "page"]).withColumn("doctop", F.col("offset") + F.col("top"))
-    order = Window.partitionBy("file_id").orderBy("page", "token_idx")
-    return words.withColumn("seq", F.row_number().over(order).cast("long") - 1).select("file_id", "seq", "page", "text", "x0", "x1", "top", "bottom", "doctop", "width", "height", "upright", "direction", "confidence")
+    return words.withColumn("doctop", F.col("offset") + F.col("top")).select("file_id", "seq", "page", "text", "x0", "x1", "top", "bottom", "doctop", "width", "height", "upright", "direction", "confidence")
 
 
 def ocr_page_text(tokens: DataFrame, limit: int = HEAD_PAGES) -> DataFrame:

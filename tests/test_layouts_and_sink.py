@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from reconcilia import views
 from reconcilia.functions import text
-from reconcilia.operators import lines, movements, tables, trimming
+from reconcilia.operators import lines, movements, quality, tables, trimming
 from reconcilia.plans import statements
 from reconcilia.sources import layouts, readers
-from reconcilia.storage import saved
+from reconcilia.schemas import WORDS
+from reconcilia.storage import saved, scratch
 
 WORD = "file_id string, seq long, page int, text string, x0 double, x1 double, top double, bottom double, doctop double"
 
@@ -118,3 +119,48 @@ def test_marks_and_composition(spark):
     texts = ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x300, 0xD7FF), rng.randrange(0xF900, 0x1FFFF)])) for _ in range(12)) for _ in range(3000)] + ["plain text, ñ é", None, "", "é", "ﬁ ½ ａ"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.nfkc(F.col("t")).alias("x")).collect()
     assert all(r["x"] == (None if r["t"] is None else unicodedata.normalize("NFKC", r["t"])) for r in got)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_words_dealt_by_file_meet_without_an_exchange(spark, sf):
+    """Documents are dealt out by file while whole: lines, OCR words, their pages' texts and the first words of a file need no other exchange."""
+    words, tokens = views.words(spark, sf, by_file=True), views.ocr_tokens(spark, sf)
+    for df in (lines.anchored_lines(words), lines.page_rows(words), readers.ocr_words(tokens), readers.ocr_page_text(tokens), quality.usable_words(words)):
+        assert exchanges(df) == 1
+    assert exchanges(readers.ocr_words(tokens.repartition(3))) == 2
+
+
+def test_quarantine_writes_nothing(spark, tmp_path):
+    """Words and rejects are read from the files; a record cut short is a reject also where few columns are read, in JSON and in CSV."""
+    (tmp_path / "j").write_text('{"file_id": "f", "seq": 1, "page": 1, "text": "a", "x0": 1}\n{"file_id": "f", "seq": \n')
+    names = "file_id,file_name,seq,page,text,x0,x1,top,bottom,doctop,width,height,upright,direction,confidence,_corrupt"
+    (tmp_path / "c").write_text("f,,1,1,a,1,2,3,4,5,,,,,\nf,,2\n")
+    assert names.startswith(",".join(f.name for f in WORDS.fields))
+    with scratch(spark) as made:
+        for form in ("json", "csv"):
+            words, rejects = readers.quarantined(spark, f"file://{tmp_path}/{form[0]}", form)
+            assert words.select("file_id").count() == 1 and [r["reason"] for r in rejects.select("reason").collect()] == ["malformed"]
+        assert made == []
+
+
+def test_ocr_places_over_pages(spark):
+    """Blank tokens have no place; a page's height counts for the pages behind it once, also where it holds blank tokens only."""
+    rows = [("f", p, 1, 1, 1, i, t, 300, 0, 60, 10, "-", 2550, 612.0, h) for i, (p, t, h) in enumerate([(1, "a", 700.0), (1, " ", 700.0), (2, "  ", 50.5), (3, "b", 800.0), (3, "c", 800.0)])]
+    kinds = "file_id string, page int, block_num int, par_num int, line_num int, token_idx int, text string, left int, top int, width int, height int, conf string, image_width int, page_width double, page_height double"
+    got = readers.ocr_words(spark.createDataFrame(rows, kinds)).orderBy("seq").collect()
+    assert [(r["seq"], r["text"], r["doctop"]) for r in got] == [(0, "a", 0.0), (1, "b", 750.5), (2, "c", 750.5)]
+
+
+def test_stable_characters():
+    """What is left out of the look at the list of unstable characters is not on it."""
+    assert all(unicodedata.is_normalized("NFKC", chr(c)) and unicodedata.combining(chr(c)) == 0 for c in (*range(0xA0), *range(0xC0, 0x100)))
+    assert text.UNSTABLE.startswith(f"[^{text.STABLE}]&&")
+
+
+def test_routes_are_analysed_once(spark, sf):
+    """The analysis of texts is written before conditions on it are asked."""
+    plan = quality.routed(readers.text_stage(views.odd_pages(spark, sf)), views.words(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.splitlines() if "Relation" in line and "text_ok" in line] and "initial_empty_pages, has_text" not in plan
