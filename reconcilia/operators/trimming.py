@@ -192,15 +192,19 @@ def without_last_section(words: DataFrame) -> DataFrame:
 
 def marker_line(words: DataFrame) -> DataFrame:
     """file_id, cut_page, cut_top of the first line that says GRÁFICO TRANSACCIONAL."""
-    return marker_cut(saved(page_rows(words)))
+    return marker_cut(saved(marker_rows(page_rows(words))))
+
+
+def marker_rows(pages: DataFrame) -> DataFrame:
+    """Page rows with no more of each word than lines and their cleaned texts need."""
+    return pages.select("file_id", "page", F.transform("words", lambda w: F.struct(*(w[c].alias(c) for c in ("x0", "seq", "top", "bottom", "clean")))).alias("words"))
 
 
 def marker_cut(pages: DataFrame) -> DataFrame:
-    """The same from page rows; only pages with the first word are cut into lines."""
-    some = pages.where(F.exists("words", lambda w: F.upper(w["text"]).rlike("GR[ÁA]FICO")))
-    files = some.select("file_id").distinct()
-    limits = page_tolerance(pages.join(files, "file_id", "left_semi"))
-    lines = line_rows(some.select("file_id", "page", "words").join(limits, "file_id"), middle, middle, F.col("tolerance"), F.lit(True))
+    """The same from page rows; only pages with the first word are cut into lines, and only those meet their file's tolerance."""
+    slim = marker_rows(pages)
+    some = slim.where(F.exists("words", lambda w: F.upper(w["clean"]).rlike("GR[ÁA]FICO")))
+    lines = line_rows(some.join(page_tolerance(slim), "file_id"), middle, middle, F.col("tolerance"), F.lit(True))
     said = F.array_join(F.filter(F.transform("words", lambda w: w["clean"]), lambda x: x != ""), " ")
     hit = lines.where(F.upper(said).rlike("GR[ÁA]FICO TRANSACCIONAL")).withColumn("top", F.get("words", 0)["top"])
     return hit.groupBy("file_id").agg(F.min_by(F.struct("page", "top"), "line_no").alias("_c")).select("file_id", F.col("_c.page").alias("cut_page"), F.col("_c.top").alias("cut_top"))
