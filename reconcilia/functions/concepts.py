@@ -113,8 +113,9 @@ def banorte_general_rfc(text: Column) -> Column:
     return F.upper(F.regexp_replace(either, r"(?U)\s+", ""))
 
 
-def banorte_fields(c: Column) -> dict[str, Column]:
-    received, order, t = banorte_is_received(c), banorte_is_order(c), flat(c)
+def banorte_fields(c: Column, one_line: Column | None = None) -> dict[str, Column]:
+    """``one_line``: ``flat`` of the concept where it is a column already; otherwise it is made again in each search."""
+    received, order, t = banorte_is_received(c), banorte_is_order(c), flat(c) if one_line is None else one_line
     kinds = lambda r, o: F.when(received, r).when(order, o)
     order_rfc = clean(found(t, I + r"\bRFC\s*:\s*([A-Z&Ñ0-9]+(?:\s+[A-Z&Ñ0-9]+)?)\b"))
     order_rfc = F.when(~F.upper(order_rfc).isin("ND", "N D", "NO CAPTURADO"), F.upper(F.regexp_replace(order_rfc, r"(?U)\s+", "")))

@@ -116,7 +116,7 @@ def page_rows(words: DataFrame, *constants: str) -> DataFrame:
     that are missing or no numbers; every line rule, column and cut works inside such a row from then on.
     """
     word = F.struct(number("x0").alias("x0"), "seq", "text", right().alias("x1"), number("top").alias("top"), bottom().alias("bottom"), number("doctop").alias("doctop"), word_text(F.col("text")).alias("clean"))
-    return words.groupBy("file_id", "page").agg(F.array_sort(F.collect_list(word)).alias("words"), *(F.first(c).alias(c) for c in constants))
+    return words.groupBy("file_id", "page").agg(F.sort_array(F.collect_list(word)).alias("words"), *(F.first(c).alias(c) for c in constants))
 
 
 def middle(word: Column) -> Column:
@@ -129,11 +129,11 @@ def line_rows(pages: DataFrame, order: Callable[[Column], Column], level: Callab
     A page's words go by ``order``, then x0 and seq; ``level`` is what the rule compares.
     """
     others = [c for c in pages.columns if c != "words"]
-    ordered = F.transform(F.array_sort(F.transform("words", lambda w: F.struct(order(w).alias("k"), w.alias("w")))), lambda x: x["w"])
+    ordered = F.transform(F.sort_array(F.transform("words", lambda w: F.struct(order(w).alias("k"), w.alias("w")))), lambda x: x["w"])
     placed = pages.withColumn("words", ordered).withColumn("_p", line_places(F.transform("words", level), tolerance.cast("double"), running_mean))
     firsts = F.filter(F.transform("_p", lambda p, i: F.when((i == 0) | (p != F.get("_p", i - 1)), i)), lambda i: i.isNotNull())
     cut = placed.withColumn("_f", firsts)
-    pieces = F.transform("_f", lambda a, i: F.array_sort(F.slice("words", a + 1, F.coalesce(F.get("_f", i + 1), F.size("words")) - a)))
+    pieces = F.transform("_f", lambda a, i: F.sort_array(F.slice("words", a + 1, F.coalesce(F.get("_f", i + 1), F.size("words")) - a)))
     rows = cut.select(*others, F.posexplode(pieces).alias("_i", "words"))
     return rows.withColumn("line_no", F.col("page").cast("long") * LINES + F.col("_i") + 1).drop("_i")
 
@@ -146,7 +146,7 @@ def numbered(words: DataFrame, by: Column, tolerance: Column, running_mean: bool
     """
     keys, columns = order or [by, number("x0")], words.columns
     row = F.struct(*(k.alias(f"_k{i}") for i, k in enumerate(keys)), F.col("seq").alias("_s"), by.alias("_y"), F.struct(*columns).alias("_w"))
-    pages = words.groupBy("file_id", "page").agg(F.array_sort(F.collect_list(row)).alias("_r"), F.max(tolerance.cast("double")).alias("_t"))
+    pages = words.groupBy("file_id", "page").agg(F.sort_array(F.collect_list(row)).alias("_r"), F.max(tolerance.cast("double")).alias("_t"))
     placed = pages.withColumn("_p", line_places(F.transform("_r", lambda r: r["_y"]), F.col("_t"), F.lit(running_mean)))
     # file_id and page stay the columns that words were grouped by, so what groups lines next needs no other exchange
     each = placed.select("file_id", "page", F.explode(F.arrays_zip(F.transform("_r", lambda r: r["_w"]).alias("w"), F.col("_p").alias("p"))).alias("x"))
@@ -186,7 +186,7 @@ def joined_texts(where: Column | None = None, text: Column | None = None, keys:
     """Aggregate: non-empty texts by ``keys``, joined; only rows ``where`` holds."""
     value = word_text(F.col("text")) if text is None else text
     ok = (value != "") if where is None else where & (value != "")
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(ok, F.struct(*keys, value.alias("_v"))))), lambda x: x["_v"]), separator)
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.when(ok, F.struct(*keys, value.alias("_v"))))), lambda x: x["_v"]), separator)
 
 
 def line_texts(words: DataFrame) -> DataFrame:

@@ -215,7 +215,7 @@ def column_texts(lines: DataFrame, known: Layouts) -> DataFrame:
 
 def concept_of(column: str) -> Column:
     """Aggregate: non-empty texts of a block's lines, by newline."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(column) != "", F.struct("line_no", F.col(column).alias("v"))))), lambda x: x["v"]), "\n")
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(column) != "", F.struct("line_no", F.col(column).alias("v"))))), lambda x: x["v"]), "\n")
 
 
 def grouped_blocks(segmented: DataFrame) -> DataFrame:
@@ -231,7 +231,7 @@ def grouped_blocks(segmented: DataFrame) -> DataFrame:
 
 
 #: Enrichment of concepts: what a row of ``rules`` may name.
-FIELDS: dict[str, Callable[[Column], dict[str, Column]]] = {"bbva": concepts.bbva_fields, "banamex": concepts.banamex_fields, "banorte": concepts.banorte_fields}
+FIELDS: dict[str, Callable[[Column], dict[str, Column]]] = {"bbva": concepts.bbva_fields, "banamex": concepts.banamex_fields, "banorte": lambda c: concepts.banorte_fields(c, F.col("_flat"))}
 
 
 def enriched(found: DataFrame, known: Layouts) -> DataFrame:
@@ -246,6 +246,8 @@ def enriched(found: DataFrame, known: Layouts) -> DataFrame:
     none = (F.col("cargo") == 0) & (F.col("abono") == 0) & (F.col("saldo_operacion") == 0)
     empty = F.when(F.col("r.drop_empty") == "amounts", none).when(F.col("r.drop_empty") == "amounts_and_concept", none & (F.col("concepto") == "")).otherwise(False)
     kept = r.where(~F.coalesce(opening, F.lit(False)) & ~empty)
+    if known.banks_where(fields="banorte"):
+        kept = kept.withColumn("_flat", F.when(F.col("r.fields") == "banorte", concepts.flat(F.col("concepto"))))
     side = F.when(F.col("cargo") > 0, "CARGO").when(F.col("abono") > 0, "ABONO")
     kind = F.when(F.col("r.kind") == "words", concepts.banamex_type(F.col("cargo"), F.col("abono"), F.col("concepto"))).otherwise(side)
     named = {r["fields"] for r in known.rows["rules"]}

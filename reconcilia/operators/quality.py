@@ -47,7 +47,7 @@ def usable_words(words: DataFrame) -> DataFrame:
     """file_id, usable, from the first non-blank words of each file."""
     order = Window.partitionBy("file_id").orderBy("seq")
     first = words.where(F.trim("text") != "").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= FIRST_WORDS)
-    texts = first.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.trim("text").alias("w")))), lambda x: x["w"]), " ").alias("text"))
+    texts = first.groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", F.trim("text").alias("w")))), lambda x: x["w"]), " ").alias("text"))
     return usable_text(texts).select("file_id", "usable")
 
 

@@ -54,7 +54,7 @@ def quarantined(spark: SparkSession, path: str, form: str = "json", **options: s
 
 def sorted_text(keys: list[str], text: str, separator: str):
     """Texts of a group in the order of ``keys``, joined."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*keys, F.col(text).alias("_text")))), lambda x: x["_text"]), separator)
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*keys, F.col(text).alias("_text")))), lambda x: x["_text"]), separator)
 
 
 def head_text(pages: DataFrame, limit: int = HEAD_PAGES) -> DataFrame:
@@ -67,7 +67,7 @@ def text_stage(pages: DataFrame, limit: int = HEAD_PAGES) -> DataFrame:
     filled = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " ")) != ""
     head = F.when((F.col("page") <= limit) & (F.col("text") != ""), F.struct("page", "text"))
     return pages.groupBy("file_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(head)), lambda x: x["text"]), "\n").alias("text"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(head)), lambda x: x["text"]), "\n").alias("text"),
         F.coalesce(F.min(F.when(filled, F.col("page"))) - 1, F.count("*")).cast("int").alias("initial_empty_pages"),
         F.bool_or(filled).alias("has_text"),
     )

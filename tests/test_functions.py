@@ -53,3 +53,11 @@ def test_concepts(spark):
     rfc = lambda t: concepts.banorte_fields(F.lit(t))["rfc"]
     got = one(spark, a=time("SPEI RECIBIDO HR LIQ: 134502"), b=time("SPEI RECIBIDO HR LIQ: 254502"), c=rfc("ORDEN DE PAGO SPEI RFC: ND, IVA"), d=rfc("ORDEN DE PAGO SPEI RFC: ND IVA"))
     assert got == {"a": "13:45:02", "b": None, "c": None, "d": "NDIVA"}
+
+
+def test_one_line_made_once(spark):
+    """Searches in a concept give the same from a column that holds its one line."""
+    c = "SPEI RECIBIDO\nDEL CLIENTE CLIENTE 7 DE LA CLABE 072180000000000012\nCON RFC ABC010101XY1 CONCEPTO: RENTA\nREFERENCIA: 12 CVE RAST: 1\nHR LIQ: 10:11"
+    df = spark.createDataFrame([(c,)], "c string").withColumn("t", concepts.flat(F.col("c")))
+    a, b = (df.select(*(v.alias(k) for k, v in f.items())).first() for f in (concepts.banorte_fields(F.col("c")), concepts.banorte_fields(F.col("c"), F.col("t"))))
+    assert a == b and a["beneficiario"] == "CLIENTE 7"

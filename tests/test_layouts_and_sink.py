@@ -164,3 +164,9 @@ def test_routes_are_analysed_once(spark, sf):
     """The analysis of texts is written before conditions on it are asked."""
     plan = quality.routed(readers.text_stage(views.odd_pages(spark, sf)), views.words(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
     assert [line for line in plan.splitlines() if "Relation" in line and "text_ok" in line] and "initial_empty_pages, has_text" not in plan
+
+
+def test_words_are_sorted_by_their_own_order(spark, sf):
+    """Arrays of words are sorted without a comparing function, which is called in interpreted code at each comparison."""
+    rows = lines.line_rows(lines.page_rows(views.words(spark, sf)), lines.middle, lines.middle, F.lit(3.5), F.lit(True))
+    assert "array_sort(" not in rows._jdf.queryExecution().optimizedPlan().toString()
