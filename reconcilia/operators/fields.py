@@ -6,6 +6,8 @@ How a field is read is a value in its box's row, looked up in ``READINGS``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,8 +123,9 @@ def first_rows(hits: DataFrame, tolerance: float = FIRST_ROW) -> DataFrame:
     return hits.join(tops, ["file_id", "field"]).where(F.col("top") - F.col("_first") <= tolerance).drop("_first")
 
 
-#: The last page on which any layout has a box.
-LAST_BOX_PAGE = 2
+def front(words: DataFrame, known: Layouts = BUILT_IN) -> DataFrame:
+    """The words (with bank_key) of the pages on which their bank's layout has fields: all that any section or summary reads."""
+    return words.where(reduce(or_, ((F.col("bank_key") == b) & (F.col("page") <= last) for b, last in known.last_pages().items())))
 
 
 def files_of(words: DataFrame, files: DataFrame | None) -> DataFrame:
@@ -156,7 +159,7 @@ def sections(words: DataFrame, files: DataFrame, known: Layouts = BUILT_IN, want
     boxes = known.frame(spark, "boxes").where(F.col("section").isin(*wanted))
     anchors = known.frame(spark, "anchors").where(F.col("section").isin(*wanted))
     moving = any(r["section"] in wanted for r in known.rows["anchors"])
-    hits = words_in_boxes(words.where(F.col("page") <= LAST_BOX_PAGE), boxes.where("mode <> 'none'"), anchor_shifts(words, anchors) if moving else None)
+    hits = words_in_boxes(front(words, known), boxes.where("mode <> 'none'"), anchor_shifts(words, anchors) if moving else None)
     named = {r["reading"] for r in known.rows["boxes"] if r["section"] in wanted}
     read = F.coalesce(*(F.when(F.col("reading") == name, f(F.col("_words"))) for name, f in READINGS.items() if name in named))
     values = box_words(hits, "section").select("file_id", F.concat_ws("_", "section", "field").alias("_name"), read.alias("value"))

@@ -263,8 +263,13 @@ def enriched(found: DataFrame, known: Layouts) -> DataFrame:
     return made.select("file_id", "bank_key", "page", "block_id", *pick)
 
 
+def read_once(known: Layouts) -> bool:
+    """Whether words are read for page rows alone, as no marker words cut them and no variant is looked for."""
+    return not known.rows["variants"] and all(r["trim"] not in ("end_marker", "chart") for r in known.rows["rules"])
+
+
 def movements(words: DataFrame, known: Layouts = BUILT_IN) -> DataFrame:
-    """file_id, numero_movimiento and the common model of all banks. ``words``: a table that can be read again, with bank_key."""
+    """file_id, numero_movimiento and the common model of all banks. ``words``, with bank_key: a table that can be read again, unless ``read_once``."""
     lines = with_bounds(page_lines(trimmed_pages(words, known), known), words, known)
     segmented = blocks(saved(column_texts(lines, known)), F.col("is_start"))
     found = saved(enriched(grouped_blocks(segmented), known))

@@ -64,8 +64,10 @@ def routed(stage: DataFrame, words: DataFrame) -> DataFrame:
     # written, as conditions on text_ok would otherwise be moved below it, with the whole analysis again in each
     first = saved(usable_text(stage).select("file_id", "initial_empty_pages", "has_text", F.col("usable").alias("text_ok")))
     doubtful = first.where("NOT text_ok AND has_text").select("file_id")
-    second = usable_words(words.join(doubtful, "file_id", "left_semi")).withColumnRenamed("usable", "words_ok")
-    out = first.join(second, "file_id", "left")
+    if doubtful.isEmpty():  # no word is needed
+        out = first.withColumn("words_ok", F.lit(None).cast("boolean"))
+    else:
+        out = first.join(usable_words(words.join(doubtful, "file_id", "left_semi")).withColumnRenamed("usable", "words_ok"), "file_id", "left")
     kind = document_type(F.col("text_ok"), F.col("words_ok"))
     return out.select("file_id", "initial_empty_pages", kind.alias("document_type"), F.when(kind == "pdf_digital", "words").otherwise("ocr").alias("word_source"))
 

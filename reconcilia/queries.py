@@ -519,8 +519,8 @@ def process_statements(spark, d):
 
 def _fourth(spark, d):
     """Statements of a bank that the package doesn't know, read by the rows of its layout and no code."""
-    words, pages = views.fourth_statements(spark, d)
-    return statements.process(saved(words), pages, known=layouts.BUILT_IN.plus(layouts.packaged("santander")))
+    words, pages = views.fourth_statements(spark, d)  # fields or movements read the words, once
+    return statements.process(words, pages, known=layouts.BUILT_IN.plus(layouts.packaged("santander")))
 
 
 @query(sql.FOURTH_MOVEMENTS)

@@ -73,6 +73,11 @@ class Layouts:
     def fields(self, bank: str, section: str) -> list[str]:
         return [r["field"] for r in self.rows["boxes"] if (r["bank_key"], r["section"]) == (bank, section)]
 
+    def last_pages(self) -> dict[str, int]:
+        """The last page of each bank on which a field stands; labels, anchors and variants are on the first."""
+        named = {r["bank_key"]: 1 for rows in self.rows.values() for r in rows}
+        return named | {b: max(r["page"] for r in self.rows["boxes"] if r["bank_key"] == b and r["mode"] != "none") for b in named if any(r["bank_key"] == b and r["mode"] != "none" for r in self.rows["boxes"])}
+
     def bounds(self, spark: SparkSession) -> DataFrame:
         """bank_key, variant and a struct (xmin, xmax) for each role, null where a table has no such column."""
         made = self.frame(spark, "columns").groupBy("bank_key", "variant").pivot("role", ROLES).agg(F.first(F.struct("xmin", "xmax")))
