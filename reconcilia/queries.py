@@ -559,8 +559,8 @@ def normalised_tables(spark, d):
 
 def _tables(spark, d) -> dict[str, DataFrame]:
     """The normalised tables of all banks' printed statements, but for the movements'."""
-    words = saved(reduce(DataFrame.unionByName, (views.statement_words(spark, d, b).withColumn("bank_key", F.lit(b)) for b in BANKS)))
-    files = saved(words.select("file_id", "bank_key").distinct())
+    words = saved(fields.front(reduce(DataFrame.unionByName, (views.statement_words(spark, d, b).withColumn("bank_key", F.lit(b)) for b in BANKS))), "bank_key")
+    files = saved(views.statement_files(spark, d))
     found = saved(fields.sections(words, files))
     none = words.select("file_id", *(F.lit(None).alias(c) for c in ("numero_movimiento", *movements.MOVEMENT))).limit(0)
     return tables.normalised(_keys(files), fields.section(found, "datos"), fields.section(found, "productos"), statements.summaries(found, words), none)
