@@ -22,15 +22,17 @@ AHEAD = 5
 
 def summary_lines(words: DataFrame) -> DataFrame:
     """Lines of the section: upper text, amount (right-most in the band), sign, days, rate."""
-    first = fixed_mean_lines(words.where("page = 1"))
-    text = word_text(F.col("text"))
-    amount = F.max(F.when(m.is_amount(F.col("text"), m.BANORTE_SUMMARY) & F.col("x1").between(*AMOUNT_X1), F.struct("x1", "seq", F.col("text").alias("t"))))
+    first = fixed_mean_lines(words.where("page = 1").repartition("file_id"))  # pages, lines and files are grouped where this puts them
+    # columns of their own, so that each word is cleaned once
+    first = first.withColumn("clean", word_text(F.col("text"))).withColumn("rate", F.when(F.col("clean").endswith("%"), m.percent(F.col("clean"))))
+    text = F.col("clean")
+    amount = F.max(F.when(F.col("x1").between(*AMOUNT_X1) & text.rlike(m.BANORTE_SUMMARY), F.struct("x1", "seq", F.col("text").alias("t"))))
     mark = F.when(text.startswith("+"), 1).when(text.startswith("-"), -1)
     number = F.when(text.rlike(r"^\d+$"), text.try_cast("int"))
     lines = first.groupBy("file_id", "page", "line_no").agg(
-        F.upper(joined_texts()).alias("line"), F.min("top").alias("top"), F.max("bottom").alias("bottom"), m.in_parentheses(amount["t"], True).alias("amount"), amount.isNotNull().alias("has_amount"),
+        F.upper(joined_texts(text=text)).alias("line"), F.min("top").alias("top"), F.max("bottom").alias("bottom"), m.in_parentheses(amount["t"], True).alias("amount"), amount.isNotNull().alias("has_amount"),
         F.coalesce(F.min_by(mark, F.when(mark.isNotNull(), F.struct("x0", "seq"))), F.lit(0)).alias("sign"),
-        F.min_by(number, F.when(number.between(1, 366), F.struct("x0", "seq"))).alias("days"), F.min_by(m.percent(F.col("text")), F.when(m.percent(F.col("text")).isNotNull(), F.struct("x0", "seq"))).alias("rate"),
+        F.min_by(number, F.when(number.between(1, 366), F.struct("x0", "seq"))).alias("days"), F.min_by("rate", F.when(F.col("rate").isNotNull(), F.struct("x0", "seq"))).alias("rate"),
     ).withColumn("amount", F.when(F.col("has_amount"), F.col("amount")))
     has = lambda *w: F.lit(True) if not w else F.contains("line", F.lit(w[0])) & has(*w[1:])
     file = Window.partitionBy("file_id")
@@ -42,38 +44,32 @@ def summary_lines(words: DataFrame) -> DataFrame:
     return lines.withColumn("_e", end).where("_e IS NULL OR line_no <= _e").drop("_h", "_s", "_e")
 
 
-def labelled(lines: DataFrame) -> DataFrame:
-    """file_id, field, line_no, amount, sign: the first line of each label."""
-    def fits(alternatives: list[str]) -> Column:
-        every = (reduce(and_, (F.contains("line", F.lit(w)) for w in a.split())) for a in alternatives)
-        return reduce(or_, every)
+def fits(alternatives: list[str]) -> Column:
+    """Whether a line has all words of one of them."""
+    every = (reduce(and_, (F.contains("line", F.lit(w)) for w in a.split())) for a in alternatives)
+    return reduce(or_, every)
 
-    hits = lines.withColumn("field", F.explode(F.array_compact(F.array(*(F.when(fits(a), f) for f, a in LABELS.items())))))
-    return hits.groupBy("file_id", "field").agg(F.min("line_no").alias("line_no"), F.min_by("amount", "line_no").alias("amount"), F.min_by("sign", "line_no").alias("sign"))
 
-
-def average_balance(lines: DataFrame) -> DataFrame:
-    """file_id, saldo_promedio: on a line SALDO PROMEDIO, else on one of the next five, past the minimum's."""
+def with_average(lines: DataFrame) -> DataFrame:
+    """``lines`` with average: what a line SALDO PROMEDIO says, its own amount or one of the next five lines', past the minimum's."""
     has = lambda *w: F.lit(True) if not w else F.contains("line", F.lit(w[0])) & has(*w[1:])
     order = Window.partitionBy("file_id").orderBy("line_no")
     usable = F.when(F.col("has_amount") & ~(F.contains("line", F.lit("SALDO PROMEDIO")) & F.contains("line", F.lit("MÍNIMO"))), F.col("amount"))
-    ahead = F.array_compact(F.collect_list(F.struct(F.coalesce(usable, F.lit(None)).alias("v"))).over(order.rowsBetween(1, AHEAD)))
-    first = F.get(F.filter(F.transform(ahead, lambda x: x["v"]), lambda v: v.isNotNull()), 0)
-    found = lines.withColumn("_v", F.coalesce("amount", first)).where(has("SALDO", "PROMEDIO") & ~has("MÍNIMO"))
-    return found.where("_v IS NOT NULL").groupBy("file_id").agg(F.min_by("_v", "line_no").alias("saldo_promedio"))
+    ahead = F.first(usable, True).over(order.rowsBetween(1, AHEAD))
+    return lines.withColumn("average", F.when(has("SALDO", "PROMEDIO") & ~has("MÍNIMO"), F.coalesce("amount", ahead)))
 
 
 def banorte_summary(words: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """The sixteen fields; files without the section get nulls."""
-    lines = summary_lines(words)
-    found = labelled(lines)
-    amounts = found.groupBy("file_id").pivot("field", list(LABELS)).agg(F.first("amount").alias("v"), F.first("sign").alias("s"))
+    """The sixteen fields; files without the section get nulls. A file's lines meet once: the first line of each label, days, rate and average come from one grouping."""
+    lines = with_average(summary_lines(words))
     has = lambda w: F.contains("line", F.lit(w))
-    single = lines.groupBy("file_id").agg(
-        F.min_by("days", F.when(has("DÍAS") & F.col("days").isNotNull(), F.col("line_no"))).alias("dias_periodo"),
-        F.min_by("rate", F.when(has("TASA") & has("BRUTA") & has("ANUAL") & F.col("rate").isNotNull(), F.col("line_no"))).alias("tasa"),
-    )
-    out = files_of(words, files).join(amounts, "file_id", "left").join(single, "file_id", "left").join(average_balance(lines), "file_id", "left")
+    first = lambda value, where: F.min_by(value, F.when(where, F.col("line_no")))
+    each = [first(c, fits(a)).alias(f"{f}_{c[0] if c == 'sign' else 'v'}") for f, a in LABELS.items() for c in ("amount", "sign")]
+    found = lines.groupBy("file_id").agg(
+        *each, first("days", has("DÍAS") & F.col("days").isNotNull()).alias("dias_periodo"), first("rate", has("TASA") & has("BRUTA") & has("ANUAL") & F.col("rate").isNotNull()).alias("tasa"),
+        first("average", F.col("average").isNotNull()).alias("saldo_promedio"),
+    )
+    out = files_of(words, files).join(found, "file_id", "left")
     v = lambda f: F.col(f"{f}_v")
     parts = {f: m.signed(F.col(f"{f}_s"), v(f)) for f in ("comisiones_cobradas_pagadas", "intereses_cobrados_pagados")}
     plus = lambda base, other, side: v(base) + F.coalesce(v(other), m.zero()) + sum(p[side] for p in parts.values())

@@ -483,7 +483,8 @@ def summary_banamex(spark, d):
 
 @query(sql.summary_sql("banorte"))
 def summary_banorte(spark, d):
-    return banorte_summary.banorte_summary(_printed(spark, d, "banorte"))
+    files = views.statement_files(spark, d).where("bank_key = 'banorte'").select("file_id")
+    return banorte_summary.banorte_summary(views.statement_words(spark, d, "banorte"), files)
 
 
 @query(sql.products_sql())

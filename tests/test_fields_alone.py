@@ -1,7 +1,9 @@
 """What fields need of statements, and that nothing else is done for them."""
 
+from pyspark.sql import functions as F
+
 from reconcilia import views
-from reconcilia.operators import fields, movements
+from reconcilia.operators import banorte_summary, fields, movements
 from reconcilia.plans import statements
 from reconcilia.sources import layouts
 
@@ -45,3 +47,10 @@ def test_box_on_a_later_page(spark):
     words = spark.createDataFrame([("a", "santander", 1, p, t, x - 1, x + 1, y - 1, y + 1) for p, t in ((1, "111"), (5, "555"))], "file_id string, bank_key string, seq long, page int, text string, x0 double, x1 double, top double, bottom double")
     found = fields.sections(words, words.select("file_id", "bank_key").distinct(), known)
     assert [r["numero_cuenta"] for r in fields.section(found, "datos").collect()] == ["555"]
+
+
+def test_labelled_summary_cuts_lines_once(spark, sf):
+    """The words are exchanged once and lines cut once, whatever is read from them."""
+    words = views.statement_words(spark, sf, "banorte").where(F.col("file_id").isin("2", "5"))
+    plan = plan_of(banorte_summary.banorte_summary(words, spark.createDataFrame([("2",), ("5",)], "file_id string")))
+    assert plan.count("ArrowEvalPython") == 1
