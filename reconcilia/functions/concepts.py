@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reconcilia.functions.text import digits, found, rfc_compact, word_text, word_upper
+from reconcilia.functions.text import digits, filled, found, rfc_compact, word_text, word_upper
 
 # The labels and forms below are those the layouts print.
 I = "(?iU)"  # noqa: E741
@@ -21,38 +21,39 @@ def lines_of(concept: Column) -> Column:
     return F.filter(F.transform(F.split(concept, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def line_of(concept: Column, place: int) -> Column:
-    return F.get(lines_of(concept), place)
+def line_of(concept: Column, place: int, lines: Column | None = None) -> Column:
+    """``lines``: ``lines_of`` the concept where it is a column already; otherwise they are made again for each line."""
+    return F.get(lines_of(concept) if lines is None else lines, place)
 
 
-def flat(concept: Column) -> Column:
+def flat(concept: Column, lines: Column | None = None) -> Column:
     """One line for searching."""
-    return word_text(F.array_join(lines_of(concept), " "))
+    return word_text(F.array_join(lines_of(concept) if lines is None else lines, " "))
 
 
 def clean(text: Column) -> Column:
-    return F.nullif(word_text(text), F.lit(""))
+    return filled(word_text(text))
 
 
 # --- first layout -----------------------------------------------------------------------------------
 
 
-def bbva_is_spei(c: Column) -> Column:
-    return F.coalesce(line_of(c, 0).rlike(I + r"^SPEI\s+(RECIBIDO|ENVIADO)"), F.lit(False))
+def bbva_is_spei(c: Column, lines: Column | None = None) -> Column:
+    return F.coalesce(line_of(c, 0, lines).rlike(I + r"^SPEI\s+(RECIBIDO|ENVIADO)"), F.lit(False))
 
 
-def bbva_is_third_party(c: Column) -> Column:
-    return F.coalesce(line_of(c, 0).rlike(I + r"^PAGO\s+CUENTA\s+DE\s+TERCERO$"), F.lit(False))
+def bbva_is_third_party(c: Column, lines: Column | None = None) -> Column:
+    return F.coalesce(line_of(c, 0, lines).rlike(I + r"^PAGO\s+CUENTA\s+DE\s+TERCERO$"), F.lit(False))
 
 
-def bbva_fields(c: Column) -> dict[str, Column]:
-    spei, third = bbva_is_spei(c), bbva_is_third_party(c)
-    second, number = line_of(c, 1), digits(line_of(c, 2))
+def bbva_fields(c: Column, lines: Column | None = None) -> dict[str, Column]:
+    spei, third = bbva_is_spei(c, lines), bbva_is_third_party(c, lines)
+    second, number = line_of(c, 1, lines), digits(line_of(c, 2, lines))
     account = found(second, I + r"^BNET\s+(\d+)(?:\s|$)")
     clabe = F.when(F.length(number) >= 18, F.right(number, F.lit(18)))
-    rest = F.nullif(F.trim(found(second, I + r"^BNET\s+\d+\s*(.*)$")), F.lit(""))
+    rest = filled(F.trim(found(second, I + r"^BNET\s+\d+\s*(.*)$")))
     return {
-        "beneficiario": F.when(spei, F.nullif(line_of(c, 4), F.lit(""))).when(third, account),
+        "beneficiario": F.when(spei, filled(line_of(c, 4, lines))).when(third, account),
         "clabe_beneficiario": F.when(spei, clabe),
         "cuenta_beneficiario": F.when(third, account),
         "concepto_original": F.when(spei, second).when(third, rest),
@@ -65,11 +66,15 @@ def bbva_fields(c: Column) -> dict[str, Column]:
 # --- second layout ----------------------------------------------------------------------------------
 
 
-def banamex_type(cargo: Column, abono: Column, c: Column) -> Column:
-    upper = word_upper(c)
+def kind_said(upper: Column) -> Column:
+    """What the words of a concept (upper case) say where there is no amount on either side."""
     credit = upper.rlike("DEPOSITO|DEPÓSITO|ABONO|TRANSFERENCIA RECIBIDA|TRASPASO RECIBIDO")
     debit = upper.rlike("RETIRO|CARGO|PAGO|TRANSFERENCIA ENVIADA|TRASPASO ENVIADO")
-    return F.when(cargo > 0, "CARGO").when(abono > 0, "ABONO").when(credit, "ABONO").when(debit, "CARGO")
+    return F.when(credit, "ABONO").when(debit, "CARGO")
+
+
+def banamex_type(cargo: Column, abono: Column, c: Column) -> Column:
+    return F.when(cargo > 0, "CARGO").when(abono > 0, "ABONO").otherwise(kind_said(word_upper(c)))
 
 
 def banamex_fields(c: Column) -> dict[str, Column]:
@@ -92,12 +97,12 @@ def banamex_fields(c: Column) -> dict[str, Column]:
 # --- third layout -----------------------------------------------------------------------------------
 
 
-def banorte_is_received(c: Column) -> Column:
-    return F.coalesce(line_of(c, 0).rlike(I + r"\bSPEI\s+RECIBIDO\b"), F.lit(False))
+def banorte_is_received(c: Column, lines: Column | None = None) -> Column:
+    return F.coalesce(line_of(c, 0, lines).rlike(I + r"\bSPEI\s+RECIBIDO\b"), F.lit(False))
 
 
-def banorte_is_order(c: Column) -> Column:
-    return F.coalesce(word_text(line_of(c, 0)).rlike(I + r"\bORDEN\s+DE\s+PAGO\s+SPEI\b"), F.lit(False))
+def banorte_is_order(c: Column, lines: Column | None = None) -> Column:
+    return F.coalesce(word_text(line_of(c, 0, lines)).rlike(I + r"\bORDEN\s+DE\s+PAGO\s+SPEI\b"), F.lit(False))
 
 
 def _compact_time(text: Column) -> Column:
@@ -113,9 +118,9 @@ def banorte_general_rfc(text: Column) -> Column:
     return F.upper(F.regexp_replace(either, r"(?U)\s+", ""))
 
 
-def banorte_fields(c: Column, one_line: Column | None = None) -> dict[str, Column]:
-    """``one_line``: ``flat`` of the concept where it is a column already; otherwise it is made again in each search."""
-    received, order, t = banorte_is_received(c), banorte_is_order(c), flat(c) if one_line is None else one_line
+def banorte_fields(c: Column, one_line: Column | None = None, lines: Column | None = None) -> dict[str, Column]:
+    """``one_line``: ``flat`` of the concept where it is a column already; otherwise it is made again in each search. ``lines``: its lines in the same way."""
+    received, order, t = banorte_is_received(c, lines), banorte_is_order(c, lines), flat(c, lines) if one_line is None else one_line
     kinds = lambda r, o: F.when(received, r).when(order, o)
     order_rfc = clean(found(t, I + r"\bRFC\s*:\s*([A-Z&Ñ0-9]+(?:\s+[A-Z&Ñ0-9]+)?)\b"))
     order_rfc = F.when(~F.upper(order_rfc).isin("ND", "N D", "NO CAPTURADO"), F.upper(F.regexp_replace(order_rfc, r"(?U)\s+", "")))
@@ -128,7 +133,7 @@ def banorte_fields(c: Column, one_line: Column | None = None) -> dict[str, Colum
         "cuenta_beneficiario": F.lit(None).cast("string"),
         "rfc": F.when(received, F.upper(found(t, I + r"\bCON\s+RFC\s+([A-Z&Ñ]{3,4}\d{6}[A-Z0-9]{3})\b"))).when(order, order_rfc).otherwise(banorte_general_rfc(t)),
         "concepto_original": kinds(clean(found(t, I + r"\bCONCEPTO\s*:\s*(.*?)\s+REFERENCIA\s*:")), clean(found(t, I + r"\)\s*,\s*(.*?)\s+CVE\s+RASTREO\s*:"))),
-        "referencia": kinds(clean(found(t, I + r"\bREFERENCIA\s*:\s*(.*?)\s+CVE\s+RAST\s*:")), found(word_text(line_of(c, 0)), I + r"\bORDEN\s+DE\s+PAGO\s+SPEI\s+([A-Z0-9]+)\s*=?\s*REFERENCIA\b")),
+        "referencia": kinds(clean(found(t, I + r"\bREFERENCIA\s*:\s*(.*?)\s+CVE\s+RAST\s*:")), found(word_text(line_of(c, 0, lines)), I + r"\bORDEN\s+DE\s+PAGO\s+SPEI\s+([A-Z0-9]+)\s*=?\s*REFERENCIA\b")),
     }
 
 

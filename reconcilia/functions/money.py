@@ -55,9 +55,18 @@ def rate(text: Column) -> Column:
     return F.coalesce(F.translate(text, ", ", "").try_cast("double"), F.lit(0.0))
 
 
+def bare(text: Column) -> Column:
+    """``$`` and commas removed."""
+    return F.trim(F.replace(F.replace(word_text(text), F.lit("$"), F.lit("")), F.lit(","), F.lit("")))
+
+
 def in_parentheses(text: Column, trailing_minus: bool = False) -> Column:
     """``$`` and commas removed; parentheses (or a minus behind, if so asked) make it negative; else 0."""
-    bare = F.trim(F.translate(word_text(text), "$,", ""))
+    return bare_in_parentheses(bare(text), trailing_minus)
+
+
+def bare_in_parentheses(bare: Column, trailing_minus: bool = False) -> Column:
+    """The same from ``bare`` text, best a column of its own, as it is read several times."""
     minus = bare.endswith("-") if trailing_minus else F.lit(False)
     bare = F.when(minus, F.trim(F.regexp_replace(bare, "-$", ""))).otherwise(bare)
     wrapped = bare.startswith("(") & bare.endswith(")")

@@ -22,6 +22,8 @@ def runs(codes: list[int]) -> list[tuple[str, str]]:
 
 #: White space as Unicode has it, no-break space included.
 SPACE = r"(?U)\s+"
+#: The same, but for a single space, which stays as it is: most texts have nothing to replace.
+ODD_SPACE = r"(?U) \s+|[\s&&[^ ]]\s*"
 
 
 def stripped(char: str) -> str:
@@ -41,7 +43,7 @@ UNSTABLE = f"[^{STABLE}]&&[" + "".join(f"\\x{{{ord(a):x}}}-\\x{{{ord(b):x}}}" fo
 
 def collapsed(text: Column) -> Column:
     """White-space runs to one space, ends trimmed."""
-    return F.trim(F.regexp_replace(text, SPACE, " "))
+    return F.trim(F.regexp_replace(text, ODD_SPACE, " "))
 
 
 def canonical(text: Column) -> Column:
@@ -56,7 +58,8 @@ def digits(text: Column) -> Column:
 
 def word_text(text: Column) -> Column:
     """No-break space to space, en and em dash to hyphen, collapsed; null is empty."""
-    return collapsed(F.translate(F.coalesce(text, F.lit("")), " –—", " --"))
+    # no translate, which makes every character anew
+    return collapsed(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("–"), F.lit("-")), F.lit("—"), F.lit("-")))
 
 
 def word_upper(text: Column) -> Column:
@@ -65,16 +68,21 @@ def word_upper(text: Column) -> Column:
 
 def header_text(text: Column) -> Column:
     """Trimmed, upper, Ó and É without accent."""
-    return F.translate(F.upper(F.trim(text)), "ÓÉ", "OE")
+    return F.replace(F.replace(F.upper(F.trim(text)), F.lit("Ó"), F.lit("O")), F.lit("É"), F.lit("E"))
 
 
 def collapsed_or_null(text: Column) -> Column:
     return F.nullif(collapsed(text), F.lit(""))
 
 
+def filled(text: Column) -> Column:
+    """``text``, null if it is empty. Inside a branch ``nullif`` makes what it is given twice, and what that is made of four times; an array holds it once."""
+    return F.get(F.array_remove(F.array(text), ""), 0)
+
+
 def found(text: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match, null without one or if empty."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return filled(F.regexp_extract(text, pattern, group))
 
 
 def rfc_compact(text: Column) -> Column:

@@ -107,7 +107,7 @@ READINGS: dict[str, Callable[[Column], Column]] = {
 def box_words(hits: DataFrame, *keys: str) -> DataFrame:
     """file_id, ``keys``, field, _words: the words of each box in reading order, only its first row where the box says so."""
     word = F.struct("page", "top", "x0", "seq", "text", F.col("_distance").alias("distance"))
-    made = hits.groupBy("file_id", *keys, "field").agg(F.sort_array(F.collect_list(word)).alias("_words"), F.first("reading").alias("reading"), F.first("first_row").alias("first_row"))
+    made = hits.withColumn("_word", word).groupBy("file_id", *keys, "field").agg(F.sort_array(F.collect_list("_word")).alias("_words"), F.first("reading").alias("reading"), F.first("first_row").alias("first_row"))
     first = F.array_min(F.transform("_words", lambda w: w["top"]))
     return made.withColumn("_words", F.when(F.col("first_row"), F.filter("_words", lambda w: w["top"] - first <= FIRST_ROW)).otherwise(F.col("_words")))
 

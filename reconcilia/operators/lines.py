@@ -90,33 +90,63 @@ def line_starts(page: np.ndarray, y: np.ndarray, tolerance: np.ndarray, running_
     return starts
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def line_places(y: pa.Array, tolerance: pa.Array, running_mean: pa.Array) -> pa.Array:
-    """For each page the line (1, 2, ...) of each of its ordered words. Only numbers come to Python; texts stay where they are."""
-    size = y.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat, limit, mean = y.flatten().to_numpy(zero_copy_only=False), np.repeat(tolerance.to_numpy(zero_copy_only=False), size), np.repeat(running_mean.to_numpy(zero_copy_only=False), size)
-    ends = np.cumsum(size)
-    first = np.zeros(len(flat), bool)
-    first[(ends - size)[size > 0]] = True
-    starts = np.zeros(len(flat), bool)
+def numbers_of(values: pa.Array) -> np.ndarray:
+    """Nulls are NaN."""
+    return values.to_numpy(zero_copy_only=False)
+
+
+def sizes(lists: pa.Array) -> np.ndarray:
+    return numbers_of(lists.value_lengths().fill_null(0)).astype(np.int64)
+
+
+def _places(size: np.ndarray, y: np.ndarray, tolerance: pa.Array, running_mean: pa.Array) -> np.ndarray:
+    """The line (1, 2, ...) within its page of each word; pages of ``size`` words follow each other, their words in order."""
+    limit, mean = np.repeat(numbers_of(tolerance), size), np.repeat(numbers_of(running_mean), size)
+    first = np.zeros(len(y), bool)
+    first[(np.cumsum(size) - size)[size > 0]] = True
+    starts = np.zeros(len(y), bool)
     for rule in (False, True):
         mine = mean == rule
         if mine.any():
-            starts[mine] = line_starts(first[mine], flat[mine], limit[mine], rule)
+            starts[mine] = line_starts(first[mine], y[mine], limit[mine], rule)
     place = np.cumsum(starts)
-    if len(flat):
+    if len(y):
         place -= np.repeat(place[first] - 1, size[size > 0])
-    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(place.astype(np.int32)))
+    return place.astype(np.int32)
+
+
+def listed(size: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(values))
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def line_places(y: pa.Array, tolerance: pa.Array, running_mean: pa.Array) -> pa.Array:
+    """For each page the line (1, 2, ...) of each of its ordered words. Only numbers come to Python; texts stay where they are."""
+    size = sizes(y)
+    return listed(size, _places(size, numbers_of(y.flatten()), tolerance, running_mean))
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def word_places(order: pa.Array, top: pa.Array, bottom: pa.Array, tolerance: pa.Array, running_mean: pa.Array) -> pa.Array:
+    """The same for words in order of x0, as page rows have them: they are put in ``order`` here, and the line of each is given at its own place."""
+    size, y = sizes(top), (numbers_of(top.flatten()) + numbers_of(bottom.flatten())) / 2
+    by = np.lexsort((numbers_of(order.flatten()), np.repeat(np.arange(len(size)), size)))
+    place = np.empty(len(y), np.int32)
+    place[by] = _places(size, y[by], tolerance, running_mean)
+    return listed(size, place)
 
 
-def page_rows(words: DataFrame, *constants: str) -> DataFrame:
+def page_rows(words: DataFrame, *constants: str, clean: Column | None = None, marks: Column | None = None) -> DataFrame:
     """file_id, page, words, and columns that are constant on a page: the one exchange of all words that lines need.
 
     The words of a page are an array of (x0, seq, text, x1, top, bottom, doctop, clean text) in order of x0, with defaults for coordinates
-    that are missing or no numbers; every line rule, column and cut works inside such a row from then on.
+    that are missing or no numbers; every line rule, column and cut works inside such a row from then on. ``marks``: what is known of a word
+    by its text, as a number, found once while words are rows; ``clean`` where it isn't the text without odd white space.
     """
-    word = F.struct(number("x0").alias("x0"), "seq", "text", right().alias("x1"), number("top").alias("top"), bottom().alias("bottom"), number("doctop").alias("doctop"), word_text(F.col("text")).alias("clean"))
-    return words.groupBy("file_id", "page").agg(F.sort_array(F.collect_list(word)).alias("words"), *(F.first(c).alias(c) for c in constants))
+    said = word_text(F.col("text")) if clean is None else clean
+    word = F.struct(number("x0").alias("x0"), "seq", "text", right().alias("x1"), number("top").alias("top"), bottom().alias("bottom"), number("doctop").alias("doctop"), said.alias("clean"), *([] if marks is None else [marks.alias("marks")]))
+    # made before the grouping, which would make it by interpreted expressions
+    return words.select("file_id", "page", *constants, word.alias("_w")).groupBy("file_id", "page").agg(F.sort_array(F.collect_list("_w")).alias("words"), *(F.first(c).alias(c) for c in constants))
 
 
 def middle(word: Column) -> Column:
@@ -146,7 +176,8 @@ def numbered(words: DataFrame, by: Column, tolerance: Column, running_mean: bool
     """
     keys, columns = order or [by, number("x0")], words.columns
     row = F.struct(*(k.alias(f"_k{i}") for i, k in enumerate(keys)), F.col("seq").alias("_s"), by.alias("_y"), F.struct(*columns).alias("_w"))
-    pages = words.groupBy("file_id", "page").agg(F.sort_array(F.collect_list(row)).alias("_r"), F.max(tolerance.cast("double")).alias("_t"))
+    made = words.select("file_id", "page", row.alias("_r"), tolerance.cast("double").alias("_t"))  # before the grouping, as there
+    pages = made.groupBy("file_id", "page").agg(F.sort_array(F.collect_list("_r")).alias("_r"), F.max("_t").alias("_t"))
     placed = pages.withColumn("_p", line_places(F.transform("_r", lambda r: r["_y"]), F.col("_t"), F.lit(running_mean)))
     # file_id and page stay the columns that words were grouped by, so what groups lines next needs no other exchange
     each = placed.select("file_id", "page", F.explode(F.arrays_zip(F.transform("_r", lambda r: r["_w"]).alias("w"), F.col("_p").alias("p"))).alias("x"))
@@ -161,8 +192,7 @@ def texts(words: Column, where: Callable[[Column], Column] | None = None, separa
 
 def page_tolerance(pages: DataFrame) -> DataFrame:
     """``line_tolerance`` from page rows."""
-    heights = pages.select("file_id", F.explode(F.transform("words", lambda w: F.abs(w["bottom"] - w["top"]))).alias("bottom"))
-    return line_tolerance(heights.withColumn("top", F.lit(0.0)))
+    return line_tolerance(pages.select("file_id", F.inline(F.arrays_zip(F.col("words.top").alias("top"), F.col("words.bottom").alias("bottom")))))
 
 
 def anchored_lines(words: DataFrame, tolerance: float = ANCHOR_TOLERANCE) -> DataFrame:

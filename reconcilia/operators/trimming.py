@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from reconcilia.functions import money as m
 from reconcilia.functions.dates import LOOSE_PREFIX
-from reconcilia.functions.text import header_text, word_upper
-from reconcilia.operators.lines import LEAST_TOLERANCE, line_rows, middle, number, page_rows, page_tolerance, texts
+from reconcilia.functions.text import header_text, word_text, word_upper
+from reconcilia.operators.lines import LEAST_TOLERANCE, LINES, line_rows, middle, number, page_rows, page_tolerance, word_places
 from reconcilia.storage import saved
 
 # Terms and places of the layouts.
@@ -105,7 +105,7 @@ def trimmed_bbva(words: DataFrame) -> DataFrame:
 
 def chart_start(words: DataFrame) -> DataFrame:
     """file_id, cut: seq of the first GRÁFICO directly followed by TRANSACCIONAL on its page; only pages with the first word are put in order."""
-    name = F.translate(word_upper(F.col("text")), "Á", "A")
+    name = F.replace(word_upper(F.col("text")), F.lit("Á"), F.lit("A"))
     some = saved(words.where(name == "GRAFICO").select("file_id", "page").distinct())
     order = Window.partitionBy("file_id", "page").orderBy("seq")
     two = words.join(some, ["file_id", "page"], "left_semi").select("file_id", "page", "seq", name.alias("_u"))
@@ -130,23 +130,37 @@ def without_banorte_footer(words: DataFrame) -> DataFrame:
     return words.where(number("top") < BANORTE_FOOTER)
 
 
+#: What cuts need to know of a word, as bits of its marks: a date and an amount at its start, any text, a section that goes on, the chart's title.
+DATED, AMOUNT, FILLED, AGAIN, CHART = 1, 2, 4, 8, 16
+
+
+def word_marks(text: Column) -> Column:
+    """Those bits of a word's clean text. No pattern reaches over a space, so a line has what one of its words has."""
+    bits = {DATED: text.rlike(LOOSE_PREFIX), AMOUNT: text.rlike(m.BANORTE), FILLED: text != "", AGAIN: text.rlike(r"(?iU)\bCONTINUACI(?:Ó|O)N\b"), CHART: F.upper(text).rlike("GR[ÁA]FICO")}
+    return sum((F.when(v, k).otherwise(0) for k, v in bits.items()), F.lit(0))
+
+
+def marked_pages(words: DataFrame) -> DataFrame:
+    """Page rows with marks."""
+    cleaned = words.withColumn("_clean", word_text(F.col("text")))
+    return page_rows(cleaned, clean=F.col("_clean"), marks=word_marks(F.col("_clean")))
+
+
 def section_lines(pages: DataFrame) -> DataFrame:
-    """Lines with what decides where a statement's last section starts. ``pages``: page rows; all but the exchange of the words happens in them."""
-    bounds = {"page_xmin": F.array_min(F.transform("words", lambda w: w["x0"])), "page_xmax": F.array_max(F.transform("words", lambda w: w["x1"]))}
-    lines = line_rows(pages.withColumns(bounds), lambda w: w["doctop"], middle, F.lit(LEAST_TOLERANCE), F.lit(True))
-    named = F.transform("words", lambda w: F.struct(w["clean"].alias("text"), w["x0"].alias("x0"), w["x1"].alias("x1"), w["doctop"].alias("doctop"), w["clean"].rlike(LOOSE_PREFIX).alias("dated")))
-    lines = lines.withColumn("words", named)
-    each = lambda name, f: f(F.transform("words", lambda w: w[name]))
-    plain = lambda w: (w["text"] == "") | ~(w["text"].rlike(m.BANORTE) | w["dated"])
-    lines = lines.select(
-        "file_id", "page", "line_no", "page_xmin", "page_xmax", texts(F.filter("words", lambda w: w["text"] != "")).alias("text"), each("x0", F.array_min).alias("x0"), each("x1", F.array_max).alias("x1"),
-        each("doctop", F.array_min).alias("doctop"), each("doctop", F.array_max).alias("doctop_max"), F.exists("words", lambda w: w["dated"] & w["x0"].between(*DATE_X)).alias("is_date"),
-        (F.forall("words", plain) & F.exists("words", lambda w: w["text"] != "")).alias("text_only"),
-    )
+    """Lines with what decides where a statement's last section starts. ``pages``: page rows with marks, from which each line takes least, greatest and any."""
+    fields = {c: F.col(f"words.{c}") for c in ("x0", "x1", "top", "bottom", "doctop", "marks")}
+    placed = pages.select("file_id", "page", *(v.alias(c) for c, v in fields.items())).withColumn("place", word_places("doctop", "top", "bottom", F.lit(LEAST_TOLERANCE), F.lit(True)))
+    bounds = [F.array_min("x0").alias("page_xmin"), F.array_max("x1").alias("page_xmax")]
+    words = placed.select("file_id", "page", *bounds, F.inline(F.arrays_zip("place", "x0", "x1", "doctop", "marks")))
+    has = lambda bit: F.col("marks").bitwiseAND(bit) > 0
+    lines = words.groupBy("file_id", "page", "place").agg(
+        F.first("page_xmin").alias("page_xmin"), F.first("page_xmax").alias("page_xmax"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("doctop").alias("doctop"), F.max("doctop").alias("doctop_max"),
+        F.bool_or(has(DATED) & F.col("x0").between(*DATE_X)).alias("is_date"), F.bit_or("marks").alias("marks"),
+    ).withColumns({"line_no": F.col("page").cast("long") * LINES + F.col("place"), "text_only": has(FILLED) & ~has(DATED) & ~has(AMOUNT)})
     width, page = F.col("x1") - F.col("x0"), F.col("page_xmax") - F.col("page_xmin")
     off = F.abs((F.col("x0") + F.col("x1")) / 2 - (F.col("page_xmin") + F.col("page_xmax")) / 2)
     lines = lines.withColumns({
-        "is_continuation": F.col("text").rlike(r"(?iU)\bCONTINUACI(?:Ó|O)N\b"),
+        "is_continuation": has(AGAIN),
         "is_centered": F.col("text_only") & (page > 0) & (width <= page * 0.35) & (off <= page * 0.15) & (F.col("x0") >= F.col("page_xmin") + page * 0.30),
         "is_plain": F.col("text_only") & (page > 0) & (F.col("x0") <= F.col("page_xmin") + F.greatest(F.lit(7.0), page * 0.025)) & (width <= page * 0.90),
     })
@@ -186,32 +200,31 @@ def section_cut(pages: DataFrame) -> DataFrame:
 
 def without_last_section(words: DataFrame) -> DataFrame:
     """Words before the centred cutoff, else before the plain-text one, else all."""
-    out = words.join(saved(section_cut(page_rows(words))), "file_id", "left")
+    out = words.join(saved(section_cut(marked_pages(words))), "file_id", "left")
     return out.where(F.col("cut").isNull() | (number("doctop") < F.col("cut"))).drop("cut")
 
 
 def marker_line(words: DataFrame) -> DataFrame:
     """file_id, cut_page, cut_top of the first line that says GRÁFICO TRANSACCIONAL."""
-    return marker_cut(saved(marker_rows(page_rows(words))))
+    return marker_cut(saved(marker_rows(marked_pages(words))))
 
 
 def marker_rows(pages: DataFrame) -> DataFrame:
     """Page rows with no more of each word than lines and their cleaned texts need."""
-    return pages.select("file_id", "page", F.transform("words", lambda w: F.struct(*(w[c].alias(c) for c in ("x0", "seq", "top", "bottom", "clean")))).alias("words"))
+    return pages.select("file_id", "page", F.transform("words", lambda w: F.struct(*(w[c].alias(c) for c in ("x0", "seq", "top", "bottom", "clean", "marks")))).alias("words"))
 
 
 def marker_cut(pages: DataFrame) -> DataFrame:
-    """The same from page rows; only pages with the first word are cut into lines, and only those meet their file's tolerance."""
-    slim = marker_rows(pages)
-    some = slim.where(F.exists("words", lambda w: F.upper(w["clean"]).rlike("GR[ÁA]FICO")))
-    lines = line_rows(some.join(page_tolerance(slim), "file_id"), middle, middle, F.col("tolerance"), F.lit(True))
+    """The same from page rows with marks; only pages with the first word are cut into lines, and only those meet their file's tolerance."""
+    some = marker_rows(pages.where(F.exists("words.marks", lambda x: x.bitwiseAND(CHART) > 0)))
+    lines = line_rows(some.join(page_tolerance(pages), "file_id"), middle, middle, F.col("tolerance"), F.lit(True))
     said = F.array_join(F.filter(F.transform("words", lambda w: w["clean"]), lambda x: x != ""), " ")
     hit = lines.where(F.upper(said).rlike("GR[ÁA]FICO TRANSACCIONAL")).withColumn("top", F.get("words", 0)["top"])
     return hit.groupBy("file_id").agg(F.min_by(F.struct("page", "top"), "line_no").alias("_c")).select("file_id", F.col("_c.page").alias("cut_page"), F.col("_c.top").alias("cut_top"))
 
 
 def cut_pages(pages: DataFrame) -> DataFrame:
-    """Page rows (saved) without the last section and what follows the chart's title; pages that lose all of their words go."""
+    """Page rows (saved, with marks) without the last section and what follows the chart's title; pages that lose all of their words go."""
     cut = saved(section_cut(pages))
     kept = pages.join(cut, "file_id", "left")
     kept = kept.withColumn("words", F.filter("words", lambda w: F.col("cut").isNull() | (w["doctop"] < F.col("cut")))).drop("cut").where(F.size("words") > 0)

@@ -507,14 +507,19 @@ def layout_variant(spark, d):
 SELECT o_custkey::VARCHAR AS file_id, page::INTEGER AS page, CASE WHEN page NOT BETWEEN 2 AND last THEN 324 WHEN page % 2 = 0 THEN 341.75 ELSE 338.75 END::DOUBLE AS border_1, CASE WHEN page NOT BETWEEN 2 AND last THEN 408 WHEN page % 2 = 0 THEN 419.75 ELSE 418.75 END::DOUBLE AS border_2 FROM p, range(1, last + 1) r(page)""")
 def page_columns(spark, d):
     words = _printed(spark, d, "banamex").withColumn("bank_key", F.lit("banamex"))
-    rows = saved(movements.page_lines(movements.trimmed_pages(words, layouts.BUILT_IN), layouts.BUILT_IN))
-    return movements.all_page_columns(rows).select("file_id", "page", F.col("cargo.xmax").alias("border_1"), F.col("abono.xmax").alias("border_2"))
+    known = layouts.BUILT_IN.only(["banamex"])
+    bounds = movements.page_bounds(movements.placed_pages(movements.trimmed_pages(words, known), words, known))
+    return bounds.select("file_id", "page", F.col("cargo.xmax").alias("border_1"), F.col("abono.xmax").alias("border_2"))
+
+
+def _every(spark, d) -> statements.Statements:
+    """All statements; they are printed once, and words and OCR tokens are read from that table."""
+    return statements.process(*views.every_statement(spark, d, saved(views.all_statement_words(spark, d))))
 
 
 @query(sql.PROCESS)
 def process_statements(spark, d):
-    words, pages, tokens = views.every_statement(spark, d)
-    out = statements.process(saved(words), pages, tokens)
+    out = _every(spark, d)
     return out.validations.select("statement_id", "orden", "esperado", "obtenido", "diferencia")
 
 
@@ -551,8 +556,7 @@ MONEY_2 = "WITH m AS (SELECT o_custkey AS k, o_totalprice::DECIMAL(18,2) AS pric
   sum(CASE WHEN credit AND shown THEN price ELSE 0 END)::DECIMAL(28,2) AS "Abono", sum(CASE WHEN NOT credit AND shown THEN price ELSE 0 END)::DECIMAL(28,2) AS "Cargo", sum(price)::DECIMAL(28,2) AS "Saldo" FROM m JOIN ids USING (k) GROUP BY id, k""")
 def normalised_tables(spark, d):
     """The movements table of all statements, summed up by account."""
-    words, pages, tokens = views.every_statement(spark, d)
-    out = statements.process(saved(words), pages, tokens)
+    out = _every(spark, d)
     made = tables.normalised(_keys(out.identified.select("file_id", "bank_key")), out.account, out.products, out.summary, out.movements)
     keys = ["id_estado", "Nombre del Archivo", "Banco", "Número de Cuenta"]
     return made["Movimientos"].groupBy(*keys).agg(F.count("*").alias("n"), F.sum("Abono").alias("Abono"), F.sum("Cargo").alias("Cargo"), F.sum("Saldo de Operación").alias("Saldo"))
@@ -569,8 +573,7 @@ def _tables(spark, d) -> dict[str, DataFrame]:
 
 def _all_tables(spark, d) -> dict[str, DataFrame]:
     """The four tables of all statements, with those behind blank pages and those that are images."""
-    words, pages, tokens = views.every_statement(spark, d)
-    out = statements.process(saved(words), pages, tokens)
+    out = _every(spark, d)
     return tables.normalised(_keys(out.identified.select("file_id", "bank_key")), out.account, out.products, out.summary, out.movements)
 
 
